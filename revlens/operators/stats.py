@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators.ranking import decile_of, value_ranks, with_rank
 from revlens.schema import STATS, STATS_COLUMNS, empty
+from revlens.session import materialize
 
 
 def author_totals(changes: DataFrame) -> DataFrame:
@@ -50,9 +51,18 @@ def ranked_stats(totals: DataFrame, legacy_email_join: bool = False) -> DataFram
     return scored.select(*STATS_COLUMNS)
 
 
-def author_scoreboard(changes: DataFrame, legacy_email_join: bool = False, ordered: bool = True) -> DataFrame:
-    """WIN-4 (flagship): STATS rows, ordered by total desc (ties broken by email, name)."""
-    stats = ranked_stats(author_totals(changes), legacy_email_join)
+def author_scoreboard(changes: DataFrame, legacy_email_join: bool = False, ordered: bool = True,
+                      materialize_totals: bool = True) -> DataFrame:
+    """WIN-4 (flagship): STATS rows, ordered by total desc (ties broken by email, name).
+
+    The per-author totals (one row per author, small next to the change rows) feed three
+    branches: the join target and two rank computations. They are checkpointed once so the
+    scan, join and aggregation of the change rows run a single time.
+    """
+    totals = author_totals(changes)
+    if materialize_totals:
+        totals = materialize(totals)
+    stats = ranked_stats(totals, legacy_email_join)
     return get_ranking(stats) if ordered else stats
 
 

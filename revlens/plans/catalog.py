@@ -41,8 +41,26 @@ def parents_text(col: str = "parent_hashes", alias: str = "parents") -> F.Column
     return F.array_join(F.col(col), " ").alias(alias)
 
 
+CHANGE_OUT_COLS = ["commit_hash", "parents", "author_name", "author_email", "commit_date",
+                   "commit_timestamp", "commit_message", "file_paths", "change_type", "additions",
+                   "deletions", "old_file_path"]
+
+CHANGE_SELECT = "SELECT " + ", ".join(CHANGE_OUT_COLS) + " FROM changes"
+
+
+def change_out(df: DataFrame) -> DataFrame:
+    """Flat CHANGE rows in oracle-comparable form (parents as text, NTZ timestamps)."""
+    return df.select(
+        "commit_hash", parents_text(), "author_name", "author_email", ntz("commit_date"),
+        "commit_timestamp", "commit_message", "file_paths", "change_type", "additions",
+        "deletions", "old_file_path",
+    )
+
+
 # Import the query modules for their registrations.
 from revlens.plans import queries_core  # noqa: E402,F401
+from revlens.plans import queries_filters  # noqa: E402,F401
+from revlens.plans import queries_projections  # noqa: E402,F401
 
 
 def queries() -> dict[str, QueryFn]:
@@ -54,4 +72,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 __all__ = ["queries", "oracle_sql", "register", "ntz", "parents_text", "with_mapping",
-           "SCOREBOARD_FROM_SRC", "td"]
+           "SCOREBOARD_FROM_SRC", "td", "change_out", "CHANGE_SELECT"]

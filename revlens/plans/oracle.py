@@ -46,6 +46,14 @@ changes AS (
          coalesce(f.additions, 0) AS additions, coalesce(f.deletions, 0) AS deletions,
          CAST(NULL AS VARCHAR) AS old_file_path
   FROM commits c LEFT JOIN files f ON f.ok = c.ok
+),
+event_changes AS (
+  SELECT CAST(event_id AS VARCHAR) AS commit_hash,
+         'user' || CAST(user_id AS VARCHAR) AS author_name,
+         'user' || CAST(user_id AS VARCHAR) || '@events.example.com' AS author_email,
+         ts AS commit_date, event_type AS commit_message,
+         CAST(round(value * 100) AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions
+  FROM events
 )
 """
 

@@ -65,3 +65,10 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: computes ``df`` once, cuts lineage,
+    and survives executor loss (never ``localCheckpoint``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

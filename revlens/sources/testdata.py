@@ -126,3 +126,24 @@ def commits(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> Da
             "array<struct<file_path:string,additions:bigint,deletions:bigint,change_type:string,old_file_path:string>>"
         )).alias("file_changes"),
     )
+
+
+def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second change set from ``events``: user -> author, event -> commit, value in cents -> additions."""
+    pin_utc(spark)
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    date = F.col("ts").cast("timestamp")
+    return ev.select(
+        F.col("event_id").cast("string").alias("commit_hash"),
+        F.array().cast("array<string>").alias("parent_hashes"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author_name"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@events.example.com")).alias("author_email"),
+        date.alias("commit_date"),
+        F.unix_timestamp(date).alias("commit_timestamp"),
+        F.col("event_type").alias("commit_message"),
+        F.concat(F.col("event_type"), F.lit(".log")).alias("file_paths"),
+        F.lit("M").alias("change_type"),
+        F.round(F.col("value") * 100).cast("bigint").alias("additions"),
+        F.lit(0).cast("bigint").alias("deletions"),
+        F.lit(None).cast("string").alias("old_file_path"),
+    )
