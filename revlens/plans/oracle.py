@@ -47,6 +47,16 @@ changes AS (
          CAST(NULL AS VARCHAR) AS old_file_path
   FROM commits c LEFT JOIN files f ON f.ok = c.ok
 ),
+files_pos AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS commit_hash,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+                            l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos,
+         lower(p_type) || '/' || replace(lower(p_brand), '#', '') || '/' || replace(p_name, ' ', '_') || '.txt'
+           AS file_path,
+         CAST(l_quantity AS BIGINT) AS additions, CAST(l_linenumber AS BIGINT) AS deletions,
+         CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'M' WHEN 'R' THEN 'D' END AS change_type
+  FROM lineitem JOIN part ON p_partkey = l_partkey
+),
 event_changes AS (
   SELECT CAST(event_id AS VARCHAR) AS commit_hash,
          'user' || CAST(user_id AS VARCHAR) AS author_name,

@@ -147,3 +147,33 @@ def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("deletions"),
         F.lit(None).cast("string").alias("old_file_path"),
     )
+
+
+# Fixed order of line items inside one order: every line item column, so "last" is defined.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+              "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def file_rows_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_rows`` plus ``commit_hash`` and ``pos``: the line's position inside its commit."""
+    li = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    path = F.concat(
+        F.lower(F.col("p_type")), F.lit("/"),
+        F.replace(F.lower(F.col("p_brand")), F.lit("#"), F.lit("")), F.lit("/"),
+        F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(".txt"),
+    )
+    ctype = (
+        F.when(F.col("l_returnflag") == "A", "A")
+        .when(F.col("l_returnflag") == "N", "M")
+        .when(F.col("l_returnflag") == "R", "D")
+    )
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    return li.join(part, F.col("p_partkey") == F.col("l_partkey")).select(
+        F.col("l_orderkey").cast("string").alias("commit_hash"),
+        F.row_number().over(w).alias("pos"),
+        path.alias("file_path"),
+        F.col("l_quantity").cast("bigint").alias("additions"),
+        F.col("l_linenumber").cast("bigint").alias("deletions"),
+        ctype.alias("change_type"),
+    )
