@@ -62,9 +62,10 @@ def q_file_stat_parse(spark, sf):
     return change_out(explode_changes(LT.log_parse(rec)))
 
 
-_NUMSTAT_LINE = (F.when(F.col("change_type") == "D", F.concat(F.lit("x"), F.col("additions").cast("string")))
-                 .when(F.col("additions") > 45, F.lit("-"))
-                 .otherwise(F.col("additions").cast("string")))
+def _numstat_added():
+    return (F.when(F.col("change_type") == "D", F.concat(F.lit("x"), F.col("additions").cast("string")))
+            .when(F.col("additions") > 45, F.lit("-"))
+            .otherwise(F.col("additions").cast("string")))
 
 
 @register("numstat_parse", with_mapping(
@@ -73,7 +74,7 @@ _NUMSTAT_LINE = (F.when(F.col("change_type") == "D", F.concat(F.lit("x"), F.col(
     " FROM files_pos WHERE change_type <> 'D'"))
 def q_numstat_parse(spark, sf):
     rows = td.file_rows_pos(spark, sf)
-    lines = rows.select("commit_hash", "pos", F.concat_ws("\t", _NUMSTAT_LINE, F.col("deletions").cast("string"),
+    lines = rows.select("commit_hash", "pos", F.concat_ws("\t", _numstat_added(), F.col("deletions").cast("string"),
                                                           F.col("file_path"), F.lit("tail ")).alias("value"))
     return LT.numstat_parse(lines)
 
