@@ -63,6 +63,7 @@ from revlens.plans import queries_filters  # noqa: E402,F401
 from revlens.plans import queries_projections  # noqa: E402,F401
 from revlens.plans import queries_io  # noqa: E402,F401
 from revlens.plans import queries_graph  # noqa: E402,F401
+from revlens.plans import queries_flows  # noqa: E402,F401
 
 
 def queries() -> dict[str, QueryFn]:
