@@ -9,18 +9,17 @@ from __future__ import annotations
 MAPPING = """
 WITH o AS (
   SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority,
-         lag(o_orderkey, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p1,
-         lag(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p2
+         CASE WHEN o_orderstatus = 'P' OR o_orderkey = 0 THEN NULL ELSE o_orderkey // 2 END AS p1,
+         CASE WHEN o_orderstatus = 'P' OR o_orderkey = 0 OR o_orderpriority <> '1-URGENT'
+                   OR o_orderkey // 3 = o_orderkey // 2 THEN NULL ELSE o_orderkey // 3 END AS p2
   FROM orders
 ),
 commits AS (
   SELECT o_orderkey AS ok,
          CAST(o_orderkey AS VARCHAR) AS commit_hash,
-         concat_ws(' ', CAST(p1 AS VARCHAR),
-                   CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(p2 AS VARCHAR) END) AS parents,
+         concat_ws(' ', CAST(p1 AS VARCHAR), CAST(p2 AS VARCHAR)) AS parents,
          CAST(p1 AS VARCHAR) AS first_parent,
-         (CASE WHEN p1 IS NULL THEN 0 ELSE 1 END
-          + CASE WHEN o_orderpriority = '1-URGENT' AND p2 IS NOT NULL THEN 1 ELSE 0 END) AS n_parents,
+         (CASE WHEN p1 IS NULL THEN 0 ELSE 1 END + CASE WHEN p2 IS NULL THEN 0 ELSE 1 END) AS n_parents,
          c_name AS author_name,
          lower(c_mktsegment) || '.' || lower(replace(c_name, '#', '.')) || '@example.com' AS author_email,
          lower(c_mktsegment) || '.' || CAST(c_nationkey AS VARCHAR) || '@example.com' AS shared_email,

@@ -23,7 +23,7 @@ _EDGES = """
   WHERE p1 IS NOT NULL
   UNION ALL
   SELECT commit_hash, CAST(p2 AS VARCHAR) FROM commits JOIN o ON o.o_orderkey = commits.ok
-  WHERE p2 IS NOT NULL AND o.o_orderpriority = '1-URGENT'),
+  WHERE p2 IS NOT NULL),
 tips AS (SELECT commit_hash FROM commits WHERE commit_hash NOT IN (SELECT parent FROM edges))
 """
 

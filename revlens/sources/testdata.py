@@ -4,8 +4,9 @@ orders -> commits, customers -> authors, line items -> file changes. The mapping
 DataFrame code; the oracle SQL in ``revlens.plans.catalog`` repeats it as a CTE.
 
     commit_hash      cast(o_orderkey as string)
-    parent_hashes    previous order of the same customer by (o_orderdate, o_orderkey);
-                     '1-URGENT' orders get the one before that as a second parent (merges)
+    parent_hashes    [o_orderkey div 2]; '1-URGENT' orders also get o_orderkey div 3 (merges);
+                     'P' orders and order 0 are roots. Row-local (no window), heap-shaped:
+                     depth O(log n), and no author's history is ever sorted in one task
     author_name      c_name
     author_email     lower(c_mktsegment) . lower(c_name with '#' -> '.') @example.com
                      (email_mode='shared': lower(c_mktsegment) . c_nationkey @example.com)
@@ -43,13 +44,12 @@ def commit_heads(spark: SparkSession, sf_dir: str, email_mode: str = "segment")
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    # Per-author commit chain. The window is partitioned by author; the spill-capable window
-    # buffer keeps a hot author correct (see README, "skew").
-    chain = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    p1 = F.lag("o_orderkey", 1).over(chain).cast("string")
-    p2 = F.lag("o_orderkey", 2).over(chain).cast("string")
+    k = F.col("o_orderkey")
+    root = (F.col("o_orderstatus") == F.lit("P")) | (k == 0)
     urgent = F.col("o_orderpriority") == F.lit("1-URGENT")
-    parents = F.filter(F.array(p1, F.when(urgent, p2)), lambda x: x.isNotNull())
+    both = F.array(F.floor(k / 2).cast("string"), F.when(urgent, F.floor(k / 3).cast("string")))
+    parents = F.when(root, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.filter(both, lambda x: x.isNotNull())))
     date = F.col("o_orderdate").cast("timestamp")
     heads = orders.select(
         "*",
