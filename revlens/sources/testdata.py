@@ -112,20 +112,10 @@ def changes(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> Da
 
 
 def commits(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> DataFrame:
-    """Nested COMMIT frame: file changes collected per commit (sorted by path, then values)."""
-    heads = commit_heads(spark, sf_dir, email_mode)
-    files = file_rows(spark, sf_dir)
-    per_commit = files.groupBy("_ok").agg(
-        F.sort_array(
-            F.collect_list(F.struct("file_path", "additions", "deletions", "change_type", "old_file_path"))
-        ).alias("file_changes")
-    )
-    return heads.join(per_commit, "_ok", "left").select(
-        *COMMIT_COLUMNS,
-        F.coalesce("file_changes", F.array().cast(
-            "array<struct<file_path:string,additions:bigint,deletions:bigint,change_type:string,old_file_path:string>>"
-        )).alias("file_changes"),
-    )
+    """Nested COMMIT frame: the flat changes assembled per commit (AGG-5, bounded rows)."""
+    from revlens.operators.reshape import assemble_commits
+
+    return assemble_commits(changes(spark, sf_dir, email_mode))
 
 
 def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
