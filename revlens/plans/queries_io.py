@@ -232,3 +232,24 @@ def q_period_from_metadata(spark, sf):
     df, meta = PQ.read_changes(spark, path)
     w = PQ.period_from_metadata(meta)
     return change_out(date_range(df, w.since, w.until))
+
+
+@register("version_gate_forced", with_mapping(_PQ_SELECT))
+def q_version_gate_forced(spark, sf):
+    """SRC-7: a data set written with another major version loads only with force=True."""
+    import warnings
+
+    path = shared_path(spark, "pqv2")
+    PQ.write_changes(td.changes(spark, sf), path, version="2.0")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        df, _ = PQ.read_changes(spark, path, force=True)
+    return change_out(df)
+
+
+@register("log_scan", with_mapping("SELECT commit_hash FROM commits"))
+def q_log_scan(spark, sf):
+    """SRC-1 alone: records of a dump written in several files, one row per commit."""
+    path = shared_path(spark, "scan")
+    LT.write_log(td.commits(spark, sf).repartition(3), path)
+    return LT.log_scan(spark, path).select(F.substring_index("value", LT.FIELD_MARK, 1).alias("commit_hash"))
