@@ -194,12 +194,16 @@ def _prefix_any(path: Column, prefixes: Sequence[str]) -> Column:
 
 
 def path_predicate(path: Column, include: Sequence[str] | None, exclude: Sequence[str] | None) -> Column | None:
-    """FLT-16/17: include = any prefix; exclude = no prefix; include applied first."""
+    """FLT-16/17: include = any prefix; exclude = no prefix; include applied first.
+
+    Written as a plain OR of ``startsWith`` (null path -> null -> dropped) so Parquet receives
+    ``StringStartsWith`` filters.
+    """
     pred = None
     if include:
-        pred = F.coalesce(_prefix_any(path, include), F.lit(False))
+        pred = _prefix_any(path, include)
     if exclude:
-        ex = ~F.coalesce(_prefix_any(path, exclude), F.lit(False)) & path.isNotNull()
+        ex = path.isNotNull() & ~_prefix_any(path, exclude)
         pred = ex if pred is None else (pred & ex)
     return pred
 
