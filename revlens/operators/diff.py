@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.scalar import _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
+from revlens.operators.ranking import positions_in_group
 from revlens.operators.reshape import last_wins
 
 _LINE_SPLIT = _SPLITLINES
@@ -109,9 +110,9 @@ def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("com
         h_old.withColumnRenamed("_p", path_col), [*k, path_col]).select(*k, path_col, "_h")
     a = changes.where(F.col("change_type") == "A").join(
         h_new.withColumnRenamed("_p", path_col), [*k, path_col]).select(*k, path_col, "_h")
-    grp = Window.partitionBy(*k, "_h").orderBy(path_col)
-    d = d.withColumn("_i", F.row_number().over(grp))
-    a = a.withColumn("_i", F.row_number().over(grp))
+    # k-th delete pairs with k-th add of the same content; positions without a per-group sort
+    d = positions_in_group(d, [*k, "_h"], [path_col], "_i")
+    a = positions_in_group(a, [*k, "_h"], [path_col], "_i")
     pairs = a.alias("a").join(d.alias("d"), [*k, "_h", "_i"]).select(
         *k, F.col(f"a.{path_col}").alias(path_col), F.col(f"d.{path_col}").alias("old_file_path"))
     renamed_new = pairs.select(*k, path_col, F.lit("R").alias("change_type"),
@@ -148,9 +149,8 @@ def change_set_diff(a: DataFrame, b: DataFrame, tolerance_s: int = 2) -> DataFra
     key = ["author_name", "author_email", "message", "parents"]
     na = normalize_commit_set(a)
     nb = normalize_commit_set(b)
-    w = Window.partitionBy(*key).orderBy("ts")
-    la = na.withColumn("_i", F.row_number().over(w))
-    lb = nb.withColumn("_i", F.row_number().over(w))
+    la = positions_in_group(na, key, ["ts"], "_i")
+    lb = positions_in_group(nb, key, ["ts"], "_i")
     j = la.alias("l").join(lb.alias("r"), [*key, "_i"], "full")
     ok = F.abs(F.col("l.ts") - F.col("r.ts")) <= tolerance_s
     only_a = j.where(F.col("r.ts").isNull() | (F.col("l.ts").isNotNull() & ~ok)).select(

@@ -94,3 +94,37 @@ def with_decile(df: DataFrame, value_col: str, decile_col: str) -> DataFrame:
     rk, n = f"_rk_{decile_col}", f"_n_{decile_col}"
     ranked = with_rank(df, value_col, rk, n)
     return ranked.withColumn(decile_col, decile_of(F.col(rk), F.col(n))).drop(rk, n)
+
+
+def positions_in_group(df: DataFrame, group_cols, order_cols, out: str = "pos") -> DataFrame:
+    """1-based position of each row inside its group by ``order_cols`` (``row_number`` semantics)
+    without sorting a group in one task.
+
+    A global ``orderBy(group, order)`` is range-partitioned, so a group holding a third of all
+    rows is spread over many sort partitions. ``monotonically_increasing_id`` then encodes
+    (partition index, index in partition); the rows are checkpointed once so both readers see the
+    same ids. Global position = rows in earlier partitions (a table with one row per sort
+    partition, broadcast) + index in partition; position in group = global position - the
+    group's first global position + 1 (a grouped ``min``, combined map-side).
+    """
+    from revlens.session import materialize
+
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    ordered = df.orderBy(*group_cols, *order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    ordered = materialize(ordered)
+    part = F.shiftrightunsigned(F.col("_mid"), 33)
+    idx = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    per_part = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
+    # Bounded: one row per partition of the sort.
+    offsets = per_part.select(
+        "_part",
+        F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+    )
+    placed = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part") \
+        .withColumn("_gpos", F.col("_off") + idx + F.lit(1))
+    starts = placed.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group_cols]).agg(F.min("_gpos").alias("_start"))
+    cond = [placed[c].eqNullSafe(starts[f"_g_{c}"]) for c in group_cols]
+    joined = placed.join(starts, cond)
+    return joined.withColumn(out, (F.col("_gpos") - F.col("_start") + F.lit(1)).cast("int")).drop(
+        "_mid", "_part", "_off", "_gpos", "_start", *[f"_g_{c}" for c in group_cols])

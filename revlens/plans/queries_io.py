@@ -69,14 +69,14 @@ def _numstat_added():
 
 
 @register("numstat_parse", with_mapping(
-    "SELECT commit_hash, pos, file_path || chr(9) || 'tail' AS file_path,"
+    "SELECT commit_hash, file_path || chr(9) || 'tail' AS file_path,"
     " CASE WHEN additions > 45 THEN 0 ELSE additions END AS additions, deletions, '' AS change_type"
     " FROM files_pos WHERE change_type <> 'D'"))
 def q_numstat_parse(spark, sf):
     rows = td.file_rows_pos(spark, sf)
     lines = rows.select("commit_hash", "pos", F.concat_ws("\t", _numstat_added(), F.col("deletions").cast("string"),
                                                           F.col("file_path"), F.lit("tail ")).alias("value"))
-    return LT.numstat_parse(lines)
+    return LT.numstat_parse(lines).drop("pos")
 
 
 def _name_status_lines(spark, sf, keep=None):
@@ -89,7 +89,7 @@ def _name_status_lines(spark, sf, keep=None):
     return rows.select("commit_hash", "pos", value.alias("value"))
 
 
-_NS_SQL = ("SELECT commit_hash, pos, CASE WHEN change_type = 'M' AND additions > 45 THEN 'R100' ELSE change_type END"
+_NS_SQL = ("SELECT commit_hash, CASE WHEN change_type = 'M' AND additions > 45 THEN 'R100' ELSE change_type END"
            " AS change_type, file_path,"
            " CASE WHEN change_type = 'M' AND additions > 45 THEN 'old/' || file_path END AS old_file_path,"
            " CAST(0 AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions FROM files_pos")
@@ -97,7 +97,7 @@ _NS_SQL = ("SELECT commit_hash, pos, CASE WHEN change_type = 'M' AND additions >
 
 @register("name_status_parse", with_mapping(_NS_SQL))
 def q_name_status_parse(spark, sf):
-    return LT.name_status_parse(_name_status_lines(spark, sf))
+    return LT.name_status_parse(_name_status_lines(spark, sf)).drop("pos")
 
 
 def _two_stat_tables(spark, sf):

@@ -19,7 +19,7 @@ DataFrame code; the oracle SQL in ``revlens.plans.catalog`` repeats it as a CTE.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.schema import CHANGE_COLUMNS, COMMIT_COLUMNS
@@ -145,7 +145,8 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 
 def file_rows_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``file_rows`` plus ``commit_hash`` and ``pos``: the line's position inside its commit."""
+    """``file_rows`` plus ``commit_hash`` and ``pos``: the line's place inside its commit, a struct of
+    every line item column (row-local and totally ordered; no per-order window)."""
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     path = F.concat(
@@ -158,10 +159,9 @@ def file_rows_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_returnflag") == "N", "M")
         .when(F.col("l_returnflag") == "R", "D")
     )
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return li.join(part, F.col("p_partkey") == F.col("l_partkey")).select(
         F.col("l_orderkey").cast("string").alias("commit_hash"),
-        F.row_number().over(w).alias("pos"),
+        F.struct(*LINE_ORDER).alias("pos"),
         path.alias("file_path"),
         F.col("l_quantity").cast("bigint").alias("additions"),
         F.col("l_linenumber").cast("bigint").alias("deletions"),

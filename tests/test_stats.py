@@ -109,3 +109,17 @@ def test_legacy_email_join_multiplies_rows(spark):
             for i in range(3)]
     assert author_scoreboard(change_rows(spark, rows), legacy_email_join=True).count() == 27
     assert author_scoreboard(change_rows(spark, rows)).count() == 3
+
+
+def test_positions_in_group_match_row_number(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from revlens.operators.ranking import positions_in_group
+
+    rows = [("hot", f"p{i:04d}") for i in range(500)] + [("small", "b"), ("small", "a"), (None, "z"), (None, "y")]
+    df = spark.createDataFrame(rows, "g string, path string").repartition(7)
+    got = {(r.g, r.path): r.pos for r in positions_in_group(df, ["g"], ["path"]).collect()}
+    want = {(r.g, r.path): r.rn for r in
+            df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("path"))).collect()}
+    assert got == want
