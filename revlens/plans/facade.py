@@ -63,7 +63,8 @@ def get_changes(
     elif fmt == "json":
         df = LT.read_json(spark, source)
     elif fmt == "parquet":
-        df, _ = PQ.read_changes(spark, source, expected_version, force_version)
+        df, _ = PQ.read_changes(spark, source, expected_version, force_version, keep_partitions=True)
+        df = PQ.prune_months(df, since, until).drop(PQ.MONTH_COL)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 

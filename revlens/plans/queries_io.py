@@ -253,3 +253,15 @@ def q_log_scan(spark, sf):
     path = shared_path(spark, "scan")
     LT.write_log(td.commits(spark, sf).repartition(3), path)
     return LT.log_scan(spark, path).select(F.substring_index("value", LT.FIELD_MARK, 1).alias("commit_hash"))
+
+
+@register("partitioned_window", with_mapping(
+    _PQ_SELECT + " WHERE commit_date >= TIMESTAMP '1997-11-15 00:00:00'"
+    " AND commit_date <= TIMESTAMP '1998-02-10 23:59:59.999999'"))
+def q_partitioned_window(spark, sf):
+    """SNK-1 month-partitioned, then SRC-10 on it: the window becomes a partition filter."""
+    from revlens.plans.facade import get_changes
+
+    path = shared_path(spark, "pqmonth")
+    PQ.write_changes(td.changes(spark, sf), path, partition_by_month=True)
+    return change_out(get_changes(spark, path, fmt="parquet", since="1997-11-15", until="1998-02-10"))

@@ -65,17 +65,28 @@ def with_provenance(df: DataFrame, meta: dict[str, str]) -> DataFrame:
     return df.select(F.col(first).alias(first, metadata={"revlens": meta}), *df.columns[1:])
 
 
+MONTH_COL = "commit_month"
+
+
 def write_changes(df: DataFrame, path: str, since: str | None = None, until: str | None = None,
                   none_text: bool = False, check_nulls: bool | None = None,
-                  partition_by: list[str] | None = None, mode: str = "errorifexists",
+                  partition_by: list[str] | None = None, partition_by_month: bool = False,
+                  mode: str = "errorifexists",
                   description: str = DESCRIPTION, version: str = DATA_VERSION) -> None:
     """SNK-1 (+SNK-2..4): write a CHANGE frame as versioned Parquet.
 
     An empty frame is written with its full schema (SNK-2: Spark cannot write a zero-column
-    file, and a typed empty set is more useful). ``partition_by`` (e.g. a month column) gives
-    partition pruning on later reads.
+    file, and a typed empty set is more useful). ``partition_by_month`` adds ``commit_month``
+    ('yyyy-MM') as the directory partition: later reads with a date window list only the
+    folders of that window (partition pruning). Rows are range-partitioned on (month, hash):
+    each task writes a contiguous run of months (few files per task) and a hot month is split
+    over several tasks.
     """
     out = normalize_for_sink(df, none_text)
+    if partition_by_month:
+        out = out.withColumn(MONTH_COL, F.date_format("commit_date", "yyyy-MM"))
+        partition_by = [*(partition_by or []), MONTH_COL]
+        out = out.repartitionByRange(F.col(MONTH_COL), F.xxhash64("commit_hash"))
     if check_nulls if check_nulls is not None else none_text:
         assert_no_nulls(out)
     out = with_provenance(out, provenance(since, until, description, version))
@@ -146,14 +157,32 @@ def period_from_metadata(meta: dict[str, str], start=None, end=None, period: str
 
 
 def read_changes(spark: SparkSession, path: str, expected_version: str = DATA_VERSION,
-                 force: bool = False) -> tuple[DataFrame, dict[str, str]]:
-    """SRC-7: load a saved change set behind the version gate; returns (frame, provenance)."""
+                 force: bool = False, keep_partitions: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """SRC-7: load a saved change set behind the version gate; returns (frame, provenance).
+
+    ``keep_partitions`` keeps the ``commit_month`` directory column so a caller can prune."""
     df = spark.read.parquet(path)
     meta = dataset_metadata(df, path)
     version_gate(meta, expected_version, force)
     cols = [c for c in CHANGE_COLUMNS if c in df.columns]
+    if keep_partitions and MONTH_COL in df.columns:
+        cols.append(MONTH_COL)
     return df.select(*cols), meta
 
 
+def prune_months(df: DataFrame, since: str | None, until: str | None) -> DataFrame:
+    """Partition filter on ``commit_month`` implied by a date window (no-op without the column)."""
+    if MONTH_COL not in df.columns:
+        return df
+    from revlens.functions.period import day_edges
+
+    lo, hi = day_edges(since, until)
+    if lo is not None:
+        df = df.where(F.col(MONTH_COL) >= lo.strftime("%Y-%m"))
+    if hi is not None:
+        df = df.where(F.col(MONTH_COL) <= hi.strftime("%Y-%m"))
+    return df
+
+
 def empty_changes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CHANGE)
