@@ -25,6 +25,17 @@ NOISE_PREFIXES = ("diff --git", "old mode", "new mode", "index", "--- a/", "+++
 _FILE_CHANGE_DDL = "array<struct<file_path:string,additions:bigint,deletions:bigint,change_type:string,old_file_path:string>>"
 
 
+def keep_parsed(df: DataFrame, parsed: Column, keep, carry=()) -> DataFrame:
+    """Rows whose ``parsed`` struct satisfies ``keep(struct)``, flattened next to ``carry``.
+
+    A plain ``select(...).where(...)`` lets Catalyst push the filter below the projection by
+    inlining the parse expressions, so every split/regex runs again inside the filter. Testing
+    the predicate on the already-built struct (``inline(filter(array(struct)))``) parses each
+    row exactly once.
+    """
+    return df.select(*carry, F.inline(F.filter(F.array(parsed), keep)))
+
+
 # ---- SRC-1 ----------------------------------------------------------------------------
 
 def log_scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -48,8 +59,18 @@ def is_noise_line(line: Column) -> Column:
     return pred | line.rlike("^[0-9a-fA-F]{40}$")
 
 
+# Python int() text: optional whitespace and sign around decimal digits.
+_INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+
+
+def to_int(part: Column) -> Column:
+    """Text -> bigint, null when not an integer. The regex guard keeps failing rows off the
+    exception path of a failed cast (dirty input stays as fast as clean input)."""
+    return F.when(part.rlike(_INT_TEXT), F.trim(part).try_cast("bigint"))
+
+
 def _count(part: Column) -> Column:
-    return F.when(part == "-", F.lit(0).cast("bigint")).otherwise(part.try_cast("bigint"))
+    return F.when(part == "-", F.lit(0).cast("bigint")).otherwise(to_int(part))
 
 
 def file_stat_parse(block: Column) -> Column:
@@ -79,18 +100,28 @@ def file_stat_parse(block: Column) -> Column:
 
 # ---- SRC-2 / FLT-19 -------------------------------------------------------------------
 
-def _parse_record(value: Column, empty_message_fallback: bool) -> dict[str, Column]:
-    end_at = F.instr(value, MSG_END)
-    head = F.substring_index(value, MSG_END, 1)
-    tail = F.substr(value, end_at + F.lit(len(MSG_END)))
-    fields = F.split(head, FIELD_MARK)
+def _stage(records: DataFrame, value_col: str) -> DataFrame:
+    """Split each record once into its pieces (kept as columns: each is used several times)."""
+    v = F.col(value_col)
+    end_at = F.instr(v, MSG_END)
+    staged = records.select(
+        v.alias("_raw"),
+        end_at.alias("_end"),
+        F.split(F.substring_index(v, MSG_END, 1), FIELD_MARK).alias("_fields"),
+        F.regexp_replace(F.substr(v, end_at + F.lit(len(MSG_END))), r"^\s+|\s+$", "").alias("_tail"),
+    )
+    return staged.select(
+        "*", F.split(F.coalesce(F.get(F.col("_fields"), 4), F.lit("")), "\t").alias("_date_parts"))
+
+
+def _parse_record(empty_message_fallback: bool) -> dict[str, Column]:
+    fields, date_parts = F.col("_fields"), F.col("_date_parts")
     hash_part = F.replace(F.get(fields, 0), F.lit(COMMIT_MARK), F.lit(""))
-    date_parts = F.split(F.coalesce(F.get(fields, 4), F.lit("")), "\t")
     date_text = F.replace(F.get(date_parts, 0), F.lit("Z"), F.lit("+00:00"))
     raw_msg = F.concat(F.coalesce(F.get(fields, 5), F.lit("")), F.lit(MSG_END))
     commit_date = F.when(F.size(date_parts) == 2, F.try_to_timestamp(date_text))
-    epoch = F.when(F.size(date_parts) == 2, strip_ws(F.get(date_parts, 1)).try_cast("bigint"))
-    valid = (end_at > 0) & (F.size(fields) >= 6) & commit_date.isNotNull() & epoch.isNotNull()
+    epoch = F.when(F.size(date_parts) == 2, to_int(F.get(date_parts, 1)))
+    valid = (F.col("_end") > 0) & (F.size(fields) >= 6) & commit_date.isNotNull() & epoch.isNotNull()
     return {
         "commit_hash": hash_part,
         "parent_hashes": parse_parents(F.get(fields, 1)),
@@ -99,7 +130,7 @@ def _parse_record(value: Column, empty_message_fallback: bool) -> dict[str, Colu
         "commit_date": commit_date,
         "commit_timestamp": epoch,
         "commit_message": parse_message(raw_msg, empty_message_fallback),
-        "file_changes": file_stat_parse(F.regexp_replace(tail, r"^\s+|\s+$", "")),
+        "file_changes": file_stat_parse(F.col("_tail")),
         "_valid": F.coalesce(valid, F.lit(False)),
     }
 
@@ -111,11 +142,14 @@ def log_parse(records: DataFrame, value_col: str = "value", empty_message_fallba
     A record without the end-of-message marker, with fewer than 6 fields, or with a bad
     date / epoch is dropped; ``keep_rejects=True`` returns those raw records instead.
     """
-    cols = _parse_record(F.col(value_col), empty_message_fallback)
-    parsed = records.select(*[c.alias(n) for n, c in cols.items()], F.col(value_col).alias("_raw"))
+    staged = _stage(records, value_col)
+    cols = _parse_record(empty_message_fallback)
     if keep_rejects:
-        return parsed.where(~F.col("_valid")).select(F.col("_raw").alias("value"))
-    return parsed.where(F.col("_valid")).select(*COMMIT_COLUMNS, F.col("file_changes").cast(_FILE_CHANGE_DDL))
+        rej = F.struct(F.col("_raw").alias("value"), cols["_valid"].alias("_valid"))
+        return keep_parsed(staged, rej, lambda r: ~r["_valid"]).select("value")
+    parsed = F.struct(*[c.alias(n) for n, c in cols.items()])
+    out = keep_parsed(staged, parsed, lambda r: r["_valid"])
+    return out.select(*COMMIT_COLUMNS, F.col("file_changes").cast(_FILE_CHANGE_DDL))
 
 
 def read_log(spark: SparkSession, paths, **opts) -> DataFrame:
@@ -139,22 +173,25 @@ def numstat_parse(lines: DataFrame, value_col: str = "value", cli_variant: bool
     """
     v = F.col(value_col)
     df = lines.where(~v.rlike("^[0-9a-fA-F]{40}$")) if cli_variant else lines
-    parts = F.split(v, "\t") if cli_variant else F.split(v, "\t", 3)
+    carry = [c for c in df.columns if c != value_col]
+    df = df.select(*carry, (F.split(v, "\t") if cli_variant else F.split(v, "\t", 3)).alias("_parts"))
+    parts = F.col("_parts")
     if cli_variant:
         path = F.when(F.size(parts) == 4, F.get(parts, 3)).when(F.size(parts) == 3, F.get(parts, 2))
         keep_width = F.size(parts).isin(3, 4)
     else:
         path = F.get(parts, 2)
         keep_width = F.size(parts) >= 3
-    out = df.select(
-        "*",
+    parsed = F.struct(
         strip_ws(path).alias("file_path"),
         _count(F.get(parts, 0)).alias("additions"),
         _count(F.get(parts, 1)).alias("deletions"),
         F.lit("").alias("change_type"),
+        keep_width.alias("_ok"),
     )
-    return out.where(keep_width & F.col("additions").isNotNull() & F.col("deletions").isNotNull()
-                     & (F.col("file_path") != "")).drop(value_col)
+    out = keep_parsed(df, parsed, lambda r: r["_ok"] & r["additions"].isNotNull() & r["deletions"].isNotNull()
+                      & (r["file_path"] != ""), carry)
+    return out.drop("_ok")
 
 
 def name_status_parse(lines: DataFrame, value_col: str = "value") -> DataFrame:
@@ -162,20 +199,22 @@ def name_status_parse(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
     Blank type or path -> dropped; for R/C lines with 3+ parts the old path is kept.
     """
-    v = F.col(value_col)
-    parts = F.split(v, "\t")
+    carry = [c for c in lines.columns if c != value_col]
+    lines = lines.select(*carry, F.split(F.col(value_col), "\t").alias("_parts"))
+    parts = F.col("_parts")
     ctype = F.get(parts, 0)
     rest = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), "\t")
     rename = (ctype.startswith("R") | ctype.startswith("C")) & (F.size(parts) >= 3)
-    out = lines.select(
-        "*",
+    parsed = F.struct(
         strip_ws(ctype).alias("change_type"),
         strip_ws(F.when(rename, F.get(parts, 2)).otherwise(rest)).alias("file_path"),
         F.when(rename, strip_ws(F.get(parts, 1))).alias("old_file_path"),
         F.lit(0).cast("bigint").alias("additions"),
         F.lit(0).cast("bigint").alias("deletions"),
+        ((F.size(parts) >= 2) & (strip_ws(rest) != "")).alias("_ok"),
     )
-    return out.where((F.col("change_type") != "") & (F.size(parts) >= 2) & (strip_ws(rest) != "")).drop(value_col)
+    out = keep_parsed(lines, parsed, lambda r: r["_ok"] & (r["change_type"] != ""), carry)
+    return out.drop("_ok")
 
 
 # ---- SRC-6 ----------------------------------------------------------------------------
