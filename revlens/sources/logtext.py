@@ -230,14 +230,17 @@ def patch_line_stats(patches: DataFrame, patch_col: str = "patch", keys=("commit
     """
     sections = F.split(F.col(patch_col), "(\r\n|\n|\r)(?=diff --git)")
     exploded = patches.select(*keys, F.posexplode(sections).alias("_pos", "_sec"))
-    lines = F.split(F.col("_sec"), _LINE_SPLIT)
+    # one split per section, kept as a column (it is read three times below)
+    lined = exploded.select(*keys, "_pos", F.split(F.col("_sec"), _LINE_SPLIT).alias("_lines"))
+    lines = F.col("_lines")
     heads = F.filter(lines, lambda ln: ln.startswith("+++ b/"))
-    per_section = exploded.select(
-        *keys, "_pos",
-        strip_ws(F.substr(F.element_at(heads, -1), F.lit(7))).alias("file_path"),
+    stats = F.struct(
+        strip_ws(F.substr(F.try_element_at(heads, F.lit(-1)), F.lit(7))).alias("file_path"),
         F.size(F.filter(lines, lambda ln: ln.startswith("+") & ~ln.startswith("+++"))).cast("bigint").alias("additions"),
         F.size(F.filter(lines, lambda ln: ln.startswith("-") & ~ln.startswith("---"))).cast("bigint").alias("deletions"),
-    ).where(F.size(heads) > 0)
+        (F.size(heads) > 0).alias("_has_path"),
+    )
+    per_section = keep_parsed(lined, stats, lambda r: r["_has_path"], [*keys, "_pos"])
     return per_section.groupBy(*keys, "file_path").agg(
         F.max_by("additions", "_pos").alias("additions"),
         F.max_by("deletions", "_pos").alias("deletions"),
