@@ -110,9 +110,13 @@ def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("com
         h_old.withColumnRenamed("_p", path_col), [*k, path_col]).select(*k, path_col, "_h")
     a = changes.where(F.col("change_type") == "A").join(
         h_new.withColumnRenamed("_p", path_col), [*k, path_col]).select(*k, path_col, "_h")
-    # k-th delete pairs with k-th add of the same content; positions without a per-group sort
-    d = positions_in_group(d, [*k, "_h"], [path_col], "_i")
-    a = positions_in_group(a, [*k, "_h"], [path_col], "_i")
+    # k-th delete pairs with k-th add of the same content; positions without a per-group sort,
+    # both sides in one pass (side tag in the group key)
+    both = positions_in_group(
+        d.withColumn("_side", F.lit("d")).unionByName(a.withColumn("_side", F.lit("a"))),
+        ["_side", *k, "_h"], [path_col], "_i")
+    d = both.where(F.col("_side") == "d").drop("_side")
+    a = both.where(F.col("_side") == "a").drop("_side")
     pairs = a.alias("a").join(d.alias("d"), [*k, "_h", "_i"]).select(
         *k, F.col(f"a.{path_col}").alias(path_col), F.col(f"d.{path_col}").alias("old_file_path"))
     renamed_new = pairs.select(*k, path_col, F.lit("R").alias("change_type"),
@@ -149,8 +153,11 @@ def change_set_diff(a: DataFrame, b: DataFrame, tolerance_s: int = 2) -> DataFra
     key = ["author_name", "author_email", "message", "parents"]
     na = normalize_commit_set(a)
     nb = normalize_commit_set(b)
-    la = positions_in_group(na, key, ["ts"], "_i")
-    lb = positions_in_group(nb, key, ["ts"], "_i")
+    both = positions_in_group(
+        na.withColumn("_side", F.lit("a")).unionByName(nb.withColumn("_side", F.lit("b"))),
+        ["_side", *key], ["ts"], "_i")
+    la = both.where(F.col("_side") == "a").drop("_side")
+    lb = both.where(F.col("_side") == "b").drop("_side")
     j = la.alias("l").join(lb.alias("r"), [*key, "_i"], "full")
     ok = F.abs(F.col("l.ts") - F.col("r.ts")) <= tolerance_s
     only_a = j.where(F.col("r.ts").isNull() | (F.col("l.ts").isNotNull() & ~ok)).select(
