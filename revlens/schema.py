@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 # Provenance keys and the schema major version written into Parquet.
 DATA_VERSION = "1.0"
-DESCRIPTION = "Git commit data extracted by git-df CLI"
+DESCRIPTION = "Git commit data extracted by revlens"
 META_KEYS = ("data_version", "description", "since", "until")
 
 FILE_CHANGE = T.StructType(

@@ -12,7 +12,7 @@ def test_round_trip_keeps_provenance(spark, scratch):
     path = scratch("pq")
     PQ.write_changes(change_rows(spark, [{"additions": 3}]), path, since="2024-01-01", until="2024-03-31")
     df, meta = PQ.read_changes(spark, path)
-    assert meta == {"data_version": "1.0", "description": "Git commit data extracted by git-df CLI",
+    assert meta == {"data_version": "1.0", "description": "Git commit data extracted by revlens",
                     "since": "2024-01-01", "until": "2024-03-31"}
     (r,) = df.collect()
     assert r.additions == 3 and r.old_file_path == ""
