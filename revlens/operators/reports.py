@@ -62,8 +62,9 @@ def author_report(stats: DataFrame, query: str | None) -> DataFrame:
 
 
 def author_pivot(stats: DataFrame, query: str | None = None) -> DataFrame:
-    """PRJ-20: each matching author as (author, ordinal, metric, value) rows, 10 per author."""
-    rep = author_report(stats, query) if query is not None else author_report(stats, "")
+    """PRJ-20: each matching author as (author, ordinal, metric, value) rows, 10 per author;
+    ``query=None`` pivots every author (the force-pivot view)."""
+    rep = author_report(stats, query)
     values = [
         ("Author", F.col("author")),
         ("Rank", F.col("rank_label")),

@@ -46,3 +46,10 @@ def test_scalar_helpers(spark):
                   X.fmt_fixed("x", 1).alias("f"), X.hash_text(F.lit("ab")).alias("h")).first()
     assert (r.n, r.e, r.s, r.k) == ("Jane Doe", "jane@x", "a b", "A")
     assert r.rl == "1,234,567-1,234,568" and r.f == "0.2" and r.h == "6162"
+
+
+def test_pivot_every_author_without_query(spark):
+    rows = R.author_pivot(_stats(spark)).collect()
+    assert len(rows) == 30
+    ranks = sorted(r.value for r in rows if r.metric == "Rank")
+    assert ranks == ["#1 of 3", "#2 of 3", "#3 of 3"]
