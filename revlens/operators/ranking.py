@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SUB_BUCKETS = 8
+SUB_BUCKETS = 64
 
 
 def log_bucket(v: Column, sub: int = SUB_BUCKETS) -> Column:
