@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions.scalar import _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
 from revlens.operators.ranking import positions_in_group
 from revlens.operators.reshape import last_wins
+from revlens.session import materialize
 
 _LINE_SPLIT = _SPLITLINES
 _ENDS_WITH_TERMINATOR = _TERMINATOR_AT_END
@@ -48,11 +49,6 @@ def touched_paths(numstat: DataFrame, name_status: DataFrame, keys=("commit_hash
     return numstat.select(*k).union(name_status.select(*k)).distinct()
 
 
-def _line_counts(df: DataFrame, keys, text_col: str, sign: int) -> DataFrame:
-    lines = df.select(*keys, F.explode(text_lines(F.col(text_col))).alias("line"))
-    return lines.groupBy(*keys, "line").agg((F.count(F.lit(1)) * sign).alias("n"))
-
-
 def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
                   content_col: str = "content", hash_col: str | None = None) -> DataFrame:
     """JN-5: two path -> content tables -> (path, change_type A/D/M, additions, deletions).
@@ -81,17 +77,17 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_co
         .alias("deletions"),
     )
     mods = typed.where(F.col("change_type") == "M")
-    per_line = _line_counts(mods, k, "_nt", 1).union(_line_counts(mods, k, "_ot", -1))
-    net = per_line.groupBy(*k, "line").agg(F.sum("n").alias("d"))
-    mod_counts = net.groupBy(*k).agg(
+    # new lines count +1, old lines -1, in one explode; a modified path always has a line
+    signed = F.concat(
+        F.transform(text_lines(F.col("_nt")), lambda x: F.struct(x.alias("line"), F.lit(1).alias("s"))),
+        F.transform(text_lines(F.col("_ot")), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("s"))),
+    )
+    per_line = mods.select(*k, F.inline(signed))
+    net = per_line.groupBy(*k, "line").agg(F.sum("s").alias("d"))
+    modified = net.groupBy(*k).agg(
         F.sum(F.greatest(F.col("d"), F.lit(0))).cast("bigint").alias("additions"),
         F.sum(F.greatest(-F.col("d"), F.lit(0))).cast("bigint").alias("deletions"),
-    )
-    modified = mods.select(*k).join(mod_counts, k, "left").select(
-        *k, F.lit("M").alias("change_type"),
-        F.coalesce("additions", F.lit(0)).cast("bigint").alias("additions"),
-        F.coalesce("deletions", F.lit(0)).cast("bigint").alias("deletions"),
-    )
+    ).select(*k, F.lit("M").alias("change_type"), "additions", "deletions")
     return adds_dels.unionByName(modified)
 
 
@@ -104,21 +100,24 @@ def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("com
     ``changes`` is ``snapshot_diff`` output; ``old``/``new`` are the snapshots.
     """
     k = list(keys)
-    h_old = old.select(*k, F.col(path_col).alias("_p"), F.sha2(F.col(content_col), 256).alias("_h"))
-    h_new = new.select(*k, F.col(path_col).alias("_p"), F.sha2(F.col(content_col), 256).alias("_h"))
+    # Each of these is read by several branches below: computed once (diff rows and path->hash
+    # tables are small next to the snapshots' contents).
+    changes = materialize(changes.select(*k, path_col, "change_type", "additions", "deletions"))
+    h_old = materialize(old.select(*k, F.col(path_col).alias("_p"), F.sha2(F.col(content_col), 256).alias("_h")))
+    h_new = materialize(new.select(*k, F.col(path_col).alias("_p"), F.sha2(F.col(content_col), 256).alias("_h")))
     d = changes.where(F.col("change_type") == "D").join(
         h_old.withColumnRenamed("_p", path_col), [*k, path_col]).select(*k, path_col, "_h")
     a = changes.where(F.col("change_type") == "A").join(
         h_new.withColumnRenamed("_p", path_col), [*k, path_col]).select(*k, path_col, "_h")
     # k-th delete pairs with k-th add of the same content; positions without a per-group sort,
     # both sides in one pass (side tag in the group key)
-    both = positions_in_group(
+    both = materialize(positions_in_group(
         d.withColumn("_side", F.lit("d")).unionByName(a.withColumn("_side", F.lit("a"))),
-        ["_side", *k, "_h"], [path_col], "_i")
+        ["_side", *k, "_h"], [path_col], "_i"))
     d = both.where(F.col("_side") == "d").drop("_side")
     a = both.where(F.col("_side") == "a").drop("_side")
-    pairs = a.alias("a").join(d.alias("d"), [*k, "_h", "_i"]).select(
-        *k, F.col(f"a.{path_col}").alias(path_col), F.col(f"d.{path_col}").alias("old_file_path"))
+    pairs = materialize(a.alias("a").join(d.alias("d"), [*k, "_h", "_i"]).select(
+        *k, F.col(f"a.{path_col}").alias(path_col), F.col(f"d.{path_col}").alias("old_file_path")))
     renamed_new = pairs.select(*k, path_col, F.lit("R").alias("change_type"),
                                F.lit(0).cast("bigint").alias("additions"), F.lit(0).cast("bigint").alias("deletions"),
                                "old_file_path")
@@ -160,8 +159,11 @@ def change_set_diff(a: DataFrame, b: DataFrame, tolerance_s: int = 2) -> DataFra
     lb = both.where(F.col("_side") == "b").drop("_side")
     j = la.alias("l").join(lb.alias("r"), [*key, "_i"], "full")
     ok = F.abs(F.col("l.ts") - F.col("r.ts")) <= tolerance_s
-    only_a = j.where(F.col("r.ts").isNull() | (F.col("l.ts").isNotNull() & ~ok)).select(
-        F.lit("only_a").alias("side"), *key, F.col("l.ts").alias("ts")).where(F.col("ts").isNotNull())
-    only_b = j.where(F.col("l.ts").isNull() | (F.col("r.ts").isNotNull() & ~ok)).select(
-        F.lit("only_b").alias("side"), *key, F.col("r.ts").alias("ts")).where(F.col("ts").isNotNull())
-    return only_a.unionByName(only_b)
+    # both sides' leftovers from one pass over the join
+    sides = F.array(
+        F.struct(F.lit("only_a").alias("side"), *[F.col(c) for c in key], F.col("l.ts").alias("ts"),
+                 (F.col("l.ts").isNotNull() & (F.col("r.ts").isNull() | ~ok)).alias("_keep")),
+        F.struct(F.lit("only_b").alias("side"), *[F.col(c) for c in key], F.col("r.ts").alias("ts"),
+                 (F.col("r.ts").isNotNull() & (F.col("l.ts").isNull() | ~ok)).alias("_keep")),
+    )
+    return j.select(F.inline(F.filter(sides, lambda r: r["_keep"]))).drop("_keep")

@@ -35,10 +35,8 @@ def scoreboard_report(stats: DataFrame, label_width: int | None = 45) -> DataFra
 
 
 def _with_match_count(matches: DataFrame) -> DataFrame:
-    # AGG-2 attached to each row: a global count, computed as an aggregate and joined on a
-    # constant key (one-row side, broadcast).
-    n = matches.agg(F.count(F.lit(1)).alias("n_matches")).withColumn("_k", F.lit(1))
-    return matches.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").drop("_k")
+    # AGG-2 attached to each row as a scalar subquery (one aggregate job, no join).
+    return matches.withColumn("n_matches", matches.select(F.count(F.lit(1))).scalar())
 
 
 def author_report(stats: DataFrame, query: str | None) -> DataFrame:
