@@ -46,7 +46,7 @@ def log_scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     reader = spark.read.option("lineSep", COMMIT_MARK)
     df = reader.text(paths if isinstance(paths, list) else [paths])
-    return df.where(strip_ws("value") != "")
+    return df.where(F.col("value").rlike(r"\S"))  # stops at the first non-blank character
 
 
 # ---- SRC-3 / FLT-20 -------------------------------------------------------------------
