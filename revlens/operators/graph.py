@@ -71,6 +71,16 @@ def branch_tips(commits: DataFrame) -> DataFrame:
     return commits.select("commit_hash").join(parents, "commit_hash", "left_anti")
 
 
-def all_refs_commits(commits: DataFrame) -> DataFrame:
-    """SET-2: distinct commits reachable from any ref (``rev-list --all``): seeded with every tip."""
-    return reachable_from(commits, branch_tips(commits))
+def all_refs_commits(commits: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """SET-2: distinct commits reachable from any ref (``rev-list --all``).
+
+    Without explicit ``refs`` every branch tip (childless commit) is a ref. In a finite acyclic
+    commit graph every commit lies below some childless commit (follow children until there are
+    none), so the answer is every commit plus every referenced parent (a parent missing from a
+    shallow history included): one distinct union, no rounds. Explicit refs use the frontier
+    expansion of ``reachable_from``.
+    """
+    if refs is not None:
+        return reachable_from(commits, refs)
+    parents = parent_edges(commits).select(F.col("parent_hash").alias("commit_hash"))
+    return commits.select("commit_hash").unionByName(parents).where(F.col("commit_hash").isNotNull()).distinct()

@@ -80,3 +80,9 @@ def test_change_set_diff_tolerance(spark):
                              "commit_date": utc(2023, 1, 1)}])
     got = sorted((r.side, r.message, r.ts) for r in D.change_set_diff(a, b).collect())
     assert got == [("only_a", "n", 200), ("only_b", "n", 203)]
+
+
+def test_all_refs_with_explicit_refs(spark):
+    refs = spark.createDataFrame([("c",)], "commit_hash string")
+    got = sorted(r.commit_hash for r in G.all_refs_commits(_dag(spark), refs).collect())
+    assert got == ["a", "b", "c"]
