@@ -10,9 +10,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The characters Python's str.strip()/str.split() treat as whitespace.
+PY_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def strip_ws(x) -> Column:
     """Python ``str.strip()``: trims every whitespace character, not only spaces."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), f"^{PY_WS}+|{PY_WS}+$", "")
 
 
 def split_author(ident) -> tuple[Column, Column]:
@@ -69,7 +73,7 @@ def repair_hash(h) -> Column:
 
 def parse_parents(text) -> Column:
     """PRJ-8: whitespace separated hashes -> array; empty -> []."""
-    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), r"\s+"), lambda z: z != "")
+    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), f"{PY_WS}+"), lambda z: z != "")
 
 
 MSG_START = "---MSG_START---"

@@ -108,7 +108,7 @@ def _stage(records: DataFrame, value_col: str) -> DataFrame:
         v.alias("_raw"),
         end_at.alias("_end"),
         F.split(F.substring_index(v, MSG_END, 1), FIELD_MARK).alias("_fields"),
-        F.regexp_replace(F.substr(v, end_at + F.lit(len(MSG_END))), r"^\s+|\s+$", "").alias("_tail"),
+        strip_ws(F.substr(v, end_at + F.lit(len(MSG_END)))).alias("_tail"),
     )
     return staged.select(
         "*", F.split(F.coalesce(F.get(F.col("_fields"), 4), F.lit("")), "\t").alias("_date_parts"))

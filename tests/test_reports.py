@@ -53,3 +53,14 @@ def test_pivot_every_author_without_query(spark):
     assert len(rows) == 30
     ranks = sorted(r.value for r in rows if r.metric == "Rank")
     assert ranks == ["#1 of 3", "#2 of 3", "#3 of 3"]
+
+
+def test_strip_and_split_match_python_whitespace(spark):
+    from revlens.functions.scalar import parse_parents, strip_ws
+
+    samples = ["  a b  ", "\t\x1c x \x85", "\xa0y　", " z ", "a\x1fb", "", "   "]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    rows = df.select("t", strip_ws("t").alias("s"), parse_parents("t").alias("p")).collect()
+    for r in rows:
+        assert r.s == r.t.strip(), repr(r.t)
+        assert list(r.p) == r.t.split(), repr(r.t)
