@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.session import materialize
+from revlens.session import input_bytes, materialize, shared_path
 
 
 def parent_edges(commits: DataFrame) -> DataFrame:
@@ -25,21 +28,80 @@ def first_parent(commits: DataFrame, parents: DataFrame | None = None) -> DataFr
     return c.join(p, F.col("first_parent") == F.col("_ph"), "left").drop("_ph")
 
 
-def reachable_from(commits: DataFrame, tips: DataFrame, max_rounds: int | None = None) -> DataFrame:
+BUCKETED_MIN_BYTES = 256 << 20
+
+
+def reachable_from(commits: DataFrame, tips: DataFrame, max_rounds: int | None = None,
+                   layout: str = "auto") -> DataFrame:
     """JN-7: commits reachable from ``tips`` (column ``commit_hash``) through parent edges.
 
-    Breadth-first frontier expansion. The edge table is checkpointed once, hash-partitioned on
-    the child key, so each round shuffles only the (small) frontier. Each round's new commits
-    are a reliable checkpoint (shared checkpoint folder): lineage stays one round deep and a
-    lost executor recomputes at most one round. Visited = the union of the round results
-    (disjoint by construction). Rounds = graph depth from the tips; the loop runs to
+    Breadth-first frontier expansion; rounds = graph depth from the tips; the loop runs to
     completion (``max_rounds`` raises instead of truncating).
+
+    ``layout='bucketed'`` (default): the edge table is written once, bucketed on the child hash,
+    and the visited set is a table bucketed on the commit hash and partitioned by round, both in
+    the shared folder. A round reads the previous round's partition as the frontier, joins it
+    with the edges (only the frontier is shuffled; a small frontier is broadcast), anti-joins
+    the bucketed visited table (the candidates already have its partitioning, so nothing else
+    moves) and appends the new commits as the next partition: one write per round, no
+    re-shuffle of edges or visited, and a lost executor recomputes at most one round.
+    ``layout='checkpoint'``: the same loop on reliable checkpoints (no catalog needed); cheaper
+    when the edges are small enough that re-shuffling them per round costs less than a table
+    write per round. ``layout='auto'`` picks 'bucketed' when the commit input (bytes of the plan's
+    leaf relations, from Catalyst statistics) exceeds ``BUCKETED_MIN_BYTES``.
     """
-    edges = materialize(
-        parent_edges(commits)
-        .select(F.col("commit_hash").alias("_child"), F.col("parent_hash").alias("commit_hash"))
-        .repartition("_child")
-    )
+    if layout == "auto":
+        layout = "bucketed" if input_bytes(commits.select("commit_hash", "parent_hashes")) > BUCKETED_MIN_BYTES \
+            else "checkpoint"
+    if layout == "bucketed":
+        try:
+            return _reachable_bucketed(commits, tips, max_rounds)
+        except AnalysisException:  # no usable session catalog: fall back to checkpoints
+            pass
+    return _reachable_checkpointed(commits, tips, max_rounds)
+
+
+def _edge_rows(commits: DataFrame) -> DataFrame:
+    return parent_edges(commits).select(F.col("commit_hash").alias("_child"),
+                                        F.col("parent_hash").alias("commit_hash"))
+
+
+def _reachable_bucketed(commits: DataFrame, tips: DataFrame, max_rounds: int | None) -> DataFrame:
+    spark = commits.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tag = uuid.uuid4().hex[:12]
+    e_name, v_name = f"revlens_edges_{tag}", f"revlens_visited_{tag}"
+    v_path = shared_path(spark, "visited")
+    _edge_rows(commits).write.bucketBy(n, "_child").option("path", shared_path(spark, "edges")).saveAsTable(e_name)
+
+    def append(df: DataFrame, round_no: int) -> None:
+        (df.select("commit_hash", F.lit(round_no).alias("_round")).write.mode("append")
+         .partitionBy("_round").bucketBy(n, "commit_hash").option("path", v_path).saveAsTable(v_name))
+
+    try:
+        append(tips.select("commit_hash").where(F.col("commit_hash").isNotNull()).distinct(), 0)
+        edges = spark.table(e_name)
+        rounds = 0
+        while True:
+            visited = spark.table(v_name)
+            frontier = visited.where(F.col("_round") == rounds).select(F.col("commit_hash").alias("_child"))
+            step = (frontier.join(edges, "_child").select("commit_hash").distinct()
+                    .join(visited.select("commit_hash"), "commit_hash", "left_anti"))
+            rounds += 1
+            append(step, rounds)
+            if spark.table(v_name).where(F.col("_round") == rounds).isEmpty():
+                break
+            if max_rounds is not None and rounds > max_rounds:
+                raise RuntimeError(f"reachability did not converge within {max_rounds} rounds")
+    finally:
+        # table entries only; the data stays in the shared folder
+        spark.sql(f"DROP TABLE IF EXISTS {e_name}")
+        spark.sql(f"DROP TABLE IF EXISTS {v_name}")
+    return spark.read.parquet(v_path).select("commit_hash")
+
+
+def _reachable_checkpointed(commits: DataFrame, tips: DataFrame, max_rounds: int | None) -> DataFrame:
+    edges = materialize(_edge_rows(commits).repartition("_child"))
     seeds = materialize(tips.select("commit_hash").where(F.col("commit_hash").isNotNull()).distinct())
     parts = [seeds]
     frontier = seeds

@@ -86,3 +86,11 @@ def test_all_refs_with_explicit_refs(spark):
     refs = spark.createDataFrame([("c",)], "commit_hash string")
     got = sorted(r.commit_hash for r in G.all_refs_commits(_dag(spark), refs).collect())
     assert got == ["a", "b", "c"]
+
+
+def test_reachable_layouts_agree(spark):
+    dag = _dag(spark)
+    tips = spark.createDataFrame([("e",), ("g",)], "commit_hash string")
+    a = sorted(r.commit_hash for r in G.reachable_from(dag, tips, layout="bucketed").collect())
+    b = sorted(r.commit_hash for r in G.reachable_from(dag, tips, layout="checkpoint").collect())
+    assert a == b == ["a", "b", "c", "d", "e", "g", "zz"]
