@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions.scalar import _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
 from revlens.operators.ranking import positions_in_group
 from revlens.operators.reshape import last_wins
-from revlens.session import materialize
+from revlens.session import materialize, persist_table
 
 _LINE_SPLIT = _SPLITLINES
 _ENDS_WITH_TERMINATOR = _TERMINATOR_AT_END
@@ -64,11 +64,20 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_co
     def prep(df):
         return df if hash_col else df.withColumn("_h", F.sha2(F.col(content_col), 256))
 
-    o = prep(old).select(*k, F.col(hcol).alias("_oh"), F.col(content_col).alias("_ot"))
-    n = prep(new).select(*k, F.col(hcol).alias("_nh"), F.col(content_col).alias("_nt"))
-    both = o.join(n, k, "full").where(~F.col("_oh").eqNullSafe(F.col("_nh")))
-    typed = both.withColumn(
-        "change_type", F.when(F.col("_oh").isNull(), "A").when(F.col("_nh").isNull(), "D").otherwise("M"))
+    # 1. compare (commit, path, hash) only: contents of unchanged files never move
+    ho = prep(old).select(*k, F.col(hcol).alias("_oh"))
+    hn = prep(new).select(*k, F.col(hcol).alias("_nh"))
+    changed = persist_table(
+        ho.join(hn, k, "full").where(~F.col("_oh").eqNullSafe(F.col("_nh"))).select(
+            *k, F.when(F.col("_oh").isNull(), "A").when(F.col("_nh").isNull(), "D").otherwise("M").alias("change_type")),
+        "snapshot-changed")
+    # 2. fetch contents for changed paths only (the changed-key table has real size statistics,
+    #    so Spark broadcasts it when small and the snapshots are filtered map-side)
+    oc = old.select(*k, F.col(content_col).alias("_ot")).join(
+        changed.where(F.col("change_type") != "A").select(*k), k, "left_semi")
+    nc = new.select(*k, F.col(content_col).alias("_nt")).join(
+        changed.where(F.col("change_type") != "D").select(*k), k, "left_semi")
+    typed = changed.join(oc, k, "left").join(nc, k, "left")
     adds_dels = typed.where(F.col("change_type") != "M").select(
         *k, "change_type",
         F.when(F.col("change_type") == "A", count_text_lines(F.col("_nt"))).otherwise(F.lit(0)).cast("bigint")

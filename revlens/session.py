@@ -87,3 +87,14 @@ def input_bytes(df) -> int:
         return total
     except Exception:  # noqa: BLE001 - unknown: treat as large
         return 1 << 62
+
+
+def persist_table(df, name: str = "table"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Unlike a checkpoint, the result carries file-size statistics, so the planner can decide
+    (with its own size check) to broadcast it when it turns out small."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
