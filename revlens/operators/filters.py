@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.period import day_edges, resolve_window
+from revlens.functions.period import DEFAULT_PERIOD, day_edges, parse_period, resolve_window
 from revlens.functions.scalar import message_subject
 
 
@@ -52,6 +52,16 @@ def period_window(df: DataFrame, start=None, end=None, period: str | None = None
     return date_range(df, w.since, w.until, col)
 
 
+def within_period(df: DataFrame, end_col: str, period: str | None = None, col: str = "commit_date") -> DataFrame:
+    """FLT-4 with a per-row end: keep rows whose ``col`` lies in [end - period, end] (whole days,
+    UTC), ``end`` read from ``end_col``. Month/year periods clamp at month end (``add_months``)."""
+    p = parse_period(period or DEFAULT_PERIOD)
+    end_day = F.to_date(F.col(end_col))
+    start_day = F.date_sub(F.add_months(end_day, -p.months), p.days)
+    return df.where((F.col(col) >= start_day.cast("timestamp"))
+                    & (F.col(col) < F.date_add(end_day, 1).cast("timestamp")))
+
+
 def stop_at_since(df: DataFrame, when: str | datetime | None, col: str = "commit_date") -> DataFrame:
     """FLT-22: a newest-first walk stopping at the first older commit = the ``since`` filter
     (pruning comes from Parquet statistics / partition pruning instead of the walk order)."""

@@ -163,3 +163,17 @@ def q_where(spark, sf):
 @register("explode_changes", with_mapping(CHANGE_SELECT))
 def q_explode_changes(spark, sf):
     return change_out(explode_changes(td.commits(spark, sf)))
+
+
+@register("within_period", with_mapping(
+    ", last AS (SELECT author_email, max(commit_date) AS end_date FROM changes GROUP BY author_email)"
+    " SELECT c.commit_hash, c.author_email, c.file_paths, c.additions FROM changes c JOIN last USING (author_email)"
+    " WHERE c.commit_date >= CAST(CAST(last.end_date AS DATE) - INTERVAL 3 MONTH AS TIMESTAMP)"
+    " AND c.commit_date < CAST(CAST(last.end_date AS DATE) + INTERVAL 1 DAY AS TIMESTAMP)"))
+def q_within_period(spark, sf):
+    """FLT-4 with a per-row end: each author's changes in the 3 months up to their latest commit
+    (the end date is a grouped max joined back, not a window)."""
+    ch = _flat(spark, sf)
+    last = ch.groupBy("author_email").agg(F.max("commit_date").alias("end_date"))
+    kept = FL.within_period(ch.join(last, "author_email"), "end_date", "3 months")
+    return kept.select("commit_hash", "author_email", "file_paths", "additions")

@@ -265,3 +265,12 @@ def q_partitioned_window(spark, sf):
     path = shared_path(spark, "pqmonth")
     PQ.write_changes(td.changes(spark, sf), path, partition_by_month=True)
     return change_out(get_changes(spark, path, fmt="parquet", since="1997-11-15", until="1998-02-10"))
+
+
+@register("name_status_dict", with_mapping(
+    "SELECT commit_hash, CASE WHEN change_type = 'M' AND additions > 45 THEN 'R100' ELSE change_type END AS change_type,"
+    " file_path, CAST(NULL AS VARCHAR) AS old_file_path, CAST(0 AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions"
+    " FROM files_pos"))
+def q_name_status_dict(spark, sf):
+    """SRC-5, dict variant: type as written, last part as the path, no old path."""
+    return LT.name_status_parse(_name_status_lines(spark, sf), dict_variant=True).drop("pos")

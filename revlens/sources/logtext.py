@@ -194,11 +194,26 @@ def numstat_parse(lines: DataFrame, value_col: str = "value", cli_variant: bool
     return out.drop("_ok")
 
 
-def name_status_parse(lines: DataFrame, value_col: str = "value") -> DataFrame:
+def name_status_parse(lines: DataFrame, value_col: str = "value", dict_variant: bool = False) -> DataFrame:
     """SRC-5: ``M\\tp``, ``R100\\told\\tnew``, ``C090\\tsrc\\tdst`` -> (change_type, file_path, old_file_path).
 
     Blank type or path -> dropped; for R/C lines with 3+ parts the old path is kept.
+    ``dict_variant``: only 2- or 3-part lines, the type kept as written, the last part as the
+    (stripped) path and no old path.
     """
+    if dict_variant:
+        carry = [c for c in lines.columns if c != value_col]
+        staged = lines.select(*carry, F.col(value_col).alias("_v"), F.split(F.col(value_col), "\t").alias("_parts"))
+        parts = F.col("_parts")
+        parsed = F.struct(
+            F.get(parts, 0).alias("change_type"),
+            strip_ws(F.element_at(parts, -1)).alias("file_path"),
+            F.lit(None).cast("string").alias("old_file_path"),
+            F.lit(0).cast("bigint").alias("additions"),
+            F.lit(0).cast("bigint").alias("deletions"),
+            (F.size(parts).isin(2, 3) & (strip_ws(F.col("_v")) != "")).alias("_ok"),
+        )
+        return keep_parsed(staged, parsed, lambda r: r["_ok"], carry).drop("_ok")
     carry = [c for c in lines.columns if c != value_col]
     lines = lines.select(*carry, F.split(F.col(value_col), "\t").alias("_parts"))
     parts = F.col("_parts")

@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import change_rows, commit_rows, utc
 from revlens.functions.period import Period, day_edges, parse_period, resolve_window
@@ -114,3 +115,14 @@ def test_paths_nested_drop_emptied(spark):
 
 def test_where_passthrough(spark):
     assert hashes(FL.where(_history(spark), "commit_hash <> 'a'")) == ["b", "c"]
+
+
+def test_within_period_per_row_end(spark):
+    df = change_rows(spark, [
+        {"commit_hash": "in", "commit_date": utc(2025, 3, 1)},
+        {"commit_hash": "edge", "commit_date": utc(2025, 2, 28)},
+        {"commit_hash": "old", "commit_date": utc(2025, 2, 27, 23, 59, 59)},
+        {"commit_hash": "late", "commit_date": utc(2025, 6, 1)},
+    ]).withColumn("end", F.lit("2025-05-31"))
+    # 2025-05-31 minus 3 months clamps to 2025-02-28; the end day is inclusive
+    assert hashes(FL.within_period(df, "end", "3 months")) == ["edge", "in"]

@@ -138,3 +138,10 @@ def test_json_round_trip(spark, scratch):
     (r,) = LT.read_json(spark, path).collect()
     assert r.commit_hash == "a" and r.file_changes[0].file_path == "x"
     assert r.commit_date.replace(tzinfo=None) == utc(2023, 2, 3, 4, 5, 6).replace(tzinfo=None)
+
+
+def test_name_status_dict_variant(spark):
+    df = spark.createDataFrame([(v,) for v in ["M\tfile.txt ", "R100\told.txt\tnew.txt", "A\ta\tb\tc", "", "D"]],
+                               "value string")
+    got = [(r.change_type, r.file_path, r.old_file_path) for r in LT.name_status_parse(df, dict_variant=True).collect()]
+    assert got == [("M", "file.txt", None), ("R100", "new.txt", None)]
