@@ -50,13 +50,16 @@ def touched_paths(numstat: DataFrame, name_status: DataFrame, keys=("commit_hash
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
-                  content_col: str = "content", hash_col: str | None = None) -> DataFrame:
+                  content_col: str = "content", hash_col: str | None = None,
+                  patch_stats: DataFrame | None = None) -> DataFrame:
     """JN-5: two path -> content tables -> (path, change_type A/D/M, additions, deletions).
 
     Only new = add (lines of the new text), only old = delete (lines of the old text),
     differing content = modify with multiset line counts (lines of each distinct text
     counted per side; moved lines count 0, a lower bound of a line diff).
-    Content is compared by hash; the line work runs on modified paths only.
+    Content is compared by hash; the line work runs on modified paths only. ``patch_stats``
+    (keys, path, additions, deletions; e.g. ``patch_line_stats`` output) overrides the counts of
+    modified paths it covers.
     """
     k = [*keys, path_col]
     hcol = hash_col or "_h"
@@ -97,9 +100,33 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_co
         F.sum(F.greatest(F.col("d"), F.lit(0))).cast("bigint").alias("additions"),
         F.sum(F.greatest(-F.col("d"), F.lit(0))).cast("bigint").alias("deletions"),
     ).select(*k, F.lit("M").alias("change_type"), "additions", "deletions")
+    if patch_stats is not None:
+        ps = patch_stats.select(*keys, F.col("file_path").alias(path_col) if "file_path" in patch_stats.columns
+                                else F.col(path_col), F.col("additions").alias("_pa"), F.col("deletions").alias("_pd"))
+        modified = modified.join(ps, k, "left").select(
+            *k, "change_type",
+            F.coalesce("_pa", "additions").cast("bigint").alias("additions"),
+            F.coalesce("_pd", "deletions").cast("bigint").alias("deletions"))
     return adds_dels.unionByName(modified)
 
 
+def tree_changes(commits: DataFrame, trees: DataFrame, path_col: str = "path", content_col: str = "content",
+                 hash_col: str | None = None) -> DataFrame:
+    """JN-4 + JN-5 (D7): each commit's changes against its first parent's tree.
+
+    ``trees`` holds (commit_hash, path, content[, hash]) snapshots. The parent's rows are
+    relabelled with the child's hash through the first-parent edge (a join, no per-commit
+    loop); a root commit, or a parent missing from a shallow history, diffs against the empty
+    tree (everything added). Only hashes move in the comparison (``snapshot_diff``)."""
+    cols = [path_col, content_col] + ([hash_col] if hash_col else [])
+    edge = commits.select("commit_hash", F.get(F.col("parent_hashes"), 0).alias("_parent")).where(
+        F.col("_parent").isNotNull())
+    parent_trees = trees.select(F.col("commit_hash").alias("_parent"), *cols)
+    old = edge.join(parent_trees, "_parent").select("commit_hash", *cols)
+    return snapshot_diff(old, trees.select("commit_hash", *cols), path_col=path_col, content_col=content_col,
+                         hash_col=hash_col)
+
+
 def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("commit_hash",),
                   path_col: str = "path", content_col: str = "content") -> DataFrame:
     """JN-6: in one commit pair the k-th delete and the k-th add of identical content (ordered by

@@ -99,7 +99,7 @@ def _snapshots(spark, sf):
 
 
 _TERM = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-_SNAP_SQL = f"""
+_SNAP_INPUTS = f"""
 WITH docs AS (SELECT doc_id, text, lang, source, n_chars FROM documents),
 old AS (SELECT source AS commit_hash, CASE WHEN lang = 'fr' THEN 'old/' ELSE 'keep/' END || CAST(doc_id AS VARCHAR) || '.txt' AS path,
                text AS content FROM docs WHERE lang <> 'de'),
@@ -108,6 +108,8 @@ new AS (SELECT source AS commit_hash, CASE WHEN lang = 'fr' THEN 'new/' ELSE 'ke
                     WHEN lang NOT IN ('fr', 'de') AND n_chars >= 3000 THEN regexp_replace(text, '^[^\\n]*', 'REPLACED')
                     ELSE text END AS content
         FROM docs WHERE NOT (lang = 'en' AND n_chars < 300)),
+"""
+_SNAP_BODY = f"""
 j AS (SELECT coalesce(o.commit_hash, n.commit_hash) AS commit_hash, coalesce(o.path, n.path) AS path,
              o.content AS oc, n.content AS nc
       FROM old o FULL OUTER JOIN new n ON o.commit_hash = n.commit_hash AND o.path = n.path
@@ -138,6 +140,7 @@ changes AS (
   FROM j LEFT JOIN lines l ON l.commit_hash = j.commit_hash AND l.path = j.path
   WHERE oc IS NOT NULL AND nc IS NOT NULL GROUP BY j.commit_hash, j.path)
 """
+_SNAP_SQL = _SNAP_INPUTS + _SNAP_BODY
 
 
 @register("snapshot_diff", _SNAP_SQL + "SELECT commit_hash, path, change_type, additions, deletions FROM changes")
@@ -198,3 +201,41 @@ SELECT 'only_b', author_name, author_email, message,
 def q_change_set_diff(spark, sf):
     heads = td.commit_heads(spark, sf)
     return D.change_set_diff(heads, _shifted(spark, sf))
+
+
+# ---- JN-4 + JN-5: each commit against its first parent's tree --------------------------
+# commit = (conversation, turn), first parent = the previous turn; a commit's tree is three
+# files built from its own row: the message, the role, and a per-turn marker file.
+
+def _turn_commits_and_trees(spark, sf):
+    conv = td.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    h = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    parent = F.when(F.col("turn") > 0, F.concat(F.col("conv_id").cast("string"), F.lit("-"),
+                                                (F.col("turn") - 1).cast("string")))
+    commits = conv.select(h.alias("commit_hash"), F.filter(F.array(parent), lambda x: x.isNotNull()).alias("parent_hashes"))
+    files = F.array(
+        F.struct(F.lit("message.txt").alias("path"), F.col("text").alias("content")),
+        F.struct(F.lit("role.txt").alias("path"), F.col("role").alias("content")),
+        F.struct(F.concat(F.lit("turn-"), F.col("turn").cast("string"), F.lit(".txt")).alias("path"),
+                 F.lit("x").alias("content")),
+    )
+    trees = conv.select(h.alias("commit_hash"), F.inline(files))
+    return commits, trees
+
+
+_TREE_INPUTS = """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS commit_hash,
+                  CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || '-' || CAST(turn - 1 AS VARCHAR) END AS parent,
+                  turn, role, text FROM conversations),
+trees AS (SELECT commit_hash, 'message.txt' AS path, text AS content FROM t
+          UNION ALL SELECT commit_hash, 'role.txt', role FROM t
+          UNION ALL SELECT commit_hash, 'turn-' || CAST(turn AS VARCHAR) || '.txt', 'x' FROM t),
+old AS (SELECT c.commit_hash, p.path, p.content FROM t c JOIN trees p ON p.commit_hash = c.parent),
+new AS (SELECT commit_hash, path, content FROM trees),
+"""
+
+
+@register("tree_changes", _TREE_INPUTS + _SNAP_BODY + "SELECT commit_hash, path, change_type, additions, deletions FROM changes")
+def q_tree_changes(spark, sf):
+    commits, trees = _turn_commits_and_trees(spark, sf)
+    return D.tree_changes(commits, trees)

@@ -94,3 +94,23 @@ def test_reachable_layouts_agree(spark):
     a = sorted(r.commit_hash for r in G.reachable_from(dag, tips, layout="bucketed").collect())
     b = sorted(r.commit_hash for r in G.reachable_from(dag, tips, layout="checkpoint").collect())
     assert a == b == ["a", "b", "c", "d", "e", "g", "zz"]
+
+
+def test_snapshot_diff_patch_override(spark):
+    old = _snap(spark, [("c", "m", "a\nb\n")])
+    new = _snap(spark, [("c", "m", "a\nc\n")])
+    ps = spark.createDataFrame([("c", "m", 7, 9)], "commit_hash string, file_path string, additions long, deletions long")
+    (r,) = D.snapshot_diff(old, new, patch_stats=ps).collect()
+    assert (r.change_type, r.additions, r.deletions) == ("M", 7, 9)
+
+
+def test_tree_changes_against_first_parent(spark):
+    commits = commit_rows(spark, [{"commit_hash": "r", "parent_hashes": []},
+                                  {"commit_hash": "x", "parent_hashes": ["r"]},
+                                  {"commit_hash": "m", "parent_hashes": ["x", "r"]}])
+    trees = _snap(spark, [("r", "a", "1\n"), ("x", "a", "1\n2\n"), ("x", "b", "b\n"), ("m", "b", "b\n"),
+                          ("m", "c", "c\nc\n")])
+    got = sorted((r.commit_hash, r.path, r.change_type, r.additions, r.deletions)
+                 for r in D.tree_changes(commits, trees).collect())
+    assert got == [("m", "a", "D", 0, 2), ("m", "c", "A", 2, 0), ("r", "a", "A", 1, 0),
+                   ("x", "a", "M", 1, 0), ("x", "b", "A", 1, 0)]
