@@ -128,3 +128,33 @@ def positions_in_group(df: DataFrame, group_cols, order_cols, out: str = "pos")
     joined = placed.join(starts, cond)
     return joined.withColumn(out, (F.col("_gpos") - F.col("_start") + F.lit(1)).cast("int")).drop(
         "_mid", "_part", "_off", "_gpos", "_start", *[f"_g_{c}" for c in group_cols])
+
+
+def multi_value_ranks(df: DataFrame, cols: list[str], descending: bool = True) -> DataFrame:
+    """``value_ranks`` for several columns in one pass: rows ``(_kind, _v, _rank, _n)`` where
+    ``_kind`` is the column's index. The columns are stacked as (index, value) pairs so a single
+    count aggregate, a single bounded bucket table and a single in-bucket window serve all of
+    them (the columns must share a type)."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).alias("_v")) for i, c in enumerate(cols)])
+    stacked = df.select(F.inline(pairs)).where(F.col("_v").isNotNull())
+    counts = stacked.groupBy("_kind", "_v").agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_b", log_bucket(F.col("_v")))
+    order_b = F.col("_b").desc() if descending else F.col("_b").asc()
+    order_v = F.col("_v").desc() if descending else F.col("_v").asc()
+    # Bounded: at most len(cols) * 2 * (1024 * SUB_BUCKETS + 1) rows whatever the input size.
+    per_bucket = counts.groupBy("_kind", "_b").agg(F.sum("_cnt").alias("_bcnt"))
+    offsets = per_bucket.select(
+        "_kind", "_b",
+        F.coalesce(F.sum("_bcnt").over(Window.partitionBy("_kind").orderBy(order_b)
+                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_bcnt").over(Window.partitionBy("_kind")).alias("_n"),
+    )
+    inside = counts.select(
+        "_kind", "_v", "_b",
+        F.coalesce(F.sum("_cnt").over(Window.partitionBy("_kind", "_b").orderBy(order_v)
+                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    )
+    return inside.join(F.broadcast(offsets), ["_kind", "_b"]).select(
+        "_kind", "_v",
+        (F.col("_off") + F.col("_before") + F.lit(1)).cast("int").alias("_rank"),
+        F.col("_n").cast("bigint").alias("_n"),
+    )

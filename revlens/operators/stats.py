@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.ranking import decile_of, value_ranks, with_rank
+from revlens.operators.ranking import decile_of, multi_value_ranks, with_rank
 from revlens.schema import STATS, STATS_COLUMNS, empty
 from revlens.session import materialize
 
@@ -35,8 +35,11 @@ def ranked_stats(totals: DataFrame, legacy_email_join: bool = False) -> DataFram
     with k names yields k^3 rows); the default keys by (email, name), one row per author.
     """
     base = totals.withColumn("total", (F.col("added") + F.col("deleted")).cast("bigint"))
-    by_total = value_ranks(base, "total", "rank", "_n")
-    by_commits = value_ranks(base, "commits", "_crank", "_cn")
+    ranks = multi_value_ranks(base, ["total", "commits"])  # one pass ranks both columns
+    by_total = ranks.where(F.col("_kind") == 0).select(
+        F.col("_v").alias("total"), F.col("_rank").alias("rank"), F.col("_n"))
+    by_commits = ranks.where(F.col("_kind") == 1).select(
+        F.col("_v").alias("commits"), F.col("_rank").alias("_crank"), F.col("_n").alias("_cn"))
     scored = (
         base.join(by_total, "total", "left")
         .join(by_commits, "commits", "left")
