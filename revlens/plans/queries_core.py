@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revlens.operators import reshape as RS
 from revlens.operators import stats as S
-from revlens.plans.catalog import SCOREBOARD_FROM_SRC, register, td, with_mapping
+from revlens.operators.ranking import with_decile, with_rank
+from revlens.plans.catalog import SCOREBOARD_FROM_SRC, ntz, parents_text, register, td, with_mapping
 
 _SB_SRC = ", src AS (SELECT author_email, author_name, commit_hash, additions, deletions FROM changes)"
 
@@ -19,10 +21,6 @@ def q_author_scoreboard(spark, sf):
 
 # ---- AGG-2..11 ------------------------------------------------------------------------
 
-from revlens.operators import reshape as RS  # noqa: E402
-from revlens.operators.ranking import with_decile, with_rank  # noqa: E402
-from revlens.plans.catalog import ntz, parents_text  # noqa: E402
-
 _SB = ", src AS (SELECT author_email, author_name, commit_hash, additions, deletions FROM changes)" + SCOREBOARD_FROM_SRC
 
 
