@@ -126,3 +126,10 @@ def test_within_period_per_row_end(spark):
     ]).withColumn("end", F.lit("2025-05-31"))
     # 2025-05-31 minus 3 months clamps to 2025-02-28; the end day is inclusive
     assert hashes(FL.within_period(df, "end", "3 months")) == ["edge", "in"]
+
+
+def test_until_now_bounds_open_end(spark):
+    df = change_rows(spark, [{"commit_hash": "past", "commit_date": utc(2020, 1, 1)},
+                             {"commit_hash": "future", "commit_date": utc(2999, 1, 1)}])
+    assert hashes(FL.until(df, None, until_now=True)) == ["past"]
+    assert hashes(FL.until(df, None)) == ["future", "past"]

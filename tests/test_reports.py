@@ -64,3 +64,11 @@ def test_strip_and_split_match_python_whitespace(spark):
     for r in rows:
         assert r.s == r.t.strip(), repr(r.t)
         assert list(r.p) == r.t.split(), repr(r.t)
+
+
+def test_repair_hash_undoes_doubled_hex(spark):
+    h = "0123456789abcdef0123456789abcdef01234567"
+    df = spark.createDataFrame([(h,)], "h string")
+    r = df.select(X.hash_text("h").alias("d"), X.repair_hash(X.hash_text("h")).alias("back"),
+                  X.repair_hash("h").alias("same")).first()
+    assert len(r.d) == 80 and r.back == h and r.same == h

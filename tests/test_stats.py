@@ -123,3 +123,13 @@ def test_positions_in_group_match_row_number(spark):
     want = {(r.g, r.path): r.rn for r in
             df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("path"))).collect()}
     assert got == want
+
+
+def test_dataset_profile_exact_and_approximate(spark):
+    from revlens.operators.stats import dataset_profile
+
+    rows = [{"commit_hash": f"h{i % 7}", "author_email": f"e{i % 3}", "additions": 1} for i in range(30)]
+    exact = dataset_profile(change_rows(spark, rows)).first()
+    approx = dataset_profile(change_rows(spark, rows), approximate=True).first()
+    assert (exact.authors, exact.commits, exact.additions, exact.rows) == (3, 7, 30, 30)
+    assert (approx.authors, approx.commits) == (3, 7)
