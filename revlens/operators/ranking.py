@@ -98,36 +98,47 @@ def with_decile(df: DataFrame, value_col: str, decile_col: str) -> DataFrame:
 
 def positions_in_group(df: DataFrame, group_cols, order_cols, out: str = "pos") -> DataFrame:
     """1-based position of each row inside its group by ``order_cols`` (``row_number`` semantics)
-    without sorting a group in one task.
-
-    A global ``orderBy(group, order)`` is range-partitioned, so a group holding a third of all
-    rows is spread over many sort partitions. ``monotonically_increasing_id`` then encodes
-    (partition index, index in partition); the rows are checkpointed once so both readers see the
-    same ids. Global position = rows in earlier partitions (a table with one row per sort
-    partition, broadcast) + index in partition; position in group = global position - the
-    group's first global position + 1 (a grouped ``min``, combined map-side).
+    without sorting, joining or windowing a group in one task.
+
+    1. A global ``orderBy(group, order)`` is range-partitioned, so a group holding most of the
+       rows is spread over many sort partitions; ``monotonically_increasing_id`` encodes
+       (sort partition, index in partition) and the rows are checkpointed so ids are stable.
+    2. A table with one row per sort partition (row count, last group) gives each partition its
+       global offset and the group that ended the previous partition (bounded, broadcast).
+    3. A window per sort partition (bounded by the range partitioning, never by a group) marks
+       rows where the group changes and carries the latest group start forward.
+    4. Rows whose group started in an earlier partition take that start from a second
+       one-row-per-partition table (running max of starts), broadcast.
+    Position = global position - group start + 1. No join or window is keyed by the group.
     """
     from revlens.session import materialize
 
     group_cols, order_cols = list(group_cols), list(order_cols)
-    ordered = df.orderBy(*group_cols, *order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    ordered = materialize(ordered)
-    part = F.shiftrightunsigned(F.col("_mid"), 33)
-    idx = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    per_part = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
-    # Bounded: one row per partition of the sort.
-    offsets = per_part.select(
+    g = F.struct(*[F.col(c) for c in group_cols])
+    ordered = materialize(df.orderBy(*group_cols, *order_cols).withColumn("_mid", F.monotonically_increasing_id()))
+    placed = ordered.withColumn("_part", F.shiftrightunsigned(F.col("_mid"), 33)) \
+        .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    # Bounded: one row per sort partition.
+    per_part = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), F.max_by(g, "_idx").alias("_last_g"))
+    by_part = Window.orderBy("_part")
+    parts = per_part.select(
         "_part",
-        F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
+        F.coalesce(F.sum("_c").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.lag("_last_g").over(by_part).alias("_prev_g"),
     )
-    placed = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part") \
-        .withColumn("_gpos", F.col("_off") + idx + F.lit(1))
-    starts = placed.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group_cols]).agg(F.min("_gpos").alias("_start"))
-    cond = [placed[c].eqNullSafe(starts[f"_g_{c}"]) for c in group_cols]
-    joined = placed.join(starts, cond)
-    return joined.withColumn(out, (F.col("_gpos") - F.col("_start") + F.lit(1)).cast("int")).drop(
-        "_mid", "_part", "_off", "_gpos", "_start", *[f"_g_{c}" for c in group_cols])
+    in_part = Window.partitionBy("_part").orderBy("_idx")
+    marked = placed.join(F.broadcast(parts), "_part").withColumn("_gpos", F.col("_off") + F.col("_idx") + F.lit(1))
+    prev = F.coalesce(F.lag(g).over(in_part), F.col("_prev_g"))
+    marked = marked.withColumn("_is_start", ~prev.eqNullSafe(g))
+    marked = materialize(marked.withColumn(
+        "_start_in", F.max(F.when(F.col("_is_start"), F.col("_gpos"))).over(in_part.rowsBetween(Window.unboundedPreceding, 0))))
+    # Bounded: one row per sort partition; the latest start before each partition.
+    carry = marked.groupBy("_part").agg(F.max(F.when(F.col("_is_start"), F.col("_gpos"))).alias("_pmax")).select(
+        "_part", F.max("_pmax").over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    joined = marked.join(F.broadcast(carry), "_part")
+    start = F.coalesce(F.col("_start_in"), F.col("_carry"))
+    return joined.withColumn(out, (F.col("_gpos") - start + F.lit(1)).cast("int")).drop(
+        "_mid", "_part", "_idx", "_c", "_off", "_prev_g", "_gpos", "_is_start", "_start_in", "_carry")
 
 
 def multi_value_ranks(df: DataFrame, cols: list[str], descending: bool = True) -> DataFrame:

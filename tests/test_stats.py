@@ -133,3 +133,23 @@ def test_dataset_profile_exact_and_approximate(spark):
     approx = dataset_profile(change_rows(spark, rows), approximate=True).first()
     assert (exact.authors, exact.commits, exact.additions, exact.rows) == (3, 7, 30, 30)
     assert (approx.authors, approx.commits) == (3, 7)
+
+
+def test_positions_across_many_sort_partitions(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from revlens.operators.ranking import positions_in_group
+
+    rows = [("hot", i) for i in range(3000)] + [(f"g{i % 37}", i) for i in range(600)] + [(None, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, k int").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.k): r.pos for r in positions_in_group(df, ["g"], ["k"]).collect()}
+        parts = df.orderBy("g", "k").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {(r.g, r.k): r.rn for r in
+            df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k"))).collect()}
+    assert parts > 1
+    assert got == want
