@@ -76,3 +76,14 @@ def test_streaming_scoreboard_counts_resent_commits_once(spark, scratch):
     q.awaitTermination()
     got = {r.author_name: (r.added, r.deleted, r.commits) for r in spark.read.parquet(out).collect()}
     assert got == {"n0": (9, 3, 3), "n1": (12, 3, 3), "n2": (15, 3, 3)}
+
+
+def test_get_changes_from_json_dump(spark, scratch):
+    commits = commit_rows(spark, [
+        {"commit_hash": "j1", "commit_date": utc(2024, 3, 1), "file_changes": [("src/x", 3, 1, "M", None)]},
+        {"commit_hash": "j2", "commit_date": utc(2024, 4, 1), "file_changes": [("doc/y", 1, 0, "A", None)]},
+    ])
+    path = scratch("facade-json")
+    LT.write_json(commits, path)
+    got = [(r.commit_hash, r.file_paths) for r in get_changes(spark, path, fmt="json", include_paths=["src/"]).collect()]
+    assert got == [("j1", "src/x")]

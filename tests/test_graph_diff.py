@@ -114,3 +114,13 @@ def test_tree_changes_against_first_parent(spark):
                  for r in D.tree_changes(commits, trees).collect())
     assert got == [("m", "a", "D", 0, 2), ("m", "c", "A", 2, 0), ("r", "a", "A", 1, 0),
                    ("x", "a", "M", 1, 0), ("x", "b", "A", 1, 0)]
+
+
+def test_max_rounds_raises_instead_of_truncating(spark):
+    import pytest as _pytest
+
+    dag = _dag(spark)
+    tips = spark.createDataFrame([("e",)], "commit_hash string")
+    for layout in ("checkpoint", "bucketed"):
+        with _pytest.raises(RuntimeError):
+            G.reachable_from(dag, tips, max_rounds=1, layout=layout)
