@@ -58,6 +58,7 @@ def value_ranks(df: DataFrame, value_col: str, rank_col: str = "rank",
     inside = counts.select(
         value_col,
         "_b",
+        "_cnt",
         F.coalesce(
             F.sum("_cnt").over(
                 Window.partitionBy("_b").orderBy(order_v).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,6 +70,7 @@ def value_ranks(df: DataFrame, value_col: str, rank_col: str = "rank",
         value_col,
         (F.col("_off") + F.col("_before") + F.lit(1)).cast("int").alias(rank_col),
         F.col("_n").cast("bigint").alias(count_col),
+        "_cnt",
     )
 
 
@@ -77,10 +79,31 @@ def with_rank(df: DataFrame, value_col: str, rank_col: str = "rank",
     """Attach the global min-rank of ``value_col`` (and optionally the row count) to every row."""
     tmp_n = count_col or f"_n_{rank_col}"
     ranks = value_ranks(df, value_col, rank_col, tmp_n, descending)
-    out = df.join(ranks, value_col, "left")
+    out = attach_by_value(df, ranks, value_col)
     return out if count_col else out.drop(tmp_n)
 
 
+# Values shared by more rows than this are joined by broadcast (at most rows / HOT_VALUE_ROWS).
+HOT_VALUE_ROWS = 100_000
+
+
+def attach_by_value(base: DataFrame, per_value: DataFrame, value_col: str, cnt_col: str = "_cnt",
+                    hot_threshold: int = HOT_VALUE_ROWS) -> DataFrame:
+    """Left-join one-row-per-value results onto ``base`` without a hot join key.
+
+    ``per_value`` carries each value's row count. Values with more than ``hot_threshold`` rows
+    (at most rows / hot_threshold of them: a proven bound) are joined by broadcast, map-side;
+    only the remaining rows go through the shuffle join, where no key is hot any more.
+    """
+    payload = [c for c in per_value.columns if c not in (value_col, cnt_col)]
+    hot = per_value.where(F.col(cnt_col) > hot_threshold).drop(cnt_col).withColumn("_hot", F.lit(True))
+    cold = per_value.where(F.col(cnt_col) <= hot_threshold).drop(cnt_col)
+    first = base.join(F.broadcast(hot), value_col, "left")
+    hot_rows = first.where(F.col("_hot")).drop("_hot")
+    cold_rows = first.where(F.col("_hot").isNull()).drop("_hot", *payload).join(cold, value_col, "left")
+    return hot_rows.unionByName(cold_rows)
+
+
 def decile_of(rank: Column, n: Column) -> Column:
     """Leading tie group -> 1; later groups -> min(10, ceil(rank * 10 / n)), integral arithmetic."""
     r = rank.cast("bigint")
@@ -142,7 +165,7 @@ def positions_in_group(df: DataFrame, group_cols, order_cols, out: str = "pos")
 
 
 def multi_value_ranks(df: DataFrame, cols: list[str], descending: bool = True) -> DataFrame:
-    """``value_ranks`` for several columns in one pass: rows ``(_kind, _v, _rank, _n)`` where
+    """``value_ranks`` for several columns in one pass: rows ``(_kind, _v, _rank, _n, _cnt)`` where
     ``_kind`` is the column's index. The columns are stacked as (index, value) pairs so a single
     count aggregate, a single bounded bucket table and a single in-bucket window serve all of
     them (the columns must share a type)."""
@@ -160,7 +183,7 @@ def multi_value_ranks(df: DataFrame, cols: list[str], descending: bool = True) -
         F.sum("_bcnt").over(Window.partitionBy("_kind")).alias("_n"),
     )
     inside = counts.select(
-        "_kind", "_v", "_b",
+        "_kind", "_v", "_b", "_cnt",
         F.coalesce(F.sum("_cnt").over(Window.partitionBy("_kind", "_b").orderBy(order_v)
                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
     )
@@ -168,4 +191,5 @@ def multi_value_ranks(df: DataFrame, cols: list[str], descending: bool = True) -
         "_kind", "_v",
         (F.col("_off") + F.col("_before") + F.lit(1)).cast("int").alias("_rank"),
         F.col("_n").cast("bigint").alias("_n"),
+        "_cnt",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.ranking import decile_of, multi_value_ranks, with_rank
+from revlens.operators.ranking import attach_by_value, decile_of, multi_value_ranks, with_rank
 from revlens.schema import STATS, STATS_COLUMNS, empty
 from revlens.session import materialize
 
@@ -37,12 +37,12 @@ def ranked_stats(totals: DataFrame, legacy_email_join: bool = False) -> DataFram
     base = totals.withColumn("total", (F.col("added") + F.col("deleted")).cast("bigint"))
     ranks = multi_value_ranks(base, ["total", "commits"])  # one pass ranks both columns
     by_total = ranks.where(F.col("_kind") == 0).select(
-        F.col("_v").alias("total"), F.col("_rank").alias("rank"), F.col("_n"))
+        F.col("_v").alias("total"), F.col("_rank").alias("rank"), F.col("_n"), "_cnt")
     by_commits = ranks.where(F.col("_kind") == 1).select(
-        F.col("_v").alias("commits"), F.col("_rank").alias("_crank"), F.col("_n").alias("_cn"))
+        F.col("_v").alias("commits"), F.col("_rank").alias("_crank"), F.col("_n").alias("_cn"), "_cnt")
+    # join-back split: values shared by many authors go by broadcast, the rest by shuffle
     scored = (
-        base.join(by_total, "total", "left")
-        .join(by_commits, "commits", "left")
+        attach_by_value(attach_by_value(base, by_total, "total"), by_commits, "commits")
         .withColumn("diff_decile", decile_of(F.col("rank"), F.col("_n")))
         .withColumn("commit_decile", decile_of(F.col("_crank"), F.col("_cn")))
     )

@@ -153,3 +153,14 @@ def test_positions_across_many_sort_partitions(spark):
             df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k"))).collect()}
     assert parts > 1
     assert got == want
+
+
+def test_attach_by_value_hot_split_equals_plain_join(spark):
+    from revlens.operators.ranking import attach_by_value
+
+    base = spark.createDataFrame([(i, v) for i, v in enumerate([7] * 50 + [3] * 5 + [1, 2, None])], "id int, v int")
+    per_value = spark.createDataFrame([(7, "seven", 50), (3, "three", 5), (1, "one", 1), (2, "two", 1)],
+                                      "v int, label string, _cnt long")
+    got = sorted(tuple(r) for r in attach_by_value(base, per_value, "v", hot_threshold=4).select("id", "v", "label").collect())
+    want = sorted(tuple(r) for r in base.join(per_value.drop("_cnt"), "v", "left").select("id", "v", "label").collect())
+    assert got == want and len(got) == 58
