@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.scalar import _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
-from revlens.operators.ranking import positions_in_group
+from revlens.operators.ranking import attach_by_value, positions_in_group
 from revlens.operators.reshape import last_wins
 from revlens.session import materialize, persist_table
 
@@ -162,7 +162,11 @@ def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("com
     # copies: unpaired adds whose content is unchanged at another path in both snapshots
     unchanged = h_old.join(h_new, [*k, "_p", "_h"]).groupBy(*k, "_h").agg(F.min("_p").alias("_src"))
     unpaired_adds = a.join(pairs.select(*k, path_col), [*k, path_col], "left_anti").select(*k, path_col, "_h")
-    copies = unpaired_adds.join(unchanged, [*k, "_h"]).select(*k, path_col, F.col("_src").alias("old_file_path"))
+    # a content hash shared by very many unpaired adds (e.g. empty files) is a hot join key:
+    # split it off to a broadcast join
+    add_counts = unpaired_adds.groupBy(*k, "_h").agg(F.count(F.lit(1)).alias("_cnt"))
+    copies = attach_by_value(unpaired_adds, unchanged.join(add_counts, [*k, "_h"]), [*k, "_h"], how="inner") \
+        .select(*k, path_col, F.col("_src").alias("old_file_path"))
     rest = rest.join(copies, [*k, path_col], "left").select(
         *k, path_col,
         F.when(F.col("old_file_path").isNotNull(), F.lit("C")).otherwise(F.col("change_type")).alias("change_type"),

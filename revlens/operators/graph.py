@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.operators.ranking import attach_by_value
 from revlens.session import input_bytes, materialize, shared_path
 
 
@@ -18,14 +19,16 @@ def parent_edges(commits: DataFrame) -> DataFrame:
 
 def first_parent(commits: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """JN-4: each commit with its first parent's row (left join; root or a parent missing from a
-    shallow history -> nulls)."""
+    shallow history -> nulls). A branch point with very many children is a hot join key: such
+    parents are joined by broadcast (``attach_by_value``), the rest by shuffle."""
+    c = commits.withColumn("first_parent", F.get(F.col("parent_hashes"), 0))
+    children = c.groupBy("first_parent").agg(F.count(F.lit(1)).alias("_cnt"))
     p = (parents if parents is not None else commits).select(
-        F.col("commit_hash").alias("_ph"),
+        F.col("commit_hash").alias("first_parent"),
         F.col("author_name").alias("parent_author"),
         F.col("commit_timestamp").alias("parent_timestamp"),
-    )
-    c = commits.withColumn("first_parent", F.get(F.col("parent_hashes"), 0))
-    return c.join(p, F.col("first_parent") == F.col("_ph"), "left").drop("_ph")
+    ).join(children, "first_parent")
+    return attach_by_value(c, p, "first_parent")
 
 
 BUCKETED_MIN_BYTES = 256 << 20

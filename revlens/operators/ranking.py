@@ -87,20 +87,22 @@ def with_rank(df: DataFrame, value_col: str, rank_col: str = "rank",
 HOT_VALUE_ROWS = 100_000
 
 
-def attach_by_value(base: DataFrame, per_value: DataFrame, value_col: str, cnt_col: str = "_cnt",
-                    hot_threshold: int = HOT_VALUE_ROWS) -> DataFrame:
+def attach_by_value(base: DataFrame, per_value: DataFrame, value_col, cnt_col: str = "_cnt",
+                    hot_threshold: int = HOT_VALUE_ROWS, how: str = "left") -> DataFrame:
     """Left-join one-row-per-value results onto ``base`` without a hot join key.
 
-    ``per_value`` carries each value's row count. Values with more than ``hot_threshold`` rows
-    (at most rows / hot_threshold of them: a proven bound) are joined by broadcast, map-side;
-    only the remaining rows go through the shuffle join, where no key is hot any more.
+    ``per_value`` carries each key's row count in ``base``. Keys with more than ``hot_threshold``
+    rows (at most rows / hot_threshold of them: a proven bound) are joined by broadcast,
+    map-side; only the remaining rows go through the shuffle join, where no key is hot any more.
+    ``value_col`` may be a column name or a list of them; ``how`` is 'left' or 'inner'.
     """
-    payload = [c for c in per_value.columns if c not in (value_col, cnt_col)]
+    keys = [value_col] if isinstance(value_col, str) else list(value_col)
+    payload = [c for c in per_value.columns if c not in (*keys, cnt_col)]
     hot = per_value.where(F.col(cnt_col) > hot_threshold).drop(cnt_col).withColumn("_hot", F.lit(True))
     cold = per_value.where(F.col(cnt_col) <= hot_threshold).drop(cnt_col)
-    first = base.join(F.broadcast(hot), value_col, "left")
+    first = base.join(F.broadcast(hot), keys, "left")
     hot_rows = first.where(F.col("_hot")).drop("_hot")
-    cold_rows = first.where(F.col("_hot").isNull()).drop("_hot", *payload).join(cold, value_col, "left")
+    cold_rows = first.where(F.col("_hot").isNull()).drop("_hot", *payload).join(cold, keys, how)
     return hot_rows.unionByName(cold_rows)
 
 
