@@ -110,19 +110,33 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_co
     return adds_dels.unionByName(modified)
 
 
+# Children per parent above which a parent's tree is salted across several join tasks.
+SALT_CHILDREN = 10_000
+
+
 def tree_changes(commits: DataFrame, trees: DataFrame, path_col: str = "path", content_col: str = "content",
                  hash_col: str | None = None) -> DataFrame:
     """JN-4 + JN-5 (D7): each commit's changes against its first parent's tree.
 
     ``trees`` holds (commit_hash, path, content[, hash]) snapshots. The parent's rows are
     relabelled with the child's hash through the first-parent edge (a join, no per-commit
-    loop); a root commit, or a parent missing from a shallow history, diffs against the empty
+    loop; hot branch points are salted); a root commit, or a parent missing from a shallow history, diffs against the empty
     tree (everything added). Only hashes move in the comparison (``snapshot_diff``)."""
     cols = [path_col, content_col] + ([hash_col] if hash_col else [])
     edge = commits.select("commit_hash", F.get(F.col("parent_hashes"), 0).alias("_parent")).where(
         F.col("_parent").isNotNull())
-    parent_trees = trees.select(F.col("commit_hash").alias("_parent"), *cols)
-    old = edge.join(parent_trees, "_parent").select("commit_hash", *cols)
+    # A branch point with very many children would build all (child x file) rows in one task:
+    # such parents' tree rows are replicated into ceil(children / SALT_CHILDREN) salt buckets and
+    # each child goes to one bucket (replication only for hot parents, at most output / SALT_CHILDREN).
+    fanout = edge.groupBy("_parent").agg(F.count(F.lit(1)).alias("_kids")).where(F.col("_kids") > SALT_CHILDREN) \
+        .select("_parent", F.ceil(F.col("_kids") / F.lit(SALT_CHILDREN)).cast("int").alias("_salts"))
+    edge = edge.join(F.broadcast(fanout), "_parent", "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
+            F.pmod(F.xxhash64("commit_hash"), F.col("_salts")).cast("int"))).drop("_salts")
+    parent_trees = trees.select(F.col("commit_hash").alias("_parent"), *cols) \
+        .join(F.broadcast(fanout), "_parent", "left") \
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    old = edge.join(parent_trees, ["_parent", "_salt"]).select("commit_hash", *cols)
     return snapshot_diff(old, trees.select("commit_hash", *cols), path_col=path_col, content_col=content_col,
                          hash_col=hash_col)
 

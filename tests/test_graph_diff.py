@@ -124,3 +124,14 @@ def test_max_rounds_raises_instead_of_truncating(spark):
     for layout in ("checkpoint", "bucketed"):
         with _pytest.raises(RuntimeError):
             G.reachable_from(dag, tips, max_rounds=1, layout=layout)
+
+
+def test_tree_changes_with_salted_branch_point(spark, monkeypatch):
+    monkeypatch.setattr(D, "SALT_CHILDREN", 2)
+    kids = [{"commit_hash": f"k{i}", "parent_hashes": ["r"]} for i in range(7)]
+    commits = commit_rows(spark, [{"commit_hash": "r", "parent_hashes": []}] + kids)
+    trees = _snap(spark, [("r", "a", "1\n"), ("r", "b", "2\n")] + [(f"k{i}", "a", f"{i}\n") for i in range(7)])
+    got = sorted((r.commit_hash, r.path, r.change_type) for r in D.tree_changes(commits, trees).collect())
+    want = sorted([("r", "a", "A"), ("r", "b", "A")] + [(f"k{i}", "b", "D") for i in range(7)]
+                  + [(f"k{i}", "a", "M") for i in range(7) if i != 1])
+    assert got == want
