@@ -78,7 +78,10 @@ def with_rank(df: DataFrame, value_col: str, rank_col: str = "rank",
               count_col: str | None = None, descending: bool = True) -> DataFrame:
     """Attach the global min-rank of ``value_col`` (and optionally the row count) to every row."""
     tmp_n = count_col or f"_n_{rank_col}"
-    ranks = value_ranks(df, value_col, rank_col, tmp_n, descending)
+    from revlens.session import materialize
+
+    # one row per distinct value, read by both branches of the split join: computed once
+    ranks = materialize(value_ranks(df, value_col, rank_col, tmp_n, descending))
     out = attach_by_value(df, ranks, value_col)
     return out if count_col else out.drop(tmp_n)
 

@@ -35,7 +35,9 @@ def ranked_stats(totals: DataFrame, legacy_email_join: bool = False) -> DataFram
     with k names yields k^3 rows); the default keys by (email, name), one row per author.
     """
     base = totals.withColumn("total", (F.col("added") + F.col("deleted")).cast("bigint"))
-    ranks = multi_value_ranks(base, ["total", "commits"])  # one pass ranks both columns
+    # one pass ranks both columns; one row per distinct value, read by four join branches below,
+    # so it is checkpointed once
+    ranks = materialize(multi_value_ranks(base, ["total", "commits"]))
     by_total = ranks.where(F.col("_kind") == 0).select(
         F.col("_v").alias("total"), F.col("_rank").alias("rank"), F.col("_n"), "_cnt")
     by_commits = ranks.where(F.col("_kind") == 1).select(
