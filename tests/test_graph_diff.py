@@ -135,3 +135,29 @@ def test_tree_changes_with_salted_branch_point(spark, monkeypatch):
     want = sorted([("r", "a", "A"), ("r", "b", "A")] + [(f"k{i}", "b", "D") for i in range(7)]
                   + [(f"k{i}", "a", "M") for i in range(7) if i != 1])
     assert got == want
+
+
+def test_reachability_layouts_match_brute_force_on_random_dag(spark):
+    import random
+
+    rng = random.Random(11)
+    n = 300
+    parents = {f"n{i}": [f"n{j}" for j in rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2])))] for i in range(n)}
+    parents["n299"].append("missing")  # a parent outside the history
+    commits = commit_rows(spark, [{"commit_hash": h, "parent_hashes": p} for h, p in parents.items()])
+    tips = [f"n{i}" for i in (299, 250, 120)]
+
+    def brute():
+        seen, stack = set(), list(tips)
+        while stack:
+            h = stack.pop()
+            if h in seen:
+                continue
+            seen.add(h)
+            stack.extend(parents.get(h, []))
+        return sorted(seen)
+
+    tip_df = spark.createDataFrame([(t,) for t in tips], "commit_hash string")
+    for layout in ("checkpoint", "bucketed"):
+        got = sorted(r.commit_hash for r in G.reachable_from(commits, tip_df, layout=layout).collect())
+        assert got == brute(), layout
