@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import langid, quality
-from revlens.llm.common import id_crc, read
+from revlens.llm import langid, quality, simhash
+from revlens.llm.common import Scratch, id_crc, read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -28,9 +28,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    hashed = Scratch(spark, "fingerprints").keep(simhash.fingerprints(docs, keep=["doc_id"]))
+    classes = simhash.near_duplicates(hashed)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return hashed.join(classes, "fp").select("doc_id", digits, "component_id")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op3_language_id": op3_language_id,
     "op6_quality": op6_quality,
+    "op9_simhash": op9_simhash,
 }
 #: DuckDB SQL where it can express the query; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
