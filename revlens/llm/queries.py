@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import langid, quality, simhash
-from revlens.llm.common import Scratch, id_crc, read
+from revlens.llm import langid, quality, simhash, suffix
+from revlens.llm.common import Scratch, id_crc, read, utf8
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = Scratch(spark, "kept").keep(suffix.kept_texts(suffix.repeated_spans(docs), digest=True))
+    data = utf8()
+    rows = docs.select("doc_id", *suffix.text_key(), F.octet_length(data).cast("long").alias("n_bytes"),
+                       F.when(F.octet_length(data) < suffix.WINDOW, F.sha2(data, 256)).alias("short"))
+    return rows.join(kept, ["k1", "k2"], "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "short").alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = (id_crc("doc_id", 4) == 2).alias("held_out")
@@ -37,6 +48,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op6_quality": op6_quality,
     "op9_simhash": op9_simhash,
