@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import langid, quality, simhash, suffix
+from revlens.llm import langid, packing, quality, simhash, suffix, tokens
 from revlens.llm.common import Scratch, id_crc, read, utf8
+from revlens.llm.words import DROPPED, KEPT
 
+try:
+    import public_tokenizers
+except ImportError:  # the vocabulary files are a parameter of the operators; only these queries need them
+    public_tokenizers = None
+
+END_ID = 2
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    if public_tokenizers is None:
+        raise RuntimeError("the vocabulary files of public_tokenizers are not installed")
+    return public_tokenizers.path(name)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = Scratch(spark, "kept").keep(suffix.kept_texts(suffix.repeated_spans(docs), digest=True))
@@ -31,6 +44,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = f"{Scratch(spark, 'tokens').path}/ids"
+    tokens.write_tokens(docs, out, vocabulary("word_bpe_49k.json"), DROPPED, END_ID)
+    return tokens.with_crc(tokens.read_tokens(spark, out))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").where(id_crc("doc_id", 5) != 0)
@@ -47,11 +67,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.join(classes, "fp").select("doc_id", digits, "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, vocabulary("byte_bpe_50k.json"), KEPT, END_ID, with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op4_token_files": op4_token_files,
     "op6_quality": op6_quality,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 #: DuckDB SQL where it can express the query; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
