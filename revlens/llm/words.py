@@ -3,8 +3,8 @@
 No token of the two vocabularies used here crosses from a character that is no white space to a
 single space after it, so a text may be cut there and each piece encoded alone. ``Pieces`` keeps the
 ids of the pieces seen lately (a bounded table in each Python worker) and asks the library only for
-new ones. Texts with other white space than single spaces and line feeds between words are handed to
-the library whole. ``tests/llm`` compares the result with the library on whole texts.
+new ones. Texts with white space on which engines differ (and, where white space is kept, with other
+runs than single spaces and line feeds) are handed to the library whole. ``tests/llm`` compares the result with the library on whole texts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 #: How a vocabulary treats white space: dropped between words, or kept in front of the next word.
 DROPPED, KEPT = "dropped", "kept"
 REMEMBER = 1_500_000  # pieces, about 150 bytes each
-_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_ODD_ASCII = re.compile("[\t\x0b-\r\x1c-\x1f]")
+#: White space and format characters beyond ASCII on which engines differ.
+_WIDE = (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
+_ODD = re.compile(r"[\x1c-\x1f" + "".join(map(chr, _WIDE)) + "]")
+_ODD_ASCII = re.compile(r"[\x1c-\x1f]")
+_TABS = re.compile(r"[\t\x0b-\r]")
 
 
 @lru_cache(maxsize=4)
@@ -46,12 +49,12 @@ class Pieces:
     def split(self, text: str) -> list[str] | None:
         """The words of a text; None if it must not be cut. A vocabulary that keeps white space sees a
         space before every word but the first, which is marked by a space here."""
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-            return None
         if (_ODD_ASCII if text.isascii() else _ODD).search(text):
             return None
         if not self.kept:
             return text.split()
+        if "  " in text or " \n" in text or "\n " in text or _TABS.search(text) or text[:1] == " " or text[-1:] == " ":
+            return None
         words = text.split(" ")
         words[0] = " " + words[0]
         return words
@@ -88,6 +91,10 @@ class Pieces:
             return np.empty(0, np.uint32)
         return self.ids[np.arange(total[-1]) + np.repeat(start - total + size, size)]
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """Ids of words of one text, as ``split`` gives them."""
+        return self._slab([words])[0]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         slab: list[list[str] | str] = []
