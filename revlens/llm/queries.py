@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import bpe, langid, packing, quality, simhash, suffix, tokens
+from revlens.llm import bpe, fingerprint, langid, packing, quality, simhash, suffix, tokens
 from revlens.llm.common import Scratch, id_crc, read, utf8
 from revlens.llm.words import DROPPED, KEPT
 
@@ -59,6 +59,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary("word_bpe_49k.json")
@@ -84,6 +88,7 @@ QUERIES: dict[str, QueryFn] = {
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op6_quality": op6_quality,
+    "op7_fingerprint": op7_fingerprint,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
