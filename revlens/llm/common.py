@@ -84,3 +84,34 @@ def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
     return df.mapInArrow(fn, schema)
+
+
+LEAST = -(1 << 63)
+
+
+def key_ranges(df: DataFrame, key: str, tie: str, n: int) -> Column:
+    """Range number, 0 to n - 1, of each row in the order of (``key``, ``tie``), both longs, nulls first.
+
+    Bounds are quantiles of the key alone, so the pass that finds them reads one column. A key so
+    frequent that several bounds fall on it is spread over their ranges by ``tie``, in order."""
+    known = F.coalesce(F.col(key).cast("long"), F.lit(LEAST))
+    found = df.select(known.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    bounds = sorted(min(max(int(b), LEAST), -LEAST - 1) for b in found)
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+    def count(below) -> Column:
+        """Binary search: how many bounds are ``below`` the key."""
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.shiftright(s["lo"] + s["hi"], 1)
+            up = below(F.element_at(table, F.least(mid + 1, F.lit(len(bounds)))))
+            open_ = s["lo"] < s["hi"]
+            return F.struct(F.when(open_ & up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(s["hi"]).alias("hi"))
+
+        whole = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), whole, halve, lambda s: s["lo"])
+
+    low, high = count(lambda b: b < known), count(lambda b: b <= known)
+    share = (F.col(tie).cast("double") + 2.0 ** 63) / 2.0 ** 64
+    return F.when(low == high, low).otherwise(F.least(low + F.floor(share * (high - low + 1)).cast("int"), high))

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import Scratch, code_points, map_batches, partitions
+from revlens.llm.common import Scratch, code_points, key_ranges, map_batches, partitions
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
@@ -127,31 +127,13 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def _range_of(key: str, bounds: list[float]) -> Column:
-    """Number of bounds at or below the key, by binary search in a constant array; nulls come first."""
-    if not bounds:
-        return F.lit(0)
-    table = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
-    state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.element_at(table, F.least(mid + 1, F.lit(len(bounds)))) <= F.col(key).cast("double")
-        open_ = s["lo"] < s["hi"]
-        return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"),
-                        F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
-
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return F.when(F.col(key).isNull(), 0).otherwise(F.aggregate(steps, state, halve, lambda s: s["lo"]))
-
-
 def with_next(df: DataFrame, run, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``run(key array, texts, next texts) -> arrays`` over every row and its successor by key."""
     n = partitions(df)
     source = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    bounds = sorted(set(source.approxQuantile("key", [k / (2 * n) for k in range(1, 2 * n)], 0.1 / n)))
-    ranged = source.select(_range_of("key", bounds).alias("part"), "key", F.xxhash64("text").alias("tie"), "text")
-    ordered = ranged.repartition(n, "part").sortWithinPartitions("part", "key", "tie", "text")
+    tied = source.select("key", F.xxhash64("text").alias("tie"), "text")
+    ranged = tied.select(key_ranges(source, "key", "tie", n).alias("part"), "key", "tie", "text")
+    ordered = ranged.repartitionById(n, "part").sortWithinPartitions("part", "key", "tie", "text")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

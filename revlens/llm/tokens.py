@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import map_batches, partitions
+from revlens.llm.common import key_ranges, map_batches, partitions
 from revlens.llm.words import pieces
 
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 128 << 10, 1000
@@ -54,8 +54,10 @@ def write_tokens(df: DataFrame, out: str, path: str, spaces: str, end_id: int |
                  text: str = "text", row_group: int = ROW_GROUP, page: int = PAGE, page_rows: int = PAGE_ROWS) -> None:
     """Encode ``df`` and write the token files to ``out``, in ascending order of ``key``."""
     source = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    tie = F.xxhash64("text")  # a key that repeats is still dealt out
-    dealt = source.repartitionByRange(partitions(df), "key", tie).sortWithinPartitions("key", tie, "text")
+    n = partitions(df)
+    tied = source.select("key", F.xxhash64("text").alias("tie"), "text")
+    ranged = tied.select("key", "text", "tie", key_ranges(source, "key", "tie", n).alias("range"))
+    dealt = ranged.repartitionById(n, "range").sortWithinPartitions("key", "tie", "text").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0

@@ -20,6 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 
 #: How a vocabulary treats white space: dropped between words, or kept in front of the next word.
 DROPPED, KEPT = "dropped", "kept"
+SPACE_BYTE, WORD_END = "\u0120", "</w>"  # how the two vocabularies write them
 REMEMBER = 1_500_000  # pieces, about 150 bytes each
 #: White space and format characters beyond ASCII on which engines differ.
 _WIDE = (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
@@ -39,11 +40,27 @@ def tokenizer(path: str):
     return t
 
 
+def _is_latin(text: str) -> bool:
+    """All below U+0100, where lower case is one character for one and the same in every engine."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Pieces:
     """Ids of texts, as uint32 arrays, through a bounded table of known pieces."""
 
     def __init__(self, path: str, spaces: str, remember: int = REMEMBER):
         self.path, self.kept, self.remember = path, spaces == KEPT, remember
+        t = tokenizer(path)
+        ids = t.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(ids.values()) + 1, bool)  # tokens that begin, or end, a word
+        self.edge[[k for w, k in ids.items() if (w.startswith(SPACE_BYTE) if self.kept else w.endswith(WORD_END))]] = True
+        self.lower = t.normalizer is not None and t.normalizer.normalize_str("A\xc9 |").startswith("a\xe9")
         self._forget()
 
     def split(self, text: str) -> list[str] | None:
@@ -51,8 +68,8 @@ class Pieces:
         space before every word but the first, which is marked by a space here."""
         if (_ODD_ASCII if text.isascii() else _ODD).search(text):
             return None
-        if not self.kept:
-            return text.split()
+        if not self.kept:  # such vocabularies lower the case themselves; there are fewer words without it
+            return (text.lower() if self.lower and "<|" not in text and _is_latin(text) else text).split()
         if "  " in text or " \n" in text or "\n " in text or _TABS.search(text) or text[:1] == " " or text[-1:] == " ":
             return None
         words = text.split(" ")
@@ -65,31 +82,36 @@ class Pieces:
         self.ends = np.zeros(1 << 16, np.int64)  # ends[k + 1]: where the ids of piece k end
 
     def _learn(self, words: list[str]) -> None:
-        """Ask the library for new pieces, some thousands in one call, told apart by word number."""
-        lists = [words[i:i + 4096] for i in range(0, len(words), 4096)]
-        asked = [[w[1:] if w[:1] == " " else " " + w for w in part] for part in lists] if self.kept else lists
-        for part, e in zip(lists, tokenizer(self.path).encode_batch(asked, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            k = len(self.place)
-            while k + len(part) >= len(self.ends):
-                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.ends[k + 1:k + 1 + len(part)] = self.used + np.cumsum(counts)
-            self.place.update(zip(part, range(k, k + len(part)), strict=True))
-            self.used += len(ids)
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        total = np.cumsum(size)
-        if not len(total) or not total[-1]:
-            return np.empty(0, np.uint32)
-        return self.ids[np.arange(total[-1]) + np.repeat(start - total + size, size)]
+        """Ask the library for new words, some thousands in one text. Where white space is kept, a word
+        begins with its only token that begins with the space; where it is dropped, a word of letters
+        ends with its only token that ends a word. Other words are asked for one by one."""
+        if self.kept:
+            joined = [w for w in words if w[:1] != " " and "<|" not in w]
+            single = [w for w in words if w[:1] == " " or "<|" in w]
+        else:
+            plain = lambda w: w.isalpha() and _is_latin(w)
+            joined, single = [w for w in words if plain(w)], [w for w in words if not plain(w)]
+        parts = [joined[i:i + 4096] for i in range(0, len(joined), 4096)]
+        for part, e in zip(parts, self._library([" " * self.kept + " ".join(part) for part in parts]), strict=True):
+            mark = self.edge[e].nonzero()[0]
+            self._add(part, e, np.diff(np.append(mark, len(e))) if self.kept else np.diff(np.append(-1, mark)))
+        if single:
+            found = self._library([w[1:] if w[:1] == " " else " " + w for w in single] if self.kept else single)
+            self._add(single, np.concatenate(found), np.array([len(x) for x in found]))
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        k = len(self.place)
+        while k + len(words) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.ends[k + 1:k + 1 + len(words)] = self.used + np.cumsum(counts)
+        self.place.update(zip(words, range(k, k + len(words)), strict=True))
+        self.used += len(ids)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Ids of words of one text, as ``split`` gives them."""
@@ -119,12 +141,15 @@ class Pieces:
         if len(unknown):
             self._learn(list(dict.fromkeys(map(pieces.__getitem__, unknown.tolist()))))
             at[unknown] = np.fromiter((self.place[pieces[k]] for k in unknown.tolist()), np.int64, len(unknown))
+        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
         out, k = [], 0
         for x in slab:
             if isinstance(x, str):
-                out.append(self._whole(x))
+                out += self._library([x])
             else:
-                out.append(self._gather(at[k:k + len(x)]))
+                out.append(ids[total[k]:total[k + len(x)]])
                 k += len(x)
         return out
 
