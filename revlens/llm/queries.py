@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import bpe, fingerprint, langid, packing, quality, simhash, suffix, tokens
+from revlens.llm import ann, bpe, fingerprint, html, langid, packing, quality, simhash, suffix, tokens
 from revlens.llm.common import Scratch, id_crc, read, utf8
 from revlens.llm.words import DROPPED, KEPT
 
@@ -26,6 +26,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = Scratch(spark, "kept").keep(suffix.kept_texts(suffix.repeated_spans(docs), digest=True))
@@ -51,6 +56,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_crc(tokens.read_tokens(spark, out))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").where(id_crc("doc_id", 5) != 0)
@@ -84,9 +93,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_ann": op1_ann,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
+    "op5_html": op5_html,
     "op6_quality": op6_quality,
     "op7_fingerprint": op7_fingerprint,
     "op8_bpe": op8_bpe,

@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 #: How a vocabulary treats white space: dropped between words, or kept in front of the next word.
 DROPPED, KEPT = "dropped", "kept"
 SPACE_BYTE, WORD_END = "\u0120", "</w>"  # how the two vocabularies write them
-REMEMBER = 1_500_000  # pieces, about 150 bytes each
+REMEMBER = 500_000  # pieces, about 150 bytes each
 #: White space and format characters beyond ASCII on which engines differ.
 _WIDE = (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _ODD = re.compile(r"[\x1c-\x1f" + "".join(map(chr, _WIDE)) + "]")
