@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.common import Scratch, map_batches, partitions
-from revlens.llm.tokens import id_lists
+from revlens.llm.tokens import id_lists, slices
 from revlens.llm.words import KEPT, pieces, tokenizer
 
 LONG, LEAF = 4096, 512
@@ -124,10 +124,16 @@ def has_long_run(text: str, long: int) -> Column:
     return (F.length(text) > long) & F.col(text).rlike(r"\S{%d}" % (long + 1))
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, spaces: str) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = pieces(path, spaces).encode(b.column(b.num_columns - 1).to_pylist())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], id_lists(ids)], names=[*b.schema.names[:-1], "ids"])
+Finish = Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch]
+
+
+def as_lists(keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys, id_lists(ids)], names=["key", "ids"])
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, spaces: str, finish: Finish) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield finish(b.column(0), pieces(path, spaces).encode(b.column(1).to_pylist()))
 
 
 def _cut(text: str, path: str, spaces: str, long: int, leaf: int) -> Iterator[tuple[bool, list[int]]]:
@@ -159,12 +165,16 @@ def _cut(text: str, path: str, spaces: str, long: int, leaf: int) -> Iterator[tu
     yield True, known.words(short).tolist()
 
 
-def encode(df: DataFrame, path: str, spaces: str, key: str = "doc_id", text: str = "text", long: int = LONG,
-           leaf: int = LEAF) -> DataFrame:
-    """(key, ids) of every row: exactly the library's ids, without special tokens."""
+def encode(df: DataFrame, path: str, spaces: str, key: str = "doc_id", text: str = "text", long: int = LONG, leaf: int = LEAF,
+           finish: Finish = as_lists, columns: dict[str, T.DataType] | None = None) -> DataFrame:
+    """(key, ids) of every row: exactly the library's ids, without special tokens. ``finish`` may turn the
+    ids into other ``columns`` in the same worker, so that they need not be handed on."""
     source = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    schema = source.select("key").schema.add("ids", T.ArrayType(T.IntegerType()))
-    encoded = map_batches(source.where(~has_long_run("text", long)), partial(_encode_batches, path=path, spaces=spaces), schema)
+    schema = source.select("key").schema
+    for name, kind in (columns or {"ids": T.ArrayType(T.IntegerType())}).items():
+        schema = schema.add(name, kind)
+    encode_rows = partial(_encode_batches, path=path, spaces=spaces, finish=finish)
+    encoded = map_batches(source.where(~has_long_run("text", long)), encode_rows, schema)
     scratch = Scratch(df.sparkSession, "bpe")
     hard = scratch.keep(source.where(has_long_run("text", long)).withColumn("row", F.monotonically_increasing_id()))
 
@@ -199,7 +209,7 @@ def encode(df: DataFrame, path: str, spaces: str, key: str = "doc_id", text: str
                     else:
                         open_.append((p["ids"], p["sizes"], p["symbols"]))
                 out.append(np.array(ids, np.uint32))
-            yield pa.RecordBatch.from_arrays([b.column(0), id_lists(out)], names=schema.names)
+            yield finish(b.column(0), out)
 
     if hard.isEmpty():
         return encoded.withColumnRenamed("key", key)
@@ -233,17 +243,18 @@ def decode(ids: list[int], path: str) -> str:
     return " ".join(map(token_texts(path).__getitem__, ids))
 
 
-def digests(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of encoded rows (key, ids)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def digests(df: DataFrame, path: str, spaces: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): encoded and decoded again, as digests."""
+    def finish(keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
         name = numbers(len(token_texts(path)))
-        for b in batches:
-            flat, ends = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy().tolist()
-            rows = [flat[a:z].tolist() for a, z in zip(ends, ends[1:], strict=False)]
-            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([sha(" ".join(map(name.__getitem__, x))) for x in rows]),
-                 pa.array([sha(decode(x, path)) for x in rows])], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    schema = encoded.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return map_batches(encoded.select(key, "ids"), run, schema)
+        n, made, back = [], [], []
+        for x in ids:
+            row = x.tolist()
+            n.append(len(row))
+            made.append(hashlib.sha256(" ".join(map(name.__getitem__, row)).encode()).hexdigest())
+            back.append(hashlib.sha256(decode(row, path).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())],
+                                          names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    columns = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    return encode(df, path, spaces, key, text, finish=finish, columns=columns)

@@ -125,9 +125,9 @@ def labelled_sample(df: DataFrame, text: str, label: str, per_language: int, lan
     return [(r["t"], r["l"]) for r in sorted(taken, key=lambda r: (r["h"], r["l"], r["t"]))]
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, replacing columns of these names; no shuffle."""
-    keep = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with its language and the score in ``names``, replacing columns of these names; no shuffle."""
+    keep = [c for c in df.columns if c.lower() not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks x languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +135,10 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
             langs, scores = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*b.schema.names[:-1], "lang_pred", "score"])
+                names=[*b.schema.names[:-1], *names])
 
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = source.drop("__text").schema.add(names[0], "string").add(names[1], "double")
     return map_batches(source, score, schema)
 
 

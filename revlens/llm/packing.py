@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.common import Scratch, map_batches, partitions
-from revlens.llm.tokens import encode_batch, id_lists
+from revlens.llm.tokens import encode_batch, id_lists, slices
 
 SIZE, PIECES_PER_GROUP = 1024, 1 << 17
 
@@ -37,7 +37,7 @@ def token_pieces(df: DataFrame, path: str, spaces: str, end_id: int | None, key:
     source = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             row, piece, start, parts = [], [], [], []
             for k, ids in enumerate(encode_batch(b.column(1).to_pylist(), path, spaces, end_id)):
                 cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)] if len(ids) else []

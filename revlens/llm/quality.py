@@ -207,9 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
 
 
-def score(df: DataFrame, model: Additive, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``df`` with ``score`` and ``predicted``, replacing columns of these names; no shuffle."""
-    keep = [c for c in df.columns if c.lower() not in ("score", "predicted")]
+def score(df: DataFrame, model: Additive, text: str = "text", threshold: float = 0.3,
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``df`` with the score and the decision in ``names``, replacing columns of these names; no shuffle."""
+    keep = [c for c in df.columns if c.lower() not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)  # bins x features and pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +219,8 @@ def score(df: DataFrame, model: Additive, text: str = "text", threshold: float =
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())],
-                names=[*b.schema.names[:-1], "score", "predicted"])
+                names=[*b.schema.names[:-1], *names])
 
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = source.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    schema = source.drop("__text").schema.add(names[0], "double").add(names[1], "integer")
     return map_batches(source, run, schema)

@@ -74,8 +74,7 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    path = vocabulary("word_bpe_49k.json")
-    return bpe.digests(bpe.encode(docs, path, DROPPED), path)
+    return bpe.digests(docs, vocabulary("word_bpe_49k.json"), DROPPED)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +91,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the packages; it uses this module in turn
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, QueryFn] = {
+    "pipeline": pipeline,
     "op1_ann": op1_ann,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,

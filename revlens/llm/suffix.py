@@ -329,3 +329,19 @@ def kept_texts(spans: DataFrame, digest: bool = False) -> DataFrame:
     or their SHA-256 in hex with ``digest``."""
     kind = "string" if digest else "binary"
     return map_batches(spans, partial(_kept_batches, digest=digest), f"k1 long, k2 long, n_removed long, n_spans long, kept {kind}")
+
+
+def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the repeated bytes cut out of ``text``; a character that a cut goes through goes whole."""
+    spans = repeated_spans(df, text).where(F.size("spans") > 0)
+    kept = Scratch(df.sparkSession, "kept").keep(kept_texts(spans).select("k1", "k2", F.col("kept").alias("__kept")))
+    k1, k2 = text_key(f"`{text}`")
+    keyed = df.select("*", k1.alias("__k1"), k2.alias("__k2"))
+    joined = keyed.join(kept.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
+    left = F.when(F.col("__kept").isNull(), F.col(f"`{text}`")).otherwise(_characters(F.col("__kept")))
+    return joined.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+
+
+def _characters(data: Column) -> Column:
+    """Bytes as text, without what is no whole character."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))

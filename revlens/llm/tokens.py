@@ -38,6 +38,13 @@ def encode_batch(texts: list[str | None], path: str, spaces: str, end_id: int |
     return ids if end_id is None else [np.append(x, np.uint32(end_id)) for x in ids]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts and ids are in Python at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
@@ -61,7 +68,7 @@ def write_tokens(df: DataFrame, out: str, path: str, spaces: str, end_id: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             ids = encode_batch(b.column(1).to_pylist(), path, spaces, end_id)
             counts = np.array([len(x) for x in ids], np.int64)
             starts = done + np.cumsum(counts) - counts

@@ -21,11 +21,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 #: How a vocabulary treats white space: dropped between words, or kept in front of the next word.
 DROPPED, KEPT = "dropped", "kept"
 SPACE_BYTE, WORD_END = "\u0120", "</w>"  # how the two vocabularies write them
-REMEMBER = 500_000  # pieces, about 150 bytes each
+REMEMBER = 600_000  # pieces, about 150 bytes each
 #: White space and format characters beyond ASCII on which engines differ.
 _WIDE = (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 _ODD = re.compile(r"[\x1c-\x1f" + "".join(map(chr, _WIDE)) + "]")
 _ODD_ASCII = re.compile(r"[\x1c-\x1f]")
+#: A word of letters followed by marks, none of them an apostrophe.
+_MARKED = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+[!-&(-/:-@\[-`{-~]+")
 _TABS = re.compile(r"[\t\x0b-\r]")
 
 
@@ -61,6 +63,7 @@ class Pieces:
         self.edge = np.zeros(max(ids.values()) + 1, bool)  # tokens that begin, or end, a word
         self.edge[[k for w, k in ids.items() if (w.startswith(SPACE_BYTE) if self.kept else w.endswith(WORD_END))]] = True
         self.lower = t.normalizer is not None and t.normalizer.normalize_str("A\xc9 |").startswith("a\xe9")
+        self.place, self.seen, self.ids, self.ends = {}, np.zeros(0, np.int64), np.empty(0, np.uint32), np.zeros(1, np.int64)
         self._forget()
 
     def split(self, text: str) -> list[str] | None:
@@ -77,24 +80,41 @@ class Pieces:
         return words
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        """Start anew, with the words that were seen more than once."""
+        words, ids, ends = list(self.place), self.ids, self.ends
+        often = (self.seen[:len(words)] > 1).nonzero()[0]
+        often = often if 2 * len(often) < self.remember else often[:0]
+        self.place = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.ends = np.zeros(1 << 16, np.int64)  # ends[k + 1]: where the ids of piece k end
+        self.seen = np.zeros(0, np.int64)
+        if len(often):
+            size = ends[often + 1] - ends[often]
+            total = np.cumsum(size)
+            self._add([words[k] for k in often.tolist()], ids[np.arange(total[-1]) + np.repeat(ends[often] - total + size, size)], size)
 
     def _learn(self, words: list[str]) -> None:
         """Ask the library for new words, some thousands in one text. Where white space is kept, a word
-        begins with its only token that begins with the space; where it is dropped, a word of letters
-        ends with its only token that ends a word. Other words are asked for one by one."""
+        begins with its only token that begins with the space. Where it is dropped, letters end with their
+        only token that ends a word, and so do the marks that may follow. Others are asked for singly."""
+        joined, edges, single = [], [], []
         if self.kept:
-            joined = [w for w in words if w[:1] != " " and "<|" not in w]
-            single = [w for w in words if w[:1] == " " or "<|" in w]
+            for w in words:
+                (single if w[:1] == " " or "<|" in w else joined).append(w)
         else:
-            plain = lambda w: w.isalpha() and _is_latin(w)
-            joined, single = [w for w in words if plain(w)], [w for w in words if not plain(w)]
-        parts = [joined[i:i + 4096] for i in range(0, len(joined), 4096)]
-        for part, e in zip(parts, self._library([" " * self.kept + " ".join(part) for part in parts]), strict=True):
-            mark = self.edge[e].nonzero()[0]
-            self._add(part, e, np.diff(np.append(mark, len(e))) if self.kept else np.diff(np.append(-1, mark)))
+            for w in words:
+                n = 1 if w.isalpha() and _is_latin(w) else 2 if _MARKED.fullmatch(w) else 0
+                if n:
+                    joined.append(w)
+                    edges.append(n)
+                else:
+                    single.append(w)
+        step = 4096
+        texts = [" " * self.kept + " ".join(joined[i:i + step]) for i in range(0, len(joined), step)]
+        for i, e in zip(range(0, len(joined), step), self._library(texts), strict=True):
+            edge = self.edge[e].nonzero()[0]
+            counts = np.diff(np.append(edge, len(e))) if self.kept else np.diff(np.append(-1, edge[np.cumsum(edges[i:i + step]) - 1]))
+            self._add(joined[i:i + step], e, counts)
         if single:
             found = self._library([w[1:] if w[:1] == " " else " " + w for w in single] if self.kept else single)
             self._add(single, np.concatenate(found), np.array([len(x) for x in found]))
@@ -139,8 +159,12 @@ class Pieces:
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         unknown = (at < 0).nonzero()[0]
         if len(unknown):
-            self._learn(list(dict.fromkeys(map(pieces.__getitem__, unknown.tolist()))))
-            at[unknown] = np.fromiter((self.place[pieces[k]] for k in unknown.tolist()), np.int64, len(unknown))
+            asked = [pieces[k] for k in unknown.tolist()]
+            self._learn(list(dict.fromkeys(asked)))
+            at[unknown] = np.fromiter(map(self.place.__getitem__, asked), np.int64, len(asked))
+        used = np.bincount(at, minlength=len(self.seen))
+        used[:len(self.seen)] += self.seen
+        self.seen = used
         start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
