@@ -133,7 +133,7 @@ def as_lists(keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, spaces: str, finish: Finish) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        yield finish(b.column(0), pieces(path, spaces).encode(b.column(1).to_pylist()))
+        yield finish(b.column(0), pieces(path, spaces).encode(b.column(1)))
 
 
 def _cut(text: str, path: str, spaces: str, long: int, leaf: int) -> Iterator[tuple[bool, list[int]]]:

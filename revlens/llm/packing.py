@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.common import Scratch, map_batches, partitions
-from revlens.llm.tokens import encode_batch, id_lists, slices
+from revlens.llm.tokens import encode_lists, id_lists, slices
 
 SIZE, PIECES_PER_GROUP = 1024, 1 << 17
 
@@ -39,10 +39,12 @@ def token_pieces(df: DataFrame, path: str, spaces: str, end_id: int | None, key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             row, piece, start, parts = [], [], [], []
-            for k, ids in enumerate(encode_batch(b.column(1).to_pylist(), path, spaces, end_id)):
-                cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)] if len(ids) else []
+            lists = encode_lists(b.column(1), path, spaces, end_id)
+            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+            for k, (first, last) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                cuts = [first, *range(first + ((last - first) % size or size), last + 1, size)] if last > first else []
                 for j, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    row.append(k), piece.append(j), start.append(a), parts.append(ids[a:z])
+                    row.append(k), piece.append(j), start.append(a - first), parts.append(ids[a:z])
             out = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                    pa.array([len(x) for x in parts], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in parts], pa.int64())]
             yield pa.RecordBatch.from_arrays(out + [id_lists(parts)] * with_ids, names=schema.names)

@@ -32,10 +32,13 @@ from revlens.llm.words import pieces
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 128 << 10, 1000
 
 
-def encode_batch(texts: list[str | None], path: str, spaces: str, end_id: int | None) -> list[np.ndarray]:
+def encode_lists(texts: pa.Array, path: str, spaces: str, end_id: int | None) -> pa.ListArray:
     """Ids of each text, with the end id if there is one."""
-    ids = pieces(path, spaces).encode(texts)
-    return ids if end_id is None else [np.append(x, np.uint32(end_id)) for x in ids]
+    ids, ends = pieces(path, spaces).encode_column(texts)
+    if end_id is not None:
+        ids = np.insert(ids, ends[1:], np.uint32(end_id))
+        ends = ends + np.arange(len(ends))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -53,7 +56,7 @@ def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 def crc_lists(ids: pa.ListArray) -> pa.Array:
     """Unsigned crc32 of each list as little-endian unsigned 32-bit integers."""
-    data, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+    data, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
     return pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
 
 
@@ -69,16 +72,16 @@ def write_tokens(df: DataFrame, out: str, path: str, spaces: str, end_id: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
         for b in slices(batches):
-            ids = encode_batch(b.column(1).to_pylist(), path, spaces, end_id)
-            counts = np.array([len(x) for x in ids], np.int64)
+            ids = encode_lists(b.column(1), path, spaces, end_id)
+            counts = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             starts = done + np.cumsum(counts) - counts
             done += int(counts.sum())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts), id_lists(ids)],
+                [b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts), ids],
                 names=["key", "part", "local_start", "n_tokens", "ids"])
 
     schema = source.select("key").schema.add("part", "integer").add("local_start", "long").add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
-    writer = map_batches(dealt, run, schema).write.option("compression", "zstd")
+    writer = map_batches(dealt, run, schema).write.option("compression", "snappy")
     options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": page_rows,
                "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true"}
     options |= {f"parquet.enable.dictionary#{c}": "false" for c in ("key", "local_start", "n_tokens")}
