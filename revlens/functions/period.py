@@ -7,12 +7,12 @@ sees constant bounds and can push them into the Parquet scan.
 from __future__ import annotations
 
 import calendar
-import re
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta, timezone
 
-# Fixed value: the period grammar.
-_PERIOD = re.compile(r"^(a|an|\d+)\s+(day|week|month|year)s?(\s+ago)?$")
+# The words of the period grammar, each as (days, months).
+UNITS = {"day": (1, 0), "week": (7, 0), "month": (0, 1), "year": (0, 12)}
+ONE = ("a", "an")
 
 DEFAULT_PERIOD = "3 months"
 
@@ -24,20 +24,15 @@ class Period:
 
 
 def parse_period(text: str) -> Period:
-    """``(a|an|N) (day|week|month|year)[s] [ago]`` -> Period; anything else -> ValueError."""
-    s = (text or "").lower().strip()
-    m = _PERIOD.match(s)
-    if not m:
-        raise ValueError(f"Invalid period format: {s}. Use format like '3 months' or 'a year'.")
-    n = 1 if m.group(1) in ("a", "an") else int(m.group(1))
-    unit = m.group(2)
-    if unit == "day":
-        return Period(days=n)
-    if unit == "week":
-        return Period(days=7 * n)
-    if unit == "month":
-        return Period(months=n)
-    return Period(months=12 * n)
+    """``<count> <unit>`` with an optional plural and an optional ``ago``; anything else is an error."""
+    words = (text or "").lower().split()
+    if words[2:] == ["ago"]:
+        words = words[:2]
+    days, months = UNITS.get(words[1].removesuffix("s"), (0, 0)) if len(words) == 2 else (0, 0)
+    if not (days or months) or not (words[0] in ONE or words[0].isdecimal()):
+        raise ValueError(f"not a period: {text!r} (examples: '10 days', 'a week', '2 years ago')")
+    count = 1 if words[0] in ONE else int(words[0])
+    return Period(days=count * days, months=count * months)
 
 
 def add_months(d: date, months: int) -> date:
@@ -52,36 +47,43 @@ def minus_period(end: date, period: Period) -> date:
 
 
 def parse_day(text: str | date | datetime) -> date:
+    """The day of an ISO date or date and time; the whole text must parse."""
     if isinstance(text, datetime):
         return text.date()
     if isinstance(text, date):
         return text
     try:
-        return date.fromisoformat(str(text).strip()[:10])
+        return datetime.fromisoformat(str(text).strip()).date()
     except ValueError as e:
-        raise ValueError(f"Could not parse date: {text}") from e
-
-
-def _is_date_only(text: str) -> bool:
-    return not ("T" in text or ":" in text or "+" in text)
-
-
-def day_edges(since: str | None, until: str | None) -> tuple[datetime | None, datetime | None]:
-    """FLT-3: a date-only since means 00:00:00, a date-only until 23:59:59.999999 (UTC)."""
-
-    def one(text, end_of_day):
-        if text is None or text == "":
-            return None
-        if isinstance(text, datetime):
-            return text if text.tzinfo else text.replace(tzinfo=timezone.utc)
-        s = str(text).strip()
-        if isinstance(text, date) or _is_date_only(s):
-            d = parse_day(s)
-            return datetime.combine(d, time.max if end_of_day else time.min, tzinfo=timezone.utc)
-        ts = datetime.fromisoformat(s.replace("Z", "+00:00"))
-        return ts if ts.tzinfo else ts.replace(tzinfo=timezone.utc)
-
-    return one(since, False), one(until, True)
+        raise ValueError(f"not an ISO date: {text!r}") from e
+
+
+def _instant(bound: str | date | datetime | None, edge: time, now: datetime | None) -> datetime | None:
+    """A bound as an instant: a day means its ``edge`` in UTC, '<period> ago' counts back from ``now``."""
+    if bound is None or bound == "":
+        return None
+    if isinstance(bound, str):
+        text = bound.strip()
+        if text.lower().endswith("ago"):
+            clock = now or datetime.now(timezone.utc)
+            clock = clock if clock.tzinfo else clock.replace(tzinfo=timezone.utc)
+            return datetime.combine(minus_period(clock.date(), parse_period(text)), clock.timetz())
+        try:
+            bound = date.fromisoformat(text)
+        except ValueError:
+            try:
+                bound = datetime.fromisoformat(text)
+            except ValueError as e:
+                raise ValueError(f"not a date or a period ago: {text!r}") from e
+    if not isinstance(bound, datetime):
+        return datetime.combine(bound, edge, tzinfo=timezone.utc)
+    return bound if bound.tzinfo else bound.replace(tzinfo=timezone.utc)
+
+
+def day_edges(since: str | None, until: str | None, now: datetime | None = None) -> tuple[datetime | None, datetime | None]:
+    """FLT-3: a date-only since means 00:00:00, a date-only until 23:59:59.999999 (UTC); '3 weeks ago'
+    counts back from ``now`` (the clock by default)."""
+    return _instant(since, time.min, now), _instant(until, time.max, now)
 
 
 @dataclass(frozen=True)

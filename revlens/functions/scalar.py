@@ -147,9 +147,14 @@ def range_label(lo, hi) -> Column:
     return F.when(_c(lo) == _c(hi), a).otherwise(F.concat(a, F.lit("-"), b))
 
 
+def utc_date(ts) -> Column:
+    """Day of an instant in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(_c(ts)) / 86400).cast("int"))
+
+
 def month_bucket(ts) -> Column:
-    """PRJ-21: ``strftime(ts, '%Y-%m')``."""
-    return F.date_format(_c(ts), "yyyy-MM")
+    """PRJ-21: ``strftime(ts, '%Y-%m')`` of an instant in UTC."""
+    return F.date_format(utc_date(ts), "yyyy-MM")
 
 
 def fmt_fixed(x, digits: int) -> Column:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.scalar import _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
-from revlens.operators.ranking import attach_by_value, positions_in_group
-from revlens.operators.reshape import last_wins
+from revlens.operators.ranking import positions_in_group, run_starts
 from revlens.session import materialize, persist_table
 
 _LINE_SPLIT = _SPLITLINES
@@ -22,24 +21,25 @@ def text_lines(text) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(trimmed)
 
 
-def _dedupe(df: DataFrame, keys, values) -> DataFrame:
-    if "pos" in df.columns:
-        return last_wins(df, keys, "pos", values)
-    return df.groupBy(*keys).agg(*[F.last(v).alias(v) for v in values])
-
-
 def merge_stats(numstat: DataFrame, name_status: DataFrame, keys=("commit_hash",)) -> DataFrame:
-    """JN-1: full outer join of numstat and name-status on (commit, path); the last line wins on
-    each side; missing counts -> 0, missing type -> 'U'."""
+    """JN-1: numstat and name-status lines by (commit, path); the last line (largest ``pos``, which both
+    sides must carry) wins on each side; missing counts -> 0, missing type -> 'U'.
+
+    One aggregate over the stacked lines of both sides instead of a full outer join of two: one shuffle,
+    of rows already reduced to one a key and task."""
+    for side in (numstat, name_status):
+        if "pos" not in side.columns:
+            raise ValueError("merge_stats needs the column pos: the last line is undefined without it")
     k = [*keys, "file_path"]
-    counts = _dedupe(numstat, k, ("additions", "deletions"))
-    types = _dedupe(name_status, k, ("change_type",))
-    joined = counts.join(types, k, "full")
-    return joined.select(
-        *k,
-        F.coalesce("additions", F.lit(0)).cast("bigint").alias("additions"),
-        F.coalesce("deletions", F.lit(0)).cast("bigint").alias("deletions"),
-        F.coalesce("change_type", F.lit("U")).alias("change_type"),
+    none = F.lit(None)
+    lines = numstat.select(*k, F.col("pos").alias("_cp"), "additions", "deletions", none.cast(numstat.schema["pos"].dataType).alias("_tp"),
+                           none.cast("string").alias("change_type")).unionByName(
+        name_status.select(*k, none.cast(name_status.schema["pos"].dataType).alias("_cp"), none.cast("bigint").alias("additions"),
+                           none.cast("bigint").alias("deletions"), F.col("pos").alias("_tp"), "change_type"))
+    return lines.groupBy(*k).agg(  # a line of the other side has no position and never wins
+        F.coalesce(F.max_by("additions", "_cp"), F.lit(0)).cast("bigint").alias("additions"),
+        F.coalesce(F.max_by("deletions", "_cp"), F.lit(0)).cast("bigint").alias("deletions"),
+        F.coalesce(F.max_by("change_type", "_tp"), F.lit("U")).alias("change_type"),
     )
 
 
@@ -49,37 +49,44 @@ def touched_paths(numstat: DataFrame, name_status: DataFrame, keys=("commit_hash
     return numstat.select(*k).union(name_status.select(*k)).distinct()
 
 
+def content_hashes(snapshot: DataFrame, keys=("commit_hash",), path_col: str = "path", content_col: str = "content",
+                   hash_col: str | None = None) -> DataFrame:
+    """(keys, path, _h) of a snapshot: what comparisons move instead of contents."""
+    h = F.col(hash_col) if hash_col else F.sha2(F.col(content_col), 256)
+    return snapshot.select(*keys, path_col, h.alias("_h"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
                   content_col: str = "content", hash_col: str | None = None,
-                  patch_stats: DataFrame | None = None) -> DataFrame:
-    """JN-5: two path -> content tables -> (path, change_type A/D/M, additions, deletions).
-
-    Only new = add (lines of the new text), only old = delete (lines of the old text),
-    differing content = modify with multiset line counts (lines of each distinct text
-    counted per side; moved lines count 0, a lower bound of a line diff).
-    Content is compared by hash; the line work runs on modified paths only. ``patch_stats``
-    (keys, path, additions, deletions; e.g. ``patch_line_stats`` output) overrides the counts of
-    modified paths it covers.
+                  patch_stats: DataFrame | None = None, hashes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """JN-5: two path -> content tables -> (path, change_type A/D/M, additions, deletions, count_kind).
+
+    Only new = add (lines of the new text), only old = delete (lines of the old text): ``count_kind`` is
+    'lines'. Differing content = modify. Its counts are those of ``patch_stats`` (keys, path, additions,
+    deletions; e.g. ``patch_line_stats`` output) where given: 'patch'. Elsewhere they are the net change of
+    each distinct line's number, in which moved lines count 0: 'net', a lower bound of a line diff.
+    Contents are compared by hash (``hashes``: both sides' ``content_hashes``, if at hand); they are
+    fetched for changed paths only.
     """
     k = [*keys, path_col]
-    hcol = hash_col or "_h"
+    text = lambda side: lambda paths: side.select(*k, F.col(content_col).alias("_t")).join(paths, k, "left_semi")
+    ho, hn = hashes or tuple(content_hashes(x, keys, path_col, content_col, hash_col) for x in (old, new))
+    return _diff(ho, hn, text(old), text(new), keys, path_col, patch_stats)
 
-    def prep(df):
-        return df if hash_col else df.withColumn("_h", F.sha2(F.col(content_col), 256))
 
+def _diff(ho: DataFrame, hn: DataFrame, old_text, new_text, keys, path_col: str, patch_stats: DataFrame | None) -> DataFrame:
+    """``old_text(paths)`` and ``new_text(paths)`` fetch (keys, path, _t) for a table of changed paths."""
+    k = [*keys, path_col]
     # 1. compare (commit, path, hash) only: contents of unchanged files never move
-    ho = prep(old).select(*k, F.col(hcol).alias("_oh"))
-    hn = prep(new).select(*k, F.col(hcol).alias("_nh"))
     changed = persist_table(
-        ho.join(hn, k, "full").where(~F.col("_oh").eqNullSafe(F.col("_nh"))).select(
+        ho.withColumnRenamed("_h", "_oh").join(hn.withColumnRenamed("_h", "_nh"), k, "full")
+        .where(~F.col("_oh").eqNullSafe(F.col("_nh"))).select(
             *k, F.when(F.col("_oh").isNull(), "A").when(F.col("_nh").isNull(), "D").otherwise("M").alias("change_type")),
         "snapshot-changed")
-    # 2. fetch contents for changed paths only (the changed-key table has real size statistics,
+    # 2. contents of changed paths only (the changed-key table has real size statistics,
     #    so Spark broadcasts it when small and the snapshots are filtered map-side)
-    oc = old.select(*k, F.col(content_col).alias("_ot")).join(
-        changed.where(F.col("change_type") != "A").select(*k), k, "left_semi")
-    nc = new.select(*k, F.col(content_col).alias("_nt")).join(
-        changed.where(F.col("change_type") != "D").select(*k), k, "left_semi")
+    oc = old_text(changed.where(F.col("change_type") != "A").select(*k)).withColumnRenamed("_t", "_ot")
+    nc = new_text(changed.where(F.col("change_type") != "D").select(*k)).withColumnRenamed("_t", "_nt")
     typed = changed.join(oc, k, "left").join(nc, k, "left")
     adds_dels = typed.where(F.col("change_type") != "M").select(
         *k, "change_type",
@@ -87,6 +94,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_co
         .alias("additions"),
         F.when(F.col("change_type") == "D", count_text_lines(F.col("_ot"))).otherwise(F.lit(0)).cast("bigint")
         .alias("deletions"),
+        F.lit("lines").alias("count_kind"),
     )
     mods = typed.where(F.col("change_type") == "M")
     # new lines count +1, old lines -1, in one explode; a modified path always has a line
@@ -99,62 +107,66 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_co
     modified = net.groupBy(*k).agg(
         F.sum(F.greatest(F.col("d"), F.lit(0))).cast("bigint").alias("additions"),
         F.sum(F.greatest(-F.col("d"), F.lit(0))).cast("bigint").alias("deletions"),
-    ).select(*k, F.lit("M").alias("change_type"), "additions", "deletions")
+    ).select(*k, F.lit("M").alias("change_type"), "additions", "deletions", F.lit("net").alias("count_kind"))
     if patch_stats is not None:
         ps = patch_stats.select(*keys, F.col("file_path").alias(path_col) if "file_path" in patch_stats.columns
                                 else F.col(path_col), F.col("additions").alias("_pa"), F.col("deletions").alias("_pd"))
         modified = modified.join(ps, k, "left").select(
             *k, "change_type",
             F.coalesce("_pa", "additions").cast("bigint").alias("additions"),
-            F.coalesce("_pd", "deletions").cast("bigint").alias("deletions"))
+            F.coalesce("_pd", "deletions").cast("bigint").alias("deletions"),
+            F.when(F.col("_pa").isNotNull() & F.col("_pd").isNotNull(), "patch").otherwise("net").alias("count_kind"))
     return adds_dels.unionByName(modified)
 
 
-# Children per parent above which a parent's tree is salted across several join tasks.
-SALT_CHILDREN = 10_000
-
-
 def tree_changes(commits: DataFrame, trees: DataFrame, path_col: str = "path", content_col: str = "content",
                  hash_col: str | None = None) -> DataFrame:
     """JN-4 + JN-5 (D7): each commit's changes against its first parent's tree.
 
-    ``trees`` holds (commit_hash, path, content[, hash]) snapshots. The parent's rows are
-    relabelled with the child's hash through the first-parent edge (a join, no per-commit
-    loop; hot branch points are salted); a root commit, or a parent missing from a shallow history, diffs against the empty
-    tree (everything added). Only hashes move in the comparison (``snapshot_diff``)."""
-    cols = [path_col, content_col] + ([hash_col] if hash_col else [])
-    edge = commits.select("commit_hash", F.get(F.col("parent_hashes"), 0).alias("_parent")).where(
-        F.col("_parent").isNotNull())
-    # A branch point with very many children would build all (child x file) rows in one task:
-    # such parents' tree rows are replicated into ceil(children / SALT_CHILDREN) salt buckets and
-    # each child goes to one bucket (replication only for hot parents, at most output / SALT_CHILDREN).
-    fanout = edge.groupBy("_parent").agg(F.count(F.lit(1)).alias("_kids")).where(F.col("_kids") > SALT_CHILDREN) \
-        .select("_parent", F.ceil(F.col("_kids") / F.lit(SALT_CHILDREN)).cast("int").alias("_salts"))
-    edge = edge.join(F.broadcast(fanout), "_parent", "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64("commit_hash"), F.col("_salts")).cast("int"))).drop("_salts")
-    parent_trees = trees.select(F.col("commit_hash").alias("_parent"), *cols) \
-        .join(F.broadcast(fanout), "_parent", "left") \
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    old = edge.join(parent_trees, ["_parent", "_salt"]).select("commit_hash", *cols)
-    return snapshot_diff(old, trees.select("commit_hash", *cols), path_col=path_col, content_col=content_col,
-                         hash_col=hash_col)
-
-
-def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("commit_hash",),
-                  path_col: str = "path", content_col: str = "content") -> DataFrame:
+    ``trees`` holds (commit_hash, path, content[, hash]) snapshots. They are hashed where they are read;
+    the parent's (path, hash) rows are relabelled with the child's id through the first-parent edge (an
+    inner join, no per-commit loop; AQE splits a branch point with very many children on either side).
+    Contents follow for changed paths only, found through the same edge. A root commit, or a parent missing
+    from a shallow history, diffs against the empty tree (everything added)."""
+    edge = persist_table(commits.select("commit_hash", F.get(F.col("parent_hashes"), 0).alias("_parent")).where(
+        F.col("_parent").isNotNull()), "parent-edges")
+    hashes = persist_table(content_hashes(trees, path_col=path_col, content_col=content_col, hash_col=hash_col), "tree-hashes")
+    old = edge.join(hashes.withColumnRenamed("commit_hash", "_parent"), "_parent").select("commit_hash", path_col, "_h")
+    texts = trees.select("commit_hash", path_col, F.col(content_col).alias("_t"))
+
+    def of_parent(paths: DataFrame) -> DataFrame:
+        wanted = paths.join(edge, "commit_hash")
+        return wanted.join(texts.withColumnRenamed("commit_hash", "_parent"), ["_parent", path_col]).select("commit_hash", path_col, "_t")
+
+    def of_commit(paths: DataFrame) -> DataFrame:
+        return texts.join(paths, ["commit_hash", path_col], "left_semi")
+
+    return _diff(old, hashes, of_parent, of_commit, ("commit_hash",), path_col, None)
+
+
+def renamed_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
+                 content_col: str = "content") -> DataFrame:
+    """JN-5 then JN-6 with every content hashed once."""
+    hashes = tuple(persist_table(content_hashes(x, keys, path_col, content_col), "hashes") for x in (old, new))
+    changes = snapshot_diff(old, new, keys, path_col, content_col, hashes=hashes)
+    return exact_renames(changes, old, new, keys, path_col, content_col, hashes)
+
+
+def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
+                  content_col: str = "content", hashes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """JN-6: in one commit pair the k-th delete and the k-th add of identical content (ordered by
     path) -> 'R' with 0/0 and the old path; an unpaired add whose content still exists unchanged
     at another path -> 'C' from the smallest such path. Other rows pass through.
 
-    ``changes`` is ``snapshot_diff`` output; ``old``/``new`` are the snapshots.
+    ``changes`` is ``snapshot_diff`` output; ``old``/``new`` are the snapshots, ``hashes`` their written
+    ``content_hashes`` if at hand.
     """
     k = list(keys)
     # Each of these is read by several branches below: computed once (diff rows and path->hash
     # tables are small next to the snapshots' contents).
     changes = materialize(changes.select(*k, path_col, "change_type", "additions", "deletions"))
-    h_old = materialize(old.select(*k, F.col(path_col).alias("_p"), F.sha2(F.col(content_col), 256).alias("_h")))
-    h_new = materialize(new.select(*k, F.col(path_col).alias("_p"), F.sha2(F.col(content_col), 256).alias("_h")))
+    hashes = hashes or tuple(persist_table(content_hashes(x, keys, path_col, content_col), "hashes") for x in (old, new))
+    h_old, h_new = (h.withColumnRenamed(path_col, "_p") for h in hashes)
     d = changes.where(F.col("change_type") == "D").join(
         h_old.withColumnRenamed("_p", path_col), [*k, path_col]).select(*k, path_col, "_h")
     a = changes.where(F.col("change_type") == "A").join(
@@ -176,11 +188,8 @@ def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("com
     # copies: unpaired adds whose content is unchanged at another path in both snapshots
     unchanged = h_old.join(h_new, [*k, "_p", "_h"]).groupBy(*k, "_h").agg(F.min("_p").alias("_src"))
     unpaired_adds = a.join(pairs.select(*k, path_col), [*k, path_col], "left_anti").select(*k, path_col, "_h")
-    # a content hash shared by very many unpaired adds (e.g. empty files) is a hot join key:
-    # split it off to a broadcast join
-    add_counts = unpaired_adds.groupBy(*k, "_h").agg(F.count(F.lit(1)).alias("_cnt"))
-    copies = attach_by_value(unpaired_adds, unchanged.join(add_counts, [*k, "_h"]), [*k, "_h"], how="inner") \
-        .select(*k, path_col, F.col("_src").alias("old_file_path"))
+    # a hash shared by very many unpaired adds (e.g. empty files) is a hot key of an inner join: AQE splits it
+    copies = unpaired_adds.join(unchanged, [*k, "_h"]).select(*k, path_col, F.col("_src").alias("old_file_path"))
     rest = rest.join(copies, [*k, path_col], "left").select(
         *k, path_col,
         F.when(F.col("old_file_path").isNotNull(), F.lit("C")).otherwise(F.col("change_type")).alias("change_type"),
@@ -200,24 +209,56 @@ def normalize_commit_set(commits: DataFrame) -> DataFrame:
 
 
 def change_set_diff(a: DataFrame, b: DataFrame, tolerance_s: int = 2) -> DataFrame:
-    """SET-3: rows of either set without a partner in the other: same author, stripped message
-    and parent set, time within ``tolerance_s``. Multiplicity is respected: partners are paired
-    1:1 in time order inside each natural key."""
+    """SET-3: rows of either set without a partner in the other: same author, stripped message and parent
+    set, time within ``tolerance_s``. Partners are paired 1:1, as many as can be: in time order, each row
+    with the earliest unpaired one of the other side that is not too old.
+
+    Rows of a key are first counted per second and side (equal rows are one row from there on). Where the
+    next second of a key is more than the tolerance away, no pair can cross: the runs in between are found
+    by a range sort (``run_starts``: no task holds a key), and pairing walks through each run."""
     key = ["author_name", "author_email", "message", "parents"]
-    na = normalize_commit_set(a)
-    nb = normalize_commit_set(b)
-    both = positions_in_group(
-        na.withColumn("_side", F.lit("a")).unionByName(nb.withColumn("_side", F.lit("b"))),
-        ["_side", *key], ["ts"], "_i")
-    la = both.where(F.col("_side") == "a").drop("_side")
-    lb = both.where(F.col("_side") == "b").drop("_side")
-    j = la.alias("l").join(lb.alias("r"), [*key, "_i"], "full")
-    ok = F.abs(F.col("l.ts") - F.col("r.ts")) <= tolerance_s
-    # both sides' leftovers from one pass over the join
-    sides = F.array(
-        F.struct(F.lit("only_a").alias("side"), *[F.col(c) for c in key], F.col("l.ts").alias("ts"),
-                 (F.col("l.ts").isNotNull() & (F.col("r.ts").isNull() | ~ok)).alias("_keep")),
-        F.struct(F.lit("only_b").alias("side"), *[F.col(c) for c in key], F.col("r.ts").alias("ts"),
-                 (F.col("r.ts").isNotNull() & (F.col("l.ts").isNull() | ~ok)).alias("_keep")),
-    )
-    return j.select(F.inline(F.filter(sides, lambda r: r["_keep"]))).drop("_keep")
+    side = lambda df, name: normalize_commit_set(df).select(*key, "ts", F.lit(int(name == "a")).alias("na"), F.lit(int(name == "b")).alias("nb"))
+    seconds = side(a, "a").unionByName(side(b, "b")).groupBy(*key, "ts").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+
+    def starts(before: Column, row: Column) -> Column:
+        same = F.lit(True)
+        for c in key:
+            same = same & before[c].eqNullSafe(row[c])
+        near = before["ts"].eqNullSafe(row["ts"]) | F.coalesce(row["ts"] - before["ts"] <= tolerance_s, F.lit(False))
+        return before.isNull() | ~same | ~near
+
+    runs = run_starts(seconds, [*key, "ts"], starts)
+    events = F.sort_array(F.collect_list(F.struct("ts", "na", "nb")))
+    grouped = runs.groupBy("_start").agg(*[F.first(c).alias(c) for c in key], events.alias("events"))
+    left = grouped.select(*key, F.inline(_unpaired(F.col("events"), tolerance_s)))
+    out = left.select(F.when(F.col("n") > 0, "only_a").otherwise("only_b").alias("side"), *key, "ts",
+                      F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("n"))).alias("_i"))
+    return out.drop("_i")
+
+
+def _unpaired(events: Column, tolerance_s: int) -> Column:
+    """Walk through a run's seconds (ts, na, nb): array of (ts, n) that stay unpaired, n > 0 rows of the
+    first side and n < 0 of the second. The waiting rows are always of one side (others would have been
+    paired) and within the tolerance, so there are few."""
+    kind = "array<struct<ts:bigint,n:bigint>>"
+    none = F.array().cast(kind)
+
+    def entry(ts: Column, n: Column) -> Column:
+        return F.struct(ts.cast("bigint").alias("ts"), n.cast("bigint").alias("n"))
+
+    def step(state: Column, e: Column) -> Column:
+        old = F.filter(state["wait"], lambda w: w["ts"] < e["ts"] - tolerance_s)
+        wait = F.filter(state["wait"], lambda w: w["ts"] >= e["ts"] - tolerance_s)
+        # the rows that can meet those waiting (of the other sign), and those of the same sign
+        sign = F.when(F.size(wait) > 0, F.signum(F.get(wait, F.lit(0))["n"]).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+        come, join = F.when(sign > 0, e["nb"]).otherwise(e["na"]), F.when(sign > 0, e["na"]).otherwise(e["nb"])
+        before = lambda i: F.aggregate(F.slice(wait, F.lit(1), i), F.lit(0).cast("bigint"), lambda s, w: s + F.abs(w["n"]))
+        taken = lambda w, i: F.least(F.abs(w["n"]), F.greatest(F.lit(0).cast("bigint"), come - before(i)))
+        rest = F.filter(F.transform(wait, lambda w, i: entry(w["ts"], w["n"] - sign * taken(w, i))), lambda w: w["n"] != 0)
+        spare = F.greatest(F.lit(0).cast("bigint"), come - before(F.size(wait)))
+        new = sign * join - sign * spare  # rows of one second pair with each other last
+        added = F.when(new != 0, F.array(entry(e["ts"], new))).otherwise(none)
+        return F.struct(F.concat(rest, added).cast(kind).alias("wait"), F.concat(state["out"], old).cast(kind).alias("out"))
+
+    begin = F.struct(none.alias("wait"), none.alias("out"))
+    return F.aggregate(events, begin, step, lambda s: F.concat(s["out"], s["wait"]))

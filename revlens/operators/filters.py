@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.period import DEFAULT_PERIOD, day_edges, parse_period, resolve_window
-from revlens.functions.scalar import message_subject
+from revlens.functions.scalar import message_subject, utc_date
 
 
 def _ts(dt: datetime) -> Column:
@@ -23,26 +23,29 @@ def _ts(dt: datetime) -> Column:
 
 # ---- time -----------------------------------------------------------------------------
 
-def since(df: DataFrame, when: str | datetime | None, col: str = "commit_date") -> DataFrame:
-    """FLT-1 (+FLT-3): keep ``col >= since``; a date-only bound starts at 00:00:00 UTC."""
-    lo, _ = day_edges(when, None)
+def since(df: DataFrame, when: str | datetime | None, col: str = "commit_date", now: datetime | None = None) -> DataFrame:
+    """FLT-1 (+FLT-3): keep ``col >= since``; a date-only bound starts at 00:00:00 UTC, '6 months ago'
+    counts back from ``now`` (the clock by default)."""
+    lo, _ = day_edges(when, None, now)
     return df if lo is None else df.where(F.col(col) >= _ts(lo))
 
 
 def until(df: DataFrame, when: str | datetime | None, col: str = "commit_date",
-          until_now: bool = False) -> DataFrame:
-    """FLT-2 (+FLT-3): keep ``col <= until``; a date-only bound ends at 23:59:59.999999 UTC.
+          until_now: bool = False, now: datetime | None = None) -> DataFrame:
+    """FLT-2 (+FLT-3): keep ``col <= until``; a date-only bound ends at 23:59:59.999999 UTC, '1 day ago'
+    counts back from ``now`` (the clock by default).
 
     ``until_now`` bounds an open end by the current time (one backend's default).
     """
-    _, hi = day_edges(None, when)
+    _, hi = day_edges(None, when, now)
     if hi is None:
         return df.where(F.col(col) <= F.current_timestamp()) if until_now else df
     return df.where(F.col(col) <= _ts(hi))
 
 
-def date_range(df: DataFrame, since_: str | None, until_: str | None, col: str = "commit_date") -> DataFrame:
-    return until(since(df, since_, col), until_, col)
+def date_range(df: DataFrame, since_: str | None, until_: str | None, col: str = "commit_date",
+               now: datetime | None = None) -> DataFrame:
+    return until(since(df, since_, col, now), until_, col, now=now)
 
 
 def period_window(df: DataFrame, start=None, end=None, period: str | None = None,
@@ -56,10 +59,21 @@ def within_period(df: DataFrame, end_col: str, period: str | None = None, col: s
     """FLT-4 with a per-row end: keep rows whose ``col`` lies in [end - period, end] (whole days,
     UTC), ``end`` read from ``end_col``. Month/year periods clamp at month end (``add_months``)."""
     p = parse_period(period or DEFAULT_PERIOD)
-    end_day = F.to_date(F.col(end_col))
+    end_day = utc_date(end_col) if dict(df.dtypes)[end_col] == "timestamp" else F.to_date(F.col(end_col))
     start_day = F.date_sub(F.add_months(end_day, -p.months), p.days)
-    return df.where((F.col(col) >= start_day.cast("timestamp"))
-                    & (F.col(col) < F.date_add(end_day, 1).cast("timestamp")))
+    return df.where(utc_date(col).between(start_day, end_day))
+
+
+def window_in_order(start: str | Column, end: str | Column) -> Column:
+    """FLT-5 as a column: the window's start day is not after its end day (both in UTC)."""
+    return utc_date(start) <= utc_date(end)
+
+
+def check_windows(df: DataFrame, start: str, end: str) -> DataFrame:
+    """FLT-5 on a table of windows: the same rows; the first one that starts after its end fails the job."""
+    wrong = F.raise_error(F.format_string("window starts after its end: %s, %s", F.col(start).cast("string"), F.col(end).cast("string")))
+    return df.select(*[F.when(window_in_order(start, end), F.col(c)).otherwise(wrong.cast(df.schema[c].dataType)).alias(c) if c == start else F.col(c)
+                       for c in df.columns])
 
 
 def stop_at_since(df: DataFrame, when: str | datetime | None, col: str = "commit_date") -> DataFrame:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.ranking import attach_by_value
-from revlens.session import input_bytes, materialize, shared_path
+from revlens.session import persist_table
 
 
 def parent_edges(commits: DataFrame) -> DataFrame:
@@ -18,116 +14,76 @@ def parent_edges(commits: DataFrame) -> DataFrame:
 
 
 def first_parent(commits: DataFrame, parents: DataFrame | None = None) -> DataFrame:
-    """JN-4: each commit with its first parent's row (left join; root or a parent missing from a
-    shallow history -> nulls). A branch point with very many children is a hot join key: such
-    parents are joined by broadcast (``attach_by_value``), the rest by shuffle."""
-    c = commits.withColumn("first_parent", F.get(F.col("parent_hashes"), 0))
-    children = c.groupBy("first_parent").agg(F.count(F.lit(1)).alias("_cnt"))
+    """JN-4: each commit with its first parent's row (one left join; root or a parent missing from a
+    shallow history -> nulls). A branch point with very many children is a hot key on the left side,
+    which AQE splits."""
     p = (parents if parents is not None else commits).select(
         F.col("commit_hash").alias("first_parent"),
         F.col("author_name").alias("parent_author"),
         F.col("commit_timestamp").alias("parent_timestamp"),
-    ).join(children, "first_parent")
-    return attach_by_value(c, p, "first_parent")
+    )
+    return commits.withColumn("first_parent", F.get(F.col("parent_hashes"), 0)).join(p, "first_parent", "left")
 
 
-BUCKETED_MIN_BYTES = 256 << 20
+MAX_LEVELS = 62
 
 
-def reachable_from(commits: DataFrame, tips: DataFrame, max_rounds: int | None = None,
-                   layout: str = "auto") -> DataFrame:
+def _jumps(first: DataFrame) -> list[DataFrame]:
+    """Jump tables of the first-parent forest: the k-th one leads 2^k steps up. A history of depth d has
+    log2(d) of them, each a join of the one before with itself, written once."""
+    tables = [first]
+    while True:
+        half = tables[-1]
+        double = half.join(half.select(F.col("commit_hash").alias("up"), F.col("up").alias("further")), "up").select(
+            "commit_hash", F.col("further").alias("up"))
+        double = persist_table(double, "jump")
+        if double.isEmpty():
+            return tables
+        tables.append(double)
+        if len(tables) > MAX_LEVELS:
+            raise RuntimeError("the commit graph has a cycle of first parents")
+
+
+def reachable_from(commits: DataFrame, tips: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """JN-7: commits reachable from ``tips`` (column ``commit_hash``) through parent edges.
 
-    Breadth-first frontier expansion; rounds = graph depth from the tips; the loop runs to
-    completion (``max_rounds`` raises instead of truncating).
-
-    ``layout='bucketed'`` (default): the edge table is written once, bucketed on the child hash,
-    and the visited set is a table bucketed on the commit hash and partitioned by round, both in
-    the shared folder. A round reads the previous round's partition as the frontier, joins it
-    with the edges (only the frontier is shuffled; a small frontier is broadcast), anti-joins
-    the bucketed visited table (the candidates already have its partitioning, so nothing else
-    moves) and appends the new commits as the next partition: one write per round, no
-    re-shuffle of edges or visited, and a lost executor recomputes at most one round.
-    ``layout='checkpoint'``: the same loop on reliable checkpoints (no catalog needed); cheaper
-    when the edges are small enough that re-shuffling them per round costs less than a table
-    write per round. ``layout='auto'`` picks 'bucketed' when the commit input (bytes of the plan's
-    leaf relations, from Catalyst statistics) exceeds ``BUCKETED_MIN_BYTES``.
+    A round adds *all* first-parent ancestors of its frontier at once, by jumps of 1, 2, 4, ... commits:
+    the rows found so far and where they lead by the next jump table, for each table in turn, cover every
+    distance. The other parents of what is new are the next frontier. So a straight history of any length
+    is one round of log2(length) joins, and the number of rounds is how deeply merged branches are nested,
+    not how long the history is. ``max_rounds`` raises instead of truncating; every table is written to the
+    shared folder, so a lost executor recomputes at most the step at hand.
     """
-    if layout == "auto":
-        layout = "bucketed" if input_bytes(commits.select("commit_hash", "parent_hashes")) > BUCKETED_MIN_BYTES \
-            else "checkpoint"
-    if layout == "bucketed":
-        try:
-            return _reachable_bucketed(commits, tips, max_rounds)
-        except AnalysisException:  # no usable session catalog: fall back to checkpoints
-            pass
-    return _reachable_checkpointed(commits, tips, max_rounds)
-
-
-def _edge_rows(commits: DataFrame) -> DataFrame:
-    return parent_edges(commits).select(F.col("commit_hash").alias("_child"),
-                                        F.col("parent_hash").alias("commit_hash"))
-
-
-def _reachable_bucketed(commits: DataFrame, tips: DataFrame, max_rounds: int | None) -> DataFrame:
-    spark = commits.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tag = uuid.uuid4().hex[:12]
-    e_name, v_name = f"revlens_edges_{tag}", f"revlens_visited_{tag}"
-    v_path = shared_path(spark, "visited")
-    _edge_rows(commits).write.bucketBy(n, "_child").option("path", shared_path(spark, "edges")).saveAsTable(e_name)
-
-    def append(df: DataFrame, round_no: int) -> None:
-        (df.select("commit_hash", F.lit(round_no).alias("_round")).write.mode("append")
-         .partitionBy("_round").bucketBy(n, "commit_hash").option("path", v_path).saveAsTable(v_name))
-
-    try:
-        append(tips.select("commit_hash").where(F.col("commit_hash").isNotNull()).distinct(), 0)
-        edges = spark.table(e_name)
-        rounds = 0
-        while True:
-            visited = spark.table(v_name)
-            frontier = visited.where(F.col("_round") == rounds).select(F.col("commit_hash").alias("_child"))
-            step = (frontier.join(edges, "_child").select("commit_hash").distinct()
-                    .join(visited.select("commit_hash"), "commit_hash", "left_anti"))
-            rounds += 1
-            append(step, rounds)
-            if spark.table(v_name).where(F.col("_round") == rounds).isEmpty():
-                break
-            if max_rounds is not None and rounds > max_rounds:
-                raise RuntimeError(f"reachability did not converge within {max_rounds} rounds")
-    finally:
-        # table entries only; the data stays in the shared folder
-        spark.sql(f"DROP TABLE IF EXISTS {e_name}")
-        spark.sql(f"DROP TABLE IF EXISTS {v_name}")
-    return spark.read.parquet(v_path).select("commit_hash")
-
-
-def _reachable_checkpointed(commits: DataFrame, tips: DataFrame, max_rounds: int | None) -> DataFrame:
-    edges = materialize(_edge_rows(commits).repartition("_child"))
-    seeds = materialize(tips.select("commit_hash").where(F.col("commit_hash").isNotNull()).distinct())
-    parts = [seeds]
-    frontier = seeds
-    rounds = 0
+    edges = persist_table(parent_edges(commits), "edges")
+    first = edges.where(F.col("pos") == 0).select("commit_hash", F.col("parent_hash").alias("up"))
+    others = edges.where(F.col("pos") > 0).select("commit_hash", F.col("parent_hash").alias("up"))
+    jumps = _jumps(persist_table(first.distinct(), "jump"))
+    frontier = persist_table(tips.select("commit_hash").where(F.col("commit_hash").isNotNull()).distinct(), "frontier")
+    found: list[DataFrame] = []
     while True:
-        visited = parts[0]
-        for p in parts[1:]:
-            visited = visited.unionByName(p)
-        step = (
-            frontier.select(F.col("commit_hash").alias("_child"))
-            .join(edges, "_child")
-            .select("commit_hash")
-            .distinct()
-            .join(visited, "commit_hash", "left_anti")
-        )
-        step = materialize(step)
-        if step.isEmpty():
-            return visited
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"reachability did not converge within {max_rounds} rounds")
-        parts.append(step)
-        frontier = step
+        reach = frontier
+        for jump in jumps:
+            further = reach.join(jump, "commit_hash").select(F.col("up").alias("commit_hash"))
+            reach = reach.unionByName(further).distinct()
+        seen = _union(found)
+        new = persist_table(reach if seen is None else reach.join(seen, "commit_hash", "left_anti"), "reached")
+        found.append(new)
+        if len(found) >= 8:  # few parts to read in each round
+            found = [persist_table(_union(found), "reached")]
+        rest = others.join(new, "commit_hash").select(F.col("up").alias("commit_hash")).distinct()
+        frontier = persist_table(rest.join(_union(found), "commit_hash", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return _union(found)
+        max_rounds = None if max_rounds is None else max_rounds - 1
+        if max_rounds == 0:
+            raise RuntimeError("reachability did not converge within the given number of rounds")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 def branch_tips(commits: DataFrame) -> DataFrame:

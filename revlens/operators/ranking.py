@@ -1,20 +1,13 @@
-"""Global RANK and deciles without a single-partition window.
-
-``RANK() OVER (ORDER BY v DESC)`` in Spark runs in one task. Here the rank is built from
-parallel pieces:
-
-1. collapse ties: ``groupBy(v).count()`` (map-side partial aggregation, so a value shared by
-   a third of all rows becomes one row);
-2. put each distinct value in a log-scale bucket whose id is monotone in ``v``; the id range
-   is fixed by the function, not by the data (|id| <= 1024 * SUB_BUCKETS + 1), so the per-bucket
-   count table has a proven size bound and may be broadcast;
-3. rank = rows in earlier buckets + rows before it inside its bucket + 1. The bucket offsets come
-   from a window over the bounded bucket table; the inside-bucket prefix from a window
-   partitioned by bucket;
-4. join the per-value rank back on ``v`` (one row per distinct value: Spark's size check picks
-   broadcast or a shuffle join; AQE splits a skewed value).
-
-The result equals ``RANK()`` exactly: ties share a value, hence a bucket.
+"""Global order without one task: RANK, deciles and positions inside groups.
+
+``RANK() OVER (ORDER BY v DESC)`` in Spark runs in one task, and a window partitioned by a key puts a
+hot key into one task. Here rows are sorted by range partitioning instead (any run of equal or similar
+values is spread over as many sort partitions as its size needs), each row remembers its partition and
+place, and what a row needs from before its own partition comes from a table with one row per sort
+partition: that table is as small as the number of partitions, and the only thing broadcast.
+
+Ranks collapse ties first (``groupBy(v).count()``, combined map-side), so a value shared by a third of
+all rows is one row; the rank goes back to the rows by a plain join on the value, which AQE splits.
 """
 
 from __future__ import annotations
@@ -22,91 +15,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SUB_BUCKETS = 64
-
-
-def log_bucket(v: Column, sub: int = SUB_BUCKETS) -> Column:
-    """Monotone (non-decreasing) bucket id of a numeric value; bounded range."""
-    x = v.cast("double")
-    pos = F.floor(F.lit(float(sub)) * F.log2(F.lit(1.0) + x))
-    neg = -F.floor(F.lit(float(sub)) * F.log2(F.lit(1.0) - x)) - F.lit(1)
-    return F.when(x >= 0, pos).otherwise(neg).cast("int")
-
-
-def value_ranks(df: DataFrame, value_col: str, rank_col: str = "rank",
-                count_col: str = "n", descending: bool = True) -> DataFrame:
-    """Distinct values of ``value_col`` with their min-rank and the number of ranked rows."""
-    v = F.col(value_col)
-    counts = (
-        df.where(v.isNotNull())
-        .groupBy(value_col)
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-        .withColumn("_b", log_bucket(v))
-    )
-    order_b = F.col("_b").desc() if descending else F.col("_b").asc()
-    order_v = v.desc() if descending else v.asc()
-    # Bounded table: at most 2 * (1024 * SUB_BUCKETS + 1) rows whatever the input size.
-    per_bucket = counts.groupBy("_b").agg(F.sum("_cnt").alias("_bcnt"))
-    offsets = per_bucket.select(
-        "_b",
-        F.coalesce(
-            F.sum("_bcnt").over(Window.orderBy(order_b).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-        F.sum("_bcnt").over(Window.partitionBy()).alias("_n"),
-    )
-    inside = counts.select(
-        value_col,
-        "_b",
-        "_cnt",
-        F.coalesce(
-            F.sum("_cnt").over(
-                Window.partitionBy("_b").orderBy(order_v).rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    return inside.join(F.broadcast(offsets), "_b").select(
-        value_col,
-        (F.col("_off") + F.col("_before") + F.lit(1)).cast("int").alias(rank_col),
-        F.col("_n").cast("bigint").alias(count_col),
-        "_cnt",
-    )
+from revlens.session import materialize
 
+_BEFORE = (Window.unboundedPreceding, -1)
 
-def with_rank(df: DataFrame, value_col: str, rank_col: str = "rank",
-              count_col: str | None = None, descending: bool = True) -> DataFrame:
-    """Attach the global min-rank of ``value_col`` (and optionally the row count) to every row."""
-    tmp_n = count_col or f"_n_{rank_col}"
-    from revlens.session import materialize
 
-    # one row per distinct value, read by both branches of the split join: computed once
-    ranks = materialize(value_ranks(df, value_col, rank_col, tmp_n, descending))
-    out = attach_by_value(df, ranks, value_col)
-    return out if count_col else out.drop(tmp_n)
+def in_order(df: DataFrame, *order) -> DataFrame:
+    """``df`` sorted globally, once, with ``_part`` (sort partition) and ``_idx`` (place in it)."""
+    placed = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    return placed.select("*", F.shiftrightunsigned("_mid", 33).alias("_part"),
+                         F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_idx")).drop("_mid")
+
 
+def _sum_before(value: str, window) -> Column:
+    return F.coalesce(F.sum(value).over(window.rowsBetween(*_BEFORE)), F.lit(0))
 
-# Values shared by more rows than this are joined by broadcast (at most rows / HOT_VALUE_ROWS).
-HOT_VALUE_ROWS = 100_000
 
+def multi_value_ranks(df: DataFrame, cols: list[str], descending: bool = True) -> DataFrame:
+    """Min-ranks of the distinct values of several columns of one type: rows ``(_kind, _v, _rank, _n)``,
+    ``_kind`` being the column's index and ``_n`` the number of ranked rows. The columns are stacked as
+    (index, value) pairs, so one count, one sort and one pass of prefix sums serve all of them."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).alias("_v")) for i, c in enumerate(cols)])
+    counts = df.select(F.inline(pairs)).where(F.col("_v").isNotNull()).groupBy("_kind", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    placed = in_order(counts, "_kind", F.col("_v").desc() if descending else F.col("_v").asc())
+    per_part = placed.groupBy("_part", "_kind").agg(F.sum("_cnt").alias("_c"))
+    by_kind = Window.partitionBy("_kind")  # a row per sort partition
+    offsets = per_part.select("_part", "_kind", _sum_before("_c", by_kind.orderBy("_part")).alias("_off"), F.sum("_c").over(by_kind).alias("_n"))
+    inside = placed.select("*", _sum_before("_cnt", Window.partitionBy("_part", "_kind").orderBy("_idx")).alias("_in"))
+    return inside.join(F.broadcast(offsets), ["_part", "_kind"]).select(
+        "_kind", "_v", (F.col("_off") + F.col("_in") + 1).cast("bigint").alias("_rank"), F.col("_n").cast("bigint").alias("_n"))
 
-def attach_by_value(base: DataFrame, per_value: DataFrame, value_col, cnt_col: str = "_cnt",
-                    hot_threshold: int = HOT_VALUE_ROWS, how: str = "left") -> DataFrame:
-    """Left-join one-row-per-value results onto ``base`` without a hot join key.
 
-    ``per_value`` carries each key's row count in ``base``. Keys with more than ``hot_threshold``
-    rows (at most rows / hot_threshold of them: a proven bound) are joined by broadcast,
-    map-side; only the remaining rows go through the shuffle join, where no key is hot any more.
-    ``value_col`` may be a column name or a list of them; ``how`` is 'left' or 'inner'.
-    """
-    keys = [value_col] if isinstance(value_col, str) else list(value_col)
-    payload = [c for c in per_value.columns if c not in (*keys, cnt_col)]
-    hot = per_value.where(F.col(cnt_col) > hot_threshold).drop(cnt_col).withColumn("_hot", F.lit(True))
-    cold = per_value.where(F.col(cnt_col) <= hot_threshold).drop(cnt_col)
-    first = base.join(F.broadcast(hot), keys, "left")
-    hot_rows = first.where(F.col("_hot")).drop("_hot")
-    cold_rows = first.where(F.col("_hot").isNull()).drop("_hot", *payload).join(cold, keys, how)
-    return hot_rows.unionByName(cold_rows)
+def with_rank(df: DataFrame, value_col: str, rank_col: str = "rank",
+              count_col: str | None = None, descending: bool = True) -> DataFrame:
+    """Attach the global min-rank of ``value_col`` (and optionally the row count) to every row."""
+    ranks = multi_value_ranks(df, [value_col], descending).select(
+        F.col("_v").alias(value_col), F.col("_rank").alias(rank_col), *([F.col("_n").alias(count_col)] if count_col else []))
+    return df.join(ranks, value_col, "left")
 
 
 def decile_of(rank: Column, n: Column) -> Column:
@@ -124,77 +69,35 @@ def with_decile(df: DataFrame, value_col: str, decile_col: str) -> DataFrame:
     return ranked.withColumn(decile_col, decile_of(F.col(rk), F.col(n))).drop(rk, n)
 
 
+def run_starts(df: DataFrame, order: list[str], starts) -> DataFrame:
+    """Rows in the order of ``order`` with ``_gpos`` (global position from 1) and ``_start`` (position of
+    the first row of the row's run). ``starts(before, row)`` says whether a row begins a run, from structs
+    of the ``order`` columns of the row before (null for the first) and of the row itself. No join or
+    window is keyed by a run, so a run may hold any share of the rows."""
+    placed = in_order(df, *order)
+    row = F.struct(*[F.col(c) for c in order])
+    per_part = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), F.max_by(row, "_idx").alias("_last"))
+    by_part, in_part = Window.orderBy("_part"), Window.partitionBy("_part").orderBy("_idx")
+    parts = per_part.select("_part", _sum_before("_c", by_part).alias("_off"), F.lag("_last").over(by_part).alias("_prev"))
+    marked = placed.join(F.broadcast(parts), "_part").withColumn("_gpos", F.col("_off") + F.col("_idx") + 1)
+    first = starts(F.coalesce(F.lag(row).over(in_part), F.col("_prev")), row)
+    marked = marked.withColumn("_first", F.when(first, F.col("_gpos")))
+    marked = materialize(marked.withColumn("_in", F.max("_first").over(in_part.rowsBetween(Window.unboundedPreceding, 0))))
+    carry = marked.groupBy("_part").agg(F.max("_first").alias("_m")).select(
+        "_part", F.max("_m").over(by_part.rowsBetween(*_BEFORE)).alias("_carry"))
+    return marked.join(F.broadcast(carry), "_part").select(*df.columns, "_gpos", F.coalesce("_in", "_carry").alias("_start"))
+
+
 def positions_in_group(df: DataFrame, group_cols, order_cols, out: str = "pos") -> DataFrame:
     """1-based position of each row inside its group by ``order_cols`` (``row_number`` semantics)
-    without sorting, joining or windowing a group in one task.
-
-    1. A global ``orderBy(group, order)`` is range-partitioned, so a group holding most of the
-       rows is spread over many sort partitions; ``monotonically_increasing_id`` encodes
-       (sort partition, index in partition) and the rows are checkpointed so ids are stable.
-    2. A table with one row per sort partition (row count, last group) gives each partition its
-       global offset and the group that ended the previous partition (bounded, broadcast).
-    3. A window per sort partition (bounded by the range partitioning, never by a group) marks
-       rows where the group changes and carries the latest group start forward.
-    4. Rows whose group started in an earlier partition take that start from a second
-       one-row-per-partition table (running max of starts), broadcast.
-    Position = global position - group start + 1. No join or window is keyed by the group.
-    """
-    from revlens.session import materialize
-
+    without sorting, joining or windowing a group in one task."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    g = F.struct(*[F.col(c) for c in group_cols])
-    ordered = materialize(df.orderBy(*group_cols, *order_cols).withColumn("_mid", F.monotonically_increasing_id()))
-    placed = ordered.withColumn("_part", F.shiftrightunsigned(F.col("_mid"), 33)) \
-        .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    # Bounded: one row per sort partition.
-    per_part = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), F.max_by(g, "_idx").alias("_last_g"))
-    by_part = Window.orderBy("_part")
-    parts = per_part.select(
-        "_part",
-        F.coalesce(F.sum("_c").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.lag("_last_g").over(by_part).alias("_prev_g"),
-    )
-    in_part = Window.partitionBy("_part").orderBy("_idx")
-    marked = placed.join(F.broadcast(parts), "_part").withColumn("_gpos", F.col("_off") + F.col("_idx") + F.lit(1))
-    prev = F.coalesce(F.lag(g).over(in_part), F.col("_prev_g"))
-    marked = marked.withColumn("_is_start", ~prev.eqNullSafe(g))
-    marked = materialize(marked.withColumn(
-        "_start_in", F.max(F.when(F.col("_is_start"), F.col("_gpos"))).over(in_part.rowsBetween(Window.unboundedPreceding, 0))))
-    # Bounded: one row per sort partition; the latest start before each partition.
-    carry = marked.groupBy("_part").agg(F.max(F.when(F.col("_is_start"), F.col("_gpos"))).alias("_pmax")).select(
-        "_part", F.max("_pmax").over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    joined = marked.join(F.broadcast(carry), "_part")
-    start = F.coalesce(F.col("_start_in"), F.col("_carry"))
-    return joined.withColumn(out, (F.col("_gpos") - start + F.lit(1)).cast("int")).drop(
-        "_mid", "_part", "_idx", "_c", "_off", "_prev_g", "_gpos", "_is_start", "_start_in", "_carry")
 
+    def starts(before: Column, row: Column) -> Column:
+        same = F.lit(True)
+        for c in group_cols:
+            same = same & before[c].eqNullSafe(row[c])
+        return before.isNull() | ~same
 
-def multi_value_ranks(df: DataFrame, cols: list[str], descending: bool = True) -> DataFrame:
-    """``value_ranks`` for several columns in one pass: rows ``(_kind, _v, _rank, _n, _cnt)`` where
-    ``_kind`` is the column's index. The columns are stacked as (index, value) pairs so a single
-    count aggregate, a single bounded bucket table and a single in-bucket window serve all of
-    them (the columns must share a type)."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).alias("_v")) for i, c in enumerate(cols)])
-    stacked = df.select(F.inline(pairs)).where(F.col("_v").isNotNull())
-    counts = stacked.groupBy("_kind", "_v").agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_b", log_bucket(F.col("_v")))
-    order_b = F.col("_b").desc() if descending else F.col("_b").asc()
-    order_v = F.col("_v").desc() if descending else F.col("_v").asc()
-    # Bounded: at most len(cols) * 2 * (1024 * SUB_BUCKETS + 1) rows whatever the input size.
-    per_bucket = counts.groupBy("_kind", "_b").agg(F.sum("_cnt").alias("_bcnt"))
-    offsets = per_bucket.select(
-        "_kind", "_b",
-        F.coalesce(F.sum("_bcnt").over(Window.partitionBy("_kind").orderBy(order_b)
-                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bcnt").over(Window.partitionBy("_kind")).alias("_n"),
-    )
-    inside = counts.select(
-        "_kind", "_v", "_b", "_cnt",
-        F.coalesce(F.sum("_cnt").over(Window.partitionBy("_kind", "_b").orderBy(order_v)
-                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    )
-    return inside.join(F.broadcast(offsets), ["_kind", "_b"]).select(
-        "_kind", "_v",
-        (F.col("_off") + F.col("_before") + F.lit(1)).cast("int").alias("_rank"),
-        F.col("_n").cast("bigint").alias("_n"),
-        "_cnt",
-    )
+    runs = run_starts(df, [*group_cols, *order_cols], starts)
+    return runs.withColumn(out, (F.col("_gpos") - F.col("_start") + 1).cast("bigint")).drop("_gpos", "_start")

@@ -22,36 +22,19 @@ def explode_changes(commits: DataFrame) -> DataFrame:
     )
 
 
-MAX_CHANGES_PER_ROW = 1_000_000
+def assemble_commits(changes: DataFrame) -> DataFrame:
+    """AGG-5: flat changes -> nested commits, one row a commit (changes sorted by path, then values).
 
-
-def assemble_commits(changes: DataFrame, max_changes_per_row: int | None = MAX_CHANGES_PER_ROW) -> DataFrame:
-    """AGG-5: flat changes -> nested commits (changes sorted by path, then values).
-
-    Grouped by the commit hash; the other commit columns are functionally dependent and
-    carried with ``first`` so the shuffle key stays narrow. Null-path rows (commits without
-    changes) contribute an empty list.
-
-    A commit with more than ``max_changes_per_row`` changes is emitted as several nested rows
-    (same commit columns, disjoint change lists chosen by a hash of the change), so no single
-    row or task has to hold an unbounded list. The table of such hot commits holds at most
-    rows / max_changes_per_row entries, which bounds its broadcast.
+    Grouped by the commit hash; the other commit columns are functionally dependent and carried with
+    ``first`` so the shuffle key stays narrow. Null-path rows (commits without changes) contribute an
+    empty list. A nested row holds all changes of its commit, so it is the form for the edges (dumps,
+    JSON); the analytic operators all work on flat rows, where a commit of any size is many rows.
     """
     fc = F.struct(
         F.col("file_paths").alias("file_path"), "additions", "deletions", "change_type", "old_file_path"
     )
-    keys = ["commit_hash"]
-    if max_changes_per_row:
-        sizes = changes.groupBy("commit_hash").agg(F.count(F.lit(1)).alias("_n"))
-        hot = sizes.where(F.col("_n") > max_changes_per_row).select(
-            "commit_hash", F.ceil(F.col("_n") / F.lit(max_changes_per_row)).alias("_chunks"))
-        chunk = F.when(F.col("_chunks").isNull(), F.lit(0).cast("bigint")).otherwise(
-            F.pmod(F.xxhash64("file_paths", "additions", "deletions", "change_type", "old_file_path"),
-                   F.col("_chunks")))
-        changes = changes.join(F.broadcast(hot), "commit_hash", "left").withColumn("_chunk", chunk)
-        keys = ["commit_hash", "_chunk"]
     carried = [F.first(c).alias(c) for c in COMMIT_COLUMNS if c != "commit_hash"]
-    nested = changes.groupBy(*keys).agg(
+    nested = changes.groupBy("commit_hash").agg(
         *carried,
         F.sort_array(F.collect_list(F.when(F.col("file_paths").isNotNull(), fc))).alias("file_changes"),
     )
@@ -62,7 +45,8 @@ def last_wins(rows: DataFrame, keys=("commit_hash", "file_path"), order_col: str
               value_cols=("additions", "deletions", "change_type")) -> DataFrame:
     """AGG-6: for duplicate keys the LAST row (largest ``order_col``) wins, per value column.
 
-    ``max_by`` is an ordinary aggregate: map-side partial, no sort of the whole group.
+    ``max_by`` combines map-side. With a numeric ``order_col`` and numeric values it is a hash aggregate;
+    text values make it a sort aggregate, of rows already reduced to one a key and task.
     """
     aggs = [F.max_by(c, F.col(order_col)).alias(c) for c in value_cols]
     return rows.groupBy(*keys).agg(*aggs)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.ranking import attach_by_value, decile_of, multi_value_ranks, with_rank
+from revlens.functions.scalar import month_bucket
+from revlens.operators.ranking import decile_of, multi_value_ranks, with_rank
 from revlens.schema import STATS, STATS_COLUMNS, empty
 from revlens.session import materialize
 
@@ -28,46 +29,31 @@ def author_totals(changes: DataFrame) -> DataFrame:
     )
 
 
-def ranked_stats(totals: DataFrame, legacy_email_join: bool = False) -> DataFrame:
-    """PRJ-12 + WIN-1..3 over AGG-1 output: total, rank, diff_decile, commit_decile.
-
-    ``legacy_email_join`` reproduces the reference's decile merge keyed on email only (an email
-    with k names yields k^3 rows); the default keys by (email, name), one row per author.
-    """
+def ranked_stats(totals: DataFrame) -> DataFrame:
+    """PRJ-12 + WIN-1..3 over AGG-1 output: total, rank, diff_decile, commit_decile; one row per author
+    (email, name). One pass ranks both columns; their ranks come back by one plain join each."""
     base = totals.withColumn("total", (F.col("added") + F.col("deleted")).cast("bigint"))
-    # one pass ranks both columns; one row per distinct value, read by four join branches below,
-    # so it is checkpointed once
-    ranks = materialize(multi_value_ranks(base, ["total", "commits"]))
-    by_total = ranks.where(F.col("_kind") == 0).select(
-        F.col("_v").alias("total"), F.col("_rank").alias("rank"), F.col("_n"), "_cnt")
-    by_commits = ranks.where(F.col("_kind") == 1).select(
-        F.col("_v").alias("commits"), F.col("_rank").alias("_crank"), F.col("_n").alias("_cn"), "_cnt")
-    # join-back split: values shared by many authors go by broadcast, the rest by shuffle
+    ranks = materialize(multi_value_ranks(base, ["total", "commits"]))  # a row per distinct value, read twice
+    by_total = ranks.where(F.col("_kind") == 0).select(F.col("_v").alias("total"), F.col("_rank").alias("rank"), "_n")
+    by_commits = ranks.where(F.col("_kind") == 1).select(F.col("_v").alias("commits"), F.col("_rank").alias("_crank"), F.col("_n").alias("_cn"))
     scored = (
-        attach_by_value(attach_by_value(base, by_total, "total"), by_commits, "commits")
+        base.join(by_total, "total", "left").join(by_commits, "commits", "left")
         .withColumn("diff_decile", decile_of(F.col("rank"), F.col("_n")))
         .withColumn("commit_decile", decile_of(F.col("_crank"), F.col("_cn")))
     )
-    if legacy_email_join:
-        core = scored.select("author_email", "author_name", "added", "deleted", "commits", "total", "rank")
-        dd = scored.select("author_email", "diff_decile")
-        cd = scored.select("author_email", "commit_decile")
-        scored = core.join(dd, "author_email", "left").join(cd, "author_email", "left")
     return scored.select(*STATS_COLUMNS)
 
 
-def author_scoreboard(changes: DataFrame, legacy_email_join: bool = False, ordered: bool = True,
-                      materialize_totals: bool = True) -> DataFrame:
+def author_scoreboard(changes: DataFrame, ordered: bool = True, materialize_totals: bool = True) -> DataFrame:
     """WIN-4 (flagship): STATS rows, ordered by total desc (ties broken by email, name).
 
-    The per-author totals (one row per author, small next to the change rows) feed three
-    branches: the join target and two rank computations. They are checkpointed once so the
-    scan, join and aggregation of the change rows run a single time.
+    The per-author totals (one row per author, small next to the change rows) feed the join target and
+    the ranks. They are checkpointed once so the scan, join and aggregation of the change rows run once.
     """
     totals = author_totals(changes)
     if materialize_totals:
         totals = materialize(totals)
-    stats = ranked_stats(totals, legacy_email_join)
+    stats = ranked_stats(totals)
     return get_ranking(stats) if ordered else stats
 
 
@@ -109,25 +95,33 @@ def patch_totals(file_stats: DataFrame, keys=("commit_hash",)) -> DataFrame:
 
 
 def dataset_profile(changes: DataFrame, approximate: bool = False) -> DataFrame:
-    """AGG-8: distinct authors, distinct commits, summed additions/deletions, rows."""
+    """AGG-8: distinct authors, distinct commits, summed additions/deletions, rows.
+
+    Exact distincts in two levels: sums per (author, commit), which combine map-side, then each key is
+    counted once over those far fewer rows; change rows are never multiplied by an Expand."""
     if approximate:
-        authors = F.approx_count_distinct("author_email")
-        commits = F.approx_count_distinct("commit_hash")
-    else:
-        authors = F.count_distinct("author_email")
-        commits = F.count_distinct("commit_hash")
-    return changes.agg(
-        authors.cast("bigint").alias("authors"),
-        commits.cast("bigint").alias("commits"),
-        F.coalesce(F.sum("additions"), F.lit(0)).cast("bigint").alias("additions"),
-        F.coalesce(F.sum("deletions"), F.lit(0)).cast("bigint").alias("deletions"),
-        F.count(F.lit(1)).cast("bigint").alias("rows"),
-    )
+        return changes.agg(
+            F.approx_count_distinct("author_email").cast("bigint").alias("authors"),
+            F.approx_count_distinct("commit_hash").cast("bigint").alias("commits"),
+            F.coalesce(F.sum("additions"), F.lit(0)).cast("bigint").alias("additions"),
+            F.coalesce(F.sum("deletions"), F.lit(0)).cast("bigint").alias("deletions"),
+            F.count(F.lit(1)).cast("bigint").alias("rows"))
+    pairs = changes.groupBy("author_email", "commit_hash").agg(
+        F.sum("additions").alias("a"), F.sum("deletions").alias("d"), F.count(F.lit(1)).alias("n"))
+    # one level more: per key of either kind, as (kind, key) rows
+    keys = F.array(F.struct(F.lit("author").alias("kind"), F.col("author_email").alias("key"), "a", "d", "n"),
+                   F.struct(F.lit("commit").alias("kind"), F.col("commit_hash").alias("key"), F.lit(0).cast("bigint").alias("a"),
+                            F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("n")))
+    per_key = pairs.select(F.inline(keys)).groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("d").alias("d"), F.sum("n").alias("n"))
+    known = lambda kind: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull()).cast("bigint")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per_key.agg(known("author").alias("authors"), known("commit").alias("commits"), total("a").alias("additions"),
+                       total("d").alias("deletions"), total("n").alias("rows"))
 
 
 def commits_per_month(changes: DataFrame) -> DataFrame:
     """AGG-9: month -> distinct commits. Distinct (month, commit) first, then count: no distinct agg."""
-    month = F.date_format("commit_date", "yyyy-MM").alias("month")
+    month = month_bucket("commit_date").alias("month")
     return (
         changes.select(month, "commit_hash")
         .where(F.col("commit_hash").isNotNull())

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.plans.oracle import SCOREBOARD_FROM_SRC, with_mapping
+from revlens.schema import CHANGE_COLUMNS
 from revlens.sources import testdata as td
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,20 +42,14 @@ def parents_text(col: str = "parent_hashes", alias: str = "parents") -> F.Column
     return F.array_join(F.col(col), " ").alias(alias)
 
 
-CHANGE_OUT_COLS = ["commit_hash", "parents", "author_name", "author_email", "commit_date",
-                   "commit_timestamp", "commit_message", "file_paths", "change_type", "additions",
-                   "deletions", "old_file_path"]
-
-CHANGE_SELECT = "SELECT " + ", ".join(CHANGE_OUT_COLS) + " FROM changes"
+#: The public columns in oracle-comparable form: parents as text, times without a zone.
+CHANGE_SELECT = "SELECT " + ", ".join("parents" if c == "parent_hashes" else c for c in CHANGE_COLUMNS) + " FROM changes"
 
 
 def change_out(df: DataFrame) -> DataFrame:
-    """Flat CHANGE rows in oracle-comparable form (parents as text, NTZ timestamps)."""
-    return df.select(
-        "commit_hash", parents_text(), "author_name", "author_email", ntz("commit_date"),
-        "commit_timestamp", "commit_message", "file_paths", "change_type", "additions",
-        "deletions", "old_file_path",
-    )
+    """Flat CHANGE rows in oracle-comparable form."""
+    rendered = {"parent_hashes": parents_text(), "commit_date": ntz("commit_date")}
+    return df.select(*[rendered.get(c, c) for c in CHANGE_COLUMNS])
 
 
 # Import the query modules for their registrations.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +47,14 @@ def get_changes(
     date_col: str = "commit_date",
     expected_version: str = PQ.DATA_VERSION,
     force_version: bool = False,
+    now: datetime | None = None,
 ) -> DataFrame:
     """SRC-10: source -> filtered flat CHANGE frame.
 
     ``source``: a DataFrame (nested COMMIT or flat CHANGE rows), or a path read as ``fmt``
     ('log' marker-delimited text, 'json' SNK-5 output, 'parquet' versioned change set).
-    Filters (D1-D17 decisions): dates inclusive with day edges on ``date_col``; author is any
+    Filters (D1-D17 decisions): dates inclusive with day edges on ``date_col``, or '6 months ago' counted
+    back from ``now`` (the clock by default); author is any
     '|' part matched as ``author_match`` on name or email; ``me=(name, email)`` is exclusive
     with ``author``; paths are plain prefixes, include before exclude, and with path filters on
     commits left without changes are dropped.
@@ -64,12 +67,12 @@ def get_changes(
         df = LT.read_json(spark, source)
     elif fmt == "parquet":
         df, _ = PQ.read_changes(spark, source, expected_version, force_version, keep_partitions=True)
-        df = PQ.prune_months(df, since, until).drop(PQ.MONTH_COL)
+        df = PQ.prune_months(df, since, until, now).drop(PQ.MONTH_COL)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
     query = FL.current_user(me, author)
-    df = FL.date_range(df, since, until, date_col)
+    df = FL.date_range(df, since, until, date_col, now)
     df = FL.author(df, query, match=author_match, case_sensitive=author_case_sensitive)
     if grep is not None:
         df = FL.grep(df, grep, grep_mode, grep_scope)
@@ -106,7 +109,6 @@ def scoreboard(
     stored: dict[str, str] | None = None,
     apply_window: bool = True,
     rank_scope: str = "matches",
-    legacy_email_join: bool = False,
 ) -> Scoreboard:
     """The scoreboard command as frames: window -> author mask -> stats -> reports.
 
@@ -121,7 +123,7 @@ def scoreboard(
         changes = FL.date_range(changes, w.since, w.until)
     query = FL.current_user(me, author)
     masked = FL.author_mask(changes, query) if (query is not None and rank_scope == "matches") else changes
-    stats = author_scoreboard(masked, legacy_email_join=legacy_email_join, ordered=False)
+    stats = author_scoreboard(masked, ordered=False)
     view = R.author_report(stats, query) if query is not None else None
     return Scoreboard(
         stats=stats,

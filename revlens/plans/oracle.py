@@ -96,7 +96,7 @@ ranked AS (
 ),
 stats AS (
   SELECT author_email, author_name, added, deleted, commits, CAST(total AS BIGINT) AS total,
-         CAST(rk AS INTEGER) AS rank,
+         CAST(rk AS BIGINT) AS rank,
          CAST(CASE WHEN rk = 1 THEN 1 ELSE least(10, (rk * 10 + n - 1) // n) END AS INTEGER) AS diff_decile,
          CAST(CASE WHEN crk = 1 THEN 1 ELSE least(10, (crk * 10 + n - 1) // n) END AS INTEGER) AS commit_decile
   FROM ranked

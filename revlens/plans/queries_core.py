@@ -131,7 +131,7 @@ def _ev_totals(spark, sf):
 
 
 @register("diff_rank", with_mapping(
-    _EV_TOTALS + " SELECT author_email, total, CAST(rank() OVER (ORDER BY total DESC) AS INTEGER) AS rank FROM t"))
+    _EV_TOTALS + " SELECT author_email, total, CAST(rank() OVER (ORDER BY total DESC) AS BIGINT) AS rank FROM t"))
 def q_diff_rank(spark, sf):
     return with_rank(_ev_totals(spark, sf), "total", "rank").select("author_email", "total", "rank")
 
@@ -161,18 +161,7 @@ def q_event_scoreboard(spark, sf):
     return S.author_scoreboard(td.event_changes(spark, sf))
 
 
-# ---- JN-2/3: decile attach, legacy email-only key (D12) -------------------------------
-
-@register("attach_deciles_legacy", with_mapping(
-    ", src AS (SELECT shared_email AS author_email, author_name, commit_hash, additions, deletions FROM changes)"
-    + SCOREBOARD_FROM_SRC
-    + ", core AS (SELECT author_email, author_name, added, deleted, commits, total, rank FROM stats)"
-    " SELECT core.*, d.diff_decile, c.commit_decile FROM core"
-    " LEFT JOIN (SELECT author_email, diff_decile FROM stats) d ON d.author_email = core.author_email"
-    " LEFT JOIN (SELECT author_email, commit_decile FROM stats) c ON c.author_email = core.author_email"))
-def q_attach_deciles_legacy(spark, sf):
-    return S.author_scoreboard(td.changes(spark, sf, email_mode="shared"), legacy_email_join=True, ordered=False)
-
+# ---- JN-2/3: decile attach, keyed by (email, name) (D12) -------------------------------
 
 @register("attach_deciles", with_mapping(
     ", src AS (SELECT shared_email AS author_email, author_name, commit_hash, additions, deletions FROM changes)"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from revlens.operators import filters as FL
 from revlens.operators.reshape import explode_changes
 from revlens.operators.stats import author_scoreboard
-from revlens.plans.catalog import CHANGE_SELECT, SCOREBOARD_FROM_SRC, change_out, register, td, with_mapping
+from revlens.plans.catalog import CHANGE_SELECT, SCOREBOARD_FROM_SRC, change_out, ntz, register, td, with_mapping
 
 
 def _flat(spark, sf):
@@ -33,6 +35,28 @@ def q_day_edges(spark, sf):
     return change_out(FL.date_range(_flat(spark, sf), "1997-03-01", "1997-03-31"))
 
 
+@register("relative_window", with_mapping(
+    CHANGE_SELECT + " WHERE commit_date >= TIMESTAMP '1998-02-28 12:00:00' AND commit_date <= TIMESTAMP '1998-08-24 12:00:00'"))
+def q_relative_window(spark, sf):
+    """SRC-10 / FLT-3 with periods counted back from a fixed clock."""
+    now = datetime(1998, 8, 31, 12, tzinfo=timezone.utc)
+    return change_out(FL.date_range(_flat(spark, sf), "6 months ago", "a week ago", now=now))
+
+
+@register("check_window", with_mapping(
+    "SELECT commit_hash, commit_date, commit_date + INTERVAL (ok % 3) DAY AS window_end, (ok % 7) <> 0 AS in_order FROM commits"))
+def q_check_window(spark, sf):
+    """FLT-5: windows that begin at a commit and end up to two days later, checked while they are read (one
+    that starts after its end fails the job), then turned round for one commit in seven and tested."""
+    heads = td.commit_heads(spark, sf).withColumn("window_end", F.col("commit_date") + F.make_dt_interval((F.col("_ok") % 3).cast("int")))
+    good = FL.check_windows(heads, "commit_date", "window_end")
+    turned = F.col("_ok") % 7 == 0
+    start = F.when(turned, F.col("window_end") + F.make_dt_interval(F.lit(1))).otherwise(F.col("commit_date"))
+    end = F.when(turned, F.col("commit_date")).otherwise(F.col("window_end"))
+    return good.withColumns({"_s": start, "_e": end}).select(
+        "commit_hash", ntz("commit_date"), ntz("window_end"), FL.window_in_order("_s", "_e").alias("in_order"))
+
+
 @register("period_window", with_mapping(
     CHANGE_SELECT + " WHERE commit_date >= TIMESTAMP '1998-05-31 00:00:00'"
     " AND commit_date <= TIMESTAMP '1998-08-31 23:59:59.999999'"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from revlens.plans.catalog import CHANGE_SELECT, change_out, register, td, with_mapping
 from revlens.plans.facade import get_changes
 from revlens.plans.queries_core import SCOREBOARD_SQL
@@ -29,14 +31,31 @@ def q_entries_to_changes(spark, sf):
     return change_out(get_changes(spark, td.commits(spark, sf), merges_only=True))
 
 
+def _board_of(spark, src, max_files):
+    out, ckpt = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
+    totals = ST.running_author_totals(ST.read_log_stream(spark, src, max_files_per_trigger=max_files))
+    ST.start_scoreboard(totals, out, ckpt).awaitTermination()
+    return ST.latest_board(spark, out)
+
+
 @register("stream_scoreboard", SCOREBOARD_SQL)
 def q_stream_scoreboard(spark, sf):
     """Dumps written as several files, ingested as a stream two files per trigger, scoreboard
     published per micro-batch; the result is the final published scoreboard."""
     src = shared_path(spark, "stream-in")
     LT.write_log(td.commits(spark, sf).repartition(4, "author_email"), src)
-    out, ckpt = shared_path(spark, "stream-out"), shared_path(spark, "stream-ckpt")
-    totals = ST.running_author_totals(ST.read_log_stream(spark, src, max_files_per_trigger=2))
-    q = ST.start_scoreboard(totals, out, ckpt)
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    return _board_of(spark, src, 2)
+
+
+@register("stream_newest_first", SCOREBOARD_SQL)
+def q_stream_newest_first(spark, sf):
+    """A history of decades, newest dump first, one file a trigger, then one dump sent again: every commit
+    counts once. Commit years are spread by the order key (1970 to 2019)."""
+    commits = td.commits(spark, sf)
+    year = F.pmod(F.col("commit_hash").cast("long"), F.lit(50))
+    old = commits.withColumn("commit_date", F.timestamp_seconds(year * 31_557_600 + 86_400)).withColumn("commit_timestamp", year * 31_557_600 + 86_400)
+    src = shared_path(spark, "stream-old")
+    spans = ((25, 50), (10, 25), (0, 10), (25, 30))  # the last one is sent again
+    for n, (a, b) in enumerate(spans):
+        LT.write_log(old.where(year.between(a, b - 1)).coalesce(1), f"{src}/dump-{n}")
+    return _board_of(spark, f"{src}/*", 1)

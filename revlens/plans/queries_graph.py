@@ -42,6 +42,19 @@ def q_reachable_from(spark, sf):
     return G.reachable_from(heads, tips)
 
 
+@register("reachable_chain", """
+WITH island AS (SELECT o_orderkey AS k, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS g FROM orders),
+tips AS (SELECT g, max(k) AS top FROM island WHERE k % 5000 = 4321 GROUP BY g)
+SELECT CAST(k AS VARCHAR) AS commit_hash FROM island JOIN tips USING (g) WHERE k <= top""")
+def q_reachable_chain(spark, sf):
+    """JN-7 on straight histories: each order's parent is the order numbered one below, if it exists."""
+    k = td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    parent = k.select((F.col("k") + 1).alias("k"), F.col("k").cast("string").alias("p"))
+    chain = k.join(parent, "k", "left").select(
+        F.col("k").cast("string").alias("commit_hash"), F.filter(F.array("p"), lambda x: x.isNotNull()).alias("parent_hashes"))
+    return G.reachable_from(chain, k.where("k % 5000 = 4321").select(F.col("k").cast("string").alias("commit_hash")))
+
+
 @register("all_refs_commits", with_mapping(_EDGES + """
 SELECT DISTINCT commit_hash FROM (
   WITH RECURSIVE r(h) AS (SELECT commit_hash FROM tips
@@ -143,7 +156,10 @@ changes AS (
 _SNAP_SQL = _SNAP_INPUTS + _SNAP_BODY
 
 
-@register("snapshot_diff", _SNAP_SQL + "SELECT commit_hash, path, change_type, additions, deletions FROM changes")
+_KIND = "CASE WHEN change_type = 'M' THEN 'net' ELSE 'lines' END AS count_kind"
+
+
+@register("snapshot_diff", _SNAP_SQL + f"SELECT commit_hash, path, change_type, additions, deletions, {_KIND} FROM changes")
 def q_snapshot_diff(spark, sf):
     old, new = _snapshots(spark, sf)
     return D.snapshot_diff(old, new)
@@ -170,7 +186,7 @@ SELECT r.commit_hash, r.path, CASE WHEN cp.old_file_path IS NOT NULL THEN 'C' EL
 FROM rest r LEFT JOIN copies cp USING (commit_hash, path)""")
 def q_exact_renames(spark, sf):
     old, new = _snapshots(spark, sf)
-    return D.exact_renames(D.snapshot_diff(old, new), old, new)
+    return D.renamed_diff(old, new)
 
 
 # ---- SET-3 ----------------------------------------------------------------------------
@@ -203,6 +219,55 @@ def q_change_set_diff(spark, sf):
     return D.change_set_diff(heads, _shifted(spark, sf))
 
 
+# Repeated keys: the history's orders as commits of few natural keys (customer of 7, priority), at
+# seconds of a short day; the second set lacks some of them and shifts others by 0 to 3 seconds.
+_REPEATED = """
+WITH RECURSIVE base AS (
+  SELECT o_orderkey AS ok, 'c' || CAST(o_custkey % 7 AS VARCHAR) AS author, o_orderpriority AS message,
+         CAST((o_orderkey * 37) % 3000 AS BIGINT) AS ts FROM orders WHERE o_orderstatus <> 'P'),
+rows AS (SELECT author, message, ts, 1 AS a, 0 AS b FROM base
+         UNION ALL SELECT author, message, ts + (ok % 4), 0, 1 FROM base WHERE ok % 5 <> 0),
+sec AS (SELECT author, message, ts, CAST(sum(a) AS BIGINT) AS na, CAST(sum(b) AS BIGINT) AS nb,
+               row_number() OVER (PARTITION BY author, message ORDER BY ts) AS i FROM rows GROUP BY author, message, ts),
+-- walk through each key's seconds: w2, w1 are the unpaired rows (+ first side, - second) of the two seconds before
+walk AS (
+  SELECT author, message, i, ts, CAST(0 AS BIGINT) AS t2, CAST(0 AS BIGINT) AS w2, CAST(0 AS BIGINT) AS t1, CAST(0 AS BIGINT) AS w1,
+         na - nb AS w0, CAST(0 AS BIGINT) AS lost_ts, CAST(0 AS BIGINT) AS lost FROM sec WHERE i = 1
+  UNION ALL
+  SELECT author, message, i, ts, t1, v1, t0, v0, CASE WHEN s > 0 THEN na - greatest(0, nb - abs(u2) - abs(u1) - abs(u0))
+                                                   WHEN s < 0 THEN greatest(0, na - abs(u2) - abs(u1) - abs(u0)) - nb ELSE na - nb END,
+         t2, v2 FROM (
+    SELECT *, s * greatest(0, abs(u2) - come) AS x2, s * greatest(0, abs(u1) - greatest(0, come - abs(u2))) AS x1,
+           s * greatest(0, abs(u0) - greatest(0, come - abs(u2) - abs(u1))) AS x0,
+           CASE WHEN t2 < ts - 2 THEN w2 ELSE s * greatest(0, abs(u2) - come) END AS v2,
+           CASE WHEN t1 < ts - 2 THEN w1 ELSE s * greatest(0, abs(u1) - greatest(0, come - abs(u2))) END AS v1,
+           CASE WHEN t0 < ts - 2 THEN w0 ELSE s * greatest(0, abs(u0) - greatest(0, come - abs(u2) - abs(u1))) END AS v0
+    FROM (SELECT *, CASE WHEN s > 0 THEN nb WHEN s < 0 THEN na ELSE 0 END AS come FROM (
+      SELECT *, CASE WHEN u2 + u1 + u0 > 0 THEN 1 WHEN u2 + u1 + u0 < 0 THEN -1 ELSE 0 END AS s FROM (
+        SELECT n.author, n.message, n.i, n.ts, n.na, n.nb, w.t2, w.w2, w.t1, w.w1, w.ts AS t0, w.w0,
+               CASE WHEN w.t2 < n.ts - 2 THEN 0 ELSE w.w2 END AS u2, CASE WHEN w.t1 < n.ts - 2 THEN 0 ELSE w.w1 END AS u1,
+               CASE WHEN w.ts < n.ts - 2 THEN 0 ELSE w.w0 END AS u0
+        FROM walk w JOIN sec n ON n.author = w.author AND n.message = w.message AND n.i = w.i + 1))))),
+last AS (SELECT * FROM walk w WHERE i = (SELECT max(i) FROM sec n WHERE n.author = w.author AND n.message = w.message)),
+lost AS (SELECT author, message, lost_ts AS ts, lost AS n FROM walk UNION ALL SELECT author, message, t2, w2 FROM last
+         UNION ALL SELECT author, message, t1, w1 FROM last UNION ALL SELECT author, message, ts, w0 FROM last)
+SELECT CASE WHEN n > 0 THEN 'only_a' ELSE 'only_b' END AS side, author AS author_name, author AS author_email, message, '' AS parents, ts
+FROM (SELECT author, message, ts, n, unnest(range(abs(n))) AS k FROM lost WHERE n <> 0)
+"""
+
+
+@register("change_set_repeated", _REPEATED)
+def q_change_set_repeated(spark, sf):
+    """SET-3 where a natural key holds many commits, some missing or shifted on the other side."""
+    k, author = F.col("o_orderkey"), F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string"))
+    base = td.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(
+        k.alias("_k"), k.cast("string").alias("commit_hash"), F.array().cast("array<string>").alias("parent_hashes"),
+        author.alias("author_name"), author.alias("author_email"), F.col("o_orderpriority").alias("commit_message"),
+        (k * 37 % 3000).cast("bigint").alias("commit_timestamp"))
+    other = base.where("_k % 5 <> 0").withColumn("commit_timestamp", F.col("commit_timestamp") + F.col("_k") % 4)
+    return D.change_set_diff(base, other)
+
+
 # ---- JN-4 + JN-5: each commit against its first parent's tree --------------------------
 # commit = (conversation, turn), first parent = the previous turn; a commit's tree is three
 # files built from its own row: the message, the role, and a per-turn marker file.
@@ -235,7 +300,7 @@ new AS (SELECT commit_hash, path, content FROM trees),
 """
 
 
-@register("tree_changes", _TREE_INPUTS + _SNAP_BODY + "SELECT commit_hash, path, change_type, additions, deletions FROM changes")
+@register("tree_changes", _TREE_INPUTS + _SNAP_BODY + f"SELECT commit_hash, path, change_type, additions, deletions, {_KIND} FROM changes")
 def q_tree_changes(spark, sf):
     commits, trees = _turn_commits_and_trees(spark, sf)
     return D.tree_changes(commits, trees)

@@ -154,9 +154,10 @@ def q_patch_line_stats(spark, sf):
         F.repeat(F.lit("+added line\n"), F.col("additions").cast("int")),
         F.repeat(F.lit("-removed line\n"), F.col("deletions").cast("int")),
     )
-    per_commit = rows.groupBy("commit_hash").agg(
-        F.sort_array(F.collect_list(F.struct("file_path", "additions", "deletions", section.alias("s")))).alias("secs"))
-    patches = per_commit.select("commit_hash", F.array_join(F.transform("secs", lambda x: x["s"]), "").alias("patch"))
+    # a text holds the sections of one path of a commit: bounded by that path's own lines, however large the commit
+    per_path = rows.groupBy("commit_hash", "file_path").agg(
+        F.sort_array(F.collect_list(F.struct("additions", "deletions", section.alias("s")))).alias("secs"))
+    patches = per_path.select("commit_hash", F.array_join(F.transform("secs", lambda x: x["s"]), "").alias("patch"))
     return LT.patch_line_stats(patches)
 
 
@@ -267,6 +268,17 @@ def q_partitioned_window(spark, sf):
     return change_out(get_changes(spark, path, fmt="parquet", since="1997-11-15", until="1998-02-10"))
 
 
+@register("partitioned_window_offset", with_mapping(
+    _PQ_SELECT + " WHERE commit_date >= TIMESTAMP '1997-10-31 19:00:00' AND commit_date <= TIMESTAMP '1998-01-31 20:00:00'"))
+def q_partitioned_window_offset(spark, sf):
+    """Month pruning with bounds given in other offsets than UTC: no month of the window is lost."""
+    from revlens.plans.facade import get_changes
+
+    path = shared_path(spark, "pqoffset")
+    PQ.write_changes(td.changes(spark, sf), path, partition_by_month=True)
+    return change_out(get_changes(spark, path, fmt="parquet", since="1997-11-01T00:00:00+05:00", until="1998-01-31T12:00:00-08:00"))
+
+
 @register("name_status_dict", with_mapping(
     "SELECT commit_hash, CASE WHEN change_type = 'M' AND additions > 45 THEN 'R100' ELSE change_type END AS change_type,"
     " file_path, CAST(NULL AS VARCHAR) AS old_file_path, CAST(0 AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions"

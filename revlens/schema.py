@@ -62,7 +62,7 @@ STATS = T.StructType(
         T.StructField("deleted", T.LongType()),
         T.StructField("commits", T.LongType()),
         T.StructField("total", T.LongType()),
-        T.StructField("rank", T.IntegerType()),
+        T.StructField("rank", T.LongType()),
         T.StructField("diff_decile", T.IntegerType()),
         T.StructField("commit_decile", T.IntegerType()),
     ]

@@ -36,25 +36,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set one only where it is unset (tests)."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``). Only a local master, where driver
+    and executors are one process, may fall back to a temporary folder; elsewhere an unset folder is an
+    error, as executors could not see files written by others."""
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext, the conf names the folder
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext; the conf names the folder
         sc = None
     if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        if sc is not None:
-            sc.setCheckpointDir(conf)
-            return sc.getCheckpointDir() or conf
-        return conf
-    local = tempfile.mkdtemp(prefix="revlens-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(local)
-        return sc.getCheckpointDir() or local
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    folder = conf or _local_folder(sc.master if sc is not None else "connect")
+    if sc is None:
+        return folder
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
+
+
+def _local_folder(master: str) -> str:
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="revlens-ckpt-")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -310,8 +310,9 @@ def write_json(commits: DataFrame, path: str, mode: str = "errorifexists") -> No
     commits_to_json(commits).write.mode(mode).text(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Read SNK-5 output back with an explicit schema."""
+def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Read SNK-5 output back with an explicit schema: JSON Lines (split over tasks), or with ``array`` files
+    that hold one JSON array of commits each (read whole; a file a task)."""
     from pyspark.sql import types as T
 
     schema = T.StructType(
@@ -326,6 +327,6 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("file_changes", T.ArrayType(FILE_CHANGE)),
         ]
     )
-    df = spark.read.schema(schema).json(path)
+    df = spark.read.schema(schema).json(path, multiLine=array)
     return df.select(*[F.try_to_timestamp("commit_date").alias(c) if c == "commit_date" else F.col(c)
                        for c in COMMIT_COLUMNS], "file_changes")

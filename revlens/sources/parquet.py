@@ -3,19 +3,22 @@
 Provenance (``data_version``, ``description``, ``since``, ``until``) travels as column metadata
 in the Spark schema stored in the Parquet footer, so it round-trips with the data and is read
 at plan time from the schema alone. Files written by other tools keep the same keys as footer
-key/values; those are read from one footer on the driver (a bounded, data-independent read).
+key/values; those are read from one footer through Spark's file system (a bounded read). Plain
+readers find ours in the footer's ``org.apache.spark.sql.parquet.row.metadata`` (the schema as JSON).
 """
 
 from __future__ import annotations
 
 import logging
 import warnings
+from datetime import timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.period import Window as Period
-from revlens.functions.period import resolve_window
+from revlens.functions.period import day_edges, resolve_window
+from revlens.functions.scalar import month_bucket
 from revlens.schema import CHANGE, CHANGE_COLUMNS, DATA_VERSION, DESCRIPTION, META_KEYS
 
 log = logging.getLogger(__name__)
@@ -45,6 +48,12 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
 
 
+def refuse_nulls(df: DataFrame) -> DataFrame:
+    """SNK-4 inside the write: the same rows, failing at the first null; nothing is computed twice."""
+    fail = lambda c: F.raise_error(F.lit(f"Column contains None/NaN values: {c}"))
+    return df.select(*[F.coalesce(F.col(c), fail(c).cast(df.schema[c].dataType)).alias(c) if c != MONTH_COL else F.col(c) for c in df.columns])
+
+
 def assert_no_nulls(df: DataFrame) -> None:
     """SNK-4: fail when any column still holds a null."""
     row = null_counts(df).first()
@@ -77,18 +86,18 @@ def write_changes(df: DataFrame, path: str, since: str | None = None, until: str
 
     An empty frame is written with its full schema (SNK-2: Spark cannot write a zero-column
     file, and a typed empty set is more useful). ``partition_by_month`` adds ``commit_month``
-    ('yyyy-MM') as the directory partition: later reads with a date window list only the
+    ('yyyy-MM' in UTC) as the directory partition: later reads with a date window list only the
     folders of that window (partition pruning). Rows are range-partitioned on (month, hash):
     each task writes a contiguous run of months (few files per task) and a hot month is split
     over several tasks.
     """
     out = normalize_for_sink(df, none_text)
     if partition_by_month:
-        out = out.withColumn(MONTH_COL, F.date_format("commit_date", "yyyy-MM"))
+        out = out.withColumn(MONTH_COL, month_bucket("commit_date"))
         partition_by = [*(partition_by or []), MONTH_COL]
         out = out.repartitionByRange(F.col(MONTH_COL), F.xxhash64("commit_hash"))
     if check_nulls if check_nulls is not None else none_text:
-        assert_no_nulls(out)
+        out = refuse_nulls(out)
     out = with_provenance(out, provenance(since, until, description, version))
     writer = out.write.mode(mode)
     if partition_by:
@@ -104,48 +113,38 @@ def _spark_metadata(df: DataFrame) -> dict[str, str] | None:
     return None
 
 
-def _footer_metadata(path: str) -> dict[str, str] | None:
-    """Key/values of one footer written by pyarrow (local or mounted paths)."""
-    try:
-        import glob
-        import os
-
-        import pyarrow.parquet as pq
-
-        target = path
-        if os.path.isdir(path):
-            files = sorted(glob.glob(os.path.join(path, "**", "*.parquet"), recursive=True))
-            if not files:
-                return None
-            target = files[0]
-        md = pq.read_schema(target).metadata or {}
-        out = {k.decode(): v.decode() for k, v in md.items() if k.decode() in META_KEYS}
-        return out or None
-    except Exception:  # noqa: BLE001 - remote paths: metadata lives in the Spark schema instead
+def _footer_metadata(df: DataFrame) -> dict[str, str] | None:
+    """Key/values of one file's footer, read by Spark's own Parquet library: works wherever Spark reads
+    (object stores included). One footer, whatever the number of files."""
+    files = df.inputFiles()
+    if not files:
         return None
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(min(files)), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        stored = reader.getFooter().getFileMetaData().getKeyValueMetaData()
+        return {k: stored.get(k) for k in META_KEYS if stored.get(k) is not None} or None
+    finally:
+        reader.close()
 
 
-def dataset_metadata(df: DataFrame, path: str | None = None) -> dict[str, str]:
-    meta = _spark_metadata(df)
-    if meta is None and path is not None:
-        meta = _footer_metadata(path)
-    return meta or {}
+def dataset_metadata(df: DataFrame) -> dict[str, str]:
+    return _spark_metadata(df) or _footer_metadata(df) or {}
 
 
 def version_gate(meta: dict[str, str], expected: str = DATA_VERSION, force: bool = False) -> bool:
-    """SRC-7: abort unless ``data_version`` equals ``expected``; missing also aborts; ``force``
-    turns both into a warning. Returns True when the data may be used."""
-    found = meta.get("data_version")
-    if found and found != expected:
-        msg = f"DataFrame version mismatch. Expected '{expected}', but found '{found}'."
-    elif not found:
-        msg = "No 'data_version' metadata found in the DataFrame file."
-    else:
+    """SRC-7: True when the data's version is the ``expected`` one. Another or no version raises, unless
+    ``force`` lowers it to a warning."""
+    found = meta.get("data_version") or None
+    if found == expected:
+        return True
+    problem = f"change set has data_version {found or '(none)'}, this library reads {expected}"
+    if force:
+        warnings.warn(f"{problem}; read all the same", stacklevel=2)
         return True
-    if not force:
-        raise VersionMismatch(msg + " Aborting. Use force=True to proceed anyway.")
-    warnings.warn(msg + " Proceeding due to force=True.", stacklevel=2)
-    return True
+    raise VersionMismatch(f"{problem}; pass force=True to read it all the same")
 
 
 def period_from_metadata(meta: dict[str, str], start=None, end=None, period: str | None = None,
@@ -162,7 +161,7 @@ def read_changes(spark: SparkSession, path: str, expected_version: str = DATA_VE
 
     ``keep_partitions`` keeps the ``commit_month`` directory column so a caller can prune."""
     df = spark.read.parquet(path)
-    meta = dataset_metadata(df, path)
+    meta = dataset_metadata(df)
     version_gate(meta, expected_version, force)
     cols = [c for c in CHANGE_COLUMNS if c in df.columns]
     if keep_partitions and MONTH_COL in df.columns:
@@ -170,18 +169,14 @@ def read_changes(spark: SparkSession, path: str, expected_version: str = DATA_VE
     return df.select(*cols), meta
 
 
-def prune_months(df: DataFrame, since: str | None, until: str | None) -> DataFrame:
-    """Partition filter on ``commit_month`` implied by a date window (no-op without the column)."""
+def prune_months(df: DataFrame, since: str | None, until: str | None, now=None) -> DataFrame:
+    """Partition filter on ``commit_month`` implied by a date window (no-op without the column). Months
+    and bounds are both those of UTC, whatever offset a bound was given in."""
     if MONTH_COL not in df.columns:
         return df
-    from revlens.functions.period import day_edges
-
-    lo, hi = day_edges(since, until)
-    if lo is not None:
-        df = df.where(F.col(MONTH_COL) >= lo.strftime("%Y-%m"))
-    if hi is not None:
-        df = df.where(F.col(MONTH_COL) <= hi.strftime("%Y-%m"))
-    return df
+    low, high = (t and t.astimezone(timezone.utc).strftime("%Y-%m") for t in day_edges(since, until, now))
+    df = df if low is None else df.where(F.col(MONTH_COL) >= low)
+    return df if high is None else df.where(F.col(MONTH_COL) <= high)
 
 
 def empty_changes(spark: SparkSession) -> DataFrame:

@@ -97,35 +97,21 @@ def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> DataFrame:
-    """Flat CHANGE frame: commits with their file rows; a commit without files -> null path, 0/0.
-
-    Written as an inner join plus the commits without files (anti join against the distinct
-    commit keys of the file rows) instead of one left outer join: AQE can split a skewed key on
-    either side of an inner join, but only the preserved side of an outer join, and the hot side
-    here is the file rows (a commit touching a huge number of files)."""
-    heads = commit_heads(spark, sf_dir, email_mode)
-    files = file_rows(spark, sf_dir)
-    with_files = heads.join(files, "_ok").select(
+    """Flat CHANGE frame: commits with their file rows; a commit without files -> null path, 0/0. One left
+    join, so every table is scanned once."""
+    zero = F.lit(0).cast("bigint")
+    return commit_heads(spark, sf_dir, email_mode).join(file_rows(spark, sf_dir), "_ok", "left").select(
         *COMMIT_COLUMNS[:7],
         F.col("file_path").alias("file_paths"),
         "change_type",
-        F.col("additions").cast("bigint").alias("additions"),
-        F.col("deletions").cast("bigint").alias("deletions"),
+        F.coalesce("additions", zero).alias("additions"),
+        F.coalesce("deletions", zero).alias("deletions"),
         "old_file_path",
-    )
-    without = heads.join(files.select("_ok").distinct(), "_ok", "left_anti").select(
-        *COMMIT_COLUMNS[:7],
-        F.lit(None).cast("string").alias("file_paths"),
-        F.lit(None).cast("string").alias("change_type"),
-        F.lit(0).cast("bigint").alias("additions"),
-        F.lit(0).cast("bigint").alias("deletions"),
-        F.lit(None).cast("string").alias("old_file_path"),
-    )
-    return with_files.unionByName(without).select(*CHANGE_COLUMNS)
+    ).select(*CHANGE_COLUMNS)
 
 
 def commits(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> DataFrame:
-    """Nested COMMIT frame: the flat changes assembled per commit (AGG-5, bounded rows)."""
+    """Nested COMMIT frame: the flat changes assembled per commit (AGG-5)."""
     from revlens.operators.reshape import assemble_commits
 
     return assemble_commits(changes(spark, sf_dir, email_mode))

@@ -74,7 +74,7 @@ def test_streaming_scoreboard_counts_resent_commits_once(spark, scratch):
     stream = ST.read_log_stream(spark, src + "/*", max_files_per_trigger=1)
     q = ST.start_scoreboard(ST.running_author_totals(stream), out, ckpt)
     q.awaitTermination()
-    got = {r.author_name: (r.added, r.deleted, r.commits) for r in spark.read.parquet(out).collect()}
+    got = {r.author_name: (r.added, r.deleted, r.commits) for r in ST.latest_board(spark, out).collect()}
     assert got == {"n0": (9, 3, 3), "n1": (12, 3, 3), "n2": (15, 3, 3)}
 
 
@@ -87,3 +87,58 @@ def test_get_changes_from_json_dump(spark, scratch):
     LT.write_json(commits, path)
     got = [(r.commit_hash, r.file_paths) for r in get_changes(spark, path, fmt="json", include_paths=["src/"]).collect()]
     assert got == [("j1", "src/x")]
+
+
+def test_streaming_keeps_commits_of_any_age(spark, scratch):
+    rows = [{"commit_hash": f"h{y}", "author_name": "n", "author_email": "e", "commit_date": utc(y, 1, 1), "commit_timestamp": 1,
+             "file_changes": [("f", 1, 0, "M", None)]} for y in (2023, 2022, 2005, 1985)]
+    src = scratch("st-old")
+    for k, row in enumerate(rows):  # newest first, a file each
+        LT.write_log(commit_rows(spark, [row]).coalesce(1), f"{src}/{k}")
+    out = scratch("st-old-out")
+    stream = ST.read_log_stream(spark, src + "/*", max_files_per_trigger=1)
+    ST.start_scoreboard(ST.running_author_totals(stream), out, scratch("st-old-ck")).awaitTermination()
+    assert [(r.commits, r.added) for r in ST.latest_board(spark, out).collect()] == [(4, 4)]
+
+
+def test_relative_bounds_and_offsets(spark, scratch):
+    rows = _changes(spark)
+    now = utc(2025, 9, 10)
+    assert [r.commit_hash for r in get_changes(spark, rows, since="3 weeks ago", now=now).collect()] == ["2"]
+    assert sorted(r.commit_hash for r in get_changes(spark, rows, until="10 days ago", now=now).collect()) == ["1", "3"]
+    with pytest.raises(ValueError):
+        get_changes(spark, rows, since="2025-09-2999 nonsense")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def test_month_pruning_loses_nothing_in_any_zone(spark, scratch, zone):
+    from datetime import datetime, timedelta, timezone
+
+    data = change_rows(spark, [{"commit_hash": str(k), "commit_date": utc(2023, 2, 1) + timedelta(hours=h)}
+                               for k, h in enumerate((-10, -4, 0, 3, 9, 700))])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        path = scratch("months")
+        PQ.write_changes(data, path, partition_by_month=True)
+        for since in ("2023-02-01", "2023-02-01T00:00:00+05:00", "2023-02-01T00:00:00-08:00", datetime(2023, 2, 1, tzinfo=timezone.utc)):
+            want = sorted(r.commit_hash for r in get_changes(spark, data, since=since).collect())
+            assert sorted(r.commit_hash for r in get_changes(spark, path, fmt="parquet", since=since).collect()) == want
+        assert {r.commit_month for r in spark.read.parquet(path).collect()} == {"2023-01", "2023-02", "2023-03"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_json_array_files(spark, scratch):
+    import json
+    import os
+
+    path = scratch("json-array").removeprefix("file:")
+    os.makedirs(path)
+    commit = {"commit_hash": "j", "parent_hashes": ["p"], "author_name": "n", "author_email": "e", "commit_timestamp": 5, "commit_message": "m",
+              "commit_date": "2024-03-01T00:00:00+00:00",
+              "file_changes": [{"file_path": "a", "additions": 1, "deletions": 2, "change_type": "M", "old_file_path": None}]}
+    with open(f"{path}/all.json", "w") as f:
+        json.dump([commit, {**commit, "commit_hash": "k", "file_changes": []}], f, indent=1)
+    got = {r.commit_hash: len(r.file_changes) for r in LT.read_json(spark, path, array=True).collect()}
+    assert got == {"j": 1, "k": 0}

@@ -88,12 +88,9 @@ def test_all_refs_with_explicit_refs(spark):
     assert got == ["a", "b", "c"]
 
 
-def test_reachable_layouts_agree(spark):
-    dag = _dag(spark)
-    tips = spark.createDataFrame([("e",), ("g",)], "commit_hash string")
-    a = sorted(r.commit_hash for r in G.reachable_from(dag, tips, layout="bucketed").collect())
-    b = sorted(r.commit_hash for r in G.reachable_from(dag, tips, layout="checkpoint").collect())
-    assert a == b == ["a", "b", "c", "d", "e", "g", "zz"]
+def test_reachable_includes_parents_outside_the_history(spark):
+    tips = spark.createDataFrame([("e",), ("g",), (None,), ("e",)], "commit_hash string")
+    assert sorted(r.commit_hash for r in G.reachable_from(_dag(spark), tips).collect()) == ["a", "b", "c", "d", "e", "g", "zz"]
 
 
 def test_snapshot_diff_patch_override(spark):
@@ -101,7 +98,9 @@ def test_snapshot_diff_patch_override(spark):
     new = _snap(spark, [("c", "m", "a\nc\n")])
     ps = spark.createDataFrame([("c", "m", 7, 9)], "commit_hash string, file_path string, additions long, deletions long")
     (r,) = D.snapshot_diff(old, new, patch_stats=ps).collect()
-    assert (r.change_type, r.additions, r.deletions) == ("M", 7, 9)
+    assert (r.change_type, r.additions, r.deletions, r.count_kind) == ("M", 7, 9, "patch")
+    (r,) = D.snapshot_diff(old, new).collect()
+    assert r.count_kind == "net"
 
 
 def test_tree_changes_against_first_parent(spark):
@@ -119,15 +118,20 @@ def test_tree_changes_against_first_parent(spark):
 def test_max_rounds_raises_instead_of_truncating(spark):
     import pytest as _pytest
 
-    dag = _dag(spark)
     tips = spark.createDataFrame([("e",)], "commit_hash string")
-    for layout in ("checkpoint", "bucketed"):
-        with _pytest.raises(RuntimeError):
-            G.reachable_from(dag, tips, max_rounds=1, layout=layout)
+    with _pytest.raises(RuntimeError):
+        G.reachable_from(_dag(spark), tips, max_rounds=1)
+    assert G.reachable_from(_dag(spark), tips, max_rounds=2).count() == 5
+
+
+def test_straight_history_takes_few_jumps(spark):
+    n = 300
+    commits = commit_rows(spark, [{"commit_hash": f"n{i}", "parent_hashes": [f"n{i - 1}"] if i else []} for i in range(n)])
+    tips = spark.createDataFrame([("n250",)], "commit_hash string")
+    assert G.reachable_from(commits, tips, max_rounds=1).count() == 251
 
 
-def test_tree_changes_with_salted_branch_point(spark, monkeypatch):
-    monkeypatch.setattr(D, "SALT_CHILDREN", 2)
+def test_tree_changes_with_a_branch_point_of_many_children(spark):
     kids = [{"commit_hash": f"k{i}", "parent_hashes": ["r"]} for i in range(7)]
     commits = commit_rows(spark, [{"commit_hash": "r", "parent_hashes": []}] + kids)
     trees = _snap(spark, [("r", "a", "1\n"), ("r", "b", "2\n")] + [(f"k{i}", "a", f"{i}\n") for i in range(7)])
@@ -137,7 +141,7 @@ def test_tree_changes_with_salted_branch_point(spark, monkeypatch):
     assert got == want
 
 
-def test_reachability_layouts_match_brute_force_on_random_dag(spark):
+def test_reachability_matches_brute_force_on_random_dag(spark):
     import random
 
     rng = random.Random(11)
@@ -146,18 +150,51 @@ def test_reachability_layouts_match_brute_force_on_random_dag(spark):
     parents["n299"].append("missing")  # a parent outside the history
     commits = commit_rows(spark, [{"commit_hash": h, "parent_hashes": p} for h, p in parents.items()])
     tips = [f"n{i}" for i in (299, 250, 120)]
-
-    def brute():
-        seen, stack = set(), list(tips)
-        while stack:
-            h = stack.pop()
-            if h in seen:
-                continue
+    seen, stack = set(), list(tips)
+    while stack:
+        h = stack.pop()
+        if h not in seen:
             seen.add(h)
             stack.extend(parents.get(h, []))
-        return sorted(seen)
-
     tip_df = spark.createDataFrame([(t,) for t in tips], "commit_hash string")
-    for layout in ("checkpoint", "bucketed"):
-        got = sorted(r.commit_hash for r in G.reachable_from(commits, tip_df, layout=layout).collect())
-        assert got == brute(), layout
+    assert sorted(r.commit_hash for r in G.reachable_from(commits, tip_df).collect()) == sorted(seen)
+
+
+def test_merge_stats_needs_positions(spark):
+    import pytest as _pytest
+
+    num = spark.createDataFrame([("c", "x", 1, 2)], "commit_hash string, file_path string, additions long, deletions long")
+    with _pytest.raises(ValueError):
+        D.merge_stats(num, num)
+
+
+def _pairing(a, b, tol=2):
+    """Most pairs within the tolerance, by time order: what stays on either side."""
+    a, b, only = sorted(a), sorted(b), []
+    while a and b:
+        if abs(a[0] - b[0]) <= tol:
+            a.pop(0), b.pop(0)
+        else:
+            only.append(("only_a", a.pop(0)) if a[0] < b[0] else ("only_b", b.pop(0)))
+    return sorted(only + [("only_a", t) for t in a] + [("only_b", t) for t in b])
+
+
+def test_change_set_diff_one_missing_commit_shifts_nothing(spark):
+    row = lambda i, t: {"commit_hash": str(i), "commit_message": "m", "commit_timestamp": t}
+    a = commit_rows(spark, [row(1, 0), row(2, 100)])
+    b = commit_rows(spark, [row(3, 100)])
+    assert [(r.side, r.ts) for r in D.change_set_diff(a, b).collect()] == [("only_a", 0)]
+
+
+def test_change_set_diff_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    sides, want = ([], []), []
+    for m in range(25):
+        times = [[rng.randint(0, 30) for _ in range(rng.randint(0, 14))] for _ in range(2)]
+        for rows, ts in zip(sides, times, strict=True):
+            rows += [{"commit_hash": f"{m}-{len(rows)}", "commit_message": f"m{m}", "commit_timestamp": t} for t in ts]
+        want += [(f"m{m}", side, t) for side, t in _pairing(*times)]
+    got = D.change_set_diff(*(commit_rows(spark, rows) for rows in sides)).collect()
+    assert sorted((r.message, r.side, r.ts) for r in got) == sorted(want)

@@ -25,31 +25,28 @@ def write(scratch, text):
     return path
 
 
-def test_three_commits_with_binary_and_root(spark, scratch):
-    text = (rec("c1", "p1", "Author One", "a1@x", "2023-01-01T10:00:00+00:00", 1672588800, "Subject 1",
-                ["10\t5\tM\tfile1.txt", "2\t1\tM\tfile2.py", ""])
-            + rec("c2", "", "Author Two", "a2@x", "2023-01-02T11:00:00+00:00", 1672678800, "Subject 2",
-                  ["20\t0\tA\tfile3.md", "-\t-\tM\tbinary_file.bin", ""])
-            + rec("c3", "p3", "Author One", "a1@x", "2023-01-03T12:00:00Z", 1672772400, "Subject 3",
-                  ["0\t15\tD\tfile4.js", "5\t0\tA\tfile5.txt"]))
+def test_records_with_binary_root_and_renamed_files(spark, scratch):
+    text = (rec("f00d", "", "Zoe Q", "zoe@corp.test", "2019-07-04T08:30:00+09:00", 1562196600, "import tree",
+                ["300\t0\tA\tlib/core.c", "-\t-\tA\tart/logo.png", "7\t0\tA\tREADME", ""])
+            + rec("beef", "f00d", "Max P", "max@corp.test", "2019-08-01T00:00:00Z", 1564617601, "tidy up",
+                  ["4\t9\tM\tlib/core.c"])
+            + rec("cafe", "beef f00d", "Zoe Q", "zoe@corp.test", "2019-08-02T23:59:59-05:00", 1564808399, "join work"))
     commits = LT.read_log(spark, write(scratch, text))
     got = {r.commit_hash: r for r in commits.collect()}
-    assert set(got) == {"c1", "c2", "c3"}
-    assert got["c2"].parent_hashes == []
-    assert got["c1"].parent_hashes == ["p1"]
+    assert {h: list(r.parent_hashes) for h, r in got.items()} == {"f00d": [], "beef": ["f00d"], "cafe": ["beef", "f00d"]}
     # commit_date and commit_timestamp are independent fields: both kept as given
-    assert got["c1"].commit_timestamp == 1672588800
-    assert got["c3"].commit_date.replace(tzinfo=None) == utc(2023, 1, 3, 12).replace(tzinfo=None)
-    assert [(f.file_path, f.additions, f.deletions) for f in got["c2"].file_changes] == [
-        ("file3.md", 20, 0), ("binary_file.bin", 0, 0)]
-    assert explode_changes(commits).count() == 6
+    assert got["beef"].commit_timestamp == 1564617601
+    assert got["beef"].commit_date.replace(tzinfo=None) == utc(2019, 8, 1).replace(tzinfo=None)
+    assert [(f.file_path, f.additions, f.deletions) for f in got["f00d"].file_changes] == [
+        ("lib/core.c", 300, 0), ("art/logo.png", 0, 0), ("README", 7, 0)]
+    assert explode_changes(commits).count() == 5
 
 
-def test_message_with_newline_and_three_part_line(spark, scratch):
-    text = rec("h", "", "N", "e", "2023-05-05T00:00:00+02:00", 1683237600, "Line one\nline two\n", ["3\t4\tpath.txt"])
+def test_message_over_lines_and_untyped_file_line(spark, scratch):
+    text = rec("d1ce", "", "P", "p@q", "2020-02-29T12:00:00+02:00", 1582970400, "first\n\nthird\n", ["8\t0\tdocs/a b.txt"])
     (c,) = LT.read_log(spark, write(scratch, text)).collect()
-    assert c.commit_message == "Line one\nline two"
-    assert [(f.file_path, f.change_type) for f in c.file_changes] == [("path.txt", "")]
+    assert c.commit_message == "first\n\nthird"
+    assert [(f.file_path, f.change_type, f.additions) for f in c.file_changes] == [("docs/a b.txt", "", 8)]
 
 
 def test_commits_without_file_stats_explode_to_null_rows(spark, scratch):

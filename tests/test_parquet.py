@@ -69,3 +69,18 @@ def test_footer_metadata_from_pyarrow_file(spark, scratch):
     pq.write_table(t, os.path.join(local, "data.parquet"))
     df, meta = PQ.read_changes(spark, local)
     assert meta["data_version"] == "1.0" and meta["since"] == "2023-01-01"
+
+
+def test_refuse_nulls_fails_inside_the_write(spark, scratch):
+    rows = change_rows(spark, [{"file_paths": None, "change_type": "M"}])
+    with pytest.raises(Exception, match="file_paths"):
+        PQ.write_changes(rows, scratch("pqnull"), check_nulls=True)
+
+
+def test_checkpoint_folder_needs_a_shared_folder_on_a_cluster():
+    from revlens import session
+
+    assert session._local_folder("local[4]").startswith("/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "connect"):
+        with pytest.raises(RuntimeError):
+            session._local_folder(master)

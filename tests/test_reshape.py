@@ -15,14 +15,12 @@ def test_assemble_then_explode_is_identity(spark):
     assert sorted(map(key, back.collect())) == sorted(map(key, flat.collect()))
 
 
-def test_hot_commit_is_split_into_bounded_rows(spark):
-    rows = [{"commit_hash": "hot", "file_paths": f"p{i:03d}", "additions": 1} for i in range(40)] + \
+def test_very_large_commit_stays_one_row(spark):
+    rows = [{"commit_hash": "hot", "file_paths": f"p{i:05d}", "additions": 1} for i in range(6000)] + \
            [{"commit_hash": "small", "file_paths": "x", "additions": 2}]
-    nested = assemble_commits(change_rows(spark, rows), max_changes_per_row=10).collect()
-    hot = [r for r in nested if r.commit_hash == "hot"]
-    assert len(hot) >= 2 and sum(len(r.file_changes) for r in hot) == 40
-    assert all(len(r.file_changes) <= 25 for r in hot)  # hash split: bounded, roughly even
-    assert [len(r.file_changes) for r in nested if r.commit_hash == "small"] == [1]
+    nested = {r.commit_hash: r.file_changes for r in assemble_commits(change_rows(spark, rows)).collect()}
+    assert [c.file_path for c in nested["hot"]] == [f"p{i:05d}" for i in range(6000)]
+    assert len(nested["small"]) == 1
 
 
 def test_last_wins_per_column(spark):

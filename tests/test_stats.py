@@ -104,10 +104,9 @@ def test_distribution_omits_empty_deciles(spark):
     assert [(r.decile, r.min_value, r.max_value, r.authors) for r in d] == [(1, 5, 5, 3)]
 
 
-def test_legacy_email_join_multiplies_rows(spark):
+def test_shared_email_keeps_one_row_per_author(spark):
     rows = [{"commit_hash": str(i), "author_name": f"name{i}", "author_email": "shared@x", "additions": i + 1}
             for i in range(3)]
-    assert author_scoreboard(change_rows(spark, rows), legacy_email_join=True).count() == 27
     assert author_scoreboard(change_rows(spark, rows)).count() == 3
 
 
@@ -155,12 +154,25 @@ def test_positions_across_many_sort_partitions(spark):
     assert got == want
 
 
-def test_attach_by_value_hot_split_equals_plain_join(spark):
-    from revlens.operators.ranking import attach_by_value
+def test_rank_across_many_sort_partitions(spark):
+    from revlens.operators.ranking import with_rank
 
-    base = spark.createDataFrame([(i, v) for i, v in enumerate([7] * 50 + [3] * 5 + [1, 2, None])], "id int, v int")
-    per_value = spark.createDataFrame([(7, "seven", 50), (3, "three", 5), (1, "one", 1), (2, "two", 1)],
-                                      "v int, label string, _cnt long")
-    got = sorted(tuple(r) for r in attach_by_value(base, per_value, "v", hot_threshold=4).select("id", "v", "label").collect())
-    want = sorted(tuple(r) for r in base.join(per_value.drop("_cnt"), "v", "left").select("id", "v", "label").collect())
-    assert got == want and len(got) == 58
+    values = [i * i % 701 for i in range(2000)] + [5] * 500 + [None]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v long").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: (r["rank"], r.n) for r in with_rank(df, "v", "rank", "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    known = sorted((v for v in values if v is not None), reverse=True)
+    first = {v: k + 1 for k, v in reversed(list(enumerate(known)))}
+    assert got == {i: (first[v], len(known)) if v is not None else (None, None) for i, v in enumerate(values)}
+
+
+def test_dataset_profile_counts_nulls_as_before(spark):
+    from revlens.operators.stats import dataset_profile
+
+    rows = [{"commit_hash": None, "author_email": "a", "additions": 1}, {"commit_hash": "h", "author_email": None, "additions": 2},
+            {"commit_hash": "h", "author_email": "a", "additions": 3}]
+    r = dataset_profile(change_rows(spark, rows)).first()
+    assert (r.authors, r.commits, r.additions, r.rows) == (1, 1, 6, 3)
