@@ -62,9 +62,11 @@ def reachable_from(commits: DataFrame, tips: DataFrame, max_rounds: int | None =
     found: list[DataFrame] = []
     while True:
         reach = frontier
-        for jump in jumps:
-            further = reach.join(jump, "commit_hash").select(F.col("up").alias("commit_hash"))
-            reach = reach.unionByName(further).distinct()
+        for level, jump in enumerate(jumps, 1):
+            here_and_up = F.array_compact(F.array("commit_hash", "up"))
+            reach = reach.join(jump, "commit_hash", "left").select(F.explode(here_and_up).alias("commit_hash")).distinct()
+            if level % 5 == 0:  # plans stay short
+                reach = persist_table(reach, "reach")
         seen = _union(found)
         new = persist_table(reach if seen is None else reach.join(seen, "commit_hash", "left_anti"), "reached")
         found.append(new)
