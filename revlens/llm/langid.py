@@ -55,7 +55,8 @@ class LanguageModel:
         self.languages, self.vocab, self.member, self.weights = languages, vocab, member, weights
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Normalised presence kernel of each set with each landmark, by one matrix product."""
+        """Normalised presence kernel of each set with each landmark, by one matrix product. The product
+        counts shared n-grams in whole numbers, so a text's row does not depend on its batch."""
         rows = np.zeros((len(sets), len(self.vocab)), np.float32)
         sizes = np.ones(len(sets))
         for i, s in enumerate(sets):
@@ -64,13 +65,13 @@ class LanguageModel:
                 at[at == len(self.vocab)] = 0
                 rows[i, at[self.vocab[at] == s]] = 1
                 sizes[i] = len(s)
-        return (rows @ self.member) / np.sqrt(sizes)[:, None]
+        return (rows @ self.member).astype(np.float64) / np.sqrt(np.outer(sizes, self.member.sum(axis=0, dtype=np.float64)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [], np.zeros(len(texts))
         for at in range(0, len(texts), BATCH):
             sets = [ngrams(t) for t in texts[at:at + BATCH]]
-            values = self.kernel(sets) @ self.weights if self.languages else np.zeros((len(sets), 1))
+            values = (self.kernel(sets)[:, :, None] * self.weights).sum(axis=1) if self.languages else np.zeros((len(sets), 1))
             best = values.argmax(axis=1)
             for i, s in enumerate(sets):
                 known = len(s) > 0 and bool(self.languages)
@@ -90,9 +91,9 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     vocab = np.unique(np.concatenate(marks))
     member = np.zeros((len(vocab), len(marks)), np.float32)
     for j, s in enumerate(marks):
-        member[np.searchsorted(vocab, s), j] = 1 / np.sqrt(len(s))
+        member[np.searchsorted(vocab, s), j] = 1
     model = LanguageModel(languages, vocab, member, np.empty((0, 0)))
-    k_mm = model.kernel(marks).astype(np.float64)
+    k_mm = model.kernel(marks)
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     use = values > 1e-6 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])

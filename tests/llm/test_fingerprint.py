@@ -44,6 +44,6 @@ def test_rows(spark):
 
 
 def test_ties_have_one_order(spark):
-    rows = [(7, f"text {i}") for i in range(60)]
+    rows = [(7, f"{i:03d} text") for i in range(60)]
     got = fp.fingerprints(documents(spark, rows)).collect()
     assert len(got) == 60 and len({r.edited_sha256 for r in got}) == 60
