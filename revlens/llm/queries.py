@@ -11,18 +11,14 @@ from revlens.llm import ann, bpe, fingerprint, html, langid, packing, quality, s
 from revlens.llm.common import Scratch, id_crc, read, utf8
 from revlens.llm.words import DROPPED, KEPT
 
-try:
-    import public_tokenizers
-except ImportError:  # the vocabulary files are a parameter of the operators; only these queries need them
-    public_tokenizers = None
-
 END_ID = 2
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def vocabulary(name: str) -> str:
-    if public_tokenizers is None:
-        raise RuntimeError("the vocabulary files of public_tokenizers are not installed")
+    """Place of a public vocabulary file: a parameter of the operators, chosen here for the queries."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 

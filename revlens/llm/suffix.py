@@ -304,6 +304,7 @@ def repeated_spans(df: DataFrame, text: str = "text", window: int = WINDOW, hot:
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = scratch.keep(map_batches(spans, _merge_batches, "k1 long, k2 long, spans array<struct<s:long,e:long>>"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.octet_length("text").cast("long").alias("e")))
+    spark.sql(f"DROP TABLE {name}")  # the entry only; the files stay for what reads them
     return texts.join(spans, ["k1", "k2"], "left").select(
         "k1", "k2", "text", F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("spans", F.array().cast("array<struct<s:long,e:long>>"))).alias("spans"))
 
