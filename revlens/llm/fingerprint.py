@@ -6,8 +6,12 @@ time, and the longest common extension of two positions is found by binary searc
 
 The fingerprint keeps the length, the whole text's hash and the hashes of the spans at either end whose
 lengths lie on a fixed geometric grid. Agreement on a longer span implies it on the shorter ones, so two
-fingerprints locate their longest common prefix and suffix on that grid by binary search too. Their
-likeness is the part of the longer text that the two common ends cover, 1 just for equal texts.
+fingerprints locate their longest common prefix and suffix on that grid by binary search too. It also
+keeps length and hash of every inner span: the text is cut after each window of ``WINDOW`` code points
+whose own hash (from the prefix arrays) is a multiple of ``MEAN``, so cuts depend on the text around them
+only and fall alike in near copies. The likeness of two fingerprints is the part of the longer text covered
+by the two common ends and by the spans both share (equal spans pair 1:1), 1 just for equal texts. An edit
+costs about the span it falls in.
 
 ``with_next`` brings each text and the one after it (ascending key) together with one shuffle of the
 texts: rows are dealt into key ranges, streamed in order inside a range, and only the last text of a
@@ -33,6 +37,8 @@ from revlens.llm.common import Scratch, code_points, key_ranges, map_batches, pa
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
+#: Inner spans: window that decides a cut, mean and longest span, in code points; hex digits of a stored span.
+WINDOW, MEAN, LONGEST, DIGITS = 8, 32, 255, 10
 
 
 def _grid(limit: int = 1 << 40) -> list[int]:
@@ -77,7 +83,27 @@ class PrefixHash:
         return out
 
     def span(self, start: int, end: int) -> int:
-        return int(self.spans(np.array([start]), np.array([end]))[0])
+        out = 0
+        for h, base, prime in zip(self.prefix, BASES, PRIMES, strict=True):
+            back = _powers(pow(base, -1, prime), prime, self.n + 1)
+            out = (out << 31) | (int(h[end]) - int(h[start])) * int(back[start]) % prime
+        return out
+
+    def cuts(self) -> np.ndarray:
+        """Content-defined cuts of the text, its two ends included; none further apart than ``LONGEST``."""
+        inner = np.empty(0, np.int64)
+        if self.n > WINDOW:
+            h, p = self.prefix[0], np.uint64(PRIMES[0])
+            back = _powers(pow(BASES[0], -1, PRIMES[0]), PRIMES[0], self.n + 1)
+            window = (h[WINDOW:-1] + p - h[:-WINDOW - 1]) * back[:self.n - WINDOW] % p
+            inner = (window % np.uint64(MEAN) == 0).nonzero()[0] + WINDOW
+        at = np.concatenate(([0], inner, [self.n]))
+        more = np.maximum(np.diff(at) - 1, 0) // LONGEST
+        if more.any():
+            first = np.repeat(np.cumsum(more) - more, more)
+            far = np.repeat(at[:-1], more) + LONGEST * (np.arange(more.sum()) - first + 1)
+            at = np.sort(np.concatenate((at, far)))
+        return at
 
     def extension(self, at: int, other: PrefixHash, other_at: int) -> int:
         """Length of the longest common extension to the right of two positions."""
@@ -91,12 +117,16 @@ class PrefixHash:
         return low
 
     def fingerprint(self) -> str:
-        """``length:whole:prefix spans:suffix spans`` in hex, spans cut to 32 bits."""
+        """``length:whole:prefix spans:suffix spans:inner spans`` in hex, spans cut to 32 bits, inner ones
+        with two digits of length before."""
         size = np.array([g for g in GRID[:bisect_left(GRID, self.n + 1)]], np.int64)
         zero, end = np.zeros_like(size), np.full_like(size, self.n)
         ends = [self.spans(zero, size), self.spans(end - size, end)]
-        cut = ["".join(f"{x:08x}" for x in (e & np.uint64(0xFFFFFFFF)).tolist()) for e in ends]
-        return f"{self.n:x}:{self.span(0, self.n):016x}:{cut[0]}:{cut[1]}"
+        cut = [e.astype(">u4").tobytes().hex() for e in ends]
+        at = self.cuts()
+        inner = np.empty(len(at) - 1, np.dtype([("length", "u1"), ("hash", ">u4")]))
+        inner["length"], inner["hash"] = np.diff(at), self.spans(at[:-1], at[1:])
+        return f"{self.n:x}:{self.span(0, self.n):016x}:{cut[0]}:{cut[1]}:{inner.tobytes().hex() if self.n else ''}"
 
 
 def _shared(a: str, b: str) -> int:
@@ -111,13 +141,34 @@ def _shared(a: str, b: str) -> int:
     return GRID[low - 1] if low else 0
 
 
+def _outside(spans: list[str], shared: set[str], start: int, end: int) -> dict[str, list[int]]:
+    """For each shared span the lengths of its places between ``start`` and ``end``, longest first."""
+    out: dict[str, list[int]] = {s: [] for s in shared}
+    at = 0
+    for s in spans:
+        to = at + int(s[:2], 16)
+        if s in shared and to > start and at < end:
+            out[s].append(min(to, end) - max(at, start))
+        at = to
+    for lengths in out.values():
+        lengths.sort(reverse=True)
+    return out
+
+
 def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints, 0 to 1."""
     if a == b:
         return 1.0
-    (n, _, ap, az), (m, _, bp, bz) = a.split(":"), b.split(":")
-    short, long = sorted((int(n, 16), int(m, 16)))
-    both = min(_shared(ap, bp) + _shared(az, bz), short)
+    (n, _, ap, az, ai), (m, _, bp, bz, bi) = a.split(":"), b.split(":")
+    n, m = int(n, 16), int(m, 16)
+    short, long = sorted((n, m))
+    head, tail = _shared(ap, bp), _shared(az, bz)
+    both = min(head + tail, short)
+    if both < short:
+        of_a, of_b = ([x[k:k + DIGITS] for k in range(0, len(x), DIGITS)] for x in (ai, bi))
+        if shared := set(of_a).intersection(of_b):
+            in_a, in_b = _outside(of_a, shared, head, n - tail), _outside(of_b, shared, head, m - tail)
+            both = min(both + sum(min(x, y) for s in shared for x, y in zip(in_a[s], in_b[s], strict=False)), short)
     return min(both / long, 1 - 2.0 ** -30) if long else 0.0
 
 

@@ -47,3 +47,30 @@ def test_ties_have_one_order(spark):
     rows = [(7, f"{i:03d} text") for i in range(60)]
     got = fp.fingerprints(documents(spark, rows)).collect()
     assert len(got) == 60 and len({r.edited_sha256 for r in got}) == 60
+
+
+def test_scattered_edits_keep_likeness():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    near = lambda a, b: fp.likeness(fp.PrefixHash(a).fingerprint(), fp.PrefixHash(b).fingerprint())
+    for _ in range(20):
+        text = " ".join(rng.choice(words) for _ in range(1200))
+        n = len(text)
+        ends = text[:20] + "#" + text[20:n - 20] + "##" + text[n - 19:]
+        assert near(text, ends) > 0.9  # one edit near each end
+        some = list(text)
+        for k in range(8):
+            some[n // 16 + k * n // 8] = ("", "XY", "Z")[k % 3]
+        some = "".join(some)
+        assert near(text, some) > 0.8 and near(text, some) == near(some, text)
+        moved = text[n // 2:] + text[:n // 2]
+        assert near(text, moved) > 0.9
+        assert near(text, " ".join(rng.choice(words) for _ in range(1200))) < 0.05
+    assert near("x" * 3000 + "a", "b" + "x" * 2000) <= 2000 / 3001
+
+
+def test_cuts_bound_the_spans():
+    rng = random.Random(6)
+    for text in ("", "a", "x" * 3000, "word " * 1000, "".join(rng.choice("ab c") for _ in range(5000))):
+        at = fp.PrefixHash(text).cuts().tolist()
+        assert at[0] == 0 and at[-1] == len(text) and (not text or all(0 < y - x <= fp.LONGEST for x, y in zip(at, at[1:])))
