@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.scalar import _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
-from revlens.operators.ranking import positions_in_group, run_starts
+from revlens.operators.ranking import positions_in_group
 from revlens.session import materialize, persist_table
 
 _LINE_SPLIT = _SPLITLINES
 _ENDS_WITH_TERMINATOR = _TERMINATOR_AT_END
+#: Set difference: seconds a stretch and children a tree node, as a power of two (more if the tolerance needs it).
+STRETCH_BITS = 10
 
 
 def text_lines(text) -> Column:
@@ -213,52 +215,120 @@ def change_set_diff(a: DataFrame, b: DataFrame, tolerance_s: int = 2) -> DataFra
     set, time within ``tolerance_s``. Partners are paired 1:1, as many as can be: in time order, each row
     with the earliest unpaired one of the other side that is not too old.
 
-    Rows of a key are first counted per second and side (equal rows are one row from there on). Where the
-    next second of a key is more than the tolerance away, no pair can cross: the runs in between are found
-    by a range sort (``run_starts``: no task holds a key), and pairing walks through each run."""
+    Rows of a key are first counted per second and side (equal rows are one row from there on). What waits
+    is always the latest rows of one side, so one signed number (first side > 0) is the whole state, and a
+    second turns it into ``clamp(state, -nb, na of the tolerance before) + na - nb``. Such steps compose to a
+    step of the same form, so a key's seconds are cut into stretches of 2^``STRETCH_BITS`` seconds, each
+    folded to one step; where stretches touch, a tree of at most 2^``STRETCH_BITS`` children a node
+    (``_arriving``) tells each the state it begins with. No task or array holds more than a stretch."""
     key = ["author_name", "author_email", "message", "parents"]
-    side = lambda df, name: normalize_commit_set(df).select(*key, "ts", F.lit(int(name == "a")).alias("na"), F.lit(int(name == "b")).alias("nb"))
+    side = lambda df, name: normalize_commit_set(df).select(*key, F.col("ts").cast("bigint").alias("ts"), F.lit(int(name == "a")).alias("na"), F.lit(int(name == "b")).alias("nb"))
     seconds = side(a, "a").unionByName(side(b, "b")).groupBy(*key, "ts").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-
-    def starts(before: Column, row: Column) -> Column:
-        same = F.lit(True)
-        for c in key:
-            same = same & before[c].eqNullSafe(row[c])
-        near = before["ts"].eqNullSafe(row["ts"]) | F.coalesce(row["ts"] - before["ts"] <= tolerance_s, F.lit(False))
-        return before.isNull() | ~same | ~near
-
-    runs = run_starts(seconds, [*key, "ts"], starts)
-    events = F.sort_array(F.collect_list(F.struct("ts", "na", "nb")))
-    grouped = runs.groupBy("_start").agg(*[F.first(c).alias(c) for c in key], events.alias("events"))
-    left = grouped.select(*key, F.inline(_unpaired(F.col("events"), tolerance_s)))
+    seconds = materialize(seconds)
+    bits = max(STRETCH_BITS, int(tolerance_s).bit_length())
+
+    # each second in its stretch, and as context (place -1, 1) in the next and the one before if near to it
+    at = lambda shift, place: F.struct(F.shiftright(F.col("ts") + shift, bits).alias("_g"), F.lit(place).alias("place"))
+    places = F.array_distinct(F.array(at(0, 0), at(tolerance_s, -1), at(-tolerance_s, 1)))
+    own = F.shiftright("ts", bits)
+    placed = seconds.where(F.col("ts").isNotNull()).select(
+        *key, "ts", "na", "nb", F.inline(F.filter(places, lambda x: (x["place"] == 0) | (x["_g"] != own))))
+    by_time = Window.partitionBy(*key, "_g").orderBy("ts")  # at most a stretch and its context
+    before, after = by_time.rangeBetween(-tolerance_s, 0), by_time.rangeBetween(0, tolerance_s)
+    near = placed.select(*key, "_g", F.struct(
+        "ts", "place", "na", "nb", (F.sum("nb").over(before) - F.col("nb")).alias("lo"), (F.sum("na").over(before) - F.col("na")).alias("hi"),
+        (F.sum("na").over(after) - F.col("na")).alias("later_a"), (F.sum("nb").over(after) - F.col("nb")).alias("later_b"),
+        (F.count(F.lit(1)).over(after) - 1).cast("int").alias("ahead")).alias("e"))
+    stretches = near.where("e.place >= 0").groupBy(*key, "_g").agg(F.sort_array(F.collect_list("e")).alias("events"))
+    steps = F.transform(F.filter("events", lambda e: e["place"] == 0), lambda e: F.struct(
+        (-e["lo"]).alias("low"), e["hi"].alias("high"), (e["na"] - e["nb"]).alias("add")))
+    stretches = materialize(stretches.where(F.exists("events", lambda e: e["place"] == 0)).select(
+        *key, "_g", "events", _composed(steps).alias("step"), (F.get(steps, F.lit(0))["low"] < F.get(steps, F.lit(0))["high"]).alias("chained")))
+
+    links = stretches.where(F.col("chained") | F.exists("events", lambda e: e["place"] == 1)).select(*key, "_g", "step")
+    arriving = _arriving(links, key)
+    alone = stretches.where(~F.col("chained")).select(*key, "events", F.lit(0).cast("bigint").alias("_x"))
+    fed = _joined(stretches.where("chained"), arriving, [*key, "_g"]).select(*key, "events", "_x")
+    left = alone.unionByName(fed).select(*key, F.inline(_unpaired(F.col("events"), F.col("_x"))))
+    timeless = seconds.where(F.col("ts").isNull()).select(*key, "ts", (F.col("na") - F.col("nb")).alias("n"))
+    left = left.unionByName(timeless).where("n <> 0")
     out = left.select(F.when(F.col("n") > 0, "only_a").otherwise("only_b").alias("side"), *key, "ts",
                       F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("n"))).alias("_i"))
     return out.drop("_i")
 
 
-def _unpaired(events: Column, tolerance_s: int) -> Column:
-    """Walk through a run's seconds (ts, na, nb): array of (ts, n) that stay unpaired, n > 0 rows of the
-    first side and n < 0 of the second. The waiting rows are always of one side (others would have been
-    paired) and within the tolerance, so there are few."""
-    kind = "array<struct<ts:bigint,n:bigint>>"
-    none = F.array().cast(kind)
-
-    def entry(ts: Column, n: Column) -> Column:
-        return F.struct(ts.cast("bigint").alias("ts"), n.cast("bigint").alias("n"))
-
-    def step(state: Column, e: Column) -> Column:
-        old = F.filter(state["wait"], lambda w: w["ts"] < e["ts"] - tolerance_s)
-        wait = F.filter(state["wait"], lambda w: w["ts"] >= e["ts"] - tolerance_s)
-        # the rows that can meet those waiting (of the other sign), and those of the same sign
-        sign = F.when(F.size(wait) > 0, F.signum(F.get(wait, F.lit(0))["n"]).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
-        come, join = F.when(sign > 0, e["nb"]).otherwise(e["na"]), F.when(sign > 0, e["na"]).otherwise(e["nb"])
-        before = lambda i: F.aggregate(F.slice(wait, F.lit(1), i), F.lit(0).cast("bigint"), lambda s, w: s + F.abs(w["n"]))
-        taken = lambda w, i: F.least(F.abs(w["n"]), F.greatest(F.lit(0).cast("bigint"), come - before(i)))
-        rest = F.filter(F.transform(wait, lambda w, i: entry(w["ts"], w["n"] - sign * taken(w, i))), lambda w: w["n"] != 0)
-        spare = F.greatest(F.lit(0).cast("bigint"), come - before(F.size(wait)))
-        new = sign * join - sign * spare  # rows of one second pair with each other last
-        added = F.when(new != 0, F.array(entry(e["ts"], new))).otherwise(none)
-        return F.struct(F.concat(rest, added).cast(kind).alias("wait"), F.concat(state["out"], old).cast(kind).alias("out"))
-
-    begin = F.struct(none.alias("wait"), none.alias("out"))
-    return F.aggregate(events, begin, step, lambda s: F.concat(s["out"], s["wait"]))
+def _clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def _take(x: Column, step: Column) -> Column:
+    """The state after a step (low, high, add)."""
+    return _clamp(x, step["low"], step["high"]) + step["add"]
+
+
+def _composed(steps: Column) -> Column:
+    """One step (low, high, add) that does what an array of steps does in turn."""
+    far = F.lit(1 << 62)
+    whole = F.struct((-far).alias("low"), far.alias("high"), F.lit(0).cast("bigint").alias("add"))
+
+    def then(s: Column, e: Column) -> Column:
+        low, high = e["low"] - s["add"], e["high"] - s["add"]
+        return F.struct(_clamp(s["low"], low, high).alias("low"), _clamp(s["high"], low, high).alias("high"), (s["add"] + e["add"]).alias("add"))
+
+    return F.aggregate(steps, whole, then)
+
+
+def _joined(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on equal columns, nulls equal."""
+    named = found.select(*[F.col(c).alias(f"_r{c}") for c in on], *[c for c in found.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    return rows.join(named, same)
+
+
+def _arriving(links: DataFrame, key: list[str]) -> DataFrame:
+    """(key, _g, _x): the state in which each stretch begins, from the steps of the stretches before it. Steps
+    are composed up a tree by position, and states handed down it: a node has at most 2^``STRETCH_BITS``
+    children, and a position of 63 bits few levels."""
+    first, last = links.agg(F.min("_g"), F.max("_g")).first()
+    if first is None:
+        return links.select(*key, "_g", F.lit(0).cast("bigint").alias("_x"))
+    levels = [links.select(*key, (F.col("_g") - F.lit(first)).alias("_i"), "step")]
+    span = last - first
+    while span or len(levels) == 1:
+        span >>= STRETCH_BITS
+        children = F.sort_array(F.collect_list(F.struct("_i", "step"))).alias("children")
+        node = levels[-1].groupBy(*key, F.shiftright("_i", STRETCH_BITS).alias("_up")).agg(children)
+        levels.append(materialize(node.select(*key, F.col("_up").alias("_i"), "children", _composed(F.col("children.step")).alias("step"))))
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<struct<_i:bigint,_x:bigint>>")
+
+    def hand_down(s: Column, c: Column) -> Column:
+        to = F.struct(c["_i"].alias("_i"), s["x"].alias("_x"))
+        return F.struct(_take(s["x"], c["step"]).alias("x"), F.concat(s["out"], F.array(to)).alias("out"))
+
+    states = levels[-1].select(*key, "_i", zero.alias("_x"))
+    for level in reversed(levels[1:]):
+        nodes = _joined(level, states, [*key, "_i"])
+        begin = F.struct(F.col("_x").alias("x"), none.alias("out"))
+        states = nodes.select(*key, F.inline(F.aggregate("children", begin, hand_down, lambda s: s["out"])))
+    return states.select(*key, (F.col("_i") + F.lit(first)).alias("_g"), "_x")
+
+
+def _unpaired(events: Column, start: Column) -> Column:
+    """Array of (ts, n) that stay unpaired of a stretch's own seconds, n > 0 rows of the first side and n < 0
+    of the second, where the stretch begins in state ``start``. A second's rows are lost if they still wait
+    after the last second within the tolerance; later rows of their side are behind them."""
+    begin = F.struct(start.alias("x"), F.array().cast("array<bigint>").alias("all"))
+
+    def walk(s: Column, e: Column) -> Column:
+        x = _clamp(s["x"], -e["lo"], e["hi"]) + e["na"] - e["nb"]
+        return F.struct(x.alias("x"), F.concat(s["all"], F.array(x)).alias("all"))
+
+    both = F.transform(F.array(F.aggregate(events, begin, walk, lambda s: s["all"])), lambda states: F.transform(events, lambda e, i: F.struct(
+        e["ts"].alias("ts"), e["place"].alias("place"),
+        (_clamp(F.get(states, i + e["ahead"]) - e["later_a"], F.lit(0), e["na"])
+         - _clamp(-F.get(states, i + e["ahead"]) - e["later_b"], F.lit(0), e["nb"])).alias("n"))))
+    lost = F.filter(F.get(both, F.lit(0)), lambda r: (r["place"] == 0) & (r["n"] != 0))
+    return F.transform(lost, lambda r: F.struct(r["ts"].alias("ts"), r["n"].cast("bigint").alias("n")))

@@ -198,3 +198,52 @@ def test_change_set_diff_matches_brute_force(spark):
         want += [(f"m{m}", side, t) for side, t in _pairing(*times)]
     got = D.change_set_diff(*(commit_rows(spark, rows) for rows in sides)).collect()
     assert sorted((r.message, r.side, r.ts) for r in got) == sorted(want)
+
+
+def test_change_set_diff_long_runs_in_stretches(spark, monkeypatch):
+    """Runs over many stretches and tree levels pair as the brute force does."""
+    import random
+
+    monkeypatch.setattr(D, "STRETCH_BITS", 2)
+    rng = random.Random(8)
+    sides, want = ([], []), []
+    dense = list(range(-300, 300))
+    some = lambda p, shift: [t + shift() for t in dense for _ in range(rng.choice((1, 1, 3))) if rng.random() < p]
+    cases = [(dense, [t + 1 for t in dense]), (dense, dense[7:]), (some(0.5, lambda: 0), some(0.5, lambda: 0)), (dense, []),
+             (some(0.9, lambda: 0), some(0.8, lambda: rng.randint(0, 3))), (some(0.2, lambda: 0), some(0.2, lambda: 2)),
+             ([0, 4, 8, 8], [2, 6, 6, 10]), ([5], [1 << 33])]
+    for m, times in enumerate(cases):
+        for rows, ts in zip(sides, times, strict=True):
+            rows += [{"commit_hash": f"{m}-{len(rows)}", "commit_message": f"m{m}", "commit_timestamp": t} for t in ts]
+        want += [(f"m{m}", side, t) for side, t in _pairing(*times)]
+    got = D.change_set_diff(*(commit_rows(spark, rows) for rows in sides))
+    assert sorted((r.message, r.side, r.ts) for r in got.collect()) == sorted(want)
+
+
+def test_change_set_diff_gathers_a_stretch_at_most(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(D, "STRETCH_BITS", 4)
+    sizes, real = [], D.materialize
+
+    def noted(df):
+        out = real(df)
+        sizes.extend(out.agg(F.max(F.size(c))).first()[0] or 0 for c in ("events", "children") if c in out.columns)
+        return out
+
+    monkeypatch.setattr(D, "materialize", noted)
+    times = range(3000), range(1, 3000)
+    a, b = (commit_rows(spark, [{"commit_hash": str(t), "commit_message": "", "commit_timestamp": t} for t in ts]) for ts in times)
+    assert [(r.side, r.ts) for r in D.change_set_diff(a, b).collect()] == _pairing(*times)
+    assert len(sizes) > 2 and max(sizes) <= 16 + 2
+
+
+def test_change_set_diff_other_tolerances(spark):
+    import random
+
+    rng = random.Random(9)
+    times = [sorted(rng.randint(0, 4000) for _ in range(700)) for _ in range(2)]
+    a, b = (commit_rows(spark, [{"commit_hash": str(k), "commit_message": "m", "commit_timestamp": t} for k, t in enumerate(ts)]) for ts in times)
+    for tol in (0, 7):
+        got = sorted((r.side, r.ts) for r in D.change_set_diff(a, b, tol).collect())
+        assert got == _pairing(*times, tol)
