@@ -8,8 +8,9 @@ one ridge regression per language (target +1, all others -1) is solved on phi. A
 both steps fold into one matrix A, and a batch of texts is scored by two matrix products:
 (presence rows x landmark sets) x A.
 
-Fitting uses a bounded sample (``per_language`` rows a language, chosen by a hash of the row);
-scoring reads every whole text in ``mapInArrow``, without a shuffle.
+Every label that occurs is learned, from a bounded sample (``per_language`` distinct texts a label, those of
+smallest hash); copies of a text count once. Fitting costs (labels x landmarks) squared in driver memory
+and cubed in time. Scoring reads every whole text in ``mapInArrow``, without a shuffle.
 
 Defined cases: null text or no letter -> ``und`` with score 0; no labelled row at all -> every
 text is ``und``; one language -> that language; equal scores -> the alphabetically first; rows
@@ -22,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.common import SPACE, code_points, letter_table, map_batches
 
 UND = "und"
-#: Bounds of the fit: labelled rows a language, landmarks among them, languages (most frequent first).
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 250, 24, 64
+#: Bounds of the fit: labelled texts a language, landmarks among them. The number of languages has none.
+PER_LANGUAGE, LANDMARKS = 250, 24
 RIDGE = 1e-2
-BATCH = 64
+#: Texts a kernel block, and rows a block of the fit's sums.
+BATCH, BLOCK = 64, 1024
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -49,29 +51,49 @@ def ngrams(text: str | None) -> np.ndarray:
 
 
 class LanguageModel:
-    """Landmark n-grams, their membership matrix and the folded regression matrix."""
-
-    def __init__(self, languages: list[str], vocab: np.ndarray, member: np.ndarray, weights: np.ndarray):
-        self.languages, self.vocab, self.member, self.weights = languages, vocab, member, weights
+    """Landmark n-grams, for each the landmarks that hold it, and the folded regression matrix.
+
+    Landmarks ``holders[first[v]:first[v + 1]]`` hold n-gram ``vocab[v]``: the membership matrix without its
+    zeros, as the whole one grows with the square of the languages."""
+
+    def __init__(self, languages: list[str], marks: list[np.ndarray], weights: np.ndarray):
+        self.languages, self.weights = languages, weights
+        every = np.concatenate(marks) if marks else np.empty(0, np.int64)
+        self.sizes = np.array([len(s) for s in marks], float)
+        self.vocab, place = np.unique(every, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        self.holders = np.repeat(np.arange(len(marks), dtype=np.int32), self.sizes.astype(np.int64))[order]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(self.vocab))))).astype(np.int64)
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """How many n-grams of a set each landmark holds."""
+        at = np.searchsorted(self.vocab, s)
+        at[at == len(self.vocab)] = 0
+        at = at[self.vocab[at] == s]
+        n = self.first[at + 1] - self.first[at]
+        places = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.holders[places], minlength=len(self.sizes))
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Normalised presence kernel of each set with each landmark, by one matrix product. The product
-        counts shared n-grams in whole numbers, so a text's row does not depend on its batch."""
-        rows = np.zeros((len(sets), len(self.vocab)), np.float32)
+        """Normalised presence kernel of each set with each landmark. It counts shared n-grams in whole
+        numbers, so a text's row does not depend on its batch."""
+        rows = np.zeros((len(sets), len(self.sizes)))
         sizes = np.ones(len(sets))
         for i, s in enumerate(sets):
             if len(s):
-                at = np.searchsorted(self.vocab, s)
-                at[at == len(self.vocab)] = 0
-                rows[i, at[self.vocab[at] == s]] = 1
+                rows[i] = self.shared(s)
                 sizes[i] = len(s)
-        return (rows @ self.member).astype(np.float64) / np.sqrt(np.outer(sizes, self.member.sum(axis=0, dtype=np.float64)))
+        return rows / np.sqrt(np.outer(sizes, self.sizes))
+
+    def values(self, row: np.ndarray) -> np.ndarray:
+        """Regression values of a kernel row, summed in one order; a block of languages at a time."""
+        return np.concatenate([(row[:, None] * self.weights[:, k:k + BATCH]).sum(axis=0) for k in range(0, len(self.languages), BATCH)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [], np.zeros(len(texts))
         for at in range(0, len(texts), BATCH):
             sets = [ngrams(t) for t in texts[at:at + BATCH]]
-            values = (self.kernel(sets)[:, :, None] * self.weights).sum(axis=1) if self.languages else np.zeros((len(sets), 1))
+            values = np.stack([self.values(row) for row in self.kernel(sets)]) if self.languages else np.zeros((len(sets), 1))
             best = values.argmax(axis=1)
             for i, s in enumerate(sets):
                 known = len(s) > 0 and bool(self.languages)
@@ -84,45 +106,48 @@ class LanguageModel:
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """Fit on (text, language) rows; the first ``landmarks`` of each language become landmarks."""
     pairs = [(s, lang) for text, lang in rows if len(s := ngrams(text))]
-    languages = sorted({lang for _, lang in pairs})
+    by: dict[str, list[np.ndarray]] = {}
+    for s, lang in pairs:
+        by.setdefault(lang, []).append(s)
+    languages = sorted(by)
     if not languages:
-        return LanguageModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0)))
-    marks = [s for lang in languages for s in [s for s, x in pairs if x == lang][:landmarks]]
-    vocab = np.unique(np.concatenate(marks))
-    member = np.zeros((len(vocab), len(marks)), np.float32)
-    for j, s in enumerate(marks):
-        member[np.searchsorted(vocab, s), j] = 1
-    model = LanguageModel(languages, vocab, member, np.empty((0, 0)))
+        return LanguageModel([], [], np.empty((0, 0)))
+    marks = [s for lang in languages for s in by[lang][:landmarks]]
+    model = LanguageModel(languages, marks, np.empty((0, 0)))
     k_mm = model.kernel(marks)
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     use = values > 1e-6 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])
-    phi = np.concatenate([model.kernel([s for s, _ in pairs[i:i + BATCH]]) for i in range(0, len(pairs), BATCH)]) @ root
-    y = np.array([[1.0 if lang == x else -1.0 for x in languages] for _, lang in pairs])
-    share = np.array([sum(x == lang for _, x in pairs) for _, lang in pairs], dtype=float)
-    w = (1 / share)[:, None]  # each language weighs the same
-    solved = np.linalg.solve(phi.T @ (phi * w) + ridge / len(languages) * np.eye(phi.shape[1]) / len(languages), phi.T @ (y * w))
-    model.weights = root @ solved
+    number = {lang: i for i, lang in enumerate(languages)}
+    left, right = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(languages)))
+    for i in range(0, len(pairs), BLOCK):
+        part = pairs[i:i + BLOCK]
+        phi = model.kernel([s for s, _ in part]) @ root
+        y = np.full((len(part), len(languages)), -1.0)
+        y[np.arange(len(part)), [number[lang] for _, lang in part]] = 1
+        w = 1 / np.array([len(by[lang]) for _, lang in part], dtype=float)[:, None]  # each language weighs the same
+        left += phi.T @ (phi * w)
+        right += phi.T @ (y * w)
+    model.weights = root @ np.linalg.solve(left + ridge / len(languages) * np.eye(len(left)) / len(languages), right)
     return model
 
 
-def labelled_sample(df: DataFrame, text: str, label: str, per_language: int, languages: int) -> list[tuple[str, str]]:
-    """At most about ``per_language`` rows of each of the ``languages`` most frequent labels.
+def labelled_sample(df: DataFrame, text: str, label: str, per_language: int) -> list[tuple[str, str]]:
+    """The ``per_language`` distinct texts of smallest hash of every label, in the order of hash and label.
 
-    Rows are chosen by a hash of their text, so the sample does not depend on file order. The
-    bound holds at any input size: counts first (one row a label), then a hash threshold each.
-    """
+    Only texts with a letter count. Labels and 128-bit hashes of the texts are made distinct and counted,
+    a bound on the hash keeps about twice the sample of each label to be ranked, and the texts of the sample
+    are then picked from the table: the sample depends on the set of (text, label) alone."""
     df = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).alias("t"), F.col(label).alias("l"))
-    counts = df.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
-    if not counts:
-        return []
-    at = F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(1 << 30))
-    keep = None
-    for r in counts:
-        cond = (F.col("l") == r["l"]) & (at < int(min(1.0, per_language / r["n"]) * (1 << 30)) + 1)
-        keep = cond if keep is None else keep | cond
-    taken = df.where(keep).withColumn("h", at).limit(2 * per_language * len(counts)).collect()
+        F.col(text).alias("t"), F.col(label).alias("l")).where(F.col("t").rlike(r"\p{L}"))
+    hashed = df.select("l", F.xxhash64("t", F.lit("sample")).alias("h"), F.xxhash64("t").alias("h2"), "t")
+    known = hashed.select("l", "h", "h2").distinct()
+    counts = known.groupBy(F.col("l").alias("cl")).agg(F.count(F.lit(1)).alias("n"))
+    place = (F.col("h").cast("double") + 2.0 ** 63) / 2.0 ** 64  # even in 0 to 1
+    few = known.join(F.broadcast(counts), F.col("l") == F.col("cl")).where(place * F.col("n") <= 2 * per_language + 100)
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "h2"))  # of about 2 * per_language rows
+    picked = few.withColumn("i", first).where(F.col("i") <= per_language).select("l", "h", "h2")
+    taken = hashed.join(F.broadcast(picked), ["l", "h", "h2"]).groupBy("l", "h", "h2").agg(F.min("t").alias("t")).collect()
     return [(r["t"], r["l"]) for r in sorted(taken, key=lambda r: (r["h"], r["l"], r["t"]))]
 
 
@@ -144,5 +169,5 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", names: tup
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE,
-          landmarks: int = LANDMARKS, languages: int = LANGUAGES) -> LanguageModel:
-    return fit(labelled_sample(df, text, label, per_language, languages), landmarks)
+          landmarks: int = LANDMARKS) -> LanguageModel:
+    return fit(labelled_sample(df, text, label, per_language), landmarks)

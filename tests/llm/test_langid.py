@@ -47,3 +47,34 @@ def test_no_labels_and_no_rows(spark):
 def test_single_language():
     langs, scores = langid.fit([("one two", "en")] * 3).predict(["two three", None])
     assert langs == ["en", "und"] and scores[1] == 0
+
+
+def _made_up(languages, rows):
+    """(text, label) rows, each language with letters and words of its own."""
+    import random
+
+    rng = random.Random(4)
+    out = []
+    for k in range(languages):
+        words = ["".join(chr(0x4E00 + 9 * k + rng.randint(0, 8)) for _ in range(rng.randint(2, 5))) for _ in range(12)]
+        out += [(" ".join(rng.choice(words) for _ in range(12)), f"l{k:03d}") for _ in range(rows)]
+    return out
+
+
+def test_every_label_is_learned(spark):
+    rows = _made_up(90, 8)
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.train(df, landmarks=3)
+    assert len(model.languages) == 90
+    langs, _ = model.predict([t for t, _ in rows])
+    assert np.mean([a == b for a, (_, b) in zip(langs, rows)]) > 0.99
+
+
+def test_sample_is_of_distinct_texts(spark):
+    rows = _made_up(3, 60)
+    copies = [(rows[0][0], "l000")] * 3000 + [("12 34", "l001")] * 500 + rows[60:70] * 9
+    df = lambda r, n: spark.createDataFrame(r, "text string, lang string").repartition(n)
+    want = langid.labelled_sample(df(rows, 3), "text", "lang", 20)
+    assert [sum(x == lang for _, x in want) for lang in ("l000", "l001", "l002")] == [20] * 3
+    assert langid.labelled_sample(df(rows + copies, 7), "text", "lang", 20) == want
+    assert sorted(langid.labelled_sample(df(rows + copies, 7), "text", "lang", 1000)) == sorted(rows)
