@@ -192,7 +192,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           max_rows: int = MAX_ROWS) -> Additive:
-    """Fit on at most ``max_rows`` labelled documents; only those rows leave the scan."""
+    """Fit on at most ``max_rows`` labelled ids; only their rows leave the scan. An id that repeats counts as
+    one document, that whose text has the smallest hash."""
     spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(
         F.avg(F.col(label).cast("double")).alias("y"))
@@ -201,9 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return fit(np.empty((0, len(FEATURES))), np.empty(0))
     few = spark.createDataFrame([(int(r["k"]), float(r["y"])) for r in picked], "k long, y double")
     mine = (docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-            .join(F.broadcast(few), "k").select("k", "y", "t"))  # at most max_rows rows are broadcast
-    rows = map_batches(mine, _feature_batches, "k long, y double, x array<double>").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r["k"], r["y"], r["x"]))
+            .join(F.broadcast(few), "k"))  # at most max_rows rows are broadcast
+    one = mine.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("row")).select("k", "y", "row.t")
+    rows = map_batches(one, _feature_batches, "k long, y double, x array<double>").collect()
+    rows.sort(key=lambda r: r["k"])
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
 
 

@@ -43,3 +43,14 @@ def test_no_labels_no_rows_one_class(spark):
     assert quality.score(docs.limit(0), none).count() == 0
     good = quality.train(docs, spark.createDataFrame([(1, 1), (7, 1)], "doc_id long, quality int"))
     assert all(r.predicted == 1 for r in quality.score(docs, good).collect())
+
+
+def test_repeated_id_leaves_others_in_the_fit(spark, monkeypatch):
+    docs = [(0, f"copy {i} of it" if i % 2 else "the same text") for i in range(400)] + [(i, f"a text of some words, {i}") for i in range(1, 30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    for n in (1, 5):
+        quality.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), labels, max_rows=30)
+    assert len(seen[0][1]) == 30 and seen[0][1] == [float(i % 2) for i in range(30)]
+    assert seen[0] == seen[1]
