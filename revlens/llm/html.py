@@ -36,8 +36,10 @@ from revlens.llm.common import map_batches
 TRAIN_PAGES, PASSES = 1500, 6
 
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title|canvas|audio|video|xmp|noframes"
+#: An svg or math element whose start tag closes itself holds nothing; the slash of other raw elements means nothing.
+ALONE = r"""<(?P<alone>svg|math)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*/>"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:--!?>|\Z)|{ALONE}|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>"']|"[^"]*"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -151,7 +153,7 @@ def leaf_blocks(page: str) -> list[Block]:
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if body and m["raw"]:
+            if body and (m["raw"] or m["alone"]):
                 leaves.words(" ")
             continue
         ends = m["end"] or m["end2"]

@@ -58,3 +58,14 @@ def test_awkward_rows(spark):
     assert got[8].n_chars == len("long text here. " * 20000) - 1
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_self_closing_svg_and_math_hold_nothing():
+    field = html.trained()
+    want = html.main_text(PAGE, field)
+    for mark in ("<svg class=i/>", "<svg/>", "<math />", '<SVG data-x="a>b" />', '<svg viewBox="0 0 1 1"><path d="M0"/><text>no</text></svg>',
+                 '<svg data-x="a/>b"><text>no</text></svg>'):
+        assert html.main_text(PAGE.replace("<article>", mark + "<article>"), field) == want, mark
+        twice = PAGE.replace("<article>", mark + "<article>").replace("</article>", mark + "</article>")
+        assert html.main_text(twice, field) == want, mark
+    assert html.leaf_blocks("<p>a<iframe src=x/>b</iframe>c")[0][0] == "a c"  # no self-closing iframe in HTML
