@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,12 @@ def utf8(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
+def text_keys(text: str = "text") -> list[Column]:
+    """128-bit key of a text as two columns ``k1`` and ``k2``; a null text has that of an empty one."""
+    data = utf8(text)
+    return [F.xxhash64(data).alias("k1"), F.xxhash64(F.lit(1), data).alias("k2")]
+
+
 class Scratch:
     """Tables of one call in a folder of its own below ``spark.checkpoint.dir``.
 
@@ -73,6 +82,21 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``limit`` bytes of the text (or binary) in ``column``, so that few long texts are in
+    Python at a time; one longer text is a batch of its own."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+        at = 0
+        while at < b.num_rows:
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` whose Python workers can import this package.
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import ann, bpe, fingerprint, html, langid, packing, quality, simhash, suffix, tokens
+from revlens.llm import ann, bpe, centroids, fingerprint, html, langid, packing, quality, resample, setjoin, simhash, suffix, tokens
 from revlens.llm.common import Scratch, id_crc, read, utf8
+from revlens.llm.oracles import ORACLES  # noqa: F401 - the entry reads it here
 from revlens.llm.words import DROPPED, KEPT
 
 END_ID = 2
@@ -87,6 +88,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return setjoin.components_of(docs, setjoin.similar_sets(docs))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    assigned, final = centroids.cluster(vectors)
+    rows = centroids.with_inertia(Scratch(spark, "clusters").keep(assigned), final)
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = resample.Gains(resample.gains(resample.totals(docs), resample.totals(read(spark, sf_dir, "benchmark"))))
+    rows = Scratch(spark, "scores").keep(resample.scored(resample.weigh(docs, model, keep=["doc_id"])))
+    return resample.draw(rows, 25).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the packages; it uses this module in turn
 
@@ -105,6 +125,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_jaccard": op11_jaccard,
+    "op12_centroids": op12_centroids,
+    "op13_resample": op13_resample,
 }
-#: DuckDB SQL where it can express the query; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
