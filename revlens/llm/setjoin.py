@@ -10,12 +10,14 @@ of that order, their prefixes. Only prefixes are indexed.
   so a probe leaves a block at the first set too large for it and leaves the list at the first block that is too
   late. Pairs that pass are held against a 256-bit parity sketch: every shingle flips one bit, so
   sketches differ in no more bits than sets differ in shingles.
-* Skips by similar sets. Sets that agree on two min-hashes are held against the smallest of their group.
+* Skips by similar sets. Sets that agree on two min-hashes are held against the most central set of their
+  group, the one whose shingles are most frequent on average (an original rather than an edited copy).
   A verified neighbour of such a leader follows it: the leader's answers stand for it, so only the prefix
   shingles that the leader lacks are probed for it, under the leader's name. Entries of a leader cover the
   sizes and the differences of all its followers, so a pair of classes that passes is a superset of the
-  pairs of their members. Its leaders are compared first; members only if the leaders' shared part and
-  the members' known differences leave a link possible and the classes are not connected yet.
+  pairs of their members. Leaders are compared first. Where their shared part and the members' known
+  differences leave a link possible, the members of these classes are indexed by themselves, and only members
+  that nothing connects yet meet.
 
 All bounds err on the safe side and every link is verified on whole sets, so links connect exactly what
 the definition connects. Classes need no pairs among their members, equal sets are one set from the start.
@@ -90,9 +92,12 @@ class Order:
         self.counts, self.percent, self.part = counts, percent, part
         self.shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
 
+    def count_of(self, s: np.ndarray) -> np.ndarray:
+        return self.counts[(s >> self.shift).astype(np.int64)]
+
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first shingles of a set and the counts of their buckets."""
-        count = self.counts[(s >> self.shift).astype(np.int64)]
+        count = self.count_of(s)
         take = len(s) - (self.percent * len(s) + 99) // 100 + 1
         first = np.lexsort((s, count))[:take] if take < len(s) else np.lexsort((s, count))
         return s[first], count[first]
@@ -136,25 +141,33 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*nothing, pa.array([part], ints), pa.array([counts[part]], ints)], names=names)
 
 
+def _central(batches: Iterator[pa.RecordBatch], order: Order, width: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, score): how frequent a set's shingles are on average (of the logarithm)."""
+    for b in by_size(batches, 1):
+        found = [shingles(x, width) for x in b.column(1).to_pylist()]
+        score = [int(1e6 * np.log2(1 + order.count_of(s)).mean()) for s in found]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.int64())], names=["id", "score"])
+
+
 def _entries(batches: Iterator[pa.RecordBatch], order: Order, width: int) -> Iterator[pa.RecordBatch]:
-    """(id, lo, hi, gap, text) of leaders -> index entries, one a prefix shingle. A class with followers stands at
-    position 0, as its members' positions differ from its leader's."""
-    for b in by_size(batches, 4, 1 << 20):
+    """(id, key, lo, hi, gap, text) -> index entries, one a prefix shingle. A class with followers stands at
+    position 0, as its members' positions differ from its leader's. Entries of equal ``key`` don't meet."""
+    for b in by_size(batches, 5, 1 << 20):
         out = []
-        for i, lo, hi, gap, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+        for i, key, lo, hi, gap, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
             s = shingles(data, width)
             first, count = order.prefix(s)
             n = len(first)
             pos = np.arange(n, dtype=np.int32) if gap == 0 else np.zeros(n, np.int32)
-            out.append((first.view(np.int64), count > order.part, np.full(n, i), np.full(n, lo, np.int32), np.full(n, hi, np.int32), np.full(n, gap, np.int32), pos, np.tile(sketch(s), (n, 1))))
+            out.append((first.view(np.int64), count > order.part, np.full(n, i), np.full(n, key), np.full(n, lo, np.int32), np.full(n, hi, np.int32), np.full(n, gap, np.int32), pos, np.tile(sketch(s), (n, 1))))
         yield _entry_batch([np.concatenate(x) for x in zip(*out, strict=True)])
 
 
-ENTRY = "token long, often boolean, id long, lo int, hi int, gap int, pos int, w0 long, w1 long, w2 long, w3 long"
+ENTRY = "token long, often boolean, id long, key long, lo int, hi int, gap int, pos int, w0 long, w1 long, w2 long, w3 long"
 
 
 def _entry_batch(c: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in c[:7]] + [pa.array(np.ascontiguousarray(c[7][:, k])) for k in range(SKETCH)],
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in c[:8]] + [pa.array(np.ascontiguousarray(c[8][:, k])) for k in range(SKETCH)],
                                       names=[x.split()[0] for x in ENTRY.split(", ")])
 
 
@@ -231,7 +244,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int, rows: int = 50_000)
         use = ~alone
         if not use.any():
             return
-        a, b = probe(group[use], c["side"][use], c["id"][use], *(c[k][use] for k in ("lo", "hi", "gap", "pos")), marks[use], percent)
+        a, b = probe(group[use], c["side"][use], c["key"][use], *(c[k][use] for k in ("lo", "hi", "gap", "pos")), marks[use], percent)
         if len(a):
             ids = c["id"][use]
             both = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1), axis=0)
@@ -285,21 +298,29 @@ def similar_sets(df: DataFrame, text: str = "text", percent: int = PERCENT, widt
     texts = described.where("k1 is not null").join(sets.select("s1", "s2", "id"), ["s1", "s2"], "left")
     texts = scratch.keep(texts.select("k1", "k2", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")))
 
-    def compare(pairs: DataFrame, fresh: bool) -> DataFrame:
-        # each set's text once, then joins whose busy sets (a leader of many) Spark can split
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = scratch.keep(ids.join(own, "id").join(stored, ["k1", "k2"]).select("id", "text"))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return scratch.keep(ids.distinct().join(own, "id").join(stored, ["k1", "k2"]).select("id", "text"))
+
+    def compare(pairs: DataFrame, held: DataFrame, fresh: bool = False) -> DataFrame:
+        """Each set's text once, then joins whose busy sets (a leader of many) Spark can split."""
         x = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
         y = x.join(held.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         kind = "a long, b long, na int, nb int, shared int, new array<long>, often array<boolean>, marks array<long>"
         return scratch.keep(map_batches(y.select("a", "b", "x", "y"), partial(_compare, order=order, width=width, fresh=fresh), kind))
 
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
     # leaders and followers
-    filed = sets.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    heads = filed.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("many")).where("many > 1")
-    tried = filed.join(heads, ["band", "key"]).where(F.col("id") != F.col("head.id"))
+    filed = sets.select("id", "n", F.posexplode("bands").alias("band", "slot"))
+    filed = scratch.keep(filed.join(filed.groupBy("band", "slot").agg(F.count("*").alias("many")).where("many > 1"), ["band", "slot"]))
+    alike = texts_of(filed.select("id"))
+    scores = scratch.keep(map_batches(alike, partial(_central, order=order, width=width), "id long, score long"))
+    heads = scratch.keep(filed.join(scores, "id").groupBy("band", "slot").agg(F.max(F.struct("score", "id", "n")).alias("head")))
+    tried = filed.join(heads, ["band", "slot"]).where(F.col("id") != F.col("head.id"))
     fair = 100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")
-    stars = compare(scratch.keep(tried.where(fair).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()), True)
+    tried = scratch.keep(tried.where(fair).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct())
+    stars = compare(tried, alike, fresh=True)
     stars = stars.where(linked(F.col("shared"), F.col("na") + F.col("nb"), percent))
     led = stars.select(F.col("a").alias("b")).distinct()
     follow = stars.join(led, "b", "left_anti").groupBy("a").agg(F.min(F.struct("b", "na", "nb", "shared", "new", "often", "marks")).alias("f")).select("a", "f.*")
@@ -313,32 +334,36 @@ def similar_sets(df: DataFrame, text: str = "text", percent: int = PERCENT, widt
     leaders = scratch.keep(leaders)
 
     # the index: leaders' prefixes, and what followers add to them under their leader's name
-    held = leaders.join(stored, ["k1", "k2"]).select("id", "lo", "hi", "gap", "text")
+    held = leaders.join(stored, ["k1", "k2"]).select("id", F.col("id").alias("key"), "lo", "hi", "gap", "text")
     entries = map_batches(held, partial(_entries, order=order, width=width), ENTRY)
     added = follow.select(F.col("b").alias("id"), "marks", F.explode(F.arrays_zip("new", "often")).alias("e")).groupBy(
         "id", F.col("e.new").alias("token")).agg(F.first("e.often").alias("often"), F.first("marks").alias("m"))
     added = added.join(leaders.select("id", "lo", "hi", "gap"), "id").select(
-        "token", "often", "id", "lo", "hi", "gap", F.lit(0).alias("pos"), *[F.col("m")[k].alias(f"w{k}") for k in range(SKETCH)])
+        "token", "often", "id", F.col("id").alias("key"), "lo", "hi", "gap", F.lit(0).alias("pos"), *[F.col("m")[k].alias(f"w{k}") for k in range(SKETCH)])
     entries = scratch.keep(entries.unionByName(added))
     candidates = scratch.keep(_candidates(entries, percent, part, n))
 
     # leaders first; members only where they may still link and nothing connects them yet
-    met = compare(candidates, False)
+    met = compare(candidates, texts_of(both(candidates)))
     known = ["a", "b", "shared", (F.col("na") + F.col("nb")).alias("total")]
     total = F.col("na") + F.col("nb")
-    links = stars.select(*known).union(met.where(linked(F.col("shared"), total, percent)).select(*known))
-    links = scratch.keep(links)
+    links = scratch.keep(stars.select(*known).union(met.where(linked(F.col("shared"), total, percent)).select(*known)))
 
     def connect() -> DataFrame:
         return scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), rounds))
 
     roots = connect()
-    for one_leads in (True, False):  # a member and the other class's leader; then any two members
-        members = _members(met, leaders, follow, roots, percent, one_leads)
-        if members is not None:
-            more = compare(scratch.keep(members), False)
-            links = scratch.keep(links.union(more.where(linked(F.col("shared"), total, percent)).select(*known)))
-            roots = connect()
+    open_ = scratch.keep(_open_classes(met, leaders, roots, percent))
+    if not open_.isEmpty():
+        of = follow.select(F.col("b").alias("class"), F.col("a").alias("id"), F.col("na").alias("n")).union(leaders.select("id", "id", "n"))
+        of = of.join(open_.select(F.col("id").alias("class")), "class", "left_semi").join(roots.select(F.col("u").alias("id"), "v"), "id", "left")
+        of = of.select("id", F.coalesce("v", "id").alias("key"), F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).alias("gap"))
+        own_text = of.join(own, "id").join(stored, ["k1", "k2"]).select("id", "key", "lo", "hi", "gap", "text")
+        entries = scratch.keep(map_batches(own_text, partial(_entries, order=order, width=width), ENTRY))
+        pairs = scratch.keep(_candidates(entries, percent, part, n))
+        more = compare(pairs, texts_of(both(pairs)))
+        links = scratch.keep(links.union(more.where(linked(F.col("shared"), total, percent)).select(*known)))
+        roots = connect()
     rounds.drop()
     spark.sql(f"DROP TABLE {name}")  # the entry only; nothing reads the texts any more
     return Similar(texts, links, roots)
@@ -363,41 +388,32 @@ def _candidates(entries: DataFrame, percent: int, part: int, n: int) -> DataFram
     some = some.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     pair = F.least("side", "other").cast("long") * (1 << 31) + F.greatest("side", "other")
     some = some.withColumn("met", pair).withColumn("side", F.when(F.col("side") == F.col("other"), F.lit(-1)).otherwise(F.col("side"))).drop("parts", "other")
-    columns = ["token", "met", "side", "id", "lo", "hi", "gap", "pos", *[f"w{k}" for k in range(SKETCH)]]
+    columns = ["token", "met", "side", "id", "key", "lo", "hi", "gap", "pos", *[f"w{k}" for k in range(SKETCH)]]
     dealt = whole.select(columns).union(some.select(columns)).repartition(n, "token", "met").sortWithinPartitions("token", "met", "pos", "lo")
     return map_batches(dealt, partial(_pairs, percent=percent), "a long, b long").distinct()
 
 
-def _members(met: DataFrame, leaders: DataFrame, follow: DataFrame, roots: DataFrame, percent: int, one_leads: bool) -> DataFrame | None:
-    """Pairs of members of different components that may link although their leaders don't."""
+def _open_classes(met: DataFrame, leaders: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Ids of classes some of whose members may link across although their leaders don't."""
     size = leaders.select("id", "lo", "gain", "gap")
     a, b = (size.withColumnsRenamed({"id": x, "lo": f"{x}_lo", "gain": f"{x}_gain", "gap": f"{x}_gap"}) for x in "ab")
     open_ = met.where(~linked(F.col("shared"), F.col("na") + F.col("nb"), percent)).join(a, "a").join(b, "b")
-    can = 100 + percent
-    open_ = open_.where((F.col("a_gap") + F.col("b_gap") > 0) & (can * (F.col("shared") + F.col("a_gain") + F.col("b_gain")) >= percent * (F.col("a_lo") + F.col("b_lo"))))
+    most = F.col("shared") + F.col("a_gain") + F.col("b_gain")
+    open_ = open_.where((F.col("a_gap") + F.col("b_gap") > 0) & ((100 + percent) * most >= percent * (F.col("a_lo") + F.col("b_lo"))))
     for x in "ab":
         open_ = open_.join(roots.select(F.col("u").alias(x), F.col("v").alias(f"{x}_root")), x, "left")
-    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "shared")
-    if open_.isEmpty():
-        return None
-    of = follow.select(F.col("b").alias("id"), F.col("a").alias("m"), F.col("na").alias("n"), (F.col("na") - F.col("shared")).alias("gain"))
-    of = of.union(leaders.select("id", F.col("id").alias("m"), "n", F.lit(0).alias("gain")))
-    x, y = (of.withColumnsRenamed({"id": c, "m": f"{c}m", "n": f"{c}n", "gain": f"{c}g"}) for c in "ab")
-    pairs = open_.join(x, "a").join(y, "b")
-    may = (can * (F.col("shared") + F.col("ag") + F.col("bg")) >= percent * (F.col("an") + F.col("bn"))) & (
-        100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    leads = F.when(F.col("am") == F.col("a"), 1).otherwise(0) + F.when(F.col("bm") == F.col("b"), 1).otherwise(0)
-    may = may & (leads == (1 if one_leads else 0))
-    return pairs.where(may).select(F.col("am").alias("a"), F.col("bm").alias("b")).distinct()
+    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    return open_.select(F.col("a").alias("id")).union(open_.select("b")).distinct()
 
 
 def components_of(df: DataFrame, found: Similar, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``df``: the smallest key reachable by links."""
     scratch = Scratch(df.sparkSession, "setjoin-rows")
+    rows = df.select(F.col(f"`{key}`").alias(key), *text_keys(f"`{text}`"))
     named = found.texts.join(found.roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
     named = named.select("k1", "k2", "n", F.coalesce("root", "id").alias("root"))
-    rows = df.select(F.col(f"`{key}`").alias(key), *text_keys(f"`{text}`")).join(named, ["k1", "k2"])
-    rows = scratch.keep(rows.select(key, "n", "root"))
-    low = rows.where("root is not null").groupBy("root").agg(F.min(key).alias("low"))
-    return rows.join(low, "root", "left").select(key, F.col("n").cast("long").alias("n_shingles"),
+    named = scratch.keep(named.join(rows.groupBy("k1", "k2").agg(F.min(key).alias("low")), ["k1", "k2"]))
+    low = scratch.keep(named.where("root is not null").groupBy("root").agg(F.min("low").alias("low")))
+    named = named.drop("low").join(low, "root", "left")
+    return rows.join(named, ["k1", "k2"]).select(key, F.col("n").cast("long").alias("n_shingles"),
                                                  F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("low")).alias("component_id"))
