@@ -1,6 +1,7 @@
 """Token-ID files: Parquet list columns laid out for selective reads, written and read by Spark.
 
-A corpus is encoded in ascending key order (range shuffle of the texts, ties by text) and written as
+A corpus is encoded where it is read, its ids are put in ascending key order (a range shuffle of two bytes
+a token where the vocabulary allows, ties by a hash of the text) and written as
 one file a range with columns ``key``, ``part``, ``local_start``, ``n_tokens`` and ``ids``. ``ids`` is
 dictionary encoded (a vocabulary below 2^16 ids packs into 16 bits a token at most); the sorted or
 running columns are delta encoded. Row groups and pages are small enough that a key range, or only
@@ -11,7 +12,7 @@ A reader gets each row's global ``start``: the sum of the token counts of all fi
 row a file, so that broadcast is bounded by the number of files) plus ``local_start``.
 
 Defined cases: null text counts as empty and is its end id alone; null keys come first; rows of equal
-key are ordered by text; no rows -> an empty table; extra columns are not written.
+key are ordered by a hash of their text; no rows -> an empty table; extra columns are not written.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import key_ranges, map_batches, partitions
-from revlens.llm.words import pieces
+from revlens.llm.common import by_size, key_ranges, map_batches, partitions
+from revlens.llm.words import pieces, tokenizer
 
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 128 << 10, 1000
+SLICE = 4 << 20  # bytes of text or ids in Python at a time
 
 
 def encode_lists(texts: pa.Array, path: str, spaces: str, end_id: int | None) -> pa.ListArray:
@@ -41,6 +43,12 @@ def encode_lists(texts: pa.Array, path: str, spaces: str, end_id: int | None) ->
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
 
 
+def packed_type(path: str, end_id: int | None) -> str:
+    """The narrowest type that holds every id."""
+    most = max(tokenizer(path).get_vocab(with_added_tokens=True).values())
+    return "<u2" if max(most, end_id or 0) < 1 << 16 else "<u4"
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that few texts and ids are in Python at a time."""
     for b in batches:
@@ -64,21 +72,34 @@ def write_tokens(df: DataFrame, out: str, path: str, spaces: str, end_id: int |
                  text: str = "text", row_group: int = ROW_GROUP, page: int = PAGE, page_rows: int = PAGE_ROWS) -> None:
     """Encode ``df`` and write the token files to ``out``, in ascending order of ``key``."""
     source = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    source = source.select("key", F.xxhash64("text").alias("tie"), "text")
     n = partitions(df)
-    tied = source.select("key", F.xxhash64("text").alias("tie"), "text")
-    ranged = tied.select("key", "text", "tie", key_ranges(source, "key", "tie", n).alias("range"))
-    dealt = ranged.repartitionById(n, "range").sortWithinPartitions("key", "tie", "text").select("key", "text")
+    kind = packed_type(path, end_id)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_size(batches, 2, SLICE):
+            ids = encode_lists(b.column(2), path, spaces, end_id)
+            packed, ends = ids.values.to_numpy().astype(kind).tobytes(), ids.offsets.to_numpy() * np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())],
+                                             names=["key", "tie", "packed"])
+
+    # ids are what is moved and sorted, at two bytes a token: a third of the text
+    encoded = map_batches(source, encode, source.select("key", "tie").schema.add("packed", "binary"))
+    ranged = encoded.select("*", key_ranges(source, "key", "tie", n).alias("range"))
+    dealt = ranged.repartitionById(n, "range").sortWithinPartitions("key", "tie", "packed").select("key", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        for b in slices(batches):
-            ids = encode_lists(b.column(1), path, spaces, end_id)
-            counts = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-            starts = done + np.cumsum(counts) - counts
-            done += int(counts.sum())
+        for b in by_size(batches, 1, SLICE):
+            rows = b.column(1).to_pylist()
+            counts = np.fromiter(map(len, rows), np.int64, len(rows)) // np.dtype(kind).itemsize
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            flat = np.frombuffer(b"".join(rows), kind).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts), ids],
+                [b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(done + ends[:-1]), pa.array(counts), ids],
                 names=["key", "part", "local_start", "n_tokens", "ids"])
+            done += int(ends[-1])
 
     schema = source.select("key").schema.add("part", "integer").add("local_start", "long").add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
     writer = map_batches(dealt, run, schema).write.option("compression", "snappy")
