@@ -5,7 +5,7 @@ text or another. A full suffix array would order every suffix to the end; here s
 apart only through ``WINDOW`` bytes, digit by digit, and whatever is alone in its group leaves at
 once. The groups that are left at that depth are exactly the repeated windows.
 
-* First digit, dealt out by Spark: a gram of ``GRAM`` bytes. Of each window's grams only the one of
+* First digit, dealt out by Spark: a gram of ``gram`` bytes, a power of two below the window. Of each window's grams only the one of
   smallest hash is kept (leftmost on ties). The choice depends on nothing but the window's bytes, so
   equal windows choose the same gram at the same place, and every window holds one: grouping only
   these anchors (about one in 170 bytes) by their gram loses no repeat. Alone in its group: gone.
@@ -171,13 +171,13 @@ def repeated_offsets(group: np.ndarray, left: list[bytes], right: list[bytes], w
     return lo, hi
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _anchor_batches(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text) -> (h, k1, k2, a), and h null for a span that repeats inside its own text."""
-    reach = window - GRAM
+    reach = window - gram
     for b in batches:
         out = []
         for k1, k2, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            pos, h = anchors(np.frombuffer(text, np.uint8), window)
+            pos, h = anchors(np.frombuffer(text, np.uint8), window, gram)
             values, count = np.unique(h, return_counts=True)
             own = []
             if (count > 1).any():  # keep one anchor of those whose whole surroundings are equal
@@ -198,9 +198,9 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
                                              names=["h", "k1", "k2", "a"])
 
 
-def _context_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _context_batches(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text, at) -> one row an anchor with the bytes on both sides; the left ones reversed."""
-    reach = window - GRAM
+    reach = window - gram
     for b in batches:
         for k1, k2, text, at in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             rows = [(x["h"], k1, k2, x["a"], text[max(0, x["a"] - reach):x["a"]][::-1], text[x["a"]:x["a"] + window]) for x in at]
@@ -208,12 +208,12 @@ def _context_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
                                              names=["h", "k1", "k2", "a", "l", "r"])
 
 
-def _span_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _span_batches(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by h -> spans (k1, k2, s, e)."""
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         h = t.column("h").to_numpy()
-        lo, hi = repeated_offsets(h, t.column("l").to_pylist(), t.column("r").to_pylist(), window)
+        lo, hi = repeated_offsets(h, t.column("l").to_pylist(), t.column("r").to_pylist(), window, gram)
         hit = hi >= 0
         a = t.column("a").to_numpy()[hit]
         if len(a):
@@ -236,9 +236,9 @@ def _span_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         yield from solve(pa.Table.from_batches(held))
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _digest_batches(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text, at) -> digest and start of every window that holds one of the anchors ``at``."""
-    reach, two = window - GRAM, 1 << 63
+    reach, two = window - gram, 1 << 63
     for b in batches:
         for k1, k2, text, at in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             starts = sorted({s for x in at for s in range(max(0, x["a"] - reach), min(x["a"], len(text) - window) + 1)})
@@ -274,7 +274,7 @@ def text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(data).alias("k1"), F.xxhash64(F.lit(1), data).alias("k2")]
 
 
-def repeated_spans(df: DataFrame, text: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", window: int = WINDOW, hot: int = HOT, gram: int = GRAM) -> DataFrame:
     """One row per distinct text of ``window`` bytes or more: (k1, k2, text as bytes, spans), ``spans``
     being the maximal runs (s, e) of repeated bytes in order; empty where nothing repeats."""
     spark = df.sparkSession
@@ -286,18 +286,18 @@ def repeated_spans(df: DataFrame, text: str = "text", window: int = WINDOW, hot:
     (distinct.write.option("path", f"{scratch.path}/texts").option("compression", "zstd")
      .bucketBy(n, "k1", "k2").saveAsTable(name))
     texts = spark.table(name)
-    found = scratch.keep(map_batches(texts.select("k1", "k2", "text"), partial(_anchor_batches, window=window), "h long, k1 long, k2 long, a long"))
+    found = scratch.keep(map_batches(texts.select("k1", "k2", "text"), partial(_anchor_batches, window=window, gram=gram), "h long, k1 long, k2 long, a long"))
     shared = found.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     alike = found.join(shared, "h").groupBy("k1", "k2").agg(
         F.collect_list(F.when(F.col("n") <= hot, F.struct("a", "h"))).alias("few"),
         F.collect_list(F.when(F.col("n") > hot, F.struct("a", "h"))).alias("many"))
     alike = scratch.keep(alike)
     at = lambda kind: texts.join(alike.where(F.size(kind) > 0), ["k1", "k2"]).select("k1", "k2", "text", kind)
-    contexts = map_batches(at("few"), partial(_context_batches, window=window), "h long, k1 long, k2 long, a long, l binary, r binary")
-    spans = map_batches(contexts.repartition(n, "h").sortWithinPartitions("h"), partial(_span_batches, window=window), "k1 long, k2 long, s long, e long")
-    spans = spans.union(found.where("h is null").select("k1", "k2", (F.col("a") - (window - GRAM)).alias("s"), (F.col("a") + window).alias("e")))
+    contexts = map_batches(at("few"), partial(_context_batches, window=window, gram=gram), "h long, k1 long, k2 long, a long, l binary, r binary")
+    spans = map_batches(contexts.repartition(n, "h").sortWithinPartitions("h"), partial(_span_batches, window=window, gram=gram), "k1 long, k2 long, s long, e long")
+    spans = spans.union(found.where("h is null").select("k1", "k2", (F.col("a") - (window - gram)).alias("s"), (F.col("a") + window).alias("e")))
     if not alike.where(F.size("many") > 0).isEmpty():
-        digests = scratch.keep(map_batches(at("many"), partial(_digest_batches, window=window), "d1 long, d2 long, k1 long, k2 long, s long"))
+        digests = scratch.keep(map_batches(at("many"), partial(_digest_batches, window=window, gram=gram), "d1 long, d2 long, k1 long, k2 long, s long"))
         place = F.struct("k1", "k2", "s")
         twice = digests.groupBy("d1", "d2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("d1", "d2")
         spans = spans.union(digests.join(twice, ["d1", "d2"], "left_semi").select("k1", "k2", "s", (F.col("s") + window).alias("e")))
@@ -332,9 +332,9 @@ def kept_texts(spans: DataFrame, digest: bool = False) -> DataFrame:
     return map_batches(spans, partial(_kept_batches, digest=digest), f"k1 long, k2 long, n_removed long, n_spans long, kept {kind}")
 
 
-def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the repeated bytes cut out of ``text``; a character that a cut goes through goes whole."""
-    spans = repeated_spans(df, text).where(F.size("spans") > 0)
+def without_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``df`` with the bytes of repeated windows cut out of ``text``; a character that a cut goes through goes whole."""
+    spans = repeated_spans(df, text, window, gram=gram).where(F.size("spans") > 0)
     kept = Scratch(df.sparkSession, "kept").keep(kept_texts(spans).select("k1", "k2", F.col("kept").alias("__kept")))
     k1, k2 = text_key(f"`{text}`")
     keyed = df.select("*", k1.alias("__k1"), k2.alias("__k2"))

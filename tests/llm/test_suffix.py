@@ -39,13 +39,13 @@ def texts(seed=5):
     return out + ["", "x" * 399, "x" * 400, "x" * 401, "ab" * 900, out[3], "y" + "x" * 3000, noise(50) + "\0" * 430, "a repeated line of text\n" * 40]
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_equals_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "window", "gram"), [(50_000, 400, 64), (3, 400, 64), (50_000, 240, 32), (3, 100, 16)])
+def test_equals_brute_force(spark, hot, window, gram):
     rows = texts()
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
-    kept = {(r.k1, r.k2): r for r in suffix.kept_texts(suffix.repeated_spans(df, hot=hot), digest=True).collect()}
+    kept = {(r.k1, r.k2): r for r in suffix.kept_texts(suffix.repeated_spans(df, window=window, hot=hot, gram=gram), digest=True).collect()}
     data = [t.encode() for t in rows]
-    want = [digest(t, m) for t, m in zip(data, brute(data), strict=True)]
+    want = [digest(t, m) for t, m in zip(data, brute(data, window), strict=True)]
     for r in df.select("doc_id", *suffix.text_key()).collect():
         k = kept.get((r.k1, r.k2))
         got = (k.n_removed, k.n_spans, k.kept) if k else (0, 0, hashlib.sha256(data[r.doc_id]).hexdigest())
