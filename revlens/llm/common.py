@@ -82,13 +82,13 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def by_size(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batches: Iterator[pa.RecordBatch], column: int = -1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``limit`` bytes of the text (or binary) in ``column``, so that few long texts are in
     Python at a time; one longer text is a batch of its own."""
     for b in batches:
         if not b.num_rows:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column % b.num_columns)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
         at = 0
         while at < b.num_rows:
             done = size[at - 1] if at else 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import html_pages
-from revlens.llm.common import map_batches
+from revlens.llm.common import by_size, map_batches
 
 #: Bound of the fit: labelled pages, passes over them.
 TRAIN_PAGES, PASSES = 1500, 6
@@ -277,7 +277,7 @@ def extract(df: DataFrame, html: str = "html", field: Field | None = None) -> Da
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").cast("string").alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches):
             texts = [main_text(p, field) for p in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=[*b.schema.names[:-1], "text", "n_chars"])

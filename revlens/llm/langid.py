@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import SPACE, code_points, letter_table, map_batches
+from revlens.llm.common import SPACE, by_size, code_points, letter_table, map_batches
 
 UND = "und"
 #: Bounds of the fit: labelled texts a language, landmarks among them. The number of languages has none.
@@ -157,7 +157,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", names: tup
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks x languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches):
             langs, scores = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import code_points, map_batches
+from revlens.llm.common import by_size, code_points, map_batches
 
 #: Bound of the fit: labelled rows used.
 MAX_ROWS = 12_000
@@ -184,7 +184,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in by_size(batches):
         x = [features(t) for t in b.column(b.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.list_(pa.float64()))],
                                          names=[*b.schema.names[:-1], "x"])
@@ -216,7 +216,7 @@ def score(df: DataFrame, model: Additive, text: str = "text", threshold: float =
     shared = df.sparkSession.sparkContext.broadcast(model)  # bins x features and pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches):
             x = np.array([features(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(FEATURES))
             s = shared.value.score(x)
             yield pa.RecordBatch.from_arrays(

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import Scratch, map_batches, partitions, utf8
+from revlens.llm.common import Scratch, by_size, map_batches, partitions, utf8
 from revlens.llm.components import components
 
 SEED, BITS = 42, 64
@@ -70,7 +70,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches):
             fps = _signed([fingerprint(x, width) for x in b.column(b.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fps], names=[*b.schema.names[:-1], "fp"])
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, and every registered query on a small folder."""
 
+import random
 import re
 
 import pytest
@@ -44,7 +45,7 @@ def test_run_equals_brute_force(spark, folder):
     roots = _near(rows)
     rows = [r for k, r in enumerate(rows) if roots[k] == k]
     data = [r["text"].encode() for r in rows]
-    for r, t, m in zip(rows, data, brute(data), strict=True):
+    for r, t, m in zip(rows, data, brute(data, corpus_pipeline.PASSAGE), strict=True):
         r["text"] = bytes(c for c, x in zip(t, m, strict=True) if not x).decode(errors="ignore")
     encode = tokenizer(queries.vocabulary("byte_bpe_50k.json")).encode
     want = {r["doc_id"]: len(encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows}
@@ -54,6 +55,19 @@ def test_run_equals_brute_force(spark, folder):
     assert got == want
 
 
+def test_passages_of_51_words_go(spark, folder):
+    """Short planted passages are cut wherever they occur; texts without one stay as they are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice((2, 3, 4, 5, 6))))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    passages = [prose(51) for _ in range(6)]
+    rows = [(i, f"{prose(80)} {passages[i % 6]} {prose(60)}" if i % 2 else prose(150)) for i in range(48)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, folder).collect()}
+    for i, t in rows:
+        assert (passages[i % 6][5:-5] not in got[i]) if i % 2 else got[i] == t
+
+
 def test_stages_keep_columns_and_bear_odd_tables(spark, folder):
     from pyspark.sql import functions as F
 
