@@ -7,7 +7,7 @@ null and repeated ids are safe; an empty table runs through and gives no sequenc
 * ``language_id`` drops texts without a language (null, or no letter).
 * ``quality`` drops texts the additive model predicts to be poor.
 * ``near_dedup`` keeps one row of each SimHash component: that of the smallest id.
-* ``repeats`` cuts strings of 400 bytes that occur elsewhere; ``n_chars`` follows. A text may become empty.
+* ``repeats`` cuts strings of ``PASSAGE`` bytes that occur elsewhere; ``n_chars`` follows. A text may become empty.
 * ``packing`` returns the pieces with their places in sequences of 1024 tokens.
 """
 
@@ -22,6 +22,10 @@ from revlens.llm.queries import END_ID, vocabulary
 from revlens.llm.words import KEPT
 
 
+#: A passage of over 50 words fills a window of 240 bytes (4.7 bytes a word and its space); grams to anchor it.
+PASSAGE, GRAM = 240, 32
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(id_crc("doc_id", 4) != 2))
     found = langid.identify(docs, model, names=("__lang", "__score"))
@@ -54,7 +58,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix.without_repeats(docs)
+    cut = suffix.without_repeats(docs, window=PASSAGE, gram=GRAM)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
