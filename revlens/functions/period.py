@@ -112,4 +112,4 @@ def resolve_window(start: str | date | None = None, end: str | date | None = Non
 def check_window(start: date, end: date) -> None:
     """FLT-5: start after end is an error."""
     if start > end:
-        raise ValueError("Start date cannot be after end date.")
+        raise ValueError("the window starts after its end")

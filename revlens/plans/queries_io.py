@@ -248,6 +248,42 @@ def q_version_gate_forced(spark, sf):
     return change_out(df)
 
 
+_FACTS = "SELECT '{}' AS data_version, '{}' AS since, '{}' AS until, count(*) AS n_rows FROM changes WHERE {}"
+
+
+@register("version_audit", with_mapping(_FACTS.format("1.0", "1992-01-01", "1996-12-31", "commit_date < TIMESTAMP '1997-01-01'") + " UNION ALL "
+                                        + _FACTS.format("2.0", "1997-01-01", "", "commit_date >= TIMESTAMP '1997-01-01'")))
+def q_version_audit(spark, sf):
+    """SRC-7 over all files: a set written as 1.0 and appended to as 2.0, audited from its footers."""
+    path = shared_path(spark, "pqaudit")
+    changes = td.changes(spark, sf)
+    PQ.write_changes(changes.where("commit_date < '1997-01-01'"), path, since="1992-01-01", until="1996-12-31")
+    PQ.write_changes(changes.where("commit_date >= '1997-01-01'"), path, since="1997-01-01", version="2.0", mode="append")
+    found = PQ.audit_versions(spark.read.parquet(path))
+    return found.select("data_version", "since", "until", "n_rows")
+
+
+@register("version_gate_mixed", with_mapping("SELECT 'change set has data_version 1.0, 2.0, this library reads 1.0' AS refused, count(*) AS n_rows FROM changes"))
+def q_version_gate_mixed(spark, sf):
+    """SRC-7 on mixed files: refused without ``force`` (file counts left out), whole with it."""
+    import re
+    import warnings
+
+    path = shared_path(spark, "pqmixed")
+    changes = td.changes(spark, sf)
+    PQ.write_changes(changes.where("change_type <> 'D'"), path)
+    PQ.write_changes(changes.where("coalesce(change_type, 'D') = 'D'"), path, version="2.0", mode="append")
+    try:
+        PQ.read_changes(spark, path)
+        refused = "not refused"
+    except PQ.VersionMismatch as e:
+        refused = re.sub(r" in \d+ files?", "", str(e)).partition(";")[0]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        df, _ = PQ.read_changes(spark, path, force=True)
+    return df.agg(F.lit(refused).alias("refused"), F.count("*").alias("n_rows"))
+
+
 @register("log_scan", with_mapping("SELECT commit_hash FROM commits"))
 def q_log_scan(spark, sf):
     """SRC-1 alone: records of a dump written in several files, one row per commit."""

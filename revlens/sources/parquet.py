@@ -2,9 +2,9 @@
 
 Provenance (``data_version``, ``description``, ``since``, ``until``) travels as column metadata
 in the Spark schema stored in the Parquet footer, so it round-trips with the data and is read
-at plan time from the schema alone. Files written by other tools keep the same keys as footer
-key/values; those are read from one footer through Spark's file system (a bounded read). Plain
-readers find ours in the footer's ``org.apache.spark.sql.parquet.row.metadata`` (the schema as JSON).
+from every file's footer by tasks (``footers``), since files of one set may differ. Files written by other
+tools keep the same keys as footer key/values. Plain readers find ours in the footer's
+``org.apache.spark.sql.parquet.row.metadata`` (the schema as JSON).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from revlens.functions.period import Window as Period
 from revlens.functions.period import day_edges, resolve_window
 from revlens.functions.scalar import month_bucket
 from revlens.schema import CHANGE, CHANGE_COLUMNS, DATA_VERSION, DESCRIPTION, META_KEYS
+from revlens.sources.footers import provenance_of_files
 
 log = logging.getLogger(__name__)
 
@@ -50,7 +51,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def refuse_nulls(df: DataFrame) -> DataFrame:
     """SNK-4 inside the write: the same rows, failing at the first null; nothing is computed twice."""
-    fail = lambda c: F.raise_error(F.lit(f"Column contains None/NaN values: {c}"))
+    fail = lambda c: F.raise_error(F.lit(f"a null in column {c}"))
     return df.select(*[F.coalesce(F.col(c), fail(c).cast(df.schema[c].dataType)).alias(c) if c != MONTH_COL else F.col(c) for c in df.columns])
 
 
@@ -59,7 +60,7 @@ def assert_no_nulls(df: DataFrame) -> None:
     row = null_counts(df).first()
     bad = {k: v for k, v in row.asDict().items() if v}
     if bad:
-        raise ValueError(f"Columns contain None/NaN values: {bad}")
+        raise ValueError(f"nulls by column: {bad}")
 
 
 def provenance(since: str | None, until: str | None, description: str = DESCRIPTION,
@@ -105,44 +106,52 @@ def write_changes(df: DataFrame, path: str, since: str | None = None, until: str
     writer.parquet(path)
 
 
-def _spark_metadata(df: DataFrame) -> dict[str, str] | None:
-    for f in df.schema.fields:
-        meta = f.metadata.get("revlens") if f.metadata else None
-        if meta:
-            return dict(meta)
-    return None
+def audit_versions(df: DataFrame) -> DataFrame:
+    """SRC-7: provenance of every file that ``df`` (just read) scans: (data_version, description, since, until,
+    n_files, n_rows), a row per distinct provenance. Tasks read the footers; no data is read."""
+    return provenance_of_files(df.sparkSession, df.inputFiles())
 
 
-def _footer_metadata(df: DataFrame) -> dict[str, str] | None:
-    """Key/values of one file's footer, read by Spark's own Parquet library: works wherever Spark reads
-    (object stores included). One footer, whatever the number of files."""
-    files = df.inputFiles()
-    if not files:
-        return None
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(min(files)), conf)
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
-    try:
-        stored = reader.getFooter().getFileMetaData().getKeyValueMetaData()
-        return {k: stored.get(k) for k in META_KEYS if stored.get(k) is not None} or None
-    finally:
-        reader.close()
+def _one_provenance(found: list) -> dict[str, str]:
+    """Provenance of the whole set: the widest window of its files; several versions are joined."""
+    if not found:
+        return {}
+    value = lambda k: [r[k] or "" for r in found]
+    distinct = lambda k: sorted(set(value(k)) - {""})
+    out = {k: ", ".join(distinct(k)) for k in ("data_version", "description")}
+    for k, widest in (("since", min), ("until", max)):  # a file without a bound leaves the set without one
+        out[k] = widest(value(k)) if "" not in value(k) else ""
+    given = {k for k in META_KEYS if any(r[k] is not None for r in found)}
+    return {k: out[k] for k in META_KEYS if k in given}
 
 
 def dataset_metadata(df: DataFrame) -> dict[str, str]:
-    return _spark_metadata(df) or _footer_metadata(df) or {}
+    return _one_provenance(audit_versions(df).collect())
 
 
 def version_gate(meta: dict[str, str], expected: str = DATA_VERSION, force: bool = False) -> bool:
     """SRC-7: True when the data's version is the ``expected`` one. Another or no version raises, unless
     ``force`` lowers it to a warning."""
     found = meta.get("data_version") or None
-    if found == expected:
+    return found == expected or _refused(f"change set has data_version {found or '(none)'}, this library reads {expected}", force)
+
+
+def versions_gate(found: list, expected: str = DATA_VERSION, force: bool = False) -> bool:
+    """``version_gate`` over all files (rows of ``audit_versions``): every one must have the ``expected``
+    version. The message counts the files of each version."""
+    files: dict[str, int] = {}
+    for r in found:
+        version = r["data_version"] or "(none)"
+        files[version] = files.get(version, 0) + r["n_files"]
+    if set(files) == {expected}:
         return True
-    problem = f"change set has data_version {found or '(none)'}, this library reads {expected}"
+    said = ", ".join(f"{v} in {n} file{'s' * (n != 1)}" for v, n in sorted(files.items())) or "(none)"
+    return _refused(f"change set has data_version {said}, this library reads {expected}", force)
+
+
+def _refused(problem: str, force: bool) -> bool:
     if force:
-        warnings.warn(f"{problem}; read all the same", stacklevel=2)
+        warnings.warn(f"{problem}; read all the same", stacklevel=3)
         return True
     raise VersionMismatch(f"{problem}; pass force=True to read it all the same")
 
@@ -159,10 +168,12 @@ def read_changes(spark: SparkSession, path: str, expected_version: str = DATA_VE
                  force: bool = False, keep_partitions: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """SRC-7: load a saved change set behind the version gate; returns (frame, provenance).
 
-    ``keep_partitions`` keeps the ``commit_month`` directory column so a caller can prune."""
+    The gate looks at every file: one file of another or of no version refuses the set. ``keep_partitions`` keeps the ``commit_month``
+    directory column so a caller can prune."""
     df = spark.read.parquet(path)
-    meta = dataset_metadata(df)
-    version_gate(meta, expected_version, force)
+    found = audit_versions(df).collect()  # one row a distinct provenance
+    versions_gate(found, expected_version, force)
+    meta = _one_provenance(found)
     cols = [c for c in CHANGE_COLUMNS if c in df.columns]
     if keep_partitions and MONTH_COL in df.columns:
         cols.append(MONTH_COL)

@@ -40,6 +40,44 @@ def test_gate_on_written_mismatch(spark, scratch):
     assert df.count() == 1
 
 
+def test_mixed_files_are_refused_with_their_counts(spark, scratch):
+    path = scratch("pq with space")
+    PQ.write_changes(change_rows(spark, [{}]), path, since="2024-01-01", until="2024-03-31")
+    PQ.write_changes(change_rows(spark, [{}, {}]).coalesce(1), path, version="2.0", since="2024-02-01", mode="append")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    pq.write_table(pa.table({"commit_hash": ["foreign"]}), os.path.join(local, "foreign.parquet"))
+    with pytest.raises(PQ.VersionMismatch, match=r"\(none\) in 1 file, 1.0 in \d+ files?, 2.0 in 1 file, this"):
+        PQ.read_changes(spark, path)
+    with pytest.warns(UserWarning, match="read all the same"):
+        df, meta = PQ.read_changes(spark, path, force=True)
+    assert df.count() == 4 and meta["data_version"] == "1.0, 2.0" and (meta["since"], meta["until"]) == ("", "")
+    found = {r.data_version: (r.n_rows, r.since) for r in PQ.audit_versions(spark.read.parquet(path)).collect()}
+    assert found == {"1.0": (1, "2024-01-01"), "2.0": (2, "2024-02-01"), None: (1, None)}
+
+
+def test_widest_window_of_appended_files(spark, scratch):
+    path = scratch("pqwide")
+    PQ.write_changes(change_rows(spark, [{}]), path, since="2024-01-01", until="2024-03-31")
+    PQ.write_changes(change_rows(spark, [{}]), path, since="2023-06-01", until="2023-12-31", mode="append")
+    _, meta = PQ.read_changes(spark, path)
+    assert (meta["since"], meta["until"], meta["data_version"]) == ("2023-06-01", "2024-03-31", "1.0")
+
+
+def test_footers_through_spark_equal_those_read_by_tasks(spark, scratch):
+    from revlens.sources import footers
+
+    path = scratch("pqjvm")
+    PQ.write_changes(change_rows(spark, [{}, {}]).coalesce(1), path, since="2024-01-01", version="3.1")
+    (uri,) = spark.read.parquet(path).inputFiles()
+    by_tasks = footers.provenance_of_files(spark, [uri], tasks_only=True).first()
+    assert footers._through_spark(spark, uri) == (*(by_tasks[k] for k in PQ.META_KEYS), 2)
+    other = "viewfs://nowhere/x.parquet"
+    with pytest.raises(OSError, match="1 files"):
+        footers.provenance_of_files(spark, [uri, other], tasks_only=True)
+
+
 def test_empty_write_keeps_schema(spark, scratch):
     path = scratch("pqe")
     PQ.write_changes(change_rows(spark, []), path)
