@@ -55,6 +55,21 @@ def q_reachable_chain(spark, sf):
     return G.reachable_from(chain, k.where("k % 5000 = 4321").select(F.col("k").cast("string").alias("commit_hash")))
 
 
+@register("reachable_ladder", """
+WITH island AS (SELECT o_orderkey AS k, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS g FROM orders),
+tips AS (SELECT g, max(k) AS top FROM island WHERE k % 5000 = 4321 GROUP BY g),
+r AS (SELECT CAST(k AS VARCHAR) AS k FROM island JOIN tips USING (g) WHERE k <= top)
+SELECT 'n' || k AS commit_hash FROM r UNION ALL SELECT 'x' || k FROM r UNION ALL SELECT 'root' WHERE EXISTS (SELECT 1 FROM r)""")
+def q_reachable_ladder(spark, sf):
+    """JN-7 down a ladder: each order merges a commit of its own first and the order below second."""
+    k = td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    below = k.select((F.col("k") + 1).alias("k"), F.concat(F.lit("n"), F.col("k").cast("string")).alias("p"))
+    name = lambda c: F.concat(F.lit(c), F.col("k").cast("string"))
+    rungs = k.join(below, "k", "left").select(name("n").alias("commit_hash"), F.array_compact(F.array(name("x"), "p")).alias("parent_hashes"))
+    sides = k.select(name("x").alias("commit_hash"), F.array(F.lit("root")).alias("parent_hashes"))
+    return G.reachable_from(rungs.union(sides), k.where("k % 5000 = 4321").select(name("n").alias("commit_hash")))
+
+
 @register("all_refs_commits", with_mapping(_EDGES + """
 SELECT DISTINCT commit_hash FROM (
   WITH RECURSIVE r(h) AS (SELECT commit_hash FROM tips

@@ -1,5 +1,7 @@
 """Commit graph, stat merges, snapshot diffs, exact renames, set comparison."""
 
+import pytest
+
 from helpers import commit_rows
 from revlens.operators import diff as D
 from revlens.operators import graph as G
@@ -128,7 +130,31 @@ def test_straight_history_takes_few_jumps(spark):
     n = 300
     commits = commit_rows(spark, [{"commit_hash": f"n{i}", "parent_hashes": [f"n{i - 1}"] if i else []} for i in range(n)])
     tips = spark.createDataFrame([("n250",)], "commit_hash string")
-    assert G.reachable_from(commits, tips, max_rounds=1).count() == 251
+    # the plain rounds, then one contraction takes the rest of the chain
+    assert G.reachable_from(commits, tips, max_rounds=G.PLAIN + 1).count() == 251
+
+
+@pytest.mark.parametrize("shape", ["ladder", "nested", "crossed"])
+def test_deep_merges_take_few_rounds(spark, shape):
+    """Second-parent edges in a row, branches merged inside branches, and criss-cross merges."""
+    n = 120
+    if shape == "ladder":  # the way down is always the second parent
+        rows = {f"n{i}": [f"x{i}", f"n{i + 1}"] for i in range(n)} | {f"x{i}": ["root"] for i in range(n)} | {f"n{n}": ["root"], "root": []}
+    elif shape == "nested":  # branch i leaves the line at a{i} and comes back at m{i}, around branch i + 1
+        rows = {f"m{i}": [f"a{i}", f"m{i + 1}"] for i in range(n)} | {f"a{i + 1}": [f"a{i}"] for i in range(n)} | {f"m{n}": [f"a{n}"], "a0": []}
+    else:
+        rows = {f"{s}{i}": [f"a{i + 1}", f"b{i + 1}"][:: 1 if s == "a" else -1] for i in range(n) for s in "ab"} | {f"a{n}": [], f"b{n}": []}
+    rows |= {"other": ["side"], "side": [], "above": [next(iter(rows))]}
+    commits = commit_rows(spark, [{"commit_hash": h, "parent_hashes": p} for h, p in rows.items()])
+    top = next(iter(rows))
+    want, stack = set(), [top]
+    while stack:
+        h = stack.pop()
+        if h not in want:
+            want.add(h)
+            stack.extend(rows[h])
+    tips = spark.createDataFrame([(top,)], "commit_hash string")
+    assert {r.commit_hash for r in G.reachable_from(commits, tips, max_rounds=G.PLAIN + 6).collect()} == want
 
 
 def test_tree_changes_with_a_branch_point_of_many_children(spark):
