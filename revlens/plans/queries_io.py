@@ -161,6 +161,36 @@ def q_patch_line_stats(spark, sf):
     return LT.patch_line_stats(patches)
 
 
+@register("patch_scan", with_mapping("""
+, r AS (SELECT commit_hash, CASE WHEN additions % 7 = 3 THEN 'dír ' || file_path ELSE file_path END AS file_path, additions, deletions, pos
+        FROM files_pos WHERE change_type <> 'D'),
+n AS (SELECT *, row_number() OVER (PARTITION BY commit_hash, file_path ORDER BY pos DESC) AS rn FROM r)
+SELECT commit_hash, file_path, additions, deletions FROM n WHERE rn = 1"""))
+def q_patch_scan(spark, sf):
+    """SRC-6 from storage: the history as ``log -p`` dumps of several files, with quoted paths, deleted
+    (/dev/null) and binary sections and commits without one, read back by sections."""
+    from revlens.sources.patchtext import patch_scan
+
+    path = shared_path(spark, "patches")
+    rows = td.file_rows_pos(spark, sf)
+    odd, p = F.col("additions") % 7 == 3, F.col("file_path")
+    quote = lambda side: F.when(odd, F.concat(F.lit(f'"{side}/d\\303\\255r '), p, F.lit('"'))).otherwise(F.concat(F.lit(f"{side}/"), p))
+    plus = F.when(F.col("change_type") == "D", F.lit("/dev/null")).otherwise(quote("b"))
+    section = F.concat(
+        F.lit("diff --git "), quote("a"), F.lit(" "), quote("b"), F.lit("\nindex 1111111..2222222 100644\n--- "), quote("a"), F.lit("\n+++ "),
+        plus, F.lit("\n@@ -1 +1 @@\n commit 0123456789 is no header\n"),
+        F.repeat(F.lit("+added line\n"), F.col("additions").cast("int")), F.repeat(F.lit("-removed line\n"), F.col("deletions").cast("int")),
+        F.lit("diff --git a/logo.png b/logo.png\nindex 1111111..2222222 100644\nBinary files a/logo.png and b/logo.png differ\n"))
+    sections = rows.groupBy("commit_hash").agg(F.sort_array(F.collect_list(F.struct("pos", section.alias("s")))).alias("secs"))
+    header = F.concat(F.lit("commit "), F.sha1("commit_hash"), F.lit("\nAuthor: a <a@b>\n\n    "), F.col("commit_hash"), F.lit("\n\n"))
+    dumps = td.commit_heads(spark, sf).select("commit_hash").join(sections, "commit_hash", "left").select(
+        F.concat(header, F.coalesce(F.array_join(F.transform("secs", lambda x: x["s"]), ""), F.lit(""))).alias("value"))
+    dumps.write.text(path)
+    names = td.commit_heads(spark, sf).select("commit_hash", F.sha1("commit_hash").alias("sha"))
+    found = patch_scan(spark, path).withColumnRenamed("commit_hash", "sha")
+    return found.join(names, "sha").select("commit_hash", "file_path", "additions", "deletions")
+
+
 @register("patch_totals_from_text", with_mapping("""
 , r AS (SELECT commit_hash, file_path, additions, deletions,
                row_number() OVER (PARTITION BY commit_hash, file_path ORDER BY additions DESC, deletions DESC) AS rn
