@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.schema import CHANGE_COLUMNS, COMMIT_COLUMNS
+from revlens.schema import COMMIT_COLUMNS
 
 
 def explode_changes(commits: DataFrame) -> DataFrame:
@@ -50,7 +50,3 @@ def last_wins(rows: DataFrame, keys=("commit_hash", "file_path"), order_col: str
     """
     aggs = [F.max_by(c, F.col(order_col)).alias(c) for c in value_cols]
     return rows.groupBy(*keys).agg(*aggs)
-
-
-def flatten_schema(changes: DataFrame) -> DataFrame:
-    return changes.select(*CHANGE_COLUMNS)

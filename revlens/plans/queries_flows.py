@@ -38,24 +38,28 @@ def _board_of(spark, src, max_files):
     return ST.latest_board(spark, out)
 
 
+def _files(spark, path: str) -> int:
+    return len(spark.read.text(path).inputFiles())
+
+
 @register("stream_scoreboard", SCOREBOARD_SQL)
 def q_stream_scoreboard(spark, sf):
-    """Dumps written as several files, ingested as a stream two files per trigger, scoreboard
+    """A dump in as many files as Spark writes, ingested as a stream half of them per trigger, scoreboard
     published per micro-batch; the result is the final published scoreboard."""
     src = shared_path(spark, "stream-in")
-    LT.write_log(td.commits(spark, sf).repartition(4, "author_email"), src)
-    return _board_of(spark, src, 2)
+    LT.write_log(td.commits(spark, sf), src)
+    return _board_of(spark, src, -(-_files(spark, src) // 2))
 
 
 @register("stream_newest_first", SCOREBOARD_SQL)
 def q_stream_newest_first(spark, sf):
-    """A history of decades, newest dump first, one file a trigger, then one dump sent again: every commit
-    counts once. Commit years are spread by the order key (1970 to 2019)."""
+    """A history of decades, newest dump first, a dump's worth of files a trigger, then one dump sent again:
+    every commit counts once. Commit years are spread by the order key (1970 to 2019)."""
     commits = td.commits(spark, sf)
     year = F.pmod(F.col("commit_hash").cast("long"), F.lit(50))
     old = commits.withColumn("commit_date", F.timestamp_seconds(year * 31_557_600 + 86_400)).withColumn("commit_timestamp", year * 31_557_600 + 86_400)
     src = shared_path(spark, "stream-old")
     spans = ((25, 50), (10, 25), (0, 10), (25, 30))  # the last one is sent again
     for n, (a, b) in enumerate(spans):
-        LT.write_log(old.where(year.between(a, b - 1)).coalesce(1), f"{src}/dump-{n}")
-    return _board_of(spark, f"{src}/*", 1)
+        LT.write_log(old.where(year.between(a, b - 1)), f"{src}/dump-{n}")
+    return _board_of(spark, f"{src}/*", _files(spark, f"{src}/dump-0"))

@@ -216,6 +216,19 @@ def q_commits_to_json(spark, sf):
                        F.size("file_changes").cast("bigint").alias("n_changes"))
 
 
+@register("json_array_roundtrip", with_mapping("SELECT commit_hash, parents, commit_date, CAST(n_changes AS BIGINT) AS n_changes"
+                                               " FROM commits JOIN (SELECT ok, count(file_path) AS n_changes FROM commits"
+                                               " LEFT JOIN files USING (ok) GROUP BY ok) USING (ok)"))
+def q_json_array_roundtrip(spark, sf):
+    """SNK-5 as one JSON array over many files, written and read in parallel."""
+    path = shared_path(spark, "jsonarray")
+    LT.write_json_array(td.commits(spark, sf), path)
+    back = LT.read_json_array(spark, path)
+    return back.select("commit_hash", F.array_join("parent_hashes", " ").alias("parents"),
+                       F.col("commit_date").cast("timestamp_ntz").alias("commit_date"),
+                       F.size("file_changes").cast("bigint").alias("n_changes"))
+
+
 # ---- Parquet with provenance ----------------------------------------------------------
 
 _PQ_SELECT = ("SELECT commit_hash, parents, author_name, author_email, commit_date, commit_timestamp, commit_message,"

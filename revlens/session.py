@@ -6,7 +6,6 @@ are for tests, the bench and notebooks.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -71,13 +70,6 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
-
-
 def materialize(df):
     """Reliable checkpoint into the shared checkpoint folder: computes ``df`` once, cuts lineage,
     and survives executor loss (never ``localCheckpoint``)."""
@@ -85,20 +77,6 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df) -> int:
-    """Bytes of the plan's leaf relations (file sizes for scans) from Catalyst statistics; no job
-    runs. Join estimates without CBO multiply sizes, so the leaves are the honest measure."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            size = leaves.apply(i).stats().sizeInBytes()
-            total += int(size) if isinstance(size, int) else int(size.toString())
-        return total
-    except Exception:  # noqa: BLE001 - unknown: treat as large
-        return 1 << 62
-
-
 def persist_table(df, name: str = "table"):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 

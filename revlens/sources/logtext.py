@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.scalar import _SPLITLINES as _LINE_SPLIT
 from revlens.functions.scalar import MSG_END, MSG_START, parse_message, parse_parents, strip_ws
+from revlens.operators.ranking import in_order
 from revlens.schema import COMMIT_COLUMNS, FILE_CHANGE
 
 # The record and field markers of the history dump format.
@@ -295,14 +296,14 @@ def write_log(commits: DataFrame, path: str, mode: str = "errorifexists") -> Non
     commits_to_log(commits).write.mode(mode).option("lineSep", COMMIT_MARK).text(path)
 
 
-def commits_to_json(commits: DataFrame) -> DataFrame:
-    """SNK-5: one JSON object per commit, dates as ISO text (column ``value``)."""
+def commits_to_json(commits: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """SNK-5: one JSON object per commit, dates as ISO text (column ``value``), next to the columns ``carry``."""
     as_text = commits.select(
         *[c for c in COMMIT_COLUMNS if c != "commit_date"],
         _iso(F.col("commit_date")).alias("commit_date"),
-        "file_changes",
+        "file_changes", *(carry or []),
     )
-    return as_text.select(F.to_json(F.struct(*as_text.columns)).alias("value"))
+    return as_text.select(F.to_json(F.struct(*[c for c in as_text.columns if c not in (carry or [])])).alias("value"), *(carry or []))
 
 
 def write_json(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -310,12 +311,23 @@ def write_json(commits: DataFrame, path: str, mode: str = "errorifexists") -> No
     commits_to_json(commits).write.mode(mode).text(path)
 
 
-def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """Read SNK-5 output back with an explicit schema: JSON Lines (split over tasks), or with ``array`` files
-    that hold one JSON array of commits each (read whole; a file a task)."""
+def write_json_array(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """SNK-5 to storage as one JSON array over all files in name order, newest commit first, one object a line:
+    the array's brackets and commas begin the lines, so files are written by many tasks and ``cat`` of them is
+    the array. One sort; the files are its partitions."""
+    rows = commits.select("commit_timestamp", "commit_hash", F.struct(*commits.columns).alias("commit"))
+    placed = in_order(rows, F.desc("commit_timestamp"), "commit_hash")
+    text = commits_to_json(placed.select("commit.*", "_part", "_idx"), ["_part", "_idx"])
+    first = placed.agg(F.min("_part")).first()[0]
+    begins = F.when((F.col("_part") == first) & (F.col("_idx") == 0), "[").otherwise(",")
+    end = commits.sparkSession.range(1, numPartitions=1).select(F.lit("[]" if first is None else "]").alias("value"))
+    text.select(F.concat(begins, "value").alias("value")).union(end).write.mode(mode).text(path)
+
+
+def _json_schema():
     from pyspark.sql import types as T
 
-    schema = T.StructType(
+    return T.StructType(
         [
             T.StructField("commit_hash", T.StringType()),
             T.StructField("parent_hashes", T.ArrayType(T.StringType())),
@@ -327,6 +339,26 @@ def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
             T.StructField("file_changes", T.ArrayType(FILE_CHANGE)),
         ]
     )
-    df = spark.read.schema(schema).json(path, multiLine=array)
-    return df.select(*[F.try_to_timestamp("commit_date").alias(c) if c == "commit_date" else F.col(c)
-                       for c in COMMIT_COLUMNS], "file_changes")
+
+
+def _commits_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select(*[F.try_to_timestamp("commit_date").alias(c) if c == "commit_date" else F.col(c)
+                           for c in COMMIT_COLUMNS], "file_changes")
+
+
+def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Read SNK-5 output back with an explicit schema: JSON Lines (split over tasks), or with ``array`` files
+    that hold one JSON array of commits each (read whole; a file a task)."""
+    return _commits_of(spark.read.schema(_json_schema()).json(path, multiLine=array))
+
+
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """Commits of a JSON array with one object a line (as ``write_json_array`` writes it, or with commas at the
+    line ends), split over tasks like any text. A line that is no whole object raises: such an array
+    (indented, say) is read by ``read_json(array=True)``."""
+    line = F.regexp_replace(F.regexp_replace("value", r"^[\s,\[]+", ""), r"[\s,\]]+$", "")
+    lines = spark.read.text(path).select(line.alias("line")).where("line <> ''")
+    whole = F.col("line").startswith("{") & F.col("line").endswith("}")
+    problem = F.raise_error(F.concat(F.lit("not one object a line: "), F.substr("line", F.lit(1), F.lit(80)))).cast("string")
+    parsed = lines.select(F.from_json(F.when(whole, F.col("line")).otherwise(problem), _json_schema(), {"mode": "FAILFAST"}).alias("c"))
+    return _commits_of(parsed.select("c.*"))

@@ -1,5 +1,6 @@
 """Text sources: marker logs, file-stat lines, numstat / name-status, unified diffs, round trip."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import commit_rows, utc
@@ -142,3 +143,30 @@ def test_name_status_dict_variant(spark):
                                "value string")
     got = [(r.change_type, r.file_path, r.old_file_path) for r in LT.name_status_parse(df, dict_variant=True).collect()]
     assert got == [("M", "file.txt", None), ("R100", "new.txt", None)]
+
+
+def test_json_array_over_many_files(spark, scratch):
+    import glob
+    import json
+
+    rows = [{"commit_hash": f"h{i}", "commit_timestamp": 1000 + i % 7, "commit_message": 'a "quoted" [x],\n{y}'} for i in range(50)]
+    commits = commit_rows(spark, rows).withColumn("file_changes", F.expr("array(named_struct('file_path', 'p', 'additions', 1L, 'deletions', 2L, 'change_type', 'M', 'old_file_path', cast(null as string)))"))
+    path = scratch("json-array")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        LT.write_json_array(commits.repartition(4), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(glob.glob(f"{path.removeprefix('file:')}/part-*"))
+    whole = json.loads("".join(open(f).read() for f in files))
+    assert len(files) > 3 and [(c["commit_timestamp"], c["commit_hash"]) for c in whole] == sorted(
+        ((r["commit_timestamp"], r["commit_hash"]) for r in rows), key=lambda x: (-x[0], x[1]))
+    back = LT.read_json_array(spark, path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, commits.select(*back.columns).collect()))
+    LT.write_json_array(commits.limit(0), f"{path}-none")
+    assert LT.read_json_array(spark, f"{path}-none").count() == 0
+    spark.createDataFrame([("[",), ('{"commit_hash": "k"},',), ('{"commit_hash": "m"}',), ("]",)], "value string").coalesce(1).write.text(f"{path}-ends")
+    assert {r.commit_hash for r in LT.read_json_array(spark, f"{path}-ends").collect()} == {"k", "m"}
+    spark.createDataFrame([("[",), (" {",), (' "commit_hash": "k" }]',)], "value string").coalesce(1).write.text(f"{path}-indented")
+    with pytest.raises(Exception, match="not one object a line"):
+        LT.read_json_array(spark, f"{path}-indented").collect()
