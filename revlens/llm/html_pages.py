@@ -7,6 +7,8 @@ import random
 
 ARTICLE = ("article", "main", "div id=content", "div class=post-content", "section class=entry-content", "div class=article-body",
            "td class=content", "div role=main", "div class='story text'", "div id=main-content", "article class=post", "div itemprop=articleBody")
+#: Containers that say nothing of what they hold; "" is none at all, "?" becomes a name that no other page has.
+SILENT = ("", "", "div", "div", "td", "section", "div class=?", "div id=?", "section class=?", "center", "font", "span")
 MENUS = ("nav", "div class=menu", "div id=navigation", "ul class=nav-links", "div class=breadcrumbs", "nav class=main-nav", "div class=navbar",
          "div role=navigation", "div class=pagination", "div class=tags", "div class=toc")
 HEADERS = ("header", "div class=header", "div id=masthead", "header class=site-header", "div class=top-bar", "div role=banner")
@@ -115,23 +117,30 @@ def page(rng: random.Random) -> list[tuple[str, bool | None]]:
             out.append((inner, None))
         out.append((end, None))
 
+    silent = rng.random() < 0.4
+    bare = silent and rng.random() < 0.4  # hardly anything around the article
     extras = (lambda: bit(ADVERTS), lambda: bit(NOTICES), lambda: bit(MENUS), lambda: bit(SIDES), form)
-    out.append(("<html><body>", None))
-    if rng.random() < 0.5:
+    whole = not silent or rng.random() < 0.8
+    if whole:
+        out.append(("<html><body>", None))
+    if rng.random() < (0.1 if bare else 0.5):
         end = open_(rng.choice(HEADERS))
         put(rng.choice(("div class=logo", "h1", "p", "h2", "span")), words(rng, rng.randint(1, 5)), False)
         if rng.random() < 0.5:
             bit(MENUS)
         out.append((end, None))
-    if rng.random() < 0.8:
+    if rng.random() < (0.1 if bare else 0.8):
         bit(MENUS)
     for f in extras:
-        if rng.random() < 0.35:
+        if rng.random() < (0.05 if bare else 0.35):
             f()
-    wrap = [open_(rng.choice(("div id=page", "div class=wrapper", "div class=container", "div", "main", "table", "tr"))) for _ in range(rng.randint(0, 2))]
-    end = open_(rng.choice(ARTICLE[:2] * 5 + ARTICLE))
+    wrap = [open_(rng.choice(("div id=page", "div class=wrapper", "div class=container", "div", "main", "table", "tr"))) for _ in range(0 if silent and rng.random() < 0.7 else rng.randint(0, 2))]
+    spec = rng.choice(SILENT).replace("?", words(rng, 1).strip(".,").lower()) if silent else rng.choice(ARTICLE[:2] * 5 + ARTICLE)
+    end = open_(spec) if spec else ""
     if rng.random() < 0.85:
         put(rng.choice(("h1", "h1", "h1", "h2")), words(rng, rng.randint(1, 12)), True)
+    if silent and rng.random() < 0.15:  # text without any tag of its own
+        out.append((sentences(rng, rng.choice((1, 3, 8))), True))
     body = rng.choice((0, 1, 2, 3, 5, 8, 14))
     for k in range(max(1, body)):
         shape = rng.random()
@@ -160,15 +169,15 @@ def page(rng: random.Random) -> list[tuple[str, bool | None]]:
     if rng.random() < 0.08:
         footer()
     out.append((end, None))
-    if rng.random() < 0.35:
+    if rng.random() < (0.1 if bare else 0.35):
         comments()
     for f in extras:
-        if rng.random() < 0.25:
+        if rng.random() < (0.05 if bare else 0.25):
             f()
     out += [(w, None) for w in reversed(wrap)]
-    if rng.random() < 0.85:
+    if rng.random() < (0.2 if bare else 0.85):
         footer()
-    if rng.random() < 0.8:
+    if whole and rng.random() < 0.8:
         out.append(("</body></html>", None))
     return out
 

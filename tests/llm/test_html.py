@@ -69,3 +69,30 @@ def test_self_closing_svg_and_math_hold_nothing():
         twice = PAGE.replace("<article>", mark + "<article>").replace("</article>", mark + "</article>")
         assert html.main_text(twice, field) == want, mark
     assert html.leaf_blocks("<p>a<iframe src=x/>b</iframe>c")[0][0] == "a c"  # no self-closing iframe in HTML
+
+
+#: Layouts that the generator of training pages doesn't make: no name says which part is the article.
+LAYOUTS = [
+    ("<html><body><h1>Title here</h1><p>First paragraph of text, long enough.</p><p>Second one is here.</p></body></html>",
+     "Title here\nFirst paragraph of text, long enough.\nSecond one is here."),
+    ("<html><body><nav><a href=x>Home</a></nav><div class=prose><h1>Title</h1><p>First paragraph of text.</p><p>Second paragraph of it.</p></div>"
+     "<footer>© x</footer></body></html>", "Title\nFirst paragraph of text.\nSecond paragraph of it."),
+    ("<html><body><table><tr><td><a href=x>Home</a> <a href=y>News</a></td></tr><tr><td><h1>Title</h1><p>First paragraph of the text.</p></td></tr></table></body></html>",
+     "Title\nFirst paragraph of the text."),
+    ("<div><p>One paragraph only, in a div.</p></div>", "One paragraph only, in a div."),
+    ("Just plain text. It has two sentences.", "Just plain text. It has two sentences."),
+    ("a < b and more text follows here.", "a < b and more text follows here."),
+    ("<p>only", "only"),
+    ("<body><p class=summary>The summary of this.</p><article><h1>T</h1><p>Text one.</p><p>Text two.</p></article></body>",
+     "The summary of this.\nT\nText one.\nText two."),
+    ("<html><body><header><h1>Site</h1></header><div id=x7><h2>Story</h2><p>It began one day. Then more.</p><ul><li>a point.</li></ul></div>"
+     "<div class=comments><p>Nice one, thanks.</p></div><footer>© s</footer></body></html>", "Story\nIt began one day. Then more.\na point."),
+    ("<html><body><div class=wrapper><div class=menu><ul><li><a href=x>A</a></li></ul></div><section><h1>Name</h1><p>Text in a section.</p></section></div></body></html>",
+     "Name\nText in a section."),
+]
+
+
+def test_layouts_without_telling_names():
+    field = html.trained()
+    for page, want in LAYOUTS:
+        assert html.main_text(page, field) == want, page
