@@ -81,8 +81,14 @@ def test_stages_keep_columns_and_bear_odd_tables(spark, folder):
         corpus_pipeline.STAGES[-1][1](spark, now, folder).count()
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op1_ann"}))
+TABLE = {"op1_ann": "embeddings", "op5_html": "pages", "op12_centroids": "embeddings"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_over_whole_tables(spark, folder, name):
     out = queries.QUERIES[name](spark, folder)
-    n = read(spark, folder, "pages" if name == "op5_html" else "documents").count()
-    assert out.count() == n if name not in ("pipeline", "op10_packing") else out.count() > 0
+    n = read(spark, folder, TABLE.get(name, "documents")).count()
+    if name == "op1_ann":  # every 20th vector asks for its 20 nearest
+        assert out.count() == 3 * 20
+    else:
+        assert out.count() == n if name not in ("pipeline", "op10_packing") else out.count() > 0

@@ -131,3 +131,21 @@ def test_packer_minimises_squares():
             assert score(gaps) == min(options)
         else:
             assert not fits
+
+
+def test_digests_equal_the_library(spark):
+    import hashlib
+
+    from revlens.llm import bpe, queries
+    from revlens.llm.words import DROPPED, tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    rows = [*AWKWARD, (20, "中文字。" * 3000), (21, "abc" * 4000 + "\u3000" + "x y" * 50), (22, "a\u00a0b " * 2000)]
+    lib = tokenizer(path)
+    want = []
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
+    got = bpe.digests(documents(spark, rows), path, DROPPED).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -51,4 +51,7 @@ def corpus(spark, path, n=80, seed=3):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(i, prose("en", 30)) for i in range(5)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return rows
