@@ -77,15 +77,19 @@ def _through_spark(spark: SparkSession, uri: str) -> tuple:
 def provenance_of_files(spark: SparkSession, files: list[str], tasks_only: bool = False) -> DataFrame:
     """(data_version, description, since, until, n_files, n_rows): a row per distinct provenance of ``files``,
     nulls where a footer doesn't say. ``tasks_only`` raises where a file can't be opened by the executors."""
-    paths = spark.createDataFrame([(f,) for f in sorted(files)], "uri string").repartition(-(-len(files) // FILES_PER_TASK) or 1)
+    tasks = max(1, -(-len(files) // FILES_PER_TASK))
+    paths = spark.createDataFrame([(f,) for f in sorted(files)], "uri string")
+    paths = paths.repartition(tasks) if tasks > 1 else paths.coalesce(1)
     facts = paths.mapInArrow(_reader(tuple(META_KEYS), SPARK_ROWS), f"{_COLUMNS}, n_rows long, unread string")
     found = facts.groupBy(*META_KEYS, "unread").agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
     rows = found.collect()  # one a distinct provenance, and one a file that was not read
     unread = [r.unread for r in rows if r.unread is not None]
     if unread and tasks_only:
         raise OSError(f"{len(unread)} files can't be opened by the executors, the first is {unread[0]}")
-    out = [(*(r[k] for k in META_KEYS), r.n_files, r.n_rows) for r in rows if r.unread is None]
+    facts = [(tuple(r[k] for k in META_KEYS), r.n_files, r.n_rows) for r in rows if r.unread is None]
     with ThreadPoolExecutor(8) as pool:
-        out += [(*x[:-1], 1, x[-1]) for x in pool.map(lambda uri: _through_spark(spark, uri), unread)]
-    every = spark.createDataFrame(out, f"{_COLUMNS}, n_files long, n_rows long")
-    return every.groupBy(*META_KEYS).agg(F.sum("n_files").alias("n_files"), F.sum("n_rows").alias("n_rows"))
+        facts += [(x[:-1], 1, x[-1]) for x in pool.map(lambda uri: _through_spark(spark, uri), unread)]
+    every: dict[tuple, tuple[int, int]] = {}
+    for key, n, many in facts:
+        every[key] = (every.get(key, (0, 0))[0] + n, every.get(key, (0, 0))[1] + many)
+    return spark.createDataFrame([(*k, *v) for k, v in every.items()], f"{_COLUMNS}, n_files long, n_rows long")
