@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revlens.operators.reshape import commit_parts
 from revlens.plans.catalog import CHANGE_SELECT, change_out, register, td, with_mapping
 from revlens.plans.facade import get_changes
 from revlens.plans.queries_core import SCOREBOARD_SQL
@@ -63,3 +64,12 @@ def q_stream_newest_first(spark, sf):
     for n, (a, b) in enumerate(spans):
         LT.write_log(old.where(year.between(a, b - 1)), f"{src}/dump-{n}")
     return _board_of(spark, f"{src}/*", _files(spark, f"{src}/dump-0"))
+
+
+@register("stream_parts", SCOREBOARD_SQL)
+def q_stream_parts(spark, sf):
+    """A dump whose commits are cut in parts of two changes, streamed over several triggers: the parts of a commit
+    may come in different triggers, their changes all count and the commit once."""
+    src = shared_path(spark, "stream-parts")
+    LT.write_log(commit_parts(td.changes(spark, sf), 2), src)
+    return _board_of(spark, src, -(-_files(spark, src) // 3))

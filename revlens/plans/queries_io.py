@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens.operators.diff import merge_stats, touched_paths
-from revlens.operators.reshape import explode_changes
+from revlens.operators.reshape import commit_parts, explode_changes
 from revlens.plans.catalog import CHANGE_SELECT, change_out, register, td, with_mapping
 from revlens.session import shared_path
 from revlens.sources import logtext as LT
@@ -229,6 +229,63 @@ def q_json_array_roundtrip(spark, sf):
                        F.size("file_changes").cast("bigint").alias("n_changes"))
 
 
+# ---- commits in bounded parts ---------------------------------------------------------
+# Every third order's files form one bulk commit (a third of all rows); a part holds 500 changes.
+
+_PART = 500
+
+
+def _bulk_changes(spark, sf):
+    bulk = F.col("commit_hash").cast("long") % 3 == 0
+    one = {"commit_hash": F.lit("bulk"), "parent_hashes": F.array(F.lit("0")), "author_name": F.lit("importer"),
+           "author_email": F.lit("importer@example.com"), "commit_date": F.timestamp_seconds(F.lit(946_684_800)),
+           "commit_timestamp": F.lit(946_684_800).cast("bigint"), "commit_message": F.lit("bulk import\nof a third")}
+    return td.changes(spark, sf).withColumns({c: F.when(bulk, x).otherwise(F.col(c)) for c, x in one.items()})
+
+
+_PARTS_SQL = with_mapping(f"""
+, bulk AS (SELECT CASE WHEN ok % 3 = 0 THEN 'bulk' ELSE commit_hash END AS commit_hash,
+                  CASE WHEN ok % 3 = 0 THEN 'importer' ELSE author_name END AS author_name,
+                  CASE WHEN ok % 3 = 0 THEN 946684800 ELSE commit_timestamp END AS commit_timestamp,
+                  file_paths, additions, deletions FROM changes),
+placed AS (SELECT *, CASE WHEN file_paths IS NULL THEN 0 ELSE (row_number() OVER (
+                     PARTITION BY commit_hash ORDER BY file_paths, additions, deletions) - 1) // {_PART} END AS part
+           FROM bulk WHERE commit_hash <> 'bulk' OR file_paths IS NOT NULL)
+SELECT commit_hash, author_name, CAST(commit_timestamp AS BIGINT) AS commit_timestamp, CAST(part AS INTEGER) AS part,
+       count(file_paths) AS n_changes, min(file_paths) AS first_path, max(file_paths) AS last_path,
+       CAST(sum(deletions) AS BIGINT) AS deletions
+FROM placed GROUP BY commit_hash, author_name, commit_timestamp, part""")
+
+
+def _part_facts(parts):
+    paths = F.col("file_changes.file_path")
+    return parts.select("commit_hash", "author_name", "commit_timestamp", "part", F.size("file_changes").cast("bigint").alias("n_changes"),
+                        F.array_min(paths).alias("first_path"), F.array_max(paths).alias("last_path"),
+                        F.aggregate("file_changes.deletions", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("deletions"))
+
+
+@register("commit_parts", _PARTS_SQL)
+def q_commit_parts(spark, sf):
+    """AGG-5 in bounded rows: parts of at most 500 changes, also of a commit with a third of all rows."""
+    return _part_facts(commit_parts(_bulk_changes(spark, sf), _PART))
+
+
+@register("log_parts_roundtrip", _PARTS_SQL)
+def q_log_parts_roundtrip(spark, sf):
+    """SNK-6 of parts, then SRC-1..3: consecutive records of a commit, read back with their numbers."""
+    path = shared_path(spark, "logparts")
+    LT.write_log(commit_parts(_bulk_changes(spark, sf), _PART), path)
+    return _part_facts(LT.read_log(spark, path, parts=True))
+
+
+@register("json_parts_roundtrip", _PARTS_SQL)
+def q_json_parts_roundtrip(spark, sf):
+    """SNK-5 of parts as one JSON array over many files, read back in parallel."""
+    path = shared_path(spark, "jsonparts")
+    LT.write_json_array(commit_parts(_bulk_changes(spark, sf), _PART), path)
+    return _part_facts(LT.read_json_array(spark, path, parts=True))
+
+
 # ---- Parquet with provenance ----------------------------------------------------------
 
 _PQ_SELECT = ("SELECT commit_hash, parents, author_name, author_email, commit_date, commit_timestamp, commit_message,"

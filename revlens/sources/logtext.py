@@ -20,6 +20,10 @@ from revlens.schema import COMMIT_COLUMNS, FILE_CHANGE
 COMMIT_MARK = "@@@COMMIT@@@"
 FIELD_MARK = "@@@FIELD@@@"
 
+#: First line after the message in the parts of a commit but the first (``commit_parts``): a line without a tab,
+#: which every parser of the format skips.
+PART_MARK = "@@@PART@@@"
+
 # Prefixes of diff header lines that are not file changes.
 NOISE_PREFIXES = ("diff --git", "old mode", "new mode", "index", "--- a/", "+++ b/", "@@ - ")
 
@@ -132,13 +136,15 @@ def _parse_record(empty_message_fallback: bool) -> dict[str, Column]:
         "commit_timestamp": epoch,
         "commit_message": parse_message(raw_msg, empty_message_fallback),
         "file_changes": file_stat_parse(F.col("_tail")),
+        "part": F.coalesce(F.regexp_extract("_tail", f"^{PART_MARK}([0-9]{{1,9}})(?:\\n|$)", 1).try_cast("int"), F.lit(0)),
         "_valid": F.coalesce(valid, F.lit(False)),
     }
 
 
 def log_parse(records: DataFrame, value_col: str = "value", empty_message_fallback: bool = False,
-              keep_rejects: bool = False) -> DataFrame:
-    """SRC-2 (+SRC-3, FLT-19): commit records -> nested COMMIT rows.
+              keep_rejects: bool = False, parts: bool = False) -> DataFrame:
+    """SRC-2 (+SRC-3, FLT-19): commit records -> nested COMMIT rows. A commit written in parts is as many rows,
+    which explode to the same flat changes; ``parts`` adds their number (column ``part``, 0 for the first).
 
     A record without the end-of-message marker, with fewer than 6 fields, or with a bad
     date / epoch is dropped; ``keep_rejects=True`` returns those raw records instead.
@@ -150,7 +156,7 @@ def log_parse(records: DataFrame, value_col: str = "value", empty_message_fallba
         return keep_parsed(staged, rej, lambda r: ~r["_valid"]).select("value")
     parsed = F.struct(*[c.alias(n) for n, c in cols.items()])
     out = keep_parsed(staged, parsed, lambda r: r["_valid"])
-    return out.select(*COMMIT_COLUMNS, F.col("file_changes").cast(_FILE_CHANGE_DDL))
+    return out.select(*COMMIT_COLUMNS, *(["part"] if parts else []), F.col("file_changes").cast(_FILE_CHANGE_DDL))
 
 
 def read_log(spark: SparkSession, paths, **opts) -> DataFrame:
@@ -277,7 +283,7 @@ def file_change_line(fc: Column) -> Column:
 
 
 def commits_to_log(commits: DataFrame) -> DataFrame:
-    """SNK-6: nested commits -> one marker-delimited record per row (column ``value``),
+    """SNK-6: nested commits, or their parts -> one marker-delimited record per row (column ``value``),
     without the leading commit marker (the writer's ``lineSep`` adds it)."""
     header = F.concat(
         F.col("commit_hash"), F.lit(FIELD_MARK),
@@ -288,35 +294,49 @@ def commits_to_log(commits: DataFrame) -> DataFrame:
         F.lit(MSG_START), F.col("commit_message"), F.lit(MSG_END),
     )
     body = F.array_join(F.transform("file_changes", file_change_line), "\n")
+    if "part" in commits.columns:
+        body = F.when(F.col("part") > 0, F.concat(F.lit(PART_MARK), F.col("part").cast("string"), F.lit("\n"), body)).otherwise(body)
     return commits.select(F.concat(header, F.lit("\n"), body, F.lit("\n")).alias("value"))
 
 
+def _newest_first(commits: DataFrame) -> list:
+    return [F.desc("commit_timestamp"), "commit_hash", *(["part"] if "part" in commits.columns else [])]
+
+
+def _in_file_order(commits: DataFrame) -> DataFrame:
+    """Parts of a commit follow one another in a file, and from one file to the next; whole commits stay as they are."""
+    return commits.orderBy(*_newest_first(commits)) if "part" in commits.columns else commits
+
+
 def write_log(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """SNK-6 to storage: records separated by the commit marker, read back by ``read_log``."""
-    commits_to_log(commits).write.mode(mode).option("lineSep", COMMIT_MARK).text(path)
+    """SNK-6 to storage: records separated by the commit marker, read back by ``read_log``. The parts of a commit
+    (``commit_parts``) become consecutive records, each with the commit's header."""
+    commits_to_log(_in_file_order(commits)).write.mode(mode).option("lineSep", COMMIT_MARK).text(path)
 
 
 def commits_to_json(commits: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """SNK-5: one JSON object per commit, dates as ISO text (column ``value``), next to the columns ``carry``."""
+    """SNK-5: one JSON object per commit, or per part of one, dates as ISO text (column ``value``), next to the
+    columns ``carry``."""
     as_text = commits.select(
         *[c for c in COMMIT_COLUMNS if c != "commit_date"],
         _iso(F.col("commit_date")).alias("commit_date"),
-        "file_changes", *(carry or []),
+        "file_changes", *(["part"] if "part" in commits.columns else []), *(carry or []),
     )
     return as_text.select(F.to_json(F.struct(*[c for c in as_text.columns if c not in (carry or [])])).alias("value"), *(carry or []))
 
 
 def write_json(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """SNK-5 to storage as JSON Lines."""
-    commits_to_json(commits).write.mode(mode).text(path)
+    """SNK-5 to storage as JSON Lines; the parts of a commit are consecutive lines."""
+    commits_to_json(_in_file_order(commits)).write.mode(mode).text(path)
 
 
 def write_json_array(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """SNK-5 to storage as one JSON array over all files in name order, newest commit first, one object a line:
     the array's brackets and commas begin the lines, so files are written by many tasks and ``cat`` of them is
     the array. One sort; the files are its partitions."""
-    rows = commits.select("commit_timestamp", "commit_hash", F.struct(*commits.columns).alias("commit"))
-    placed = in_order(rows, F.desc("commit_timestamp"), "commit_hash")
+    order = _newest_first(commits)
+    rows = commits.select("commit_timestamp", *order[1:], F.struct(*commits.columns).alias("commit"))
+    placed = in_order(rows, *order)
     text = commits_to_json(placed.select("commit.*", "_part", "_idx"), ["_part", "_idx"])
     first = placed.agg(F.min("_part")).first()[0]
     begins = F.when((F.col("_part") == first) & (F.col("_idx") == 0), "[").otherwise(",")
@@ -324,10 +344,10 @@ def write_json_array(commits: DataFrame, path: str, mode: str = "errorifexists")
     text.select(F.concat(begins, "value").alias("value")).union(end).write.mode(mode).text(path)
 
 
-def _json_schema():
+def _json_schema(parts: bool = False):
     from pyspark.sql import types as T
 
-    return T.StructType(
+    schema = T.StructType(
         [
             T.StructField("commit_hash", T.StringType()),
             T.StructField("parent_hashes", T.ArrayType(T.StringType())),
@@ -339,20 +359,22 @@ def _json_schema():
             T.StructField("file_changes", T.ArrayType(FILE_CHANGE)),
         ]
     )
+    return schema.add("part", T.IntegerType()) if parts else schema
 
 
 def _commits_of(parsed: DataFrame) -> DataFrame:
+    part = [F.coalesce("part", F.lit(0)).alias("part")] if "part" in parsed.columns else []
     return parsed.select(*[F.try_to_timestamp("commit_date").alias(c) if c == "commit_date" else F.col(c)
-                           for c in COMMIT_COLUMNS], "file_changes")
+                           for c in COMMIT_COLUMNS], *part, "file_changes")
 
 
-def read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, array: bool = False, parts: bool = False) -> DataFrame:
     """Read SNK-5 output back with an explicit schema: JSON Lines (split over tasks), or with ``array`` files
-    that hold one JSON array of commits each (read whole; a file a task)."""
-    return _commits_of(spark.read.schema(_json_schema()).json(path, multiLine=array))
+    that hold one JSON array of commits each (read whole; a file a task). ``parts`` adds the parts' numbers."""
+    return _commits_of(spark.read.schema(_json_schema(parts)).json(path, multiLine=array))
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """Commits of a JSON array with one object a line (as ``write_json_array`` writes it, or with commas at the
     line ends), split over tasks like any text. A line that is no whole object raises: such an array
     (indented, say) is read by ``read_json(array=True)``."""
@@ -360,5 +382,5 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(line.alias("line")).where("line <> ''")
     whole = F.col("line").startswith("{") & F.col("line").endswith("}")
     problem = F.raise_error(F.concat(F.lit("not one object a line: "), F.substr("line", F.lit(1), F.lit(80)))).cast("string")
-    parsed = lines.select(F.from_json(F.when(whole, F.col("line")).otherwise(problem), _json_schema(), {"mode": "FAILFAST"}).alias("c"))
+    parsed = lines.select(F.from_json(F.when(whole, F.col("line")).otherwise(problem), _json_schema(parts), {"mode": "FAILFAST"}).alias("c"))
     return _commits_of(parsed.select("c.*"))
