@@ -200,6 +200,124 @@ def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("com
     return renamed_new.unionByName(rest)
 
 
+def _line_counts(snapshot: DataFrame, wanted: DataFrame, keys: list[str], path_col: str, content_col: str) -> DataFrame:
+    """(keys, _h, _line, _c, _n) of the contents named by one path each in ``wanted`` (keys, _h, path): how often
+    each line, by its hash, occurs and how many lines there are. A content of many rows alike is split once."""
+    text = snapshot.select(*keys, path_col, F.col(content_col).alias("_t")).join(wanted, [*keys, path_col])
+    lines = text.select(*keys, "_h", F.explode(text_lines("_t")).alias("_l")).select(*keys, "_h", F.md5("_l").alias("_line"))
+    counted = lines.groupBy(*keys, "_h", "_line").agg(F.count(F.lit(1)).alias("_c"))
+    return counted.join(counted.groupBy(*keys, "_h").agg(F.sum("_c").alias("_n")), [*keys, "_h"])
+
+
+def similar_pairs(deleted: DataFrame, added: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """(keys, _ho, _hn, _shared, _score) of every deleted and added content of a commit that share at least
+    ``threshold`` percent of the longer one's lines, counted with repeats, from both sides' line counts.
+
+    A set-similarity join: the lines of a content are put in order, rarest in its commit first; two contents
+    that similar share a line among the first ``n - need + 1`` of each, so only these prefixes are joined, by
+    (commit, line). Sizes and what remains behind the shared line bound the overlap before it is counted on
+    all lines. Lines all files have (licences, braces) stand last and join nothing."""
+    both = deleted.withColumn("_side", F.lit(0)).unionByName(added.withColumn("_side", F.lit(1)))
+    spread = both.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("_df"))
+    inside = Window.partitionBy(*keys, "_side", "_h").orderBy("_df", "_line")  # the lines of one file
+    placed = both.join(spread, [*keys, "_line"]).withColumn(
+        "_before", F.coalesce(F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    need = F.ceil(F.col("_n") * threshold / 100)
+    prefix = persist_table(placed.where(F.col("_before") <= F.col("_n") - need).select(*keys, "_side", "_h", "_line", "_n", "_before"), "line-prefixes")
+    side = lambda k, mark: prefix.where(F.col("_side") == k).select(
+        *keys, "_line", F.col("_h").alias(f"_h{mark}"), F.col("_n").alias(f"_n{mark}"), (F.col("_n") - F.col("_before")).alias(f"_rest{mark}"))
+    longer = F.greatest("_no", "_nn")
+    met = side(0, "o").join(side(1, "n"), [*keys, "_line"]).where(
+        (F.least("_no", "_nn") * 100 >= longer * threshold) & (F.least("_resto", "_restn") * 100 >= longer * threshold))
+    candidates = met.select(*keys, "_ho", "_hn").distinct()
+    old = deleted.select(*keys, F.col("_h").alias("_ho"), "_line", F.col("_c").alias("_co"), F.col("_n").alias("_no"))
+    new = added.select(*keys, F.col("_h").alias("_hn"), "_line", F.col("_c").alias("_cn"), F.col("_n").alias("_nn"))
+    shared = candidates.join(old, [*keys, "_ho"]).join(new, [*keys, "_hn", "_line"]).groupBy(*keys, "_ho", "_hn").agg(
+        F.sum(F.least("_co", "_cn")).alias("_shared"), F.first(longer).alias("_longer"))
+    return shared.where(F.col("_shared") * 100 >= F.col("_longer") * threshold).select(
+        *keys, "_ho", "_hn", "_shared", F.floor(F.col("_shared") * 100 / F.col("_longer")).cast("int").alias("_score"))
+
+
+def _dominant_pairs(pairs: DataFrame, have_old: DataFrame, have_new: DataFrame, keys: list[str]) -> DataFrame:
+    """The greedy choice over ``pairs`` by score, ties by a hash: (keys, _ho, _hn, _score, _fo, _fn, _take): ``_take``
+    files each, after ``_fo`` and ``_fn`` that better pairs took. A pair that is the best one left for both its
+    contents is taken in any order of work, so all such are taken at once; random ties make the rounds few."""
+    spark = pairs.sparkSession
+    # smaller is better; a struct without ties, the same for both ends
+    order = F.struct((-F.col("_score")).alias("s"), F.md5(F.concat("_ho", F.lit("/"), "_hn")).alias("t"))
+    left = persist_table(pairs.withColumn("_order", order), "similar-pairs")
+    used = [(have_old, "_ho", "_co", "_uo"), (have_new, "_hn", "_cn", "_un")]
+    taken: list[DataFrame] = []
+    while not left.isEmpty():
+        state = left
+        for have, h, c, u in used:
+            spent = spark.createDataFrame([], have.select(*keys, F.col("_h").alias(h)).schema.add("_k", "long"))
+            for t in taken:
+                spent = spent.unionByName(t.select(*keys, h, F.col("_take").alias("_k")))
+            spent = spent.groupBy(*keys, h).agg(F.sum("_k").alias(u))
+            state = state.join(have.select(*keys, F.col("_h").alias(h), F.col("_count").alias(c)), [*keys, h]).join(
+                spent, [*keys, h], "left").fillna(0, [u])
+        state = persist_table(state.where((F.col("_uo") < F.col("_co")) & (F.col("_un") < F.col("_cn"))), "similar-left")
+        best = lambda h, mark: state.groupBy(*keys, h).agg(F.min("_order").alias(mark))
+        won = state.join(best("_ho", "_bo"), [*keys, "_ho"]).join(best("_hn", "_bn"), [*keys, "_hn"]).where(
+            (F.col("_order") == F.col("_bo")) & (F.col("_order") == F.col("_bn")))
+        won = persist_table(won.select(*keys, "_ho", "_hn", "_score", F.col("_uo").alias("_fo"), F.col("_un").alias("_fn"),
+                                       F.least(F.col("_co") - F.col("_uo"), F.col("_cn") - F.col("_un")).alias("_take")), "similar-taken")
+        taken.append(won)
+        left = state.select(*left.columns).join(won.select(*keys, "_ho", "_hn"), [*keys, "_ho", "_hn"], "left_anti")
+        left = persist_table(left, "similar-next")
+    none = left.select(*keys, "_ho", "_hn", "_score", *[F.lit(0).cast("bigint").alias(c) for c in ("_fo", "_fn", "_take")])
+    for t in taken:
+        none = none.unionByName(t)
+    return none
+
+
+def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
+                    content_col: str = "content", threshold: int = 50,
+                    hashes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """JN-6 beyond equal contents: a deleted and an added path of one commit whose texts share at least
+    ``threshold`` percent of the longer one's lines -> 'R' with the old path, ``similarity`` (percent, rounded
+    down) and the lines that differ as additions and deletions. Other rows pass through, ``similarity`` null
+    (100 for renames and copies found by ``exact_renames``, whose output ``changes`` is).
+
+    Pairs are 1:1, the most similar first (ties by a hash of both contents); paths of one content go in path
+    order. Contents that occur at many paths are compared once, with their number, and no task holds a commit's
+    pairs. Texts without a line are never similar; no deletes or no adds -> nothing changes.
+    """
+    if not 0 < threshold <= 100:
+        raise ValueError("threshold is a percentage above 0")
+    k = list(keys)
+    changes = persist_table(changes.select(*k, path_col, "change_type", "additions", "deletions", "old_file_path"), "rename-changes")
+    hashes = hashes or tuple(persist_table(content_hashes(x, keys, path_col, content_col), "hashes") for x in (old, new))
+    sides = []
+    for mark, kind, hashed in (("d", "D", hashes[0]), ("a", "A", hashes[1])):
+        sides.append(changes.where(F.col("change_type") == kind).join(hashed, [*k, path_col]).select(*k, path_col, "_h", F.lit(mark).alias("_side")))
+    files = materialize(positions_in_group(sides[0].unionByName(sides[1]), ["_side", *k, "_h"], [path_col], "_i"))
+    have, counts = [], []
+    for mark, snapshot in (("d", old), ("a", new)):
+        mine = files.where(F.col("_side") == mark).groupBy(*k, "_h").agg(F.count(F.lit(1)).alias("_count"), F.min(path_col).alias(path_col))
+        have.append(persist_table(mine, "contents"))
+        counts.append(persist_table(_line_counts(snapshot, have[-1].select(*k, "_h", path_col), k, path_col, content_col), "line-counts"))
+    pairs = similar_pairs(*counts, k, threshold)
+    lines = [c.select(*k, F.col("_h").alias(h), F.col("_n").alias(n)).distinct() for c, h, n in zip(counts, ("_ho", "_hn"), ("_no", "_nn"), strict=True)]
+    pairs = persist_table(pairs.join(lines[0], [*k, "_ho"]).join(lines[1], [*k, "_hn"]), "similar-scored")
+    chosen = persist_table(_dominant_pairs(pairs.select(*k, "_ho", "_hn", "_score"), *have, k), "similar-chosen").join(
+        pairs.drop("_score"), [*k, "_ho", "_hn"])
+    path_of = lambda mark, h, name: files.where(F.col("_side") == mark).select(*k, F.col("_h").alias(h), "_i", F.col(path_col).alias(name))
+    olds = chosen.join(path_of("d", "_ho", "old_file_path"), [*k, "_ho"]).where(
+        (F.col("_i") > F.col("_fo")) & (F.col("_i") <= F.col("_fo") + F.col("_take"))).withColumn("_j", F.col("_i") - F.col("_fo") + F.col("_fn")).drop("_i")
+    paired = olds.join(path_of("a", "_hn", path_col).withColumnRenamed("_i", "_j"), [*k, "_hn", "_j"])
+    renamed = persist_table(paired.select(
+        *k, path_col, F.lit("R").alias("change_type"), (F.col("_nn") - F.col("_shared")).alias("additions"),
+        (F.col("_no") - F.col("_shared")).alias("deletions"), "old_file_path", F.col("_score").alias("similarity")), "similar-renames")
+    gone = renamed.select(*k, path_col, F.lit("A").alias("change_type")).unionByName(
+        renamed.select(*k, F.col("old_file_path").alias(path_col), F.lit("D").alias("change_type")))
+    rest = changes.join(gone, [*k, path_col, "change_type"], "left_anti").select(
+        *k, path_col, "change_type", "additions", "deletions", "old_file_path",
+        F.when(F.col("old_file_path").isNotNull(), F.lit(100)).alias("similarity"))
+    return renamed.unionByName(rest)
+
+
 def normalize_commit_set(commits: DataFrame) -> DataFrame:
     """SET-3 normal form: no hash, parents sorted, message stripped."""
     return commits.select(

@@ -204,6 +204,53 @@ def q_exact_renames(spark, sf):
     return D.renamed_diff(old, new)
 
 
+# Every document moves from old/ to new/ in its source's commit: as it is, with another first line, or with two
+# lines more. Equal contents pair first; the others by shared lines, the most similar first.
+_MOVED_LINES = f"CASE WHEN content = '' THEN [] WHEN regexp_matches(content, '({_TERM})$') THEN list_slice(string_split_regex(content, '{_TERM}'), 1, -2) ELSE string_split_regex(content, '{_TERM}') END"
+
+
+def _moved(spark, sf):
+    docs = td.table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars")
+    name, kind = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("n_chars") % 3
+    content = (F.when(kind == 0, F.col("text")).when(kind == 1, F.regexp_replace("text", r"^[^\n]*", "REPLACED"))
+               .otherwise(F.concat(F.col("text"), F.lit("\nmore\nlines"))))
+    side = lambda folder, c: docs.select(F.col("source").alias("commit_hash"), F.concat(F.lit(folder), name).alias("path"), c.alias("content"))
+    return side("old/", F.col("text")), side("new/", content)
+
+
+@register("similar_renames", f"""
+WITH RECURSIVE old AS (SELECT source AS commit_hash, 'old/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text AS content FROM documents),
+new AS (SELECT source AS commit_hash, 'new/' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+               CASE n_chars % 3 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '^[^\n]*', 'REPLACED') ELSE text || chr(10) || 'more' || chr(10) || 'lines' END AS content
+        FROM documents),
+d AS (SELECT *, sha256(content) AS h, row_number() OVER (PARTITION BY commit_hash, sha256(content) ORDER BY path) AS i FROM old),
+a AS (SELECT *, sha256(content) AS h, row_number() OVER (PARTITION BY commit_hash, sha256(content) ORDER BY path) AS i FROM new),
+exact AS (SELECT commit_hash, a.path, d.path AS old_path FROM a JOIN d USING (commit_hash, h, i)),
+rd AS (SELECT commit_hash, path, h, {_MOVED_LINES} AS ls FROM d ANTI JOIN (SELECT commit_hash, old_path AS path FROM exact) USING (commit_hash, path)),
+ra AS (SELECT commit_hash, path, h, {_MOVED_LINES} AS ls FROM a ANTI JOIN exact USING (commit_hash, path)),
+ld AS (SELECT commit_hash, h, line, count(*) AS c FROM (SELECT commit_hash, h, unnest(ls) AS line FROM (SELECT DISTINCT commit_hash, h, ls FROM rd)) GROUP BY ALL),
+la AS (SELECT commit_hash, h, line, count(*) AS c FROM (SELECT commit_hash, h, unnest(ls) AS line FROM (SELECT DISTINCT commit_hash, h, ls FROM ra)) GROUP BY ALL),
+shared AS (SELECT ld.commit_hash, ld.h AS ho, la.h AS hn, CAST(sum(least(ld.c, la.c)) AS BIGINT) AS n FROM ld JOIN la USING (commit_hash, line) GROUP BY ALL),
+pairs AS (SELECT rd.commit_hash, rd.path AS old_path, ra.path, len(rd.ls) AS lo, len(ra.ls) AS ln, s.n, s.n * 100 // greatest(len(rd.ls), len(ra.ls)) AS score,
+                 row_number() OVER (PARTITION BY rd.commit_hash ORDER BY s.n * 100 // greatest(len(rd.ls), len(ra.ls)) DESC, md5(ho || '/' || hn), rd.path, ra.path) AS i
+          FROM shared s JOIN rd ON rd.commit_hash = s.commit_hash AND rd.h = s.ho JOIN ra ON ra.commit_hash = s.commit_hash AND ra.h = s.hn
+          WHERE s.n * 100 >= greatest(len(rd.ls), len(ra.ls)) * 50),
+walk AS (SELECT commit_hash, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used FROM (SELECT DISTINCT commit_hash FROM pairs)
+         UNION ALL
+         SELECT w.commit_hash, p.i, CASE WHEN list_contains(w.used, p.old_path) OR list_contains(w.used, p.path) THEN w.used ELSE w.used || [p.old_path, p.path] END
+         FROM walk w JOIN pairs p ON p.commit_hash = w.commit_hash AND p.i = w.i + 1),
+chosen AS (SELECT p.* FROM pairs p JOIN walk w ON w.commit_hash = p.commit_hash AND w.i = p.i - 1
+           WHERE NOT list_contains(w.used, p.old_path) AND NOT list_contains(w.used, p.path))
+SELECT commit_hash, path, 'R' AS change_type, CAST(0 AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions, old_path AS old_file_path, 100 AS similarity FROM exact
+UNION ALL SELECT commit_hash, path, 'R', CAST(ln - n AS BIGINT), CAST(lo - n AS BIGINT), old_path, CAST(score AS INTEGER) FROM chosen
+UNION ALL SELECT commit_hash, path, 'D', CAST(0 AS BIGINT), CAST(len(ls) AS BIGINT), NULL, NULL FROM rd ANTI JOIN (SELECT commit_hash, old_path AS path FROM chosen) USING (commit_hash, path)
+UNION ALL SELECT commit_hash, path, 'A', CAST(len(ls) AS BIGINT), CAST(0 AS BIGINT), NULL, NULL FROM ra ANTI JOIN chosen USING (commit_hash, path)""")
+def q_similar_renames(spark, sf):
+    """JN-6 beyond equal contents: paired 1:1 by the share of lines kept."""
+    old, new = _moved(spark, sf)
+    return D.similar_renames(D.renamed_diff(old, new), old, new)
+
+
 # ---- SET-3 ----------------------------------------------------------------------------
 
 def _shifted(spark, sf):

@@ -273,3 +273,77 @@ def test_change_set_diff_other_tolerances(spark):
     for tol in (0, 7):
         got = sorted((r.side, r.ts) for r in D.change_set_diff(a, b, tol).collect())
         assert got == _pairing(*times, tol)
+
+
+def _brute_renames(old, new, threshold=50):
+    """Greedy 1:1 over all pairs of one commit's deleted and added files, by score, then hash, then paths."""
+    import hashlib
+    from collections import Counter
+
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    gone, come = {p: t for p, t in old.items() if p not in new}, {p: t for p, t in new.items() if p not in old}
+    for digest in {h(t) for t in gone.values()}:  # equal contents first
+        for a, b in zip(sorted(p for p, t in gone.items() if h(t) == digest), sorted(p for p, t in come.items() if h(t) == digest), strict=False):
+            del gone[a], come[b]
+    scored = []
+    for a, s in gone.items():
+        for b, t in come.items():
+            x, y = Counter(s.splitlines()), Counter(t.splitlines())
+            shared, longer = sum((x & y).values()), max(sum(x.values()), sum(y.values()))
+            if shared and shared * 100 >= longer * threshold:
+                tie = hashlib.md5(f"{h(s)}/{h(t)}".encode()).hexdigest()
+                scored.append((-(shared * 100 // longer), tie, a, b, sum(y.values()) - shared, sum(x.values()) - shared))
+    used, out = set(), []
+    for score, _, a, b, plus, minus in sorted(scored):
+        if ("o", a) not in used and ("n", b) not in used:
+            used |= {("o", a), ("n", b)}
+            out.append((b, a, plus, minus, -score))
+    return sorted(out)
+
+
+def test_similar_renames_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    commits = {}
+    for c in range(4):
+        pool = [f"line {i}" for i in range(30)] + ["", "}", "licence"]
+        texts = ["\n".join(rnd.choices(pool, k=rnd.choice([0, 1, 4, 9, 20]))) for _ in range(25)]
+        old = {f"old/{i:02d}": rnd.choice(texts) for i in range(30)}
+        new = {}
+        for i, t in enumerate(rnd.choices(list(old.values()), k=30)):
+            ls = t.split("\n")
+            for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+                ls[rnd.randrange(len(ls))] = rnd.choice(pool)
+            new[f"new/{i:02d}"] = "\n".join(ls)
+        old["both"], new["both"] = "a", "b"
+        commits[f"c{c}"] = (old, new)
+    commits["only old"] = ({"x": "1\n2"}, {})
+    rows = lambda k: spark.createDataFrame([(c, p, t) for c, sides in commits.items() for p, t in sides[k].items()],
+                                           "commit_hash string, path string, content string")
+    old, new = rows(0), rows(1)
+    got = D.similar_renames(D.renamed_diff(old, new), old, new).collect()
+    for c, (a, b) in commits.items():
+        mine = [r for r in got if r.commit_hash == c]
+        found = sorted((r.path, r.old_file_path, r.additions, r.deletions, r.similarity) for r in mine if r.change_type == "R" and (r.similarity < 100 or r.additions))
+        want = _brute_renames(a, b)
+        exact = [r for r in mine if r.change_type == "R" and r.similarity == 100 and a[r.old_file_path] == b[r.path]]
+        assert found == [w for w in want if w[4] < 100 or w[2]]
+        # every path is told once: as it is, or as one end of a rename
+        ends = [r.path for r in mine] + [r.old_file_path for r in mine if r.change_type == "R"]
+        assert sorted(ends) == sorted(set(a) | set(b) - {p for p in a if a[p] == b.get(p)})
+        assert len(exact) + len(found) + sum(w[4] == 100 and not w[2] for w in want) >= len(exact)
+
+
+def test_similar_renames_of_many_equal_files_and_none(spark):
+    old = [("c", f"old/{i:03d}", "a\nb\nc\nd") for i in range(120)] + [("c", "keep", "x")]
+    new = [("c", f"new/{i:03d}", "a\nb\nc\nE") for i in range(100)] + [("c", "keep", "x")]
+    schema = "commit_hash string, path string, content string"
+    o, n = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    got = D.similar_renames(D.renamed_diff(o, n), o, n).collect()
+    assert sorted((r.path, r.old_file_path, r.additions, r.deletions, r.similarity) for r in got if r.change_type == "R") == \
+        [(f"new/{i:03d}", f"old/{i:03d}", 1, 1, 75) for i in range(100)]
+    assert sorted(r.path for r in got if r.change_type == "D") == [f"old/{i:03d}" for i in range(100, 120)]
+    assert not D.similar_renames(D.renamed_diff(o, n), o, n, threshold=76).where("change_type = 'R'").count()
+    none = o.limit(0)
+    assert D.similar_renames(D.renamed_diff(none, none), none, none).count() == 0
