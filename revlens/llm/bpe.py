@@ -1,19 +1,27 @@
-"""BPE encoding of long unsplit text by tree concatenation, and decoding.
+"""BPE encoding of long text by tree concatenation, and decoding.
 
-Most text falls into short words, which the tokenizers library encodes (``words.Pieces``). A run
-without white space of more than ``LONG`` characters is normalised and pre-split by the library; what
-is still longer than ``LEAF`` symbols is cut in halves down to leaves. Leaves are rows of their own, so
-their merges run in parallel, in any task. Joins then go up the tree: the last ``k`` tokens of
-the left half and the first ``k`` of the right one are encoded again, with ``k`` doubling until the new
-window begins with the left half's token and ends with the right half's.
+A text of more than ``LONG`` characters is cut in halves, at the word edge nearest behind the middle, down to
+leaves of at most ``LONG``. A stretch without a word edge that is still longer (text without spaces) is
+normalised and pre-split by the library, and its words of more than ``LEAF`` symbols are cut in halves
+inside, down to ``LEAF``. Leaves are encoded alone: texts through the word table, symbols by the merge
+table. Joins then go up the tree: the end of the left half and the beginning of the right one are encoded
+again as one window, ``k`` words or tokens of each with ``k`` doubling, until the new window begins as the
+left half's part of it begins and ends as the right half's ends. Beside a stretch cut inside, the word edge
+itself is the end; there the halves are set side by side.
 
 That agreement makes the result exact: a token sequence is the encoding of its text just if every two
 neighbours in it are the encoding of theirs. Neighbours outside the window are, from the halves;
 inside, from the new encoding; at its edges the agreeing token has its old neighbour.
 
-Defined cases: null text counts as empty and has no token; texts with special tokens of the
-vocabulary inside a long run are encoded whole by the library; repeated rows are encoded as often as
-they occur; no rows -> no rows; extra columns are ignored.
+A word edge is a single space that both vocabularies put in front of a word: any ASCII space where white
+space is dropped, one between two characters that are white space in no engine where it is kept.
+
+The leaves of a text are encoded in the task that reads it, those of a text of more than ``SPREAD``
+characters as rows of their own in any task; the joins are the same.
+
+Defined cases: null text counts as empty and has no token; a stretch without word edges over ``LONG`` that
+holds a special token of the vocabulary is encoded whole by the library; repeated rows are encoded as often
+as they occur; no rows -> no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +29,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.common import Scratch, map_batches, partitions
 from revlens.llm.tokens import id_lists, slices
-from revlens.llm.words import KEPT, pieces, tokenizer
+from revlens.llm.words import KEPT, WHITE, pieces, tokenizer
 
-LONG, LEAF = 4096, 512
+LONG, LEAF = 4096, 512  # characters of a leaf of text, symbols of a leaf inside a word
+SPREAD = 1 << 16  # characters from which a text's leaves go to tasks of their own
+TEXT, SYMBOLS, DONE = 0, 1, 2  # kinds of parts
 
 
 class Merges:
@@ -120,8 +132,101 @@ def tree(table: Merges, halves: list[Half]) -> Half:
     return halves[0]
 
 
-def has_long_run(text: str, long: int) -> Column:
-    return (F.length(text) > long) & F.col(text).rlike(r"\S{%d}" % (long + 1))
+@lru_cache(maxsize=2)
+def edges(spaces: str) -> re.Pattern[str]:
+    """Places in front of a space where a text may be cut."""
+    return re.compile(f"(?<=[^\\s{WHITE}])(?= [^\\s{WHITE}])" if spaces == KEPT else "(?= )")
+
+
+def text_leaves(text: str, long: int, edge: re.Pattern[str]) -> list[str]:
+    """Halves of halves at word edges, down to ``long`` characters or to a stretch without an edge."""
+    if len(text) <= long:
+        return [text]
+    mid = max(1, len(text) // 2)
+    found = edge.search(text, mid)
+    cut = found.start() if found else 0
+    if not cut:
+        cut = text.rfind(" ", 1, mid)
+        while cut > 0 and not edge.match(text, cut):
+            cut = text.rfind(" ", 1, cut)
+    if cut <= 0:
+        return [text]
+    return text_leaves(text[:cut], long, edge) + text_leaves(text[cut:], long, edge)
+
+
+def last_words(text: str, k: int, edge: re.Pattern[str]) -> str:
+    at = len(text)
+    while k and at > 0:
+        at = text.rfind(" ", 0, at)
+        k -= at > 0 and edge.match(text, at) is not None
+    return text[max(at, 0):]
+
+
+def first_words(text: str, k: int, edge: re.Pattern[str]) -> str:
+    at = 0
+    for _ in range(k):
+        found = edge.search(text, at + 1)
+        if found is None:
+            return text
+        at = found.start()
+    return text[:at]
+
+
+Stretch = tuple[np.ndarray, str, str, bool]  # ids; text up to the first, and after the last, stretch cut inside; none is
+
+
+def join_texts(path: str, edge: re.Pattern[str], left: Stretch, right: Stretch) -> Stretch:
+    """Exact encoding of two neighbouring texts: windows of words at the seam grow until both sides agree."""
+    (li, lhead, ltail, lone), (ri, rhead, rtail, rone) = left, right
+    k, ids = 1, None
+    while ids is None and ltail and rhead:
+        a, b = last_words(ltail, k, edge), first_words(rhead, k, edge)
+        asked = [a, b, a + b, first_words(a, 1, edge), last_words(b, 1, edge)]
+        na, nb, window, begin, end = [e.ids for e in tokenizer(path).encode_batch_fast(asked, add_special_tokens=False)]
+        old_a, old_b = li[len(li) - len(na):].tolist(), ri[:len(nb)].tolist()
+        whole_a, whole_b = len(a) == len(ltail), len(b) == len(rhead)
+        left_ok = whole_a or (window[:len(begin)] == begin == old_a[:len(begin)])
+        right_ok = whole_b or (window[len(window) - len(end):] == end == old_b[len(old_b) - len(end):])
+        if left_ok and right_ok:
+            ids = np.concatenate((li[:len(li) - len(na)], np.array(window, np.uint32), ri[len(nb):]))
+        k *= 2
+    if ids is None:
+        ids = np.concatenate((li, ri))
+    return ids, lhead + rhead if lone else lhead, ltail + rtail if rone else rtail, lone and rone
+
+
+def whole_text(path: str, spaces: str, parts: list[tuple]) -> np.ndarray:
+    """Ids of a text from its encoded parts in order: (kind, text, ids, sizes, symbols)."""
+    table, edge = merges(path), edges(spaces)
+    level: list[Stretch] = []
+    inside: list[Half] = []
+    run: list[int] | None = None
+
+    def close() -> None:
+        nonlocal run
+        if run is not None:
+            run += tree(table, inside)[0] if inside else []
+            level.append((np.array(run, np.uint32), "", "", False))
+            run = None
+            inside.clear()
+
+    for kind, text, ids, sizes, symbols in parts:
+        if kind == TEXT:
+            close()
+            level.append((np.asarray(ids, np.uint32), text, text, True))
+            continue
+        run = [] if run is None else run
+        if kind == SYMBOLS:
+            inside.append((list(ids), list(sizes), list(symbols)))
+        else:
+            run += tree(table, inside)[0] if inside else []
+            inside.clear()
+            run += list(ids)
+    close()
+    while len(level) > 1:
+        pairs = [join_texts(path, edge, a, b) for a, b in zip(level[::2], level[1::2], strict=False)]
+        level = pairs + level[len(pairs) * 2:]
+    return level[0][0] if level else np.empty(0, np.uint32)
 
 
 Finish = Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch]
@@ -131,94 +236,98 @@ def as_lists(keys: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, id_lists(ids)], names=["key", "ids"])
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, spaces: str, finish: Finish) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        yield finish(b.column(0), pieces(path, spaces).encode(b.column(1)))
-
-
-def _cut(text: str, path: str, spaces: str, long: int, leaf: int) -> Iterator[tuple[bool, list[int]]]:
-    """Parts of a text in order: (True, ids) of what is done, (False, symbols) of a leaf. A done part
-    stands between the leaves of any two words."""
-    known, library, table = pieces(path, spaces), tokenizer(path), merges(path)
-    words = known.split(text)
+def _cut(text: str, path: str, spaces: str, long: int, leaf: int) -> Iterator[tuple[int, str, list[int]]]:
+    """Parts of a text in order: (TEXT, text, -), (SYMBOLS, -, symbols) of a leaf inside a word, (DONE, -, ids).
+    A done part stands between the leaves of any two words."""
+    library, table = tokenizer(path), merges(path)
     special = [t.content for t in library.get_added_tokens_decoder().values()]
-    if words is None or any(s in text for s in special):
-        yield True, library.encode(text, add_special_tokens=False).ids
-        return
-    short: list[str] = []
-    for w in words:
-        if len(w) <= long:
-            short.append(w)
+    for part in text_leaves(text, long, edges(spaces)):
+        if len(part) <= long:
+            yield TEXT, part, []
+            continue
+        if any(s in part for s in special):
+            yield DONE, "", library.encode(part, add_special_tokens=False).ids
             continue
-        yield True, known.words(short).tolist()
-        short = []
-        run = w if spaces != KEPT else w[1:] if w[:1] == " " else " " + w
-        run = library.normalizer.normalize_str(run) if library.normalizer else run
+        run = library.normalizer.normalize_str(part) if library.normalizer else part
         for word, _ in library.pre_tokenizer.pre_tokenize_str(run):
             symbols = table.symbols(word)
             if len(symbols) <= leaf:
-                yield True, table.merge(symbols)[0]
+                yield DONE, "", table.merge(symbols)[0]
             else:
-                for part in leaves(symbols, leaf):
-                    yield False, part
-                yield True, []
-    yield True, known.words(short).tolist()
+                for x in leaves(symbols, leaf):
+                    yield SYMBOLS, "", x
+                yield DONE, "", []
+
+
+def _encode_parts(parts: list[tuple[int, str, list[int]]], path: str, spaces: str) -> list[tuple]:
+    """Leaves encoded: (kind, text, ids, sizes, symbols) of each part."""
+    known, table = pieces(path, spaces), merges(path)
+    texts = iter(known.encode([t for kind, t, _ in parts if kind == TEXT]))
+    out = []
+    for kind, text, ids in parts:
+        if kind == TEXT:
+            out.append((kind, text, next(texts), [], []))
+        elif kind == SYMBOLS:
+            out.append((kind, "", *table.merge(ids), ids))
+        else:
+            out.append((kind, "", ids, [], []))
+    return out
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, spaces: str, long: int, leaf: int, finish: Finish) -> Iterator[pa.RecordBatch]:
+    known = pieces(path, spaces)
+    for b in slices(batches):
+        texts = b.column(1)
+        is_long = pc.greater(pc.utf8_length(texts), long)
+        short = iter(known.encode(texts.filter(pc.invert(is_long))))
+        ids = []
+        for k, more in enumerate(is_long.to_pylist()):
+            parts = _encode_parts(list(_cut(texts[k].as_py(), path, spaces, long, leaf)), path, spaces) if more else []
+            ids.append(whole_text(path, spaces, parts) if more else next(short))
+        yield finish(b.column(0), ids)
 
 
 def encode(df: DataFrame, path: str, spaces: str, key: str = "doc_id", text: str = "text", long: int = LONG, leaf: int = LEAF,
-           finish: Finish = as_lists, columns: dict[str, T.DataType] | None = None) -> DataFrame:
+           finish: Finish = as_lists, columns: dict[str, T.DataType] | None = None, spread: int = SPREAD) -> DataFrame:
     """(key, ids) of every row: exactly the library's ids, without special tokens. ``finish`` may turn the
     ids into other ``columns`` in the same worker, so that they need not be handed on."""
     source = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     schema = source.select("key").schema
     for name, kind in (columns or {"ids": T.ArrayType(T.IntegerType())}).items():
         schema = schema.add(name, kind)
-    encode_rows = partial(_encode_batches, path=path, spaces=spaces, finish=finish)
-    encoded = map_batches(source.where(~has_long_run("text", long)), encode_rows, schema)
+    encode_rows = partial(_encode_batches, path=path, spaces=spaces, long=long, leaf=leaf, finish=finish)
+    encoded = map_batches(source.where(F.length("text") <= spread), encode_rows, schema)
     scratch = Scratch(df.sparkSession, "bpe")
-    hard = scratch.keep(source.where(has_long_run("text", long)).withColumn("row", F.monotonically_increasing_id()))
+    wide = scratch.keep(source.where(F.length("text") > spread).withColumn("row", F.monotonically_increasing_id()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = list(_cut(t, path, spaces, long, leaf))
+            for row, t in zip(b.column(0), b.column(1), strict=True):
+                parts = list(_cut(t.as_py(), path, spaces, long, leaf))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()),
-                     pa.array([d for d, _ in parts]), pa.array([x for _, x in parts], pa.list_(pa.int32()))],
-                    names=["row", "at", "done", "ids"])
+                    [pa.array([row.as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([k for k, _, _ in parts], pa.int32()),
+                     pa.array([t for _, t, _ in parts], pa.string()), pa.array([x for _, _, x in parts], pa.list_(pa.int32()))],
+                    names=["row", "at", "kind", "text", "ids"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merges(path)
-        for b in batches:
-            made = [(x, [], []) if d else (*table.merge(x), x) for d, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            lists = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=["row", "at", "done", "ids", "sizes", "symbols"])
+        for b in slices(batches):
+            made = _encode_parts(list(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)), path, spaces)
+            lists = [pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *lists], names=["row", "at", "kind", "text", "ids", "sizes", "symbols"])
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merges(path)
-        for b in batches:
-            out = []
-            for parts in b.column(1).to_pylist():
-                ids: list[int] = []
-                open_: list[Half] = []
-                for p in sorted(parts, key=lambda p: p["at"]):
-                    if p["done"]:
-                        ids += tree(table, open_)[0] if open_ else []
-                        ids += p["ids"]
-                        open_ = []
-                    else:
-                        open_.append((p["ids"], p["sizes"], p["symbols"]))
-                out.append(np.array(ids, np.uint32))
-            yield finish(b.column(0), out)
-
-    if hard.isEmpty():
+        for b in slices(batches, 1):
+            parts = sorted(b.column(1)[0].as_py(), key=lambda p: p["at"])
+            yield finish(b.column(0), [whole_text(path, spaces, [tuple(p[c] for c in ("kind", "text", "ids", "sizes", "symbols")) for p in parts])])
+
+    if wide.isEmpty():
         return encoded.withColumnRenamed("key", key)
-    parts = map_batches(hard.select("row", "text"), cut, "row long, at int, done boolean, ids array<int>")
+    parts = map_batches(wide.select("row", "text"), cut, "row long, at int, kind int, text string, ids array<int>")
     dealt = parts.repartition(partitions(df), "row", "at")  # leaves of one text go to many tasks
-    merged = map_batches(dealt, merge, "row long, at int, done boolean, ids array<int>, sizes array<int>, symbols array<int>")
+    merged = map_batches(dealt, merge, "row long, at int, kind int, text string, ids array<int>, sizes array<int>, symbols array<int>")
     # the parts of one text meet again: they are no larger than that one row
-    whole = merged.groupBy("row").agg(F.collect_list(F.struct("at", "done", "ids", "sizes", "symbols")).alias("parts"))
-    joined = map_batches(hard.select("row", "key").join(whole, "row").select("key", "parts"), up, schema)
+    whole = merged.groupBy("row").agg(F.collect_list(F.struct("at", "kind", "text", "ids", "sizes", "symbols")).alias("parts"))
+    joined = map_batches(wide.select("row", "key").join(whole, "row").select("key", "parts"), up, schema)
     return encoded.unionByName(joined).withColumnRenamed("key", key)
 
 

@@ -29,7 +29,8 @@ REMEMBER = 500_000  # pieces, about 150 bytes each
 #: White space and format characters beyond ASCII on which engines differ.
 _WIDE = (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF)
 #: Texts that must not be cut.
-_UNCUT = "[\x1c-\x1f" + "".join(map(chr, _WIDE)) + "]"
+WHITE = "\x1c-\x1f" + "".join(map(chr, _WIDE))
+_UNCUT = f"[{WHITE}]"
 _UNCUT_KEPT = _UNCUT + "|  | \n|\n |[\t\x0b-\r]|^ | $"
 #: Letters beyond U+00FF (lower case may differ between engines there), and texts with special tokens.
 _NOT_LATIN = r"[^\x00-\x{ff}]|<\|"

@@ -149,3 +149,32 @@ def test_digests_equal_the_library(spark):
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
     got = bpe.digests(documents(spark, rows), path, DROPPED).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("path,spaces", [(WORD, DROPPED), (BYTE, KEPT)])
+def test_every_long_text_goes_through_the_tree(spark, path, spaces):
+    rng = random.Random(7)
+    odd = list("abZ9'é \n\t\x1c\x85\xa0\u3000\u200b !?中Σς\u0301") + ["<|endoftext|>", "  ", "don't", "word ", "house, ", "中文字中文字"]
+    rows = [(i, "".join(rng.choice(odd) for _ in range(rng.randint(30, 400)))) for i in range(60)]
+    rows += [(100, "plain words, of a text " * 900), (101, "中文字。" * 2000 + "\u3000" + "字" * 3000), (102, " " * 9000 + "x"), (103, "a\u00a0b " * 3000)]
+    want = sorted((i, library(path, t)) for i, t in rows)
+    for long, leaf, spread in ((4096, 512, 1 << 16), (7, 3, 1 << 16), (7, 3, 50), (2, 1, 100)):
+        some = [r for r in rows if long > 7 or r[0] < 60]
+        got = bpe.encode(documents(spark, some), path, spaces, long=long, leaf=leaf, spread=spread).collect()
+        assert sorted((r.doc_id, r.ids) for r in got) == [w for w in want if long > 7 or w[0] < 60]
+
+
+def test_text_leaves_cover_the_text_and_are_short_at_word_edges():
+    edge = bpe.edges(DROPPED)
+    text = "some words of a text " * 500 + "q" * 9000 + " end" * 2000
+    parts = bpe.text_leaves(text, 4096, edge)
+    assert "".join(parts) == text and sum(len(p) > 4096 for p in parts) == 1
+    assert [len(p) for p in bpe.text_leaves("q" * 9000, 4096, edge)] == [9000]
+
+
+def test_windows_grow_until_both_sides_agree():
+    """Halves that are not cut at an edge: the first windows disagree, and the join still gives the library's ids."""
+    edge = bpe.edges(DROPPED)
+    text = "the house of sto" + "ne by the river and the hill"
+    left, right = ((np.array(library(WORD, t), np.uint32), t, t, True) for t in (text[:16], text[16:]))
+    assert bpe.join_texts(WORD, edge, left, right)[0].tolist() == library(WORD, text)
