@@ -73,3 +73,13 @@ def q_stream_parts(spark, sf):
     src = shared_path(spark, "stream-parts")
     LT.write_log(commit_parts(td.changes(spark, sf), 2), src)
     return _board_of(spark, src, -(-_files(spark, src) // 3))
+
+
+@register("stream_changes", SCOREBOARD_SQL)
+def q_stream_changes(spark, sf):
+    """Totals streamed by changes only, several triggers; the board is ranked when it is read."""
+    src, out, ckpt = (shared_path(spark, n) for n in ("stream-in", "stream-changes", "stream-ckpt"))
+    LT.write_log(td.commits(spark, sf), src)
+    totals = ST.running_author_totals(ST.read_log_stream(spark, src, max_files_per_trigger=-(-_files(spark, src) // 4)))
+    ST.start_running_totals(totals, out, ckpt).awaitTermination()
+    return ST.board_now(spark, out)

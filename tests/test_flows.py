@@ -142,3 +142,32 @@ def test_json_array_files(spark, scratch):
         json.dump([commit, {**commit, "commit_hash": "k", "file_changes": []}], f, indent=1)
     got = {r.commit_hash: len(r.file_changes) for r in LT.read_json(spark, path, array=True).collect()}
     assert got == {"j": 1, "k": 0}
+
+
+def test_stream_of_changes_writes_what_changed(spark, scratch):
+    from helpers import commit_rows
+    from revlens.sources.logtext import write_log
+    from revlens.streaming import logstream as ST
+
+    src, out, ckpt = scratch("in"), scratch("out"), scratch("ckpt")
+    one = lambda h, who, n: {"commit_hash": h, "author_name": who, "author_email": f"{who}@x", "file_changes": [("f", n, 0, "M", None)]}
+
+    def batch(n, rows):
+        write_log(commit_rows(spark, rows).coalesce(1), f"{src}/{n}")
+        ST.start_running_totals(ST.running_author_totals(ST.read_log_stream(spark, f"{src}/*")), out, ckpt).awaitTermination()
+
+    batch(0, [one(f"a{i}", f"w{i}", i) for i in range(200)])
+    batch(1, [one("b0", "w3", 1000), one("a5", "w5", 5)])  # one new commit, one sent again
+    base, changes = ST._layers(spark, out)
+    assert spark.read.parquet(*base).count() == 200 and not changes
+    batch(2, [one("b1", "w3", 1), one("b2", "new", 7)])
+    batch(3, [one("b3", "w4", 1)])
+    counts = [spark.read.parquet(c).count() for c in ST._complete(spark, f"{out}/change/*")]
+    assert counts == [200, 1, 2, 1]
+    assert len(ST._complete(spark, f"{out}/base/*")) == 1  # merged once: after that the changes are fewer than its rows
+    got = {r.author_name: (r.added, r.commits, r.rank) for r in ST.board_now(spark, out).collect()}
+    assert len(got) == 201 and got["w3"] == (1004, 3, 1) and got["w5"][:2] == (5, 1) and got["new"][:2] == (7, 1) and got["w4"][:2] == (5, 2)
+    # a folder without the success marker is not read
+    spark.createDataFrame([("w3@x", "w3", 9, 9, 9)], "author_email string, author_name string, added long, deleted long, commits long").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/change/000000000099")
+    assert {r.author_name: r.added for r in ST.totals_now(spark, out).collect()}["w3"] == 1004
