@@ -2,8 +2,10 @@
 
 Nearness is the largest inner product. Adding one coordinate, sqrt(M^2 - |x|^2) with M the largest norm,
 turns it into the smallest Euclidean distance; a fixed random rotation then spreads every distance evenly
-over the coordinates. k-means centres, fitted on a bounded sample, file every vector under one list, and
-a query probes the nearest ones: as many as hold ``TARGET`` of the true neighbours within the sample.
+over the coordinates. k-means centres, fitted on a bounded sample, file every vector under one list. The
+number of lists grows with the square root of the rows: beyond ``COARSE`` of them a cell is cut by a second
+set of centres, of the vectors less their cell's centre, which all cells share. A query probes the lists
+nearest to it: as many as hold ``TARGET`` of the true neighbours, among all rows, of ``ASKED`` sample vectors.
 
 A probed list is scanned in column blocks. After each block a candidate's distance is estimated from
 the coordinates seen so far, and a hypothesis test drops it when the estimate, less its error bound, is
@@ -12,7 +14,9 @@ double precision.
 
 Scale: lists are cut into parts of at most ``PART`` vectors, so a list with a third of all vectors is many
 tasks' work; a task holds one part and streams the queries that probe it. Only the centres and one
-number a list are broadcast; each part returns at most k rows a query.
+number a list (at most ``COARSE`` times an eighth of the sample) are broadcast; each part returns at most k
+rows a query. Lists and probed neighbourhoods being measured on all rows, a query's work grows with the
+square root of the rows, not with the rows.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do
 rows without an id or with another number of components than most; a query has its own row (by id) left
@@ -22,7 +26,7 @@ each. More columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from revlens.llm.common import Scratch, map_batches, partitions
 
 #: Bounds and targets of the fit.
-SAMPLE, MOST_LISTS, TARGET = 16_384, 1024, 0.97
+SAMPLE, COARSE, TARGET, ASKED = 16_384, 1024, 0.97, 256
 PART, STEPS, EPSILON, SEED = 4096, (16, 32, 48), 2.1, 7
 
 
@@ -44,25 +48,44 @@ def usable(vector: str, key: str) -> Column:
             & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
 
 
+def _means(x: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means centres, eight rounds."""
+    centres = x[rng.permutation(len(x))[:lists]]
+    for _ in range(8):
+        at = nearest(x, centres, 1)[:, 0]
+        sums = np.zeros_like(centres, dtype=np.float64)
+        np.add.at(sums, at, x)
+        n = np.bincount(at, minlength=len(centres))
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres).astype(np.float32)
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    far = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
+    return np.argmin(far, axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
+
+
 class Index:
-    """Rotation, centres (rotated) and the number of lists a query probes."""
+    """Rotation, centres (rotated) of cells and inside cells, and the numbers of cells and lists a query probes."""
 
-    def __init__(self, sample: np.ndarray, largest: float, rows: int, k: int):
+    def __init__(self, sample: np.ndarray, largest: float, rows: int, coarse: int = COARSE):
         rng = np.random.default_rng(SEED)
         self.largest = largest
         d = sample.shape[1] + 1
         self.rotation = np.linalg.qr(rng.standard_normal((d, d)))[0].astype(np.float32)
         x = self.place(sample)
-        lists = int(np.clip(np.sqrt(rows) / 3, 1, min(MOST_LISTS, max(1, len(x) // 8))))
-        centres = x[rng.permutation(len(x))[:lists]]
-        for _ in range(8):
-            at = self.nearest(x, centres, 1)[:, 0]
-            sums = np.zeros_like(centres, dtype=np.float64)
-            np.add.at(sums, at, x)
-            n = np.bincount(at, minlength=len(centres))
-            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres).astype(np.float32)
-        self.centres = centres
-        self.probes = self._probes(sample, x, k)
+        lists, most = max(1, int(np.sqrt(rows) / 3)), max(1, len(x) // 8)
+        self.centres = _means(x, min(lists, coarse, most), rng)
+        inside = min(-(-lists // len(self.centres)), most) if lists > coarse else 1
+        rest = x - self.centres[nearest(x, self.centres, 1)[:, 0]]
+        self.inner = _means(rest, inside, rng) if inside > 1 else np.zeros((1, d), np.float32)
+        # squared distance of q to centre c + i, but for |q - c|^2 and -2 q i
+        self.cross = 2 * self.centres @ self.inner.T + (self.inner * self.inner).sum(axis=1)[None, :]
+        self.cells, self.probes = len(self.centres), self.lists
+
+    @property
+    def lists(self) -> int:
+        return len(self.centres) * len(self.inner)
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """Vectors with their added coordinate, rotated."""
@@ -73,35 +96,94 @@ class Index:
     def query(self, q: np.ndarray) -> np.ndarray:
         return np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32) @ self.rotation
 
-    @staticmethod
-    def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-        far = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
-        return np.argsort(far, axis=1, kind="stable")[:, :n]
-
-    def _probes(self, sample: np.ndarray, x: np.ndarray, k: int) -> int:
-        """Lists to probe so that TARGET of the true neighbours in the sample are within them."""
-        if len(x) < 2:
-            return len(self.centres)
-        some = np.arange(0, len(x), max(1, len(x) // 256))
-        scores = sample[some] @ sample.T
-        scores[np.arange(len(some)), some] = -np.inf
-        true = np.argsort(-scores, axis=1)[:, :min(k, len(x) - 1)]
-        order = self.nearest(self.query(sample[some]), self.centres, len(self.centres))
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
-        home = self.nearest(x, self.centres, 1)[:, 0]
-        depth = np.sort(np.take_along_axis(rank, home[true], axis=1).ravel())
-        return int(depth[min(len(depth) - 1, int(np.ceil(TARGET * len(depth))))]) + 1
-
-
-def fit(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", k: int = 20, sample: int = SAMPLE) -> Index | None:
-    """Fit on at most ``sample`` vectors, chosen by a hash of their id."""
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The list of each placed vector."""
+        cell = nearest(x, self.centres, 1)[:, 0]
+        if len(self.inner) == 1:
+            return cell
+        return cell * len(self.inner) + nearest(x - self.centres[cell], self.inner, 1)[:, 0]
+
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        """The lists each placed query probes, nearest first, of its nearest cells."""
+        if len(self.inner) == 1:
+            return nearest(q, self.centres, self.probes)
+        far = (self.centres * self.centres).sum(axis=1)[None, :] - 2 * q @ self.centres.T
+        cells = np.argsort(far, axis=1, kind="stable")[:, :self.cells]
+        turned = -2 * q @ self.inner.T
+        out = np.empty((len(q), min(self.probes, self.cells * len(self.inner))), np.int64)
+        for i, c in enumerate(cells):
+            near = (far[i, c][:, None] + turned[i][None, :] + self.cross[c]).ravel()
+            best = np.argsort(near, kind="stable")[:out.shape[1]]
+            out[i] = c[best // len(self.inner)] * len(self.inner) + best % len(self.inner)
+        return out
+
+    def aim(self, asked: np.ndarray, neighbours: list[np.ndarray]) -> None:
+        """Probe as many cells and lists as hold ``TARGET`` of the neighbours' lists, given for each asked vector."""
+        many = [len(x) for x in neighbours]
+        if not sum(many):
+            return
+        lists, row = np.concatenate(neighbours), np.repeat(np.arange(len(asked)), many)
+        q, inside = self.query(asked), len(self.inner)
+
+        def depth(order: np.ndarray, wanted: np.ndarray, part: float) -> int:
+            rank = np.empty((len(order), order.max() + 1), np.int64)
+            np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+            deep = np.sort(rank[row, wanted])
+            return int(deep[min(len(deep) - 1, int(np.ceil(part * len(deep))))]) + 1
+
+        self.cells = depth(nearest(q, self.centres, len(self.centres)), lists // inside, TARGET if inside == 1 else (1 + TARGET) / 2)
+        self.probes = self.cells
+        if inside > 1:
+            self.probes = self.cells * inside
+            ranks = []
+            for i, order in enumerate(self.probed(q)):  # a neighbour outside the cells counts as missed
+                place = {int(x): n for n, x in enumerate(order)}
+                ranks += [place.get(int(x), len(order)) for x in neighbours[i]]
+            ranks = np.sort(ranks)
+            self.probes = min(self.probes, int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1)
+
+
+def fit(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", k: int = 20, sample: int = SAMPLE, coarse: int = COARSE) -> Index | None:
+    """Fit on at most ``sample`` vectors, chosen by a hash of their id; probes are set by all rows."""
     norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, largest = vectors.agg(F.count("*"), F.max(norm)).first()
     if not n:
         return None
     rows = vectors.select(key, vector).orderBy(F.xxhash64(key), key).limit(sample).collect()
-    return Index(np.array([r[1] for r in rows], np.float64), float(largest), n, k)
+    x = np.array([r[1] for r in rows], np.float64)
+    index = Index(x, float(largest), n, coarse)
+    some = np.arange(0, len(x), max(1, len(x) // ASKED))[:ASKED]
+    near = true_neighbours(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")),
+                           np.array([rows[i][0] for i in some]), x[some], k, lambda v: index.home(index.place(v)))
+    index.aim(x[some], near)
+    return index
+
+
+def true_neighbours(rows: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, home: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """``home`` of the k rows of largest inner product with each of a few vectors, their own ids left out: every
+    row is read once, a task returns at most k rows a vector."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, at = np.empty((len(asked), 0)), np.empty((len(asked), 0), np.int64)
+        for b in batches:
+            for s in range(0, b.num_rows, 4096):
+                part = b.slice(s, 4096)
+                v = _matrix(part.column(1), np.float64)
+                new = asked @ v.T
+                new[part.column(0).to_numpy()[None, :] == ids[:, None]] = -np.inf
+                score = np.concatenate((score, new), axis=1)
+                at = np.concatenate((at, np.broadcast_to(home(v), new.shape)), axis=1)
+                if score.shape[1] > k:
+                    keep = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, at = np.take_along_axis(score, keep, axis=1), np.take_along_axis(at, keep, axis=1)
+        q, c = np.isfinite(score).nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(score[q, c], pa.float64()), pa.array(at[q, c], pa.int64())], names=["q", "score", "at"])
+
+    first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "at"))
+    found = map_batches(rows, best, "q int, score double, at long").withColumn("n", first).where(F.col("n") <= k)
+    by = found.groupBy("q").agg(F.collect_list("at").alias("at"))  # k of each of the few vectors
+    lists = {r["q"]: r["at"] for r in by.collect()}
+    return [np.array(lists.get(i, []), np.int64) for i in range(len(asked))]
 
 
 def _matrix(column: pa.Array, dtype) -> np.ndarray:
@@ -136,7 +218,7 @@ def scan(q: np.ndarray, original: np.ndarray, own: int, x: np.ndarray, sums: lis
 
 
 def search(vectors: DataFrame, queries: Column, index: Index | None = None, vector: str = "embedding", key: str = "vec_id",
-           k: int = 20, part: int = PART) -> DataFrame:
+           k: int = 20, part: int = PART, coarse: int = COARSE) -> DataFrame:
     """(query_id, rank, vec_id, score): the best ``k`` found for each row on which ``queries`` holds."""
     out = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
@@ -145,7 +227,7 @@ def search(vectors: DataFrame, queries: Column, index: Index | None = None, vect
     if common is None:
         return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     rows = rows.where(F.size("v") == common["d"])
-    index = index or fit(rows, "v", "id", k)
+    index = index or fit(rows, "v", "id", k, coarse=coarse)
     scratch = Scratch(spark, "lists")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +236,12 @@ def search(vectors: DataFrame, queries: Column, index: Index | None = None, vect
                 continue
             v = _matrix(b.column(1), np.float64)
             x = index.place(v)
-            home = index.nearest(x, index.centres, 1)[:, 0]
-            ask = b.column(2).to_pylist()
-            probes = index.nearest(index.query(v), index.centres, index.probes)
-            lists = [p.tolist() if a else None for a, p in zip(ask, probes, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home, pa.int32()), pa.array(lists, pa.list_(pa.int32()))],
+            home = index.home(x)
+            ask = b.column(2).fill_null(False).to_numpy(zero_copy_only=False)
+            lists = np.full(len(ask), None, object)
+            for i, p in zip(ask.nonzero()[0].tolist(), index.probed(index.query(v[ask])), strict=True):
+                lists[i] = p
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home, pa.int32()), pa.array(lists.tolist(), pa.list_(pa.int32()))],
                                              names=["id", "v", "list", "probes"])
 
     filed = scratch.keep(map_batches(rows, file, "id long, v array<double>, list int, probes array<int>"))
