@@ -14,9 +14,17 @@ def _c(x) -> Column:
 PY_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# The same characters, one by one.
+_WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(x) -> Column:
-    """Python ``str.strip()``: trims every whitespace character, not only spaces."""
-    return F.regexp_replace(_c(x), f"^{PY_WS}+|{PY_WS}+$", "")
+    """Python ``str.strip()``: trims every whitespace character, not only spaces.
+
+    Only text that begins or ends with one goes through the regular expression, which tries every place of it."""
+    t, ws = _c(x), F.lit(_WS_CHARS)
+    edge = F.contains(ws, F.substring(t, 1, 1)) | F.contains(ws, F.substring(t, -1, 1))
+    return F.when(edge, F.regexp_replace(t, f"^{PY_WS}+|{PY_WS}+$", "")).otherwise(t)
 
 
 def split_author(ident) -> tuple[Column, Column]:

@@ -77,6 +77,16 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def spread(df):
+    """A scan of fewer splits than half the session's cores (a small file is one split, whatever the work on its
+    rows) dealt out over all of them; any other scan as it is, without a shuffle."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect doesn't tell its cores
+        return df
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def persist_table(df, name: str = "table"):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 

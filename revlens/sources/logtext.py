@@ -8,10 +8,12 @@ and every commit is one row; all parsing is column expressions and higher-order
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.functions.scalar import _SPLITLINES as _LINE_SPLIT
 from revlens.functions.scalar import MSG_END, MSG_START, parse_message, parse_parents, strip_ws
 from revlens.operators.ranking import in_order
 from revlens.schema import COMMIT_COLUMNS, FILE_CHANGE
@@ -27,18 +29,20 @@ PART_MARK = "@@@PART@@@"
 # Prefixes of diff header lines that are not file changes.
 NOISE_PREFIXES = ("diff --git", "old mode", "new mode", "index", "--- a/", "+++ b/", "@@ - ")
 
+# The line breaks of Python's str.splitlines() but the line feed.
+_OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
 _FILE_CHANGE_DDL = "array<struct<file_path:string,additions:bigint,deletions:bigint,change_type:string,old_file_path:string>>"
 
 
-def keep_parsed(df: DataFrame, parsed: Column, keep, carry=()) -> DataFrame:
-    """Rows whose ``parsed`` struct satisfies ``keep(struct)``, flattened next to ``carry``.
+def keep_parsed(df: DataFrame, parsed: Column, keep: Column, carry=()) -> DataFrame:
+    """Rows whose ``parsed`` struct satisfies ``keep`` (over its fields), flattened next to ``carry``.
 
     A plain ``select(...).where(...)`` lets Catalyst push the filter below the projection by
-    inlining the parse expressions, so every split/regex runs again inside the filter. Testing
-    the predicate on the already-built struct (``inline(filter(array(struct)))``) parses each
-    row exactly once.
+    inlining the parse expressions, so every split/regex runs again inside the filter. No filter goes
+    below the generator that flattens the struct, so each row is parsed exactly once, in generated code.
     """
-    return df.select(*carry, F.inline(F.filter(F.array(parsed), keep)))
+    return df.select(*carry, F.inline(F.array(parsed))).where(keep)
 
 
 # ---- SRC-1 ----------------------------------------------------------------------------
@@ -61,7 +65,7 @@ def is_noise_line(line: Column) -> Column:
     pred = line == ""
     for p in NOISE_PREFIXES:
         pred = pred | line.startswith(p)
-    return pred | line.rlike("^[0-9a-fA-F]{40}$")
+    return pred | ((F.length(line) == 40) & line.rlike("^[0-9a-fA-F]{40}$"))
 
 
 # Python int() text: optional whitespace and sign around decimal digits.
@@ -153,9 +157,9 @@ def log_parse(records: DataFrame, value_col: str = "value", empty_message_fallba
     cols = _parse_record(empty_message_fallback)
     if keep_rejects:
         rej = F.struct(F.col("_raw").alias("value"), cols["_valid"].alias("_valid"))
-        return keep_parsed(staged, rej, lambda r: ~r["_valid"]).select("value")
+        return keep_parsed(staged, rej, ~F.col("_valid")).select("value")
     parsed = F.struct(*[c.alias(n) for n, c in cols.items()])
-    out = keep_parsed(staged, parsed, lambda r: r["_valid"])
+    out = keep_parsed(staged, parsed, F.col("_valid"))
     return out.select(*COMMIT_COLUMNS, *(["part"] if parts else []), F.col("file_changes").cast(_FILE_CHANGE_DDL))
 
 
@@ -196,8 +200,8 @@ def numstat_parse(lines: DataFrame, value_col: str = "value", cli_variant: bool
         F.lit("").alias("change_type"),
         keep_width.alias("_ok"),
     )
-    out = keep_parsed(df, parsed, lambda r: r["_ok"] & r["additions"].isNotNull() & r["deletions"].isNotNull()
-                      & (r["file_path"] != ""), carry)
+    out = keep_parsed(df, parsed, F.col("_ok") & F.col("additions").isNotNull() & F.col("deletions").isNotNull()
+                      & (F.col("file_path") != ""), carry)
     return out.drop("_ok")
 
 
@@ -220,7 +224,7 @@ def name_status_parse(lines: DataFrame, value_col: str = "value", dict_variant:
             F.lit(0).cast("bigint").alias("deletions"),
             (F.size(parts).isin(2, 3) & (strip_ws(F.col("_v")) != "")).alias("_ok"),
         )
-        return keep_parsed(staged, parsed, lambda r: r["_ok"], carry).drop("_ok")
+        return keep_parsed(staged, parsed, F.col("_ok"), carry).drop("_ok")
     carry = [c for c in lines.columns if c != value_col]
     lines = lines.select(*carry, F.split(F.col(value_col), "\t").alias("_parts"))
     parts = F.col("_parts")
@@ -235,7 +239,7 @@ def name_status_parse(lines: DataFrame, value_col: str = "value", dict_variant:
         F.lit(0).cast("bigint").alias("deletions"),
         ((F.size(parts) >= 2) & (strip_ws(rest) != "")).alias("_ok"),
     )
-    out = keep_parsed(lines, parsed, lambda r: r["_ok"] & (r["change_type"] != ""), carry)
+    out = keep_parsed(lines, parsed, F.col("_ok") & (F.col("change_type") != ""), carry)
     return out.drop("_ok")
 
 
@@ -250,19 +254,27 @@ def patch_line_stats(patches: DataFrame, patch_col: str = "patch", keys=("commit
     ``+``/``-`` lines count except ``+++``/``---``. A section without a ``+++ b/`` line is not
     reported; a path seen twice keeps its last section.
     """
-    sections = F.split(F.col(patch_col), "(\r\n|\n|\r)(?=diff --git)")
+    # a break of two characters leaves one at the section's end: one more empty line, which counts nowhere
+    sections = F.split(F.col(patch_col), "[\r\n](?=diff --git)")
     exploded = patches.select(*keys, F.posexplode(sections).alias("_pos", "_sec"))
-    # one split per section, kept as a column (it is read three times below)
-    lined = exploded.select(*keys, "_pos", F.split(F.col("_sec"), _LINE_SPLIT).alias("_lines"))
-    lines = F.col("_lines")
-    heads = F.filter(lines, lambda ln: ln.startswith("+++ b/"))
+    sec = F.col("_sec")
+    others = reduce(or_, [F.contains(sec, F.lit(c)) for c in _OTHER_BREAKS])
+    # every line begins after a line feed; kept as a column, as it is read several times below
+    broken = F.when(others, F.regexp_replace(sec, f"[{_OTHER_BREAKS}]", "\n")).otherwise(sec)
+    lined = exploded.select(*keys, "_pos", F.concat(F.lit("\n"), broken).alias("_text"))
+    text = F.col("_text")
+
+    def lines_from(start: str) -> Column:
+        begin = "\n" + start
+        return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(begin), F.lit("")))) / len(begin)
+
     stats = F.struct(
-        strip_ws(F.substr(F.try_element_at(heads, F.lit(-1)), F.lit(7))).alias("file_path"),
-        F.size(F.filter(lines, lambda ln: ln.startswith("+") & ~ln.startswith("+++"))).cast("bigint").alias("additions"),
-        F.size(F.filter(lines, lambda ln: ln.startswith("-") & ~ln.startswith("---"))).cast("bigint").alias("deletions"),
-        (F.size(heads) > 0).alias("_has_path"),
+        strip_ws(F.substring_index(F.substring_index(text, "\n+++ b/", -1), "\n", 1)).alias("file_path"),
+        (lines_from("+") - lines_from("+++")).cast("bigint").alias("additions"),
+        (lines_from("-") - lines_from("---")).cast("bigint").alias("deletions"),
+        F.contains(text, F.lit("\n+++ b/")).alias("_has_path"),
     )
-    per_section = keep_parsed(lined, stats, lambda r: r["_has_path"], [*keys, "_pos"])
+    per_section = keep_parsed(lined, stats, F.col("_has_path"), [*keys, "_pos"])
     return per_section.groupBy(*keys, "file_path").agg(
         F.max_by("additions", "_pos").alias("additions"),
         F.max_by("deletions", "_pos").alias("deletions"),

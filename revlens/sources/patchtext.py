@@ -60,7 +60,7 @@ def section_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.size(F.filter(lines, lambda x: x.startswith("-") & ~x.startswith("---"))).cast("bigint").alias("deletions"),
         F.col("opens"),
     )
-    return keep_parsed(staged, parsed, lambda r: r["path"].isNotNull() | r["opens"].isNotNull(), ["file", "start", "pos"])
+    return keep_parsed(staged, parsed, F.col("path").isNotNull() | F.col("opens").isNotNull(), ["file", "start", "pos"])
 
 
 def with_commits(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.schema import CHANGE_COLUMNS, COMMIT_COLUMNS
-from revlens.session import pin_utc
+from revlens.session import pin_utc, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,7 +146,7 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 def file_rows_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file_rows`` plus ``commit_hash`` and ``pos``: the line's place inside its commit, a struct of
     every line item column (row-local and totally ordered; no per-order window)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     path = F.concat(
         F.lower(F.col("p_type")), F.lit("/"),

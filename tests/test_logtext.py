@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import commit_rows, utc
+from revlens.functions.scalar import strip_ws
 from revlens.operators.reshape import explode_changes
 from revlens.sources import logtext as LT
 
@@ -170,3 +171,16 @@ def test_json_array_over_many_files(spark, scratch):
     spark.createDataFrame([("[",), (" {",), (' "commit_hash": "k" }]',)], "value string").coalesce(1).write.text(f"{path}-indented")
     with pytest.raises(Exception, match="not one object a line"):
         LT.read_json_array(spark, f"{path}-indented").collect()
+
+
+def test_strip_is_python_strip(spark):
+    edges = ["", " ", "\t\n", "\u3000", "\x85a\u2028", " a b\u00a0", "a", "\x1c-\x1f", "e\u0301 ", "\u200bx\u200b", "x\u205f\u1680", None]
+    rows = spark.createDataFrame([(x,) for x in edges], "v string").select("v", strip_ws("v").alias("o")).collect()
+    assert [r.o for r in rows] == [None if r.v is None else r.v.strip() for r in rows]
+
+
+def test_patch_lines_at_every_kind_of_break(spark):
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028"]
+    patches = [f"diff --git a/x b/x{e}--- a/x{e}+++ b/x{e}+one{e}+{e}++two{e}+++three{e}-{e}---four{e}-five{e}{e} +six{e}" for e in breaks]
+    rows = LT.patch_line_stats(spark.createDataFrame([(str(i), p) for i, p in enumerate(patches)], "commit_hash string, patch string")).collect()
+    assert sorted((int(r.commit_hash), r.file_path, r.additions, r.deletions) for r in rows) == [(i, "x", 3, 2) for i in range(len(breaks))]
