@@ -9,8 +9,9 @@ both steps fold into one matrix A, and a batch of texts is scored by two matrix
 (presence rows x landmark sets) x A.
 
 Every label that occurs is learned, from a bounded sample (``per_language`` distinct texts a label, those of
-smallest hash); copies of a text count once. Fitting costs (labels x landmarks) squared in driver memory
-and cubed in time. Scoring reads every whole text in ``mapInArrow``, without a shuffle.
+smallest hash); copies of a text count once. Sample and landmarks are bounded in all too (``TEXTS``, ``MARKS``):
+with more labels each has fewer, but one at least. Fitting costs the landmarks squared in driver memory and
+cubed in time, which beyond ``MARKS`` labels are as many as the labels. Scoring reads every whole text in ``mapInArrow``, without a shuffle.
 
 Defined cases: null text or no letter -> ``und`` with score 0; no labelled row at all -> every
 text is ``und``; one language -> that language; equal scores -> the alphabetically first; rows
@@ -31,6 +32,8 @@ from revlens.llm.common import SPACE, by_size, code_points, letter_table, map_ba
 UND = "und"
 #: Bounds of the fit: labelled texts a language, landmarks among them. The number of languages has none.
 PER_LANGUAGE, LANDMARKS = 250, 24
+#: Bounds over all languages (one each at least): labelled texts, landmarks.
+TEXTS, MARKS = 16_000, 1536
 RIDGE = 1e-2
 #: Texts a kernel block, and rows a block of the fit's sums.
 BATCH, BLOCK = 64, 1024
@@ -103,8 +106,9 @@ class LanguageModel:
         return langs, scores
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Fit on (text, language) rows; the first ``landmarks`` of each language become landmarks."""
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, marks_in_all: int = MARKS) -> LanguageModel:
+    """Fit on (text, language) rows; the first ``landmarks`` of each language, or an even share of ``marks_in_all``
+    if that is less, become landmarks."""
     pairs = [(s, lang) for text, lang in rows if len(s := ngrams(text))]
     by: dict[str, list[np.ndarray]] = {}
     for s, lang in pairs:
@@ -112,7 +116,8 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     languages = sorted(by)
     if not languages:
         return LanguageModel([], [], np.empty((0, 0)))
-    marks = [s for lang in languages for s in by[lang][:landmarks]]
+    share = min(landmarks, max(1, marks_in_all // len(languages)))
+    marks = [s for lang in languages for s in by[lang][:share]]
     model = LanguageModel(languages, marks, np.empty((0, 0)))
     k_mm = model.kernel(marks)
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
@@ -169,5 +174,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", names: tup
 
 
 def train(df: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE,
-          landmarks: int = LANDMARKS) -> LanguageModel:
-    return fit(labelled_sample(df, text, label, per_language), landmarks)
+          landmarks: int = LANDMARKS, texts_in_all: int = TEXTS, marks_in_all: int = MARKS) -> LanguageModel:
+    """The model of ``df``'s labelled rows; labels are counted first, as an even share of ``texts_in_all`` bounds each."""
+    labels = df.where(F.col(label).isNotNull()).select(F.col(label).alias("l")).distinct().count()
+    share = min(per_language, max(1, texts_in_all // max(1, labels)))
+    return fit(labelled_sample(df, text, label, share), landmarks, marks_in_all=marks_in_all)

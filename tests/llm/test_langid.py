@@ -70,6 +70,20 @@ def test_every_label_is_learned(spark):
     assert np.mean([a == b for a, (_, b) in zip(langs, rows)]) > 0.99
 
 
+def test_fit_is_bounded_over_all_labels(spark, monkeypatch):
+    rows = _made_up(90, 8)
+    df = spark.createDataFrame(rows, "text string, lang string")
+    seen = []
+    whole = langid.labelled_sample
+    monkeypatch.setattr(langid, "labelled_sample", lambda *a: seen.append(whole(*a)) or seen[-1])
+    model = langid.train(df, texts_in_all=300, marks_in_all=200)
+    assert [len(seen[0]), len(model.sizes), len(model.languages)] == [270, 180, 90]
+    langs, _ = model.predict([t for t, _ in rows])
+    assert np.mean([a == b for a, (_, b) in zip(langs, rows, strict=True)]) > 0.95
+    few = langid.train(df, texts_in_all=10, marks_in_all=10)  # one each at least
+    assert [len(seen[1]), len(few.sizes), len(few.languages)] == [90, 90, 90]
+
+
 def test_sample_is_of_distinct_texts(spark):
     rows = _made_up(3, 60)
     copies = [(rows[0][0], "l000")] * 3000 + [("12 34", "l001")] * 500 + rows[60:70] * 9
