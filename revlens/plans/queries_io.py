@@ -176,16 +176,21 @@ def q_patch_scan(spark, sf):
     odd, p = F.col("additions") % 7 == 3, F.col("file_path")
     quote = lambda side: F.when(odd, F.concat(F.lit(f'"{side}/d\\303\\255r '), p, F.lit('"'))).otherwise(F.concat(F.lit(f"{side}/"), p))
     plus = F.when(F.col("change_type") == "D", F.lit("/dev/null")).otherwise(quote("b"))
-    section = F.concat(
-        F.lit("diff --git "), quote("a"), F.lit(" "), quote("b"), F.lit("\nindex 1111111..2222222 100644\n--- "), quote("a"), F.lit("\n+++ "),
-        plus, F.lit("\n@@ -1 +1 @@\n commit 0123456789 is no header\n"),
-        F.repeat(F.lit("+added line\n"), F.col("additions").cast("int")), F.repeat(F.lit("-removed line\n"), F.col("deletions").cast("int")),
-        F.lit("diff --git a/logo.png b/logo.png\nindex 1111111..2222222 100644\nBinary files a/logo.png and b/logo.png differ\n"))
-    sections = rows.groupBy("commit_hash").agg(F.sort_array(F.collect_list(F.struct("pos", section.alias("s")))).alias("secs"))
+
+    def section(x):
+        return F.concat(
+            F.lit("diff --git "), x["a"], F.lit(" "), x["b"], F.lit("\nindex 1111111..2222222 100644\n--- "), x["a"], F.lit("\n+++ "),
+            x["plus"], F.lit("\n@@ -1 +1 @@\n commit 0123456789 is no header\n"),
+            F.repeat(F.lit("+added line\n"), x["additions"].cast("int")), F.repeat(F.lit("-removed line\n"), x["deletions"].cast("int")),
+            F.lit("diff --git a/logo.png b/logo.png\nindex 1111111..2222222 100644\nBinary files a/logo.png and b/logo.png differ\n"))
+
+    # texts are rendered where they are written: the shuffle moves names and numbers
+    sections = rows.groupBy("commit_hash").agg(F.sort_array(F.collect_list(F.struct(
+        "pos", quote("a").alias("a"), quote("b").alias("b"), plus.alias("plus"), "additions", "deletions"))).alias("secs"))
     header = F.concat(F.lit("commit "), F.sha1("commit_hash"), F.lit("\nAuthor: a <a@b>\n\n    "), F.col("commit_hash"), F.lit("\n\n"))
     dumps = td.commit_heads(spark, sf).select("commit_hash").join(sections, "commit_hash", "left").select(
-        F.concat(header, F.coalesce(F.array_join(F.transform("secs", lambda x: x["s"]), ""), F.lit(""))).alias("value"))
-    dumps.write.text(path)
+        F.concat(header, F.coalesce(F.array_join(F.transform("secs", section), ""), F.lit(""))).alias("value"))
+    dumps.write.option("compression", "gzip").text(path)  # a file a shuffle partition, each read as one split
     names = td.commit_heads(spark, sf).select("commit_hash", F.sha1("commit_hash").alias("sha"))
     found = patch_scan(spark, path).withColumnRenamed("commit_hash", "sha")
     return found.join(names, "sha").select("commit_hash", "file_path", "additions", "deletions")

@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.scalar import _SPLITLINES as LINES
 from revlens.functions.scalar import strip_ws
-from revlens.sources.logtext import keep_parsed
+from revlens.session import persist_table
+from revlens.sources.logtext import keep_parsed, section_lines
 
 # How a section and a commit header begin, and the escapes of quoted paths.
 SECTION = "diff --git "
@@ -46,20 +46,18 @@ def section_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     # a record takes more bytes than one, so start of split + number of the record rises through a file
     place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), place.alias("pos"),
-                     F.split(F.concat(F.lit("\n"), F.regexp_replace("value", f"^{SECTION}", "")), HEADER).alias("parts"))
-    # what stands before the first header is the section, in lines after the one of its names
-    staged = raw.select("file", "start", "pos", F.split(F.get("parts", 0), LINES).alias("lines"),
-                        F.when(F.size("parts") > 1, F.regexp_extract(F.element_at("parts", -1), "^commit ([0-9a-f]+)", 1)).alias("opens"))
-    lines = F.col("lines")
-    heads = F.filter(lines, lambda x: x.startswith("+++ b/") | x.startswith('+++ "b/'))
-    head = F.try_element_at(heads, F.lit(-1))
+                     F.concat(F.lit("\n"), F.when(F.startswith("value", F.lit(SECTION)), F.substr("value", F.lit(len(SECTION) + 1))).otherwise(F.col("value"))).alias("body"))
+    # what stands before the first header is the section, in lines after the one of its names; few records hold a header
+    parts = F.when(F.contains("body", F.lit("\ncommit ")), F.split("body", HEADER)).otherwise(F.array("body"))
+    raw = raw.select("file", "start", "pos", F.explode(F.array(parts)).alias("parts"))
+    opens = F.when(F.size("parts") > 1, F.regexp_extract(F.element_at("parts", -1), "^commit ([0-9a-f]+)", 1))
+    staged = section_lines(raw.select("file", "start", "pos", opens.alias("opens"), F.get("parts", 0).alias("section")),
+                           F.col("section"), ["file", "start", "pos", "opens"])
+    head = F.try_element_at(F.filter("plus", lambda x: x.startswith("+++ b/") | x.startswith('+++ "b/')), F.lit(-1))
     quoted = F.regexp_extract(head, r'^\+\+\+ "b/(.*)"\s*$', 1)
     parsed = F.struct(
         F.when(head.startswith("+++ b/"), strip_ws(F.substr(head, F.lit(7)))).when(head.isNotNull(), unquoted(quoted)).alias("path"),
-        F.size(F.filter(lines, lambda x: x.startswith("+") & ~x.startswith("+++"))).cast("bigint").alias("additions"),
-        F.size(F.filter(lines, lambda x: x.startswith("-") & ~x.startswith("---"))).cast("bigint").alias("deletions"),
-        F.col("opens"),
-    )
+        "additions", "deletions", "opens")
     return keep_parsed(staged, parsed, F.col("path").isNotNull() | F.col("opens").isNotNull(), ["file", "start", "pos"])
 
 
@@ -67,8 +65,7 @@ def with_commits(rows: DataFrame) -> DataFrame:
     """``section_rows`` with ``commit_hash``: the header that was opened last before each row."""
     split = Window.partitionBy("file", "start").orderBy("pos")  # at most one split's sections, without their text
     inside = rows.withColumn("own", F.last("opens", True).over(split.rowsBetween(Window.unboundedPreceding, -1)))
-    last = rows.where("opens IS NOT NULL").groupBy("file", "start").agg(F.max_by("opens", "pos").alias("opens"))
-    every = rows.select("file", "start").distinct().join(last, ["file", "start"], "left")
+    every = rows.groupBy("file", "start").agg(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("pos"))).alias("opens"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
     carry = every.select("file", "start", F.last("opens", True).over(before).alias("carry"))
     return inside.join(carry, ["file", "start"]).withColumn("commit_hash", F.coalesce("own", "carry")).drop("own", "carry", "start")
@@ -76,6 +73,7 @@ def with_commits(rows: DataFrame) -> DataFrame:
 
 def patch_scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """SRC-6 from files: (commit_hash, file_path, additions, deletions), a row a commit and path."""
-    found = with_commits(section_rows(spark, paths)).where("path IS NOT NULL")
+    rows = persist_table(section_rows(spark, paths), "sections")  # read twice below; the dumps are read once
+    found = with_commits(rows).where("path IS NOT NULL")
     return found.groupBy("file", "commit_hash", F.col("path").alias("file_path")).agg(
         F.max_by("additions", "pos").alias("additions"), F.max_by("deletions", "pos").alias("deletions")).drop("file")
