@@ -147,17 +147,22 @@ SELECT commit_hash, file_path, additions, deletions FROM r WHERE rn = 1"""))
 def q_patch_line_stats(spark, sf):
     rows = td.file_rows_pos(spark, sf)
     p = F.col("file_path")
-    plus = F.when(F.col("change_type") == "D", F.lit("+++ /dev/null")).otherwise(F.concat(F.lit("+++ b/"), p))
-    section = F.concat(
-        F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\nindex 1111111..2222222 100644\n--- a/"), p, F.lit("\n"),
-        plus, F.lit("\n@@ -1 +1 @@\n"),
-        F.repeat(F.lit("+added line\n"), F.col("additions").cast("int")),
-        F.repeat(F.lit("-removed line\n"), F.col("deletions").cast("int")),
-    )
-    # a text holds the sections of one path of a commit: bounded by that path's own lines, however large the commit
+    kept = ~F.coalesce(F.col("change_type") == "D", F.lit(False))
+
+    def section(x):
+        plus = F.when(x["kept"], F.concat(F.lit("+++ b/"), p)).otherwise(F.lit("+++ /dev/null"))
+        return F.concat(
+            F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\nindex 1111111..2222222 100644\n--- a/"), p, F.lit("\n"),
+            plus, F.lit("\n@@ -1 +1 @@\n"),
+            F.repeat(F.lit("+added line\n"), x["additions"].cast("int")),
+            F.repeat(F.lit("-removed line\n"), x["deletions"].cast("int")),
+        )
+
+    # a text holds the sections of one path of a commit: bounded by that path's own lines, however large the commit;
+    # it is rendered where it is read, so only numbers are shuffled
     per_path = rows.groupBy("commit_hash", "file_path").agg(
-        F.sort_array(F.collect_list(F.struct("additions", "deletions", section.alias("s")))).alias("secs"))
-    patches = per_path.select("commit_hash", F.array_join(F.transform("secs", lambda x: x["s"]), "").alias("patch"))
+        F.sort_array(F.collect_list(F.struct("additions", "deletions", kept.alias("kept")))).alias("secs"))
+    patches = per_path.select("commit_hash", F.array_join(F.transform("secs", section), "").alias("patch"))
     return LT.patch_line_stats(patches)
 
 
