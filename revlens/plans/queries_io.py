@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens.operators.diff import merge_stats, touched_paths
-from revlens.operators.reshape import commit_parts, explode_changes
+from revlens.operators.reshape import assemble_commits, commit_parts, explode_changes
 from revlens.plans.catalog import CHANGE_SELECT, change_out, register, td, with_mapping
 from revlens.session import shared_path
 from revlens.sources import logtext as LT
@@ -398,7 +398,9 @@ def q_version_gate_mixed(spark, sf):
 def q_log_scan(spark, sf):
     """SRC-1 alone: records of a dump written in several files, one row per commit."""
     path = shared_path(spark, "scan")
-    LT.write_log(td.commits(spark, sf).repartition(3), path)
+    # as many files as there are shuffle partitions: the commits' own shuffle deals them out
+    dealt = td.changes(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "commit_hash")
+    LT.write_log(assemble_commits(dealt), path)
     return LT.log_scan(spark, path).select(F.substring_index("value", LT.FIELD_MARK, 1).alias("commit_hash"))
 
 
