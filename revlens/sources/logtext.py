@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.scalar import MSG_END, MSG_START, parse_message, parse_parents, strip_ws
-from revlens.operators.ranking import in_order
 from revlens.schema import COMMIT_COLUMNS, FILE_CHANGE
 
 # The record and field markers of the history dump format.
@@ -345,15 +344,18 @@ def write_json(commits: DataFrame, path: str, mode: str = "errorifexists") -> No
 def write_json_array(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """SNK-5 to storage as one JSON array over all files in name order, newest commit first, one object a line:
     the array's brackets and commas begin the lines, so files are written by many tasks and ``cat`` of them is
-    the array. One sort; the files are its partitions."""
+    the array. One sort, written as it comes: the files are its partitions, and the row that ends the array is
+    sorted behind all commits."""
     order = _newest_first(commits)
-    rows = commits.select("commit_timestamp", *order[1:], F.struct(*commits.columns).alias("commit"))
-    placed = in_order(rows, *order)
-    text = commits_to_json(placed.select("commit.*", "_part", "_idx"), ["_part", "_idx"])
-    first = placed.agg(F.min("_part")).first()[0]
-    begins = F.when((F.col("_part") == first) & (F.col("_idx") == 0), "[").otherwise(",")
-    end = commits.sparkSession.range(1, numPartitions=1).select(F.lit("[]" if first is None else "]").alias("value"))
-    text.select(F.concat(begins, "value").alias("value")).union(end).write.mode(mode).text(path)
+    rows = commits.select(F.lit(False).alias("_end"), F.struct(*commits.columns).alias("commit"))
+    end = commits.sparkSession.range(1, numPartitions=1).select(F.lit(True).alias("_end"), F.lit(None).cast(rows.schema["commit"].dataType).alias("commit"))
+    by = [c if isinstance(c, str) else "commit_timestamp" for c in order]
+    sort = [F.desc(f"commit.{c}") if c == "commit_timestamp" else F.col(f"commit.{c}") for c in by]
+    # the first row of a range sort is row 0 of its partition 0, which is never empty
+    placed = rows.unionByName(end).orderBy("_end", *sort).withColumn("_at", F.monotonically_increasing_id())
+    text = commits_to_json(placed.select("commit.*", "_end", "_at"), ["_end", "_at"])
+    begins = F.when(F.col("_at") == 0, "[").otherwise(F.when(F.col("_end"), "").otherwise(","))
+    text.select(F.concat(begins, F.when(F.col("_end"), "]").otherwise(F.col("value"))).alias("value")).write.mode(mode).text(path)
 
 
 def _json_schema(parts: bool = False):
