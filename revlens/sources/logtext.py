@@ -88,7 +88,8 @@ def file_stat_parse(block: Column) -> Column:
     3 parts = add/del/path with type ''; other widths and non-numeric counts are dropped;
     ``-`` (binary) counts as 0.
     """
-    lines = F.transform(F.split(F.coalesce(block, F.lit("")), "\n"), lambda ln: strip_ws(ln))
+    tabbed = F.filter(F.split(F.coalesce(block, F.lit("")), "\n"), lambda ln: F.contains(ln, F.lit("\t")))  # no other has 3 parts
+    lines = F.transform(tabbed, lambda ln: strip_ws(ln))
     kept = F.filter(lines, lambda ln: ~is_noise_line(ln))
     parts = F.filter(F.transform(kept, lambda ln: F.split(ln, "\t")), lambda p: F.size(p).isin(3, 4))
 
@@ -139,7 +140,7 @@ def _parse_record(empty_message_fallback: bool) -> dict[str, Column]:
         "commit_timestamp": epoch,
         "commit_message": parse_message(raw_msg, empty_message_fallback),
         "file_changes": file_stat_parse(F.col("_tail")),
-        "part": F.coalesce(F.regexp_extract("_tail", f"^{PART_MARK}([0-9]{{1,9}})(?:\\n|$)", 1).try_cast("int"), F.lit(0)),
+        "part": F.coalesce(F.regexp_extract(F.substring_index("_tail", "\n", 1), f"^{PART_MARK}([0-9]{{1,9}})$", 1).try_cast("int"), F.lit(0)),
         "_valid": F.coalesce(valid, F.lit(False)),
     }
 
