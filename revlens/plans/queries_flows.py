@@ -8,7 +8,7 @@ from revlens.operators.reshape import commit_parts
 from revlens.plans.catalog import CHANGE_SELECT, change_out, register, td, with_mapping
 from revlens.plans.facade import get_changes
 from revlens.plans.queries_core import SCOREBOARD_SQL
-from revlens.session import shared_path
+from revlens.session import persist_table, shared_path
 from revlens.sources import logtext as LT
 from revlens.streaming import logstream as ST
 
@@ -59,6 +59,7 @@ def q_stream_newest_first(spark, sf):
     commits = td.commits(spark, sf)
     year = F.pmod(F.col("commit_hash").cast("long"), F.lit(50))
     old = commits.withColumn("commit_date", F.timestamp_seconds(year * 31_557_600 + 86_400)).withColumn("commit_timestamp", year * 31_557_600 + 86_400)
+    old = persist_table(old, "stream-commits")  # assembled once, read for each dump
     src = shared_path(spark, "stream-old")
     spans = ((25, 50), (10, 25), (0, 10), (25, 30))  # the last one is sent again
     for n, (a, b) in enumerate(spans):
