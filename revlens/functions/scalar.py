@@ -110,13 +110,16 @@ def parse_iso_date(text) -> Column:
 
 # The line terminators of Python's str.splitlines().
 _SPLITLINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"  # few texts hold one; the others are split at one character
 _TERMINATOR_AT_END = r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])$"
 
 
 def count_text_lines(text) -> Column:
     """PRJ-11: ``len(text.splitlines())``; '' -> 0; missing -> 0."""
     t = _c(text)
-    n = F.size(F.split(t, _SPLITLINES)) - F.when(t.rlike(_TERMINATOR_AT_END), 1).otherwise(0)
+    by_feed = F.size(F.split(t, "\n")) - F.when(t.endswith("\n"), 1).otherwise(0)
+    by_any = F.size(F.split(t, _SPLITLINES)) - F.when(t.rlike(_TERMINATOR_AT_END), 1).otherwise(0)
+    n = F.when(t.rlike(_OTHER_BREAK), by_any).otherwise(by_feed)
     return F.coalesce(F.when(t == "", F.lit(0)).otherwise(n), F.lit(0)).cast("bigint")
 
 

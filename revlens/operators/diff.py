@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.scalar import _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
+from revlens.functions.scalar import _OTHER_BREAK, _SPLITLINES, _TERMINATOR_AT_END, count_text_lines, strip_ws
 from revlens.operators.ranking import positions_in_group
 from revlens.session import materialize, persist_table
 
 _LINE_SPLIT = _SPLITLINES
 _ENDS_WITH_TERMINATOR = _TERMINATOR_AT_END
+#: Similarities in percent that ``similar_renames`` settles before it looks for less similar pairs.
+BANDS = (90, 70)
 #: Set difference: seconds a stretch and children a tree node, as a power of two (more if the tolerance needs it).
 STRETCH_BITS = 10
 
@@ -18,8 +20,10 @@ STRETCH_BITS = 10
 def text_lines(text) -> Column:
     """``str.splitlines()`` as an array column ('' -> [], a trailing terminator adds no line)."""
     t = F.col(text) if isinstance(text, str) else text
-    parts = F.split(t, _LINE_SPLIT)
-    trimmed = F.when(t.rlike(_ENDS_WITH_TERMINATOR), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    other = t.rlike(_OTHER_BREAK)
+    parts = F.when(other, F.split(t, _LINE_SPLIT)).otherwise(F.split(t, "\n"))
+    ends = F.when(other, t.rlike(_ENDS_WITH_TERMINATOR)).otherwise(t.endswith("\n"))
+    trimmed = F.when(ends, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(trimmed)
 
 
@@ -71,13 +75,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys=("commit_hash",), path_co
     fetched for changed paths only.
     """
     k = [*keys, path_col]
-    text = lambda side: lambda paths: side.select(*k, F.col(content_col).alias("_t")).join(paths, k, "left_semi")
+    text = lambda side: lambda paths, of=F.col: side.select(*k, of(content_col).alias("_t")).join(paths, k, "left_semi")
     ho, hn = hashes or tuple(content_hashes(x, keys, path_col, content_col, hash_col) for x in (old, new))
     return _diff(ho, hn, text(old), text(new), keys, path_col, patch_stats)
 
 
 def _diff(ho: DataFrame, hn: DataFrame, old_text, new_text, keys, path_col: str, patch_stats: DataFrame | None) -> DataFrame:
-    """``old_text(paths)`` and ``new_text(paths)`` fetch (keys, path, _t) for a table of changed paths."""
+    """``old_text(paths, of)`` and ``new_text(paths, of)`` fetch (keys, path, _t) for a table of changed paths: the
+    contents, or what ``of`` makes of them where they are read."""
     k = [*keys, path_col]
     # 1. compare (commit, path, hash) only: contents of unchanged files never move
     changed = persist_table(
@@ -85,20 +90,20 @@ def _diff(ho: DataFrame, hn: DataFrame, old_text, new_text, keys, path_col: str,
         .where(~F.col("_oh").eqNullSafe(F.col("_nh"))).select(
             *k, F.when(F.col("_oh").isNull(), "A").when(F.col("_nh").isNull(), "D").otherwise("M").alias("change_type")),
         "snapshot-changed")
-    # 2. contents of changed paths only (the changed-key table has real size statistics,
-    #    so Spark broadcasts it when small and the snapshots are filtered map-side)
-    oc = old_text(changed.where(F.col("change_type") != "A").select(*k)).withColumnRenamed("_t", "_ot")
-    nc = new_text(changed.where(F.col("change_type") != "D").select(*k)).withColumnRenamed("_t", "_nt")
-    typed = changed.join(oc, k, "left").join(nc, k, "left")
-    adds_dels = typed.where(F.col("change_type") != "M").select(
-        *k, "change_type",
-        F.when(F.col("change_type") == "A", count_text_lines(F.col("_nt"))).otherwise(F.lit(0)).cast("bigint")
-        .alias("additions"),
-        F.when(F.col("change_type") == "D", count_text_lines(F.col("_ot"))).otherwise(F.lit(0)).cast("bigint")
-        .alias("deletions"),
-        F.lit("lines").alias("count_kind"),
-    )
-    mods = typed.where(F.col("change_type") == "M")
+    # 2. contents of modified paths only, and line counts of the others (the changed-key table has real size
+    #    statistics, so Spark broadcasts it when small and the snapshots are filtered map-side)
+    of_kind = lambda kind: changed.where(F.col("change_type") == kind)
+    none = F.lit(0).cast("bigint")
+
+    def whole(kind: str, fetch) -> DataFrame:
+        counted = of_kind(kind).join(fetch(of_kind(kind).select(*k), count_text_lines), k, "left")
+        lines = F.coalesce("_t", none)
+        return counted.select(*k, "change_type", (lines if kind == "A" else none).alias("additions"),
+                              (lines if kind == "D" else none).alias("deletions"), F.lit("lines").alias("count_kind"))
+
+    adds_dels = whole("A", new_text).unionByName(whole("D", old_text))
+    oc, nc = (fetch(of_kind("M").select(*k)).withColumnRenamed("_t", c) for fetch, c in ((old_text, "_ot"), (new_text, "_nt")))
+    mods = of_kind("M").join(oc, k, "left").join(nc, k, "left")
     # new lines count +1, old lines -1, in one explode; a modified path always has a line
     signed = F.concat(
         F.transform(text_lines(F.col("_nt")), lambda x: F.struct(x.alias("line"), F.lit(1).alias("s"))),
@@ -134,14 +139,14 @@ def tree_changes(commits: DataFrame, trees: DataFrame, path_col: str = "path", c
         F.col("_parent").isNotNull()), "parent-edges")
     hashes = persist_table(content_hashes(trees, path_col=path_col, content_col=content_col, hash_col=hash_col), "tree-hashes")
     old = edge.join(hashes.withColumnRenamed("commit_hash", "_parent"), "_parent").select("commit_hash", path_col, "_h")
-    texts = trees.select("commit_hash", path_col, F.col(content_col).alias("_t"))
+    texts = lambda of: trees.select("commit_hash", path_col, of(content_col).alias("_t"))
 
-    def of_parent(paths: DataFrame) -> DataFrame:
+    def of_parent(paths: DataFrame, of=F.col) -> DataFrame:
         wanted = paths.join(edge, "commit_hash")
-        return wanted.join(texts.withColumnRenamed("commit_hash", "_parent"), ["_parent", path_col]).select("commit_hash", path_col, "_t")
+        return wanted.join(texts(of).withColumnRenamed("commit_hash", "_parent"), ["_parent", path_col]).select("commit_hash", path_col, "_t")
 
-    def of_commit(paths: DataFrame) -> DataFrame:
-        return texts.join(paths, ["commit_hash", path_col], "left_semi")
+    def of_commit(paths: DataFrame, of=F.col) -> DataFrame:
+        return texts(of).join(paths, ["commit_hash", path_col], "left_semi")
 
     return _diff(old, hashes, of_parent, of_commit, ("commit_hash",), path_col, None)
 
@@ -200,76 +205,109 @@ def exact_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("com
     return renamed_new.unionByName(rest)
 
 
-def _line_counts(snapshot: DataFrame, wanted: DataFrame, keys: list[str], path_col: str, content_col: str) -> DataFrame:
-    """(keys, _h, _line, _c, _n) of the contents named by one path each in ``wanted`` (keys, _h, path): how often
-    each line, by its hash, occurs and how many lines there are. A content of many rows alike is split once."""
-    text = snapshot.select(*keys, path_col, F.col(content_col).alias("_t")).join(wanted, [*keys, path_col])
-    lines = text.select(*keys, "_h", F.explode(text_lines("_t")).alias("_l")).select(*keys, "_h", F.md5("_l").alias("_line"))
-    counted = lines.groupBy(*keys, "_h", "_line").agg(F.count(F.lit(1)).alias("_c"))
-    return counted.join(counted.groupBy(*keys, "_h").agg(F.sum("_c").alias("_n")), [*keys, "_h"])
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(lines: Column) -> Column:
+    """Array of (line, c): each line of a sorted array once, with how often it occurs."""
+    def of(a: Column) -> Column:
+        starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)), lambda i: i.isNotNull())
+        return _with(starts, lambda s: F.transform(s, lambda at, j: F.struct(
+            F.get(a, at).alias("line"), (F.coalesce(F.get(s, j + 1), F.size(a)) - at).cast("bigint").alias("c"))))
+
+    return _with(lines, of)
+
+
+def _line_runs(snapshot: DataFrame, contents: DataFrame, keys: list[str], path_col: str, content_col: str) -> DataFrame:
+    """``contents`` (keys, path, ...) with ``_n``, the number of lines, and ``_runs``: each line once, by its hash, and
+    how often it occurs. Lines are hashed where texts are read, and a content of many rows alike is one row."""
+    hashed = F.transform(text_lines(content_col), lambda x: F.unhex(F.md5(x)))
+    found = contents.join(snapshot.select(*keys, path_col, hashed.alias("_l")), [*keys, path_col])
+    whole = found.groupBy(*contents.columns).agg(F.sort_array(F.flatten(F.collect_list("_l"))).alias("_l"))
+    return whole.where(F.size("_l") > 0).select(*contents.columns, F.size("_l").cast("bigint").alias("_n"), _runs(F.col("_l")).alias("_runs"))
+
+
+def line_prefixes(runs: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """(keys, _side, _id, _line, _n, _before): the lines of each content, rarest in its commit first, as far as two
+    contents of ``threshold`` percent must share one of them; ``_before`` counts the lines before it."""
+    lines = runs.select(*keys, "_side", "_id", "_n", F.inline("_runs")).withColumnRenamed("line", "_line")
+    spread = lines.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("_df"))
+    inside = Window.partitionBy("_id").orderBy("_df", "_line")  # the lines of one file
+    placed = lines.join(spread, [*keys, "_line"]).withColumn(
+        "_before", F.coalesce(F.sum("c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.where(_in_prefix(threshold)).select(*keys, "_side", "_id", "_line", "_n", "_before")
+
+
+def _in_prefix(threshold: int) -> Column:
+    return F.col("_before") <= F.col("_n") - F.ceil(F.col("_n") * threshold / 100)
+
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many lines two arrays of (line, c) have in common, counted with repeats."""
+    def of(x: Column) -> Column:
+        same = lambda i: F.get(x, i)["line"] == F.get(x, i - 1)["line"]
+        return F.aggregate(F.sequence(F.lit(1), F.size(x)), F.lit(0).cast("bigint"), lambda n, i: n + F.when(
+            same(i), F.least(F.get(x, i)["c"], F.get(x, i - 1)["c"])).otherwise(0))
 
-def similar_pairs(deleted: DataFrame, added: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """(keys, _ho, _hn, _shared, _score) of every deleted and added content of a commit that share at least
-    ``threshold`` percent of the longer one's lines, counted with repeats, from both sides' line counts.
+    return _with(F.sort_array(F.concat(a, b)), of)
+
+
+def similar_pairs(runs: DataFrame, prefixes: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """(keys, _ido, _idn, _ho, _hn, _no, _nn, _shared, _score) of every deleted and added content of a commit that
+    share at least ``threshold`` percent of the longer one's lines, counted with repeats.
 
     A set-similarity join: the lines of a content are put in order, rarest in its commit first; two contents
     that similar share a line among the first ``n - need + 1`` of each, so only these prefixes are joined, by
     (commit, line). Sizes and what remains behind the shared line bound the overlap before it is counted on
-    all lines. Lines all files have (licences, braces) stand last and join nothing."""
-    both = deleted.withColumn("_side", F.lit(0)).unionByName(added.withColumn("_side", F.lit(1)))
-    spread = both.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("_df"))
-    inside = Window.partitionBy(*keys, "_side", "_h").orderBy("_df", "_line")  # the lines of one file
-    placed = both.join(spread, [*keys, "_line"]).withColumn(
-        "_before", F.coalesce(F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    need = F.ceil(F.col("_n") * threshold / 100)
-    prefix = persist_table(placed.where(F.col("_before") <= F.col("_n") - need).select(*keys, "_side", "_h", "_line", "_n", "_before"), "line-prefixes")
+    all lines, which come in one row a content. Lines all files have (licences, braces) stand last and join nothing."""
+    prefix = prefixes.where(_in_prefix(threshold))
     side = lambda k, mark: prefix.where(F.col("_side") == k).select(
-        *keys, "_line", F.col("_h").alias(f"_h{mark}"), F.col("_n").alias(f"_n{mark}"), (F.col("_n") - F.col("_before")).alias(f"_rest{mark}"))
+        *keys, "_line", F.col("_id").alias(f"_id{mark}"), F.col("_n").alias(f"_n{mark}"), (F.col("_n") - F.col("_before")).alias(f"_rest{mark}"))
     longer = F.greatest("_no", "_nn")
-    met = side(0, "o").join(side(1, "n"), [*keys, "_line"]).where(
+    met = side("d", "o").join(side("a", "n"), [*keys, "_line"]).where(
         (F.least("_no", "_nn") * 100 >= longer * threshold) & (F.least("_resto", "_restn") * 100 >= longer * threshold))
-    candidates = met.select(*keys, "_ho", "_hn").distinct()
-    old = deleted.select(*keys, F.col("_h").alias("_ho"), "_line", F.col("_c").alias("_co"), F.col("_n").alias("_no"))
-    new = added.select(*keys, F.col("_h").alias("_hn"), "_line", F.col("_c").alias("_cn"), F.col("_n").alias("_nn"))
-    shared = candidates.join(old, [*keys, "_ho"]).join(new, [*keys, "_hn", "_line"]).groupBy(*keys, "_ho", "_hn").agg(
-        F.sum(F.least("_co", "_cn")).alias("_shared"), F.first(longer).alias("_longer"))
-    return shared.where(F.col("_shared") * 100 >= F.col("_longer") * threshold).select(
-        *keys, "_ho", "_hn", "_shared", F.floor(F.col("_shared") * 100 / F.col("_longer")).cast("int").alias("_score"))
-
-
-def _dominant_pairs(pairs: DataFrame, have_old: DataFrame, have_new: DataFrame, keys: list[str]) -> DataFrame:
-    """The greedy choice over ``pairs`` by score, ties by a hash: (keys, _ho, _hn, _score, _fo, _fn, _take): ``_take``
-    files each, after ``_fo`` and ``_fn`` that better pairs took. A pair that is the best one left for both its
-    contents is taken in any order of work, so all such are taken at once; random ties make the rounds few."""
+    candidates = met.select("_ido", "_idn").distinct()
+    of = lambda mark: [F.col(c).alias(f"{c}{mark}") for c in ("_id", "_h", "_n", "_runs")]
+    both = candidates.join(runs.select(*keys, *of("o")), "_ido").join(runs.select(*of("n")), "_idn")
+    shared = both.withColumn("_shared", _shared(F.col("_runso"), F.col("_runsn")))
+    return shared.where(F.col("_shared") * 100 >= longer * threshold).select(
+        *keys, "_ido", "_idn", "_ho", "_hn", "_no", "_nn", "_shared", F.floor(F.col("_shared") * 100 / longer).cast("int").alias("_score"))
+
+
+def _spent(spark, taken: list[DataFrame], side: str) -> DataFrame:
+    """(_id, _u): how many files of each content the pairs taken so far have used."""
+    spent = spark.range(0).select(F.col("id").alias("_id"), F.col("id").alias("_k"))
+    for t in taken:
+        spent = spent.unionByName(t.select(F.col(f"_id{side}").alias("_id"), F.col("_take").alias("_k")))
+    return spent.groupBy("_id").agg(F.sum("_k").alias("_u"))
+
+
+def _dominant_pairs(pairs: DataFrame, contents: DataFrame, taken: list[DataFrame]) -> None:
+    """The greedy choice over ``pairs`` by score, ties by a hash, after the pairs in ``taken``; adds to it tables
+    (columns of ``pairs``, _fo, _fn, _take): ``_take`` files each, after ``_fo`` and ``_fn`` that better pairs took. A
+    pair that is the best one left for both its contents is taken in any order of work, so all such are taken at
+    once; random ties make the rounds few."""
     spark = pairs.sparkSession
     # smaller is better; a struct without ties, the same for both ends
     order = F.struct((-F.col("_score")).alias("s"), F.md5(F.concat("_ho", F.lit("/"), "_hn")).alias("t"))
     left = persist_table(pairs.withColumn("_order", order), "similar-pairs")
-    used = [(have_old, "_ho", "_co", "_uo"), (have_new, "_hn", "_cn", "_un")]
-    taken: list[DataFrame] = []
     while not left.isEmpty():
         state = left
-        for have, h, c, u in used:
-            spent = spark.createDataFrame([], have.select(*keys, F.col("_h").alias(h)).schema.add("_k", "long"))
-            for t in taken:
-                spent = spent.unionByName(t.select(*keys, h, F.col("_take").alias("_k")))
-            spent = spent.groupBy(*keys, h).agg(F.sum("_k").alias(u))
-            state = state.join(have.select(*keys, F.col("_h").alias(h), F.col("_count").alias(c)), [*keys, h]).join(
-                spent, [*keys, h], "left").fillna(0, [u])
+        for side in "on":
+            spent = _spent(spark, taken, side).select(F.col("_id").alias(f"_id{side}"), F.col("_u").alias(f"_u{side}"))
+            have = contents.select(F.col("_id").alias(f"_id{side}"), F.col("_count").alias(f"_c{side}"))
+            state = state.join(have, f"_id{side}").join(spent, f"_id{side}", "left").fillna(0, [f"_u{side}"])
         state = persist_table(state.where((F.col("_uo") < F.col("_co")) & (F.col("_un") < F.col("_cn"))), "similar-left")
-        best = lambda h, mark: state.groupBy(*keys, h).agg(F.min("_order").alias(mark))
-        won = state.join(best("_ho", "_bo"), [*keys, "_ho"]).join(best("_hn", "_bn"), [*keys, "_hn"]).where(
+        best = lambda h, mark: state.groupBy(h).agg(F.min("_order").alias(mark))
+        won = state.join(best("_ido", "_bo"), "_ido").join(best("_idn", "_bn"), "_idn").where(
             (F.col("_order") == F.col("_bo")) & (F.col("_order") == F.col("_bn")))
-        won = persist_table(won.select(*keys, "_ho", "_hn", "_score", F.col("_uo").alias("_fo"), F.col("_un").alias("_fn"),
+        won = persist_table(won.select(*pairs.columns, F.col("_uo").alias("_fo"), F.col("_un").alias("_fn"),
                                        F.least(F.col("_co") - F.col("_uo"), F.col("_cn") - F.col("_un")).alias("_take")), "similar-taken")
         taken.append(won)
-        left = state.select(*left.columns).join(won.select(*keys, "_ho", "_hn"), [*keys, "_ho", "_hn"], "left_anti")
+        left = state.select(*left.columns).join(won.select("_ido", "_idn"), ["_ido", "_idn"], "left_anti")
         left = persist_table(left, "similar-next")
-    none = left.select(*keys, "_ho", "_hn", "_score", *[F.lit(0).cast("bigint").alias(c) for c in ("_fo", "_fn", "_take")])
-    for t in taken:
-        none = none.unionByName(t)
-    return none
 
 
 def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
@@ -282,7 +320,8 @@ def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("c
 
     Pairs are 1:1, the most similar first (ties by a hash of both contents); paths of one content go in path
     order. Contents that occur at many paths are compared once, with their number, and no task holds a commit's
-    pairs. Texts without a line are never similar; no deletes or no adds -> nothing changes.
+    pairs. Similarities are settled from the top in ``BANDS``: what very similar pairs have used up is not compared
+    with the many files that are less so, which changes no choice. Texts without a line are never similar; no deletes or no adds -> nothing changes.
     """
     if not 0 < threshold <= 100:
         raise ValueError("threshold is a percentage above 0")
@@ -293,16 +332,21 @@ def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("c
     for mark, kind, hashed in (("d", "D", hashes[0]), ("a", "A", hashes[1])):
         sides.append(changes.where(F.col("change_type") == kind).join(hashed, [*k, path_col]).select(*k, path_col, "_h", F.lit(mark).alias("_side")))
     files = materialize(positions_in_group(sides[0].unionByName(sides[1]), ["_side", *k, "_h"], [path_col], "_i"))
-    have, counts = [], []
-    for mark, snapshot in (("d", old), ("a", new)):
-        mine = files.where(F.col("_side") == mark).groupBy(*k, "_h").agg(F.count(F.lit(1)).alias("_count"), F.min(path_col).alias(path_col))
-        have.append(persist_table(mine, "contents"))
-        counts.append(persist_table(_line_counts(snapshot, have[-1].select(*k, "_h", path_col), k, path_col, content_col), "line-counts"))
-    pairs = similar_pairs(*counts, k, threshold)
-    lines = [c.select(*k, F.col("_h").alias(h), F.col("_n").alias(n)).distinct() for c, h, n in zip(counts, ("_ho", "_hn"), ("_no", "_nn"), strict=True)]
-    pairs = persist_table(pairs.join(lines[0], [*k, "_ho"]).join(lines[1], [*k, "_hn"]), "similar-scored")
-    chosen = persist_table(_dominant_pairs(pairs.select(*k, "_ho", "_hn", "_score"), *have, k), "similar-chosen").join(
-        pairs.drop("_score"), [*k, "_ho", "_hn"])
+    contents = files.groupBy("_side", *k, "_h").agg(F.count(F.lit(1)).alias("_count"), F.min(path_col).alias(path_col))
+    contents = persist_table(contents.withColumn("_id", F.monotonically_increasing_id()), "contents")
+    runs = [_line_runs(snapshot, contents.where(F.col("_side") == mark).drop("_count"), k, path_col, content_col) for mark, snapshot in (("d", old), ("a", new))]
+    runs = persist_table(runs[0].unionByName(runs[1]).drop(path_col), "line-runs")
+    prefixes = persist_table(line_prefixes(runs, k, threshold), "line-prefixes")
+    taken: list[DataFrame] = []
+    for least in [*(b for b in BANDS if b > threshold), threshold]:
+        if taken:
+            spent = _spent(old.sparkSession, taken, "o").unionByName(_spent(old.sparkSession, taken, "n"))
+            full = contents.join(spent, "_id").where(F.col("_u") >= F.col("_count")).select("_id")
+            prefixes = persist_table(prefixes.join(full, "_id", "left_anti"), "line-prefixes")
+        _dominant_pairs(similar_pairs(runs, prefixes, k, least), contents, taken)
+    chosen = similar_pairs(runs, prefixes.limit(0), k, threshold).select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("_fo", "_fn", "_take")])
+    for t in taken:
+        chosen = chosen.unionByName(t)
     path_of = lambda mark, h, name: files.where(F.col("_side") == mark).select(*k, F.col("_h").alias(h), "_i", F.col(path_col).alias(name))
     olds = chosen.join(path_of("d", "_ho", "old_file_path"), [*k, "_ho"]).where(
         (F.col("_i") > F.col("_fo")) & (F.col("_i") <= F.col("_fo") + F.col("_take"))).withColumn("_j", F.col("_i") - F.col("_fo") + F.col("_fn")).drop("_i")

@@ -6,6 +6,7 @@ from conftest import SMOKE
 from helpers import change_rows, commit_rows
 from pyspark.sql import functions as F
 from revlens.functions.scalar import strip_ws
+from revlens.operators import diff as D
 from revlens.operators import graph as G
 from revlens.operators.reshape import commit_parts
 from revlens.plans import queries_flows, queries_io
@@ -78,3 +79,23 @@ def test_chains_are_thinned_out_before_they_are_doubled(spark, monkeypatch):
     monkeypatch.setattr(G, "_doubled", lambda x: moved.append(x.count()) or doubled(x))
     roots = G._roots_of(links)
     assert roots.count() == 2999 and roots.where("r <> 'n0'").isEmpty() and moved[0] < 600
+
+
+def test_files_used_up_by_very_similar_pairs_are_not_compared_again(spark, monkeypatch):
+    text = lambda i, last: "\n".join([*[f"common {j}" for j in range(12)], *[f"{i} {j}" for j in range(7)], last])
+    rows = lambda folder, last: spark.createDataFrame(
+        [("c", f"{folder}/{i:02d}", text(i, last)) for i in range(20)], "commit_hash string, path string, content string")
+    old, new = rows("old", "before"), rows("new", "after")
+    found, pairs = [], D.similar_pairs
+    monkeypatch.setattr(D, "similar_pairs", lambda *a: found.append(pairs(*a)) or found[-1])
+    got = D.similar_renames(D.renamed_diff(old, new), old, new).collect()
+    assert sorted((r.path, r.old_file_path, r.similarity) for r in got) == [(f"new/{i:02d}", f"old/{i:02d}", 95) for i in range(20)]
+    assert sum(f.count() for f in found) == 20  # each of 400 pairs shares 60 percent
+
+
+def test_texts_of_added_files_are_counted_where_they_are_read(spark):
+    rows = lambda n: spark.createDataFrame([("c", f"p{i}", f"text {i}\nmore") for i in range(n)], "commit_hash string, path string, content string")
+    plan = _plan(D.snapshot_diff(rows(3), rows(5)))
+    added = plan[:plan.index("Join LeftSemi")]  # the first branch: above the join only its line counts are left
+    assert "splitlines" not in added and "split(" not in added
+    assert sorted((r.path, r.change_type, r.additions) for r in D.snapshot_diff(rows(3), rows(5)).collect()) == [("p3", "A", 2), ("p4", "A", 2)]
