@@ -130,6 +130,7 @@ def _parse_record(empty_message_fallback: bool) -> dict[str, Column]:
     raw_msg = F.concat(F.coalesce(F.get(fields, 5), F.lit("")), F.lit(MSG_END))
     commit_date = F.when(F.size(date_parts) == 2, F.try_to_timestamp(date_text))
     epoch = F.when(F.size(date_parts) == 2, to_int(F.get(date_parts, 1)))
+    number = F.regexp_extract(F.substring_index("_tail", "\n", 1), f"^{PART_MARK}([0-9]{{1,9}})$", 1)
     valid = (F.col("_end") > 0) & (F.size(fields) >= 6) & commit_date.isNotNull() & epoch.isNotNull()
     return {
         "commit_hash": hash_part,
@@ -140,7 +141,7 @@ def _parse_record(empty_message_fallback: bool) -> dict[str, Column]:
         "commit_timestamp": epoch,
         "commit_message": parse_message(raw_msg, empty_message_fallback),
         "file_changes": file_stat_parse(F.col("_tail")),
-        "part": F.coalesce(F.regexp_extract(F.substring_index("_tail", "\n", 1), f"^{PART_MARK}([0-9]{{1,9}})$", 1).try_cast("int"), F.lit(0)),
+        "part": F.coalesce(F.when(F.col("_tail").startswith(PART_MARK), number.try_cast("int")), F.lit(0)),
         "_valid": F.coalesce(valid, F.lit(False)),
     }
 

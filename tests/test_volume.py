@@ -99,3 +99,12 @@ def test_texts_of_added_files_are_counted_where_they_are_read(spark):
     added = plan[:plan.index("Join LeftSemi")]  # the first branch: above the join only its line counts are left
     assert "splitlines" not in added and "split(" not in added
     assert sorted((r.path, r.change_type, r.additions) for r in D.snapshot_diff(rows(3), rows(5)).collect()) == [("p3", "A", 2), ("p4", "A", 2)]
+
+
+def test_part_number_is_searched_only_behind_its_mark(spark):
+    records = spark.createDataFrame([(f"h@@@FIELD@@@@@@FIELD@@@n@@@FIELD@@@e@@@FIELD@@@2020-01-01T00:00:00Z\t1577836800@@@FIELD@@@{LT.MSG_START}m{LT.MSG_END}\n{tail}",)
+                                     for tail in ("1\t2\tp", f"{LT.PART_MARK}3\n1\t2\tp", f"{LT.PART_MARK}x\n1\t2\tp")], "value string")
+    parsed = LT.log_parse(records, parts=True)
+    assert [(r.part, len(r.file_changes)) for r in parsed.collect()] == [(0, 1), (3, 1), (0, 1)]
+    plan = _plan(parsed)
+    assert "CASE WHEN StartsWith(_tail" in plan and plan.count("regexp_extract(substring_index(_tail") == 1
