@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.scalar import MSG_END, MSG_START, parse_message, parse_parents, strip_ws
 from revlens.schema import COMMIT_COLUMNS, FILE_CHANGE
+from revlens.session import persist_rows, shuffles_released
 
 # The record and field markers of the history dump format.
 COMMIT_MARK = "@@@COMMIT@@@"
@@ -318,13 +319,20 @@ def _newest_first(commits: DataFrame) -> list:
 
 def _in_file_order(commits: DataFrame) -> DataFrame:
     """Parts of a commit follow one another in a file, and from one file to the next; whole commits stay as they are."""
-    return commits.orderBy(*_newest_first(commits)) if "part" in commits.columns else commits
+    return persist_rows(commits, "parts").orderBy(*_newest_first(commits)) if "part" in commits.columns else commits
 
 
-def write_log(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def _write_text(rows: DataFrame, path: str, mode: str, compression: str | None, **options) -> None:
+    with shuffles_released(rows.sparkSession):
+        writer = rows.write.mode(mode).options(**options)
+        (writer.option("compression", compression) if compression else writer).text(path)
+
+
+def write_log(commits: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
     """SNK-6 to storage: records separated by the commit marker, read back by ``read_log``. The parts of a commit
-    (``commit_parts``) become consecutive records, each with the commit's header."""
-    commits_to_log(_in_file_order(commits)).write.mode(mode).option("lineSep", COMMIT_MARK).text(path)
+    (``commit_parts``) become consecutive records, each with the commit's header. ``compression`` (gzip, say) is
+    that of the text writer; readers know it by the files' names."""
+    _write_text(commits_to_log(_in_file_order(commits)), path, mode, compression, lineSep=COMMIT_MARK)
 
 
 def commits_to_json(commits: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -343,11 +351,12 @@ def write_json(commits: DataFrame, path: str, mode: str = "errorifexists") -> No
     commits_to_json(_in_file_order(commits)).write.mode(mode).text(path)
 
 
-def write_json_array(commits: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_json_array(commits: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
     """SNK-5 to storage as one JSON array over all files in name order, newest commit first, one object a line:
     the array's brackets and commas begin the lines, so files are written by many tasks and ``cat`` of them is
-    the array. One sort, written as it comes: the files are its partitions, and the row that ends the array is
-    sorted behind all commits."""
+    the array (``zcat`` with ``compression`` gzip). One sort, written as it comes: the files are its partitions,
+    and the row that ends the array is sorted behind all commits."""
+    commits = persist_rows(commits, "commits")
     order = _newest_first(commits)
     rows = commits.select(F.lit(False).alias("_end"), F.struct(*commits.columns).alias("commit"))
     end = commits.sparkSession.range(1, numPartitions=1).select(F.lit(True).alias("_end"), F.lit(None).cast(rows.schema["commit"].dataType).alias("commit"))
@@ -357,7 +366,7 @@ def write_json_array(commits: DataFrame, path: str, mode: str = "errorifexists")
     placed = rows.unionByName(end).orderBy("_end", *sort).withColumn("_at", F.monotonically_increasing_id())
     text = commits_to_json(placed.select("commit.*", "_end", "_at"), ["_end", "_at"])
     begins = F.when(F.col("_at") == 0, "[").otherwise(F.when(F.col("_end"), "").otherwise(","))
-    text.select(F.concat(begins, F.when(F.col("_end"), "]").otherwise(F.col("value"))).alias("value")).write.mode(mode).text(path)
+    _write_text(text.select(F.concat(begins, F.when(F.col("_end"), "]").otherwise(F.col("value"))).alias("value")), path, mode, compression)
 
 
 def _json_schema(parts: bool = False):
@@ -394,8 +403,10 @@ def read_json_array(spark: SparkSession, path: str, parts: bool = False) -> Data
     """Commits of a JSON array with one object a line (as ``write_json_array`` writes it, or with commas at the
     line ends), split over tasks like any text. A line that is no whole object raises: such an array
     (indented, say) is read by ``read_json(array=True)``."""
-    line = F.regexp_replace(F.regexp_replace("value", r"^[\s,\[]+", ""), r"[\s,\]]+$", "")
-    lines = spark.read.text(path).select(line.alias("line")).where("line <> ''")
+    space = " \t\n\x0b\f\r,"
+    line = F.rtrim(F.ltrim(F.col("value"), F.lit(f"{space}[")), F.lit(f"{space}]"))
+    nothing = F.col("value").rlike(r"^[\s,\[]*[\s,\]]*$")  # told by the first other character, not by trimming twice
+    lines = spark.read.text(path).where(~nothing).select(line.alias("line"))
     whole = F.col("line").startswith("{") & F.col("line").endswith("}")
     problem = F.raise_error(F.concat(F.lit("not one object a line: "), F.substr("line", F.lit(1), F.lit(80)))).cast("string")
     parsed = lines.select(F.from_json(F.when(whole, F.col("line")).otherwise(problem), _json_schema(parts), {"mode": "FAILFAST"}).alias("c"))

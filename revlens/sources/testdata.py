@@ -37,8 +37,8 @@ def _email(mode: str) -> Column:
     return F.concat(seg, F.lit("."), F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
 
 
-def commit_heads(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> DataFrame:
-    """One row per commit (no file changes) plus the integer key ``_ok`` for joins."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders with their customers as stored, and their parents."""
     pin_utc(spark)
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
@@ -50,24 +50,29 @@ def commit_heads(spark: SparkSession, sf_dir: str, email_mode: str = "segment")
     both = F.array(F.floor(k / 2).cast("string"), F.when(urgent, F.floor(k / 3).cast("string")))
     parents = F.when(root, F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.filter(both, lambda x: x.isNotNull())))
+    return orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).withColumn("parent_hashes", parents)
+
+
+def _head_columns(email_mode: str) -> dict[str, Column]:
+    """The columns of a commit but its parents, out of an order and its customer."""
     date = F.col("o_orderdate").cast("timestamp")
-    heads = orders.select(
-        "*",
-        parents.alias("parent_hashes"),
-    ).join(customer, F.col("c_custkey") == F.col("o_custkey"))
-    return heads.select(
-        F.col("o_orderkey").alias("_ok"),
-        F.col("o_orderkey").cast("string").alias("commit_hash"),
-        "parent_hashes",
-        F.col("c_name").alias("author_name"),
-        _email(email_mode).alias("author_email"),
-        date.alias("commit_date"),
-        F.unix_timestamp(date).alias("commit_timestamp"),
-        F.concat(
+    return {
+        "commit_hash": F.col("o_orderkey").cast("string"),
+        "author_name": F.col("c_name"),
+        "author_email": _email(email_mode),
+        "commit_date": date,
+        "commit_timestamp": F.unix_timestamp(date),
+        "commit_message": F.concat(
             F.col("o_orderpriority"), F.lit(" "), F.col("o_orderstatus"), F.lit("\n"),
             F.lit("order "), F.col("o_orderkey").cast("string"),
-        ).alias("commit_message"),
-    )
+        ),
+    }
+
+
+def commit_heads(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> DataFrame:
+    """One row per commit (no file changes) plus the integer key ``_ok`` for joins."""
+    orders = _orders(spark, sf_dir).withColumns(_head_columns(email_mode))
+    return orders.select(F.col("o_orderkey").alias("_ok"), *COMMIT_COLUMNS[:7])
 
 
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +103,13 @@ def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes(spark: SparkSession, sf_dir: str, email_mode: str = "segment") -> DataFrame:
     """Flat CHANGE frame: commits with their file rows; a commit without files -> null path, 0/0. One left
-    join, so every table is scanned once."""
+    join, so every table is scanned once. It is joined on the commit's hash, by which rows are grouped later, so
+    they are not shuffled again for that; the other commit columns are made behind the join."""
     zero = F.lit(0).cast("bigint")
-    return commit_heads(spark, sf_dir, email_mode).join(file_rows(spark, sf_dir), "_ok", "left").select(
+    columns = _head_columns(email_mode)
+    orders = _orders(spark, sf_dir).withColumn("commit_hash", columns.pop("commit_hash"))
+    files = file_rows(spark, sf_dir).withColumn("commit_hash", F.col("_ok").cast("string")).drop("_ok")
+    return orders.join(files, "commit_hash", "left").withColumns(columns).select(
         *COMMIT_COLUMNS[:7],
         F.col("file_path").alias("file_paths"),
         "change_type",

@@ -1,7 +1,9 @@
 """What steps move and how often they read, where that decides whether a large history fits."""
 
 import os
+import time
 
+import pytest
 from conftest import SMOKE
 from helpers import change_rows, commit_rows
 from pyspark.sql import functions as F
@@ -10,8 +12,10 @@ from revlens.operators import diff as D
 from revlens.operators import graph as G
 from revlens.operators.reshape import commit_parts
 from revlens.plans import queries_flows, queries_io
+from revlens.session import materialize, persist_rows, persist_table
 from revlens.sources import logtext as LT
 from revlens.sources import patchtext as PT
+from revlens.sources import testdata as td
 
 
 def _plan(df):
@@ -108,3 +112,57 @@ def test_part_number_is_searched_only_behind_its_mark(spark):
     assert [(r.part, len(r.file_changes)) for r in parsed.collect()] == [(0, 1), (3, 1), (0, 1)]
     plan = _plan(parsed)
     assert "CASE WHEN StartsWith(_tail" in plan and plan.count("regexp_extract(substring_index(_tail") == 1
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("kept", [persist_table, persist_rows, materialize])
+def test_shuffles_go_with_the_write_that_made_them(spark, kept):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = _shuffle_files(spark)
+    rows = kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids")).orderBy("k"))
+    for _ in range(100):  # files are removed behind the action
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before and spark.conf.get(setting) == "false"
+    assert sorted((r.k, len(r.ids)) for r in rows.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+def test_rows_with_a_type_that_parquet_lacks_are_kept(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "a int").withColumn("none", F.lit(None))
+    assert sorted(tuple(r) for r in persist_rows(rows).collect()) == [(1, None), (2, None)]
+
+
+def test_changes_are_joined_by_the_key_they_are_grouped_by(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = td.commits(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 6  # two sides of three joins
+
+
+def test_array_is_written_compressed(spark, scratch, monkeypatch):
+    paths, read = [], LT.read_json_array
+    monkeypatch.setattr(LT, "read_json_array", lambda s, p, **k: paths.append(p) or read(s, p, **k))
+    queries_io.q_json_array_roundtrip(spark, SMOKE)
+    for p in paths:
+        files = spark.read.text(p).inputFiles()
+        assert files and all(f.endswith(".gz") for f in files)
+    path = scratch("array")
+    LT.write_json_array(commit_rows(spark, [{"commit_hash": f"c{i}", "commit_timestamp": i} for i in range(40)]).repartition(5), path, compression="gzip")
+    assert sorted(r.commit_hash for r in LT.read_json_array(spark, path).collect()) == sorted(f"c{i}" for i in range(40))
+
+
+def test_array_lines_are_told_apart_as_before(spark, scratch):
+    path = scratch("lines")
+    spark.createDataFrame([(x,) for x in ("[", " \t", ",", "[,]", "]", ' ,\t[{"commit_hash":"a, ]"} ,\x0b', '{"commit_hash":"b"}]')], "value string").write.text(path)
+    assert sorted(r.commit_hash for r in LT.read_json_array(spark, path).collect()) == ["a, ]", "b"]
+    spark.createDataFrame([("][",)], "value string").write.text(f"{path}-odd")
+    with pytest.raises(Exception, match="not one object a line"):
+        LT.read_json_array(spark, f"{path}-odd").collect()
