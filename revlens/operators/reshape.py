@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators.ranking import positions_in_group
 from revlens.schema import COMMIT_COLUMNS
-from revlens.session import persist_table
+from revlens.session import persist_rows, persist_table
 
 HEAD_COLUMNS = [c for c in COMMIT_COLUMNS if c != "commit_hash"]
 CHANGE_FIELDS = ["file_paths", "additions", "deletions", "change_type", "old_file_path"]
@@ -70,7 +70,7 @@ def commit_parts(changes: DataFrame, size: int = PART_SIZE, whole_up_to: int = P
     """
     if size < 1:
         raise ValueError("a part holds at least one change")
-    changes = persist_table(changes.select("commit_hash", *HEAD_COLUMNS, *CHANGE_FIELDS), "changes")  # read by each step below
+    changes = persist_rows(changes.select("commit_hash", *HEAD_COLUMNS, *CHANGE_FIELDS), "changes")  # read by each step below
     counted = changes.groupBy("commit_hash").agg(F.count("file_paths").alias("_n"))
     beyond = persist_table(counted.where(F.col("_n") > max(size, whole_up_to)).select(F.col("commit_hash").alias("_hash")), "large-hashes")
     is_large = F.col("commit_hash").eqNullSafe(F.col("_hash"))

@@ -292,7 +292,7 @@ def q_log_parts_roundtrip(spark, sf):
 def q_json_parts_roundtrip(spark, sf):
     """SNK-5 of parts as one JSON array over many files, read back in parallel."""
     path = shared_path(spark, "jsonparts")
-    LT.write_json_array(commit_parts(_bulk_changes(spark, sf), _PART), path)
+    LT.write_json_array(commit_parts(_bulk_changes(spark, sf), _PART), path, compression="gzip")
     return _part_facts(LT.read_json_array(spark, path, parts=True))
 
 

@@ -151,6 +151,7 @@ def test_array_is_written_compressed(spark, scratch, monkeypatch):
     paths, read = [], LT.read_json_array
     monkeypatch.setattr(LT, "read_json_array", lambda s, p, **k: paths.append(p) or read(s, p, **k))
     queries_io.q_json_array_roundtrip(spark, SMOKE)
+    queries_io.q_json_parts_roundtrip(spark, SMOKE)
     for p in paths:
         files = spark.read.text(p).inputFiles()
         assert files and all(f.endswith(".gz") for f in files)
