@@ -167,3 +167,11 @@ def test_array_lines_are_told_apart_as_before(spark, scratch):
     spark.createDataFrame([("][",)], "value string").write.text(f"{path}-odd")
     with pytest.raises(Exception, match="not one object a line"):
         LT.read_json_array(spark, f"{path}-odd").collect()
+
+
+def test_parts_are_streamed_from_compressed_dumps(spark, monkeypatch):
+    paths, board = [], queries_flows._board_of
+    monkeypatch.setattr(queries_flows, "_board_of", lambda s, src, n: paths.append(src) or board(s, src, n))
+    queries_flows.q_stream_parts(spark, SMOKE)
+    files = spark.read.text(paths[0]).inputFiles()
+    assert files and all(f.endswith(".gz") for f in files)
