@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -284,30 +286,48 @@ def _spent(spark, taken: list[DataFrame], side: str) -> DataFrame:
     return spent.groupBy("_id").agg(F.sum("_k").alias("_u"))
 
 
+def _settled(left: DataFrame) -> DataFrame:
+    """``left`` (_ido, _idn, _order, _ro, _rn: files left of either content) with ``_take``, the files a pair could use, and
+    ``_won``: whether it takes so many whatever becomes of the better pairs, as both its contents have enough files for
+    all of these too. The best pair of all always has. The windows hold the pairs of one content."""
+    taken = left.withColumn("_take", F.least("_ro", "_rn"))
+    for side in "on":
+        better = Window.partitionBy(f"_id{side}").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+        taken = taken.withColumn(f"_b{side}", F.sum("_take").over(better))
+    return taken.withColumn("_won", (F.col("_bo") <= F.col("_ro")) & (F.col("_bn") <= F.col("_rn"))).drop("_bo", "_bn")
+
+
 def _dominant_pairs(pairs: DataFrame, contents: DataFrame, taken: list[DataFrame]) -> None:
     """The greedy choice over ``pairs`` by score, ties by a hash, after the pairs in ``taken``; adds to it tables
-    (columns of ``pairs``, _fo, _fn, _take): ``_take`` files each, after ``_fo`` and ``_fn`` that better pairs took. A
-    pair that is the best one left for both its contents is taken in any order of work, so all such are taken at
-    once; random ties make the rounds few."""
+    (columns of ``pairs``, _order, _take): how many files of either content a pair takes. A round takes every pair whose
+    contents have files enough for it and all better ones: one that is the best for both, and those of a content of many
+    files as far as these go, however many partners it has. Random ties make the rounds few."""
     spark = pairs.sparkSession
     # smaller is better; a struct without ties, the same for both ends
     order = F.struct((-F.col("_score")).alias("s"), F.md5(F.concat("_ho", F.lit("/"), "_hn")).alias("t"))
-    left = persist_table(pairs.withColumn("_order", order), "similar-pairs")
-    while not left.isEmpty():
-        state = left
+    left = pairs.withColumn("_order", order)
+    for side in "on":
+        free = contents.join(_spent(spark, taken, side), "_id", "left").select(
+            F.col("_id").alias(f"_id{side}"), (F.col("_count") - F.coalesce("_u", F.lit(0))).alias(f"_r{side}"))
+        left = left.join(free.where(F.col(f"_r{side}") > 0), f"_id{side}")
+    while True:
+        state = persist_table(_settled(left), "similar-pairs")
+        won, left = state.where("_won"), state.where("not _won")
+        taken.append(won.select(*pairs.columns, "_order", "_take"))
+        if left.isEmpty():
+            return
         for side in "on":
-            spent = _spent(spark, taken, side).select(F.col("_id").alias(f"_id{side}"), F.col("_u").alias(f"_u{side}"))
-            have = contents.select(F.col("_id").alias(f"_id{side}"), F.col("_count").alias(f"_c{side}"))
-            state = state.join(have, f"_id{side}").join(spent, f"_id{side}", "left").fillna(0, [f"_u{side}"])
-        state = persist_table(state.where((F.col("_uo") < F.col("_co")) & (F.col("_un") < F.col("_cn"))), "similar-left")
-        best = lambda h, mark: state.groupBy(h).agg(F.min("_order").alias(mark))
-        won = state.join(best("_ido", "_bo"), "_ido").join(best("_idn", "_bn"), "_idn").where(
-            (F.col("_order") == F.col("_bo")) & (F.col("_order") == F.col("_bn")))
-        won = persist_table(won.select(*pairs.columns, F.col("_uo").alias("_fo"), F.col("_un").alias("_fn"),
-                                       F.least(F.col("_co") - F.col("_uo"), F.col("_cn") - F.col("_un")).alias("_take")), "similar-taken")
-        taken.append(won)
-        left = state.select(*left.columns).join(won.select("_ido", "_idn"), ["_ido", "_idn"], "left_anti")
-        left = persist_table(left, "similar-next")
+            used = won.groupBy(f"_id{side}").agg(F.sum("_take").alias("_used"))
+            left = left.join(used, f"_id{side}", "left").withColumn(f"_r{side}", F.col(f"_r{side}") - F.coalesce("_used", F.lit(0))).drop("_used")
+        left = left.where((F.col("_ro") > 0) & (F.col("_rn") > 0)).drop("_take", "_won")
+
+
+def _with_places(chosen: DataFrame) -> DataFrame:
+    """``chosen`` with _fo and _fn, how many files of its contents the better pairs took."""
+    for side in "on":
+        better = Window.partitionBy(f"_id{side}").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+        chosen = chosen.withColumn(f"_f{side}", F.coalesce(F.sum("_take").over(better), F.lit(0)))
+    return chosen
 
 
 def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("commit_hash",), path_col: str = "path",
@@ -344,9 +364,7 @@ def similar_renames(changes: DataFrame, old: DataFrame, new: DataFrame, keys=("c
             full = contents.join(spent, "_id").where(F.col("_u") >= F.col("_count")).select("_id")
             prefixes = persist_table(prefixes.join(full, "_id", "left_anti"), "line-prefixes")
         _dominant_pairs(similar_pairs(runs, prefixes, k, least), contents, taken)
-    chosen = similar_pairs(runs, prefixes.limit(0), k, threshold).select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("_fo", "_fn", "_take")])
-    for t in taken:
-        chosen = chosen.unionByName(t)
+    chosen = persist_table(_with_places(reduce(DataFrame.unionByName, taken)), "similar-taken")
     path_of = lambda mark, h, name: files.where(F.col("_side") == mark).select(*k, F.col("_h").alias(h), "_i", F.col(path_col).alias(name))
     olds = chosen.join(path_of("d", "_ho", "old_file_path"), [*k, "_ho"]).where(
         (F.col("_i") > F.col("_fo")) & (F.col("_i") <= F.col("_fo") + F.col("_take"))).withColumn("_j", F.col("_i") - F.col("_fo") + F.col("_fn")).drop("_i")

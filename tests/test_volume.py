@@ -1,5 +1,6 @@
 """What steps move and how often they read, where that decides whether a large history fits."""
 
+import hashlib
 import os
 import time
 
@@ -175,3 +176,22 @@ def test_parts_are_streamed_from_compressed_dumps(spark, monkeypatch):
     queries_flows.q_stream_parts(spark, SMOKE)
     files = spark.read.text(paths[0]).inputFiles()
     assert files and all(f.endswith(".gz") for f in files)
+
+
+def test_a_content_of_many_files_takes_its_partners_in_few_rounds(spark, monkeypatch):
+    text = lambda last: "\n".join([*[f"common {j}" for j in range(9)], last])
+    old = [(f"old/{i:02d}", text("same")) for i in range(20)] + [("old/other", text("other"))]
+    new = [(f"new/{i:02d}", text(f"new {i // 2}")) for i in range(30)]  # 15 contents of two files for 21
+    rows = lambda files: spark.createDataFrame([("c", *f) for f in files], "commit_hash string, path string, content string")
+    names, persist = [], D.persist_table
+    monkeypatch.setattr(D, "persist_table", lambda df, name="table", *a: names.append(name) or persist(df, name, *a))
+    got = D.similar_renames(D.renamed_diff(rows(old), rows(new)), rows(old), rows(new)).collect()
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    pairs = sorted((hashlib.md5(f"{digest(o)}/{digest(n)}".encode()).hexdigest(), p, q) for p, o in old for q, n in new)
+    chosen: dict[str, str] = {}
+    for _, p, q in pairs:
+        if p not in chosen.values() and q not in chosen:
+            chosen[q] = p
+    assert {r.path: r.old_file_path for r in got if r.change_type == "R"} == chosen and len(chosen) == 21
+    assert sum(n == "similar-pairs" for n in names) <= 8 and sum(n.startswith("similar-") for n in names) <= 10
